@@ -6,12 +6,14 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from . import bpe, langid, mixing, quality, simhash
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
