@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
@@ -75,3 +78,30 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     tops = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tops)
+
+
+def running(df: DataFrame, order: list, value: str, before: str = "before") -> DataFrame:
+    """df with the sum of a long column over all earlier rows in a total order, in a column named before.
+
+    Rows are dealt by range and sorted in their tasks, where local sums run; only one total a task is added up in
+    one place. The result is cut, so its rows keep the tasks that they were counted in.
+    """
+    from pyspark import TaskContext
+
+    names = [*df.columns, "_part", before]
+    at = df.columns.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = np.cumsum(np.asarray(batch.column(at), np.int64)) + total
+            local = np.concatenate(([total], ends[:-1])) if len(ends) else ends
+            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part)), pa.array(local)], names)
+
+    schema = df.schema.simpleString()[len("struct<") : -1]
+    sums = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{schema},_part:bigint,{before}:bigint"))
+    totals = sums.groupBy("_part").agg(F.max(F.col(before) + F.col(value)).alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    return sums.join(F.broadcast(starts), "_part").withColumn(before, F.col(before) + F.col("_start")).drop("_part", "_start")
