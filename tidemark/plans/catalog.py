@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relations, summaries  # noqa: F401
+from . import records, relations, summaries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
