@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import measures, records, relations, spectra, summaries  # noqa: F401
+from . import measures, places, records, relations, spectra, summaries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
