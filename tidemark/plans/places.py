@@ -79,11 +79,11 @@ def _(t):
 
 @query("D24_sparse_map", """WITH lit AS (SELECT DISTINCT p_partkey AS part, p_size % 20 AS cell, CASE WHEN p_partkey % 2 = 0 THEN 'on' ELSE 'off' END AS polarity FROM part),
 g AS (SELECT channel, cell, polarity, avg(t) AS mean, stddev_pop(t) AS sd, count(*) AS n FROM spk JOIN lit USING (part) GROUP BY channel, cell, polarity)
-SELECT channel, cell, polarity, round(mean, 6) AS mean, round(sd, 6) AS sd, n, round((mean - avg(mean) OVER w) / nullif(stddev_pop(mean) OVER w, 0), 6) AS z FROM g WINDOW w AS (PARTITION BY channel, polarity)""")
+SELECT channel, cell, polarity, round(mean, 9) AS mean, round(sd, 6) AS sd, n, round((mean - avg(mean) OVER w) / nullif(stddev_pop(mean) OVER w, 0), 6) AS z FROM g WINDOW w AS (PARTITION BY channel, polarity)""")
 def _(t):
     lit = t("part").select(F.col("p_partkey").alias("trial"), (F.col("p_size") % 20).alias("cell"), F.when(F.col("p_partkey") % 2 == 0, "on").otherwise("off").alias("polarity"))
     x = S.sparse_map(t.spk.select("channel", F.col("part").alias("trial"), F.col("t").alias("value")), lit, ["channel"])
-    return x.withColumns({c: r6(c) for c in ("mean", "sd", "z")})
+    return x.withColumns({"mean": F.round("mean", 9), "sd": r6("sd"), "z": r6("z")})
 
 
 _CENTRES, _SIGMAS = [(x, y) for x in (1, 3, 5) for y in (1, 3, 5)], [1.0, 2.0, 4.0]
