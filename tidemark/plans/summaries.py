@@ -342,11 +342,11 @@ def _(t):
     return _round(X.zscore(t.seq, ["state"], "value").select("session", "pos", "z"), "z")
 
 
-@query("E20_progress_profile", """SELECT state, floor(p * 10)::INT AS bin, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS sd, count(*) AS n FROM (
+@query("E20_progress_profile", """SELECT state, floor(p * 10)::INT AS bin, round(avg(value), 9) AS mean, round(stddev_pop(value), 6) AS sd, count(*) AS n FROM (
   SELECT *, pos / nullif(max(pos) OVER (PARTITION BY session), 0) AS p FROM seq) WHERE p > 0 AND p < 1 GROUP BY ALL""")
 def _(t):
     x = X.progress_profile(t.seq, ["session"], ["pos"], "pos", "value", 10, "state")
-    return x.withColumns({n: F.round(n, 5) for n in ("mean", "sd")})
+    return x.withColumns({"mean": F.round("mean", 9), "sd": F.round("sd", 6)})
 
 
 @query("E21_ranking", "SELECT n_name, regexp_extract(n_name, '(\\d+)', 1)::BIGINT AS natural, row_number() OVER (ORDER BY regexp_extract(n_name, '(\\d+)', 1)::BIGINT)::INT AS place FROM nation")
