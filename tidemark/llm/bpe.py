@@ -20,10 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import tidied
+
 END = "</w>"
 NEVER = np.int64(1 << 40)
-#: Distinct pieces of text whose ids a Python worker keeps, twice: those of now and those of the time before.
-KEPT_PIECES = 300_000
+#: Distinct pieces of text whose ids a task keeps, twice: those of now and those of the time before.
+KEPT_PIECES = 200_000
 _SLOTS = 1 << 18
 
 
@@ -42,10 +44,7 @@ class WordBpe:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.size = max([*vocab.values(), *self.special.values()]) + 1
-        self.strings = [""] * self.size
-        for s, i in [*vocab.items(), *self.special.items()]:
-            self.strings[i] = s
+        self.size = len(token_strings(spec))
         patterns = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(patterns[0].replace(r"\s", r"\p{White_Space}"))
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -235,6 +234,10 @@ class WordBpe:
         for p in pieces - several.keys():
             self.pieces[p] = ids[p]
 
+    def forget(self) -> None:
+        """Drop the pieces kept so far: an idle worker should hold little."""
+        self.pieces, self.older = {}, {}
+
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text; strings of special tokens in a text become those tokens; null counts as empty."""
         parts: list[list] = []
@@ -259,12 +262,23 @@ class WordBpe:
             for own in parts
         ]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The tokens' strings with a space between them (the file names no decoder); special tokens stay."""
-        return " ".join(map(self.strings.__getitem__, ids.tolist()))
+
+def token_strings(spec: dict) -> list[str]:
+    """Each id's string, special tokens included."""
+    own = [*spec["model"]["vocab"].items(), *((x["content"], x["id"]) for x in spec["added_tokens"])]
+    strings = [""] * (1 + max(i for _, i in own))
+    for s, i in own:
+        strings[i] = s
+    return strings
+
+
+def decode_ids(ids: np.ndarray, strings: list[str]) -> str:
+    """The tokens' strings with a space between them (the file names no decoder); special tokens stay."""
+    return " ".join(map(strings.__getitem__, ids.tolist()))
 
 
 _loaded: dict[str, WordBpe] = {}
+_strings: dict[str, list[str]] = {}
 
 
 def load(path: str) -> WordBpe:
@@ -274,7 +288,15 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def _groups(column: pa.Array, rows: int = 512, size: int = 2_000_000) -> Iterator[tuple[int, list]]:
+def load_strings(path: str) -> list[str]:
+    """What decoding needs, without the tables for encoding."""
+    if path not in _strings:
+        with open(path, encoding="utf-8") as f:
+            _strings[path] = token_strings(json.load(f))
+    return _strings[path]
+
+
+def _groups(column: pa.Array, rows: int = 256, size: int = 2_000_000) -> Iterator[tuple[int, list]]:
     """Runs of a column's values, with their start: at most so many rows, and about so many characters."""
     at, own, held = 0, [], 0
     for k, x in enumerate(column):
@@ -303,9 +325,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, column], names)
+        bpe.forget()
 
     schema = kept.schema.simpleString()[len("struct<") : -1]
-    return kept.mapInArrow(run, f"{schema},{ids_col}:array<int>")
+    return kept.mapInArrow(tidied(run), f"{schema},{ids_col}:array<int>")
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -314,35 +337,35 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "d
     at, names = kept.columns.index(ids_col), [*kept.columns, out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        strings = load_strings(path)
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                texts = [bpe.decode(np.asarray(x.values)) if x.is_valid else "" for x in part.column(at)]
+                texts = [decode_ids(np.asarray(x.values), strings) if x.is_valid else "" for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names)
 
     schema = kept.schema.simpleString()[len("struct<") : -1]
-    return kept.mapInArrow(run, f"{schema},{out_col}:string")
+    return kept.mapInArrow(tidied(run), f"{schema},{out_col}:string")
 
 
-def digests(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """tokens with ids_col replaced by n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and
+def digests(tokens: DataFrame, path: str, ids_col: str = "ids", keep_ids: bool = False) -> DataFrame:
+    """tokens with ids_col replaced by (or kept beside) n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and
     decoded_sha256 (of their decoded text in UTF-8), so that a round trip can be checked without keeping the texts."""
     kept = tokens.drop("n_tokens", "ids_sha256", "decoded_sha256")
     at = kept.columns.index(ids_col)
-    others = [k for k in range(len(kept.columns)) if k != at]
+    others = [k for k in range(len(kept.columns)) if keep_ids or k != at]
     names = [*(kept.columns[k] for k in others), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        strings = load_strings(path)
         for batch in batches:
             ids = [np.asarray(x.values).astype("<u4") if x.is_valid else np.empty(0, "<u4") for x in batch.column(at)]
             new = [
                 pa.array([len(x) for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(decode_ids(x, strings).encode()).hexdigest() for x in ids], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), *new], names)
 
-    schema = kept.drop(ids_col).schema.simpleString()[len("struct<") : -1]
-    return kept.mapInArrow(run, f"{schema},n_tokens:bigint,ids_sha256:string,decoded_sha256:string")
+    schema = kept.select(*(kept.columns[k] for k in others)).schema.simpleString()[len("struct<") : -1]
+    return kept.mapInArrow(tidied(run), f"{schema},n_tokens:bigint,ids_sha256:string,decoded_sha256:string")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, tidied
+
 BUCKETS = 8192
 #: Bytes as features: ASCII letters and bytes of other scripts stay, all else is a space.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -93,7 +95,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 
     rows = (
         labelled.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
-        .mapInArrow(tally, "lang string, bucket long, n long")
+        .mapInArrow(tidied(tally), "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -122,16 +124,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     repeated or not, keeps its place; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score", "ambiguous")
-    names = [*kept.columns, "lang_pred", "score", "ambiguous"]
-    at = kept.columns.index(text_col)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            found = [model.score(t.as_py()) for t in batch.column(at)]
-            new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names)
+    @F.arrow_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [shared.value.score(t.as_py()) for t in texts]
+        columns = [pa.array([x[k] for x in found], f.type) for k, f in enumerate(kind)]
+        release()
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
 
-    schema = kept.schema.simpleString()[len("struct<") : -1]
-    return kept.mapInArrow(run, f"{schema},lang_pred:string,score:double,ambiguous:boolean")
+    kept = docs.drop("lang_pred", "score", "ambiguous")
+    return kept.withColumn("_found", run(F.col(text_col).cast("string"))).select(*kept.columns, "_found.*")

@@ -6,13 +6,13 @@ maximum; the mean and the maximum over all chunks feed one logistic unit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 TAPS, FILTERS, HALF = 4, 16, 128
 
 
@@ -159,14 +159,11 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    kept = docs.drop("score")
-    at, names = kept.columns.index(text_col), [*kept.columns, "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        for batch in batches:
-            found = pa.array([net.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names)
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        found = pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
+        release()
+        return found
 
-    schema = kept.schema.simpleString()[len("struct<") : -1]
-    return kept.mapInArrow(run, f"{schema},score:double")
+    return docs.drop("score").withColumn("score", run(F.col(text_col).cast("string")))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, tidied
 
 SEED = 42
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(tidied(run), f"id {kind}, fp long")
 
 
 @dataclass
@@ -174,7 +174,7 @@ def links(fps: DataFrame, radius: int = 4, trees: int = 4, shard_rows: int = 512
         linked = root != np.arange(len(own))
         return pd.DataFrame({"a": own[linked], "b": own[root[linked]]})
 
-    spread_out = fps.select(name).mapInArrow(spread, "shard long, fp long, home boolean")
+    spread_out = fps.select(name).mapInArrow(tidied(spread), "shard long, fp long, home boolean")
     return spread_out.groupBy("shard").applyInPandas(shard_edges, "a long, b long")
 
 
