@@ -69,24 +69,25 @@ def test_fingerprint_by_the_letter():
         assert simhash.fingerprint(text) == want
 
 
-def test_shards_lose_no_pair():
+@pytest.mark.parametrize("radius", [4, 7])
+def test_shards_lose_no_pair(radius):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64) * 2 + rng.integers(0, 2, 400, dtype=np.uint64)
     near = base[rng.integers(0, 400, 600)]
-    for _ in range(4):
+    for _ in range(radius):
         near = near ^ (np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64))
     fps = np.unique(np.concatenate([base, near]))
-    forest = simhash.fit_forest(fps[:256], 5000, 4, 4, 16)
+    forest = simhash.fit_forest(fps[:256], 5000, radius, 4, 16)
     row, shard, home = simhash.route(fps, forest)
     assert home.sum() == 4 * len(fps)
     seen, links = set(), set()
     for s in np.unique(shard):
         own = np.sort(row[shard == s])
         where = {r: bool(home[(shard == s) & (row == r)].any()) for r in own}
-        root = simhash.link_shard(fps[own], np.array([where[r] for r in own]), 4, block=7)
+        root = simhash.link_shard(fps[own], np.array([where[r] for r in own]), radius, block=7)
         links |= {(own[k], own[root[k]]) for k in range(len(own)) if root[k] != k}
         seen |= {(a, b) for a in own if where[a] for b in own}
-    close = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 4) if j > i]
+    close = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= radius) if j > i]
     assert close and all((i, j) in seen or (j, i) in seen for i, j in close)
     assert union_find(len(fps), links) == union_find(len(fps), close)
 
@@ -374,10 +375,10 @@ def test_pipeline_stages(spark):
         own = stage(spark, last, sf).cache()
         assert own.columns == docs.columns and own.join(last, "doc_id", "left_anti").count() == 0, name
         if stage is C.near_dedup:
-            fps = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in last.collect()}
+            fps = {r["doc_id"]: simhash.fingerprint(r["text"], 5) for r in last.collect()}
             ids = sorted(fps)
             values = np.array([fps[i] for i in ids], np.uint64)
-            root = union_find(len(ids), [(i, j) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(values[i] ^ values) <= 4)])
+            root = union_find(len(ids), [(i, j) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(values[i] ^ values) <= 7)])
             assert sorted(r["doc_id"] for r in own.collect()) == sorted({ids[r] for r in root})
         last = own
     kept = last.count()
