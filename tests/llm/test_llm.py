@@ -194,6 +194,10 @@ def test_op4_digests(spark):
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     tokens = bpe.encode(odd(spark), vocabulary(WORDS))
     assert tokens.count() == len(ODD) and bpe.decode(tokens, vocabulary(WORDS)).where("decoded = ''").count() == 3
+    both = bpe.round_trip(odd(spark), vocabulary(WORDS), keep_ids=True)
+    apart = bpe.digests(tokens.drop("text"), vocabulary(WORDS))
+    assert sorted(map(repr, both.select(apart.columns).collect())) == sorted(map(repr, apart.collect()))
+    assert both.where("n_tokens != size(ids)").count() == 0 and bpe.round_trip(odd(spark).limit(0), vocabulary(WORDS)).count() == 0
 
 
 def test_licenses_equal_the_sql(spark):

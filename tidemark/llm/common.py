@@ -37,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Pass whole texts to Python in Arrow batches of 1,000 rows, where the session has Spark's 10,000.
+
+    Texts take several kB each and every batch is held by the JVM and by its worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def release() -> None:
     """Give freed memory of this Python worker back to the system: workers stay alive between stages."""
     pa.default_memory_pool().release_unused()

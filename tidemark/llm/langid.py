@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, tidied
+from .common import release, short_batches, tidied
 
 BUCKETS = 8192
 #: Bytes as features: ASCII letters and bytes of other scripts stay, all else is a space.
@@ -123,6 +123,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     Predictions come from the whole text alone. Null, empty and letterless texts get und and score 0; every row,
     repeated or not, keeps its place; an empty table stays empty.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import release, short_batches
 
 TAPS, FILTERS, HALF = 4, 16, 128
 
@@ -158,6 +158,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     Null and empty texts are scored as a run of zero bytes; repeated rows each get their score; an empty table stays
     empty.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")

@@ -42,9 +42,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary(WORD_VOCABULARY)
-    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return bpe.digests(tokens.select("doc_id", "ids"), path)
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(WORD_VOCABULARY))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
