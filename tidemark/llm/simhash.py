@@ -24,22 +24,28 @@ from .common import components, cut, short_batches, tidied
 SEED = 42
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash of a text's word shingles: a bit is set if it is set in over half of the shingles' XXH64.
+def shingle_hashes(text: str | None, width: int = 4) -> np.ndarray:
+    """XXH64 of each of a text's word shingles, in order.
 
     A-Z is lower-cased; words are runs of non-white-space; a text with fewer words has them all as its one shingle;
-    a text without words (or null) has fingerprint 0.
+    a text without words (or null) has none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; 0 of none."""
+    if not len(h):
+        return 0
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     whole = len(bits) // 255 * 255
     ones = bits[whole:].sum(0, dtype=np.int64)
@@ -48,6 +54,11 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash of a text's word shingles; a text without words (or null) has fingerprint 0."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp) of every row of docs; fp is the fingerprint as a signed long."""
 
