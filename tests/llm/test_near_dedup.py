@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import queries, similar
+from tidemark.llm import mixing, queries, similar
 from test_llm import union_find
 
 
@@ -52,3 +53,21 @@ def test_similar_texts_of_the_corpus(spark):
     got = {r["tag"]: r["component"] for r in similar.similar_texts(rows).collect()}
     want = roots([r["text"] for r in texts])
     assert len(set(zip((got[r["tag"]] for r in texts), want))) == len(set(want)) == len(set(got.values()))
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(8)]
+    ids = [None, None, 1, 1, 2, 3, 3, None]
+    rows = [(i, t, "en", s, len(t)) for (i, t), s in zip(zip(ids, texts), ["s", "t", None, "s", "t", "s", "s", None])]
+    rows += [(1, texts[4] + " end", "en", "s", 0), (3, texts[6], "en", "s", len(texts[6])), (None, texts[6], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # row 8 is a near copy of 2 under the smaller id 1: it stays and 2 goes, the other text under id 1 stays too
+    want = [rows[k] for k in (0, 1, 2, 3, 5, 6, 7, 8)]
+    assert Counter(map(tuple, C.near_dedup(spark, docs, "").collect())) == Counter(want)
+    more = docs.unionByName(docs.where("doc_id = 1").withColumn("lang", F.lit("de")))
+    mixed = mixing.mix(more).groupBy("tag", "source").agg(F.sum("copies").alias("n")).where("n > 0")
+    got = C.mixture(spark, more, "").groupBy(F.xxhash64("doc_id", "text").alias("tag"), "source").count()
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, mixed.collect())) and got.where("source IS NULL").count() > 0
