@@ -15,27 +15,61 @@ def attach_state(trials: DataFrame, states: DataFrame, shift: int = 1000, trial:
     return trials.withColumn("trial", F.col(trial) - shift).join(states, ["session", "trial"])
 
 
-def _asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], forward: bool) -> DataFrame:
+#: Rows of a key that one sorted task takes; keys with more are cut at quantiles of their times.
+HOT_ROWS = 1_000_000
+
+
+def _asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], forward: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
     side = F.lit(1 if forward else 0)
     kept = [c for c in left.columns if c not in on]
     a = left.select(*on, F.col(left_time).alias("_t"), (1 - side).alias("_side"), F.struct(*kept).alias("_left"), F.lit(None).cast(right.select(F.struct(right_time, *values)).schema[0].dataType).alias("_right"))
     b = right.where(F.col(right_time).isNotNull()).select(*on, F.col(right_time).alias("_t"), side.alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(right_time, *values).alias("_right"))
+    both = a.unionByName(b)
     # right rows stand before equal left rows looking back, and after them looking ahead
-    w = Window.partitionBy(*on).orderBy("_t", "_side", *[F.col(f"_right.{v}") for v in values])
-    found = F.first("_right", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_right", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    x = a.unionByName(b).withColumn("_found", found).where("_left IS NOT NULL")
+    order = ["_t", "_side", *[F.col(f"_right.{v}") for v in values]]
+
+    def found(part: list[str]) -> Column:
+        w = Window.partitionBy(*on, *part).orderBy(*order)
+        return F.first("_right", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_right", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+    counts = both.groupBy(*on).agg(F.count("_t").alias("_n"))
+    widest = counts.agg(F.max("_n")).first()[0] or 0
+    if widest <= hot_rows:
+        x = both.withColumn("_found", found([])).where("_left IS NOT NULL")
+    else:
+        parts = -(-widest // hot_rows)
+        at = [k / parts for k in range(1, parts)]
+        hot = counts.where(F.col("_n") > hot_rows).drop("_n")
+        own = (both.join(hot, on, "left_semi") if on else both).groupBy(*on).agg(F.percentile_approx("_t", at, 100 * parts).alias("_cuts"))
+        x = both.join(own, on, "left") if on else both.crossJoin(F.broadcast(own))  # one row
+        x = x.withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_t"))), F.lit(0))).drop("_cuts")
+        # what a part's rows find in the parts before it (or after it, looking ahead): one row a part
+        key = F.when(F.col("_right").isNotNull(), F.struct("_t", *[F.col(f"_right.{v}") for v in values]))
+        ends = x.groupBy(*on, "_part").agg((F.min_by if forward else F.max_by)("_right", key).alias("_end"))
+        w = Window.partitionBy(*on).orderBy("_part")
+        other = F.first("_end", True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("_end", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.withColumn("_other", other).drop("_end")
+        x = x.withColumn("_found", found(["_part"])).where("_left IS NOT NULL").join(ends, [*on, "_part"], "left").withColumn("_found", F.coalesce("_found", "_other"))
     return x.select(*on, "_left.*", F.col(f"_found.{right_time}").alias(f"{right_time}_found"), *[F.col(f"_found.{v}").alias(f"{v}_found") for v in values])
 
 
-def asof_backward(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], or_first: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """left with the time and values of the last right row at or before each row's time (of equal times the greatest by
-    value), in columns ending in _found; null before the first."""
-    return _asof(left, right, on, left_time, right_time, values, False)
-
-
-def asof_forward(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+    value), in columns ending in _found. Before the first right row these are null, or the first row's if or_first."""
+    x = _asof(left, right, on, left_time, right_time, values, False, hot_rows)
+    if not or_first:
+        return x
+    names = [right_time, *values]
+    known = right.where(F.col(right_time).isNotNull())
+    first = known.groupBy(*on).agg(F.min_by(F.struct(*names), F.struct(*names)).alias("_first"))
+    x = x.join(first, on, "left") if on else x.crossJoin(F.broadcast(first))  # one row
+    none = F.col(f"{right_time}_found").isNull() & F.col(left_time).isNotNull()
+    return x.withColumns({f"{v}_found": F.when(none, F.col(f"_first.{v}")).otherwise(F.col(f"{v}_found")) for v in names}).drop("_first")
+
+
+def asof_forward(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """left with the first right row at or after each row's time (of equal times the least by value)."""
-    return _asof(left, right, on, left_time, right_time, values, True)
+    return _asof(left, right, on, left_time, right_time, values, True, hot_rows)
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, value: str, tolerance: float | None = None) -> DataFrame:
@@ -50,6 +84,20 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_time: str, ri
     return both.withColumn("gap", F.when(ok, gap)).withColumn("nearest", F.when(ok, found)).drop("_bt", "_bv", "_ft", "_fv")
 
 
+def span_join(rows: DataFrame, spans: DataFrame, at: str, low: str, high: str, on: list[str] = ()) -> DataFrame:
+    """rows with the spans that hold their place, low and high included (whole numbers).
+
+    The line is cut into buckets of a span's mean length; a span goes to each bucket it touches and a row to its own,
+    so the join is one of equal buckets. Buckets over all spans are at most their number and the line's length over
+    the mean.
+    """
+    width = spans.agg(F.floor(F.avg(F.col(high) - F.col(low) + 1)).cast("long")).first()[0] or 1
+    width = max(1, width)
+    b = lambda c: F.floor(F.col(c) / width).cast("long")
+    cut = spans.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(F.sequence(b(low), b(high))))
+    return rows.withColumn("_bucket", b(at)).join(cut, [*on, "_bucket"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
+
+
 def interval_join(events: DataFrame, trials: DataFrame, on: list[str], time: str, start: str, end: str, trial: str) -> DataFrame:
     """events with the trial that last started at or before them, if it has not ended by then, else -1."""
     found = asof_backward(events, trials, on, time, start, [trial, end])
@@ -59,19 +107,31 @@ def interval_join(events: DataFrame, trials: DataFrame, on: list[str], time: str
 
 def first_in_window(trials: DataFrame, events: DataFrame, on: list[str], start: str, end: str, time: str, code: str, longest: float) -> DataFrame:
     """Of each trial the first event within [start, end] (start + longest if the end is missing): its code and latency,
-    and how many there are. Windows that don't overlap only: an event belongs to the last trial begun."""
+    and how many there are. Windows may overlap: an event counts in each that holds it."""
     spans = trials.withColumn("_end", F.coalesce(F.col(end), F.col(start) + longest))
-    joined = asof_backward(events, spans, on, time, start, ["_end"]).where(F.col(time) <= F.col("_end_found"))
-    per = joined.groupBy(*on, F.col(f"{start}_found").alias(start)).agg(F.min_by(code, F.struct(time, code)).alias("first_code"), F.min(time).alias("_first"), F.count(F.lit(1)).alias("hits"))
-    return trials.join(per, [*on, start], "left").withColumn("latency", F.col("_first") - F.col(start)).withColumn("hits", F.coalesce("hits", F.lit(0))).drop("_first")
-
-
-def align_sequences(a: DataFrame, b: DataFrame, pos: str, code: str, key: int) -> DataFrame:
-    """(offset): the places in a where b's first codes occur, as differences of positions; one row is a match."""
-    w = Window.orderBy(pos).rowsBetween(0, key - 1)
-    grams = a.select(F.col(pos).alias("pa"), F.collect_list(code).over(w).alias("gram"))
-    head = b.orderBy(pos).limit(key).agg(F.array_sort(F.collect_list(F.struct(pos, code))).alias("h")).select(F.col("h").getField(code).alias("gram"), F.col("h")[0][pos].alias("pb"))
-    return grams.join(F.broadcast(head), "gram").select((F.col("pa") - F.col("pb")).alias("offset"))
+    windows = spans.select(*on, F.col(start).alias("_start"), "_end").distinct()
+    joined = span_join(events, windows, time, "_start", "_end", on)
+    per = joined.groupBy(*on, F.col("_start").alias(start), "_end").agg(F.min_by(code, F.struct(time, code)).alias("first_code"), F.min(time).alias("_first"), F.count(F.lit(1)).alias("hits"))
+    return spans.join(per, [*on, start, "_end"], "left").withColumn("latency", F.col("_first") - F.col(start)).withColumn("hits", F.coalesce("hits", F.lit(0))).drop("_first", "_end")
+
+
+def align_sequences(a: DataFrame, b: DataFrame, pos: str, code: str, key: int, chunk: int = 1 << 16) -> DataFrame:
+    """(offset, matches): the places in a where b's first key codes occur, as differences of positions, and how many
+    places there are: an alignment is certain if that is one; no row means that b lies nowhere in a.
+
+    pos numbers rows without gaps. Rows are dealt to chunks of positions; the first rows of a chunk also go to the one
+    before it, so that sequences cross its end.
+    """
+    home = F.floor(F.col(pos) / chunk)
+    homes = F.when(F.col(pos) % chunk < key - 1, F.array(home, home - 1)).otherwise(F.array(home))
+    dealt = a.select(pos, code, F.explode(homes).alias("_chunk"))
+    w = Window.partitionBy("_chunk").orderBy(pos).rowsBetween(0, key - 1)
+    grams = dealt.select(F.col(pos).alias("pa"), "_chunk", F.collect_list(code).over(w).alias("gram")).where(F.floor(F.col("pa") / chunk) == F.col("_chunk"))
+    low = b.agg(F.min(pos).alias("_low"))
+    head = b.join(F.broadcast(low), F.col(pos) < F.col("_low") + key)  # one row
+    head = head.agg(F.array_sort(F.collect_list(F.struct(pos, code))).alias("h")).select(F.col("h").getField(code).alias("gram"), F.col("h")[0][pos].alias("pb"))
+    found = grams.join(F.broadcast(head), "gram").where(F.size("gram") == key).select((F.col("pa") - F.col("pb")).alias("offset"))  # one row
+    return found.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("matches"))))
 
 
 def segment(events: DataFrame, on: list[str], order: list[str], time: str, code: str, start: Column, trigger: Column, stop: Column) -> DataFrame:
@@ -118,6 +178,13 @@ def clock_offset(a: DataFrame, b: DataFrame, on: list[str], time: str, marker: C
     return x.join(y, on).select(*on, (F.col("_a") - F.col("_b")).alias("clock_offset"))
 
 
+def common_points(df: DataFrame, group: str, point: str) -> DataFrame:
+    """Rows at the points that every group has."""
+    groups = df.agg(F.count_distinct(group).alias("_all"))
+    have = df.groupBy(point).agg(F.count_distinct(group).alias("_n")).join(groups, F.col("_n") == F.col("_all"))
+    return df.join(have, point, "left_semi")
+
+
 def keep_groups_with_any(df: DataFrame, group: str, member: Column) -> DataFrame:
     """All rows of the groups that have at least one row for which member holds."""
     return df.join(df.where(member).select(group).distinct(), group, "left_semi")

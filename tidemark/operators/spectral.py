@@ -1,7 +1,7 @@
-"""Spectra, coherence and filters as joins and sums (section J).
+"""Spectra, coherence and filters (section J).
 
-A transform of short windows is a sum of products: samples meet a table of frequencies, and sines and cosines are
-summed by frequency. Tables of frequencies, tapers and filter taps are parameters' size, so they are broadcast.
+Each window, trial or chunk of a channel is one row of samples, on which numpy's transforms and convolutions work in
+Arrow batches; Spark deals the rows.
 """
 
 from __future__ import annotations
@@ -9,34 +9,38 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import span_join
+from .kernels import apply_kernel
+
 
 def _frequencies(n: int, fs: float, low: float, high: float, open_low: bool = False) -> list[tuple[int, float]]:
     """(k, k fs / n) within [low, high], or (low, high]."""
     return [(k, k * fs / n) for k in range(n // 2 + 1) if (k * fs / n > low if open_low else k * fs / n >= low) and k * fs / n <= high]
 
 
-def _transform(sig: DataFrame, by: list[str], n: int, freqs: list[tuple[int, float]], value: str, sample: str) -> DataFrame:
-    """(by, k, freq, re, im) of windows of n samples numbered from 0, by direct sums."""
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("freq")) for k, f in freqs])
-    x = sig.select(*by, sample, value, F.explode(table).alias("f"))
-    # the angle is taken modulo a whole turn while it is still an integer
-    angle = F.lit(2 * math.pi) * ((F.col("f.k") * F.col(sample)) % n) / n
-    return x.groupBy(*by, F.col("f.k").alias("k"), F.col("f.freq").alias("freq")).agg(F.sum(F.col(value) * F.cos(angle)).alias("re"), F.sum(-F.col(value) * F.sin(angle)).alias("im"))
+def _hann(n: int) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
 def power_hann(sig: DataFrame, by: list[str], n: int, fs: float, low: float, high: float, value: str = "value", sample: str = "sample") -> DataFrame:
     """One-sided power density of each window of n samples, mean removed and Hann-weighted; windows with missing values
     are left out."""
-    w = Window.partitionBy(*by)
-    hann = 0.5 - 0.5 * F.cos(F.lit(2 * math.pi) * F.col(sample) / n)
-    x = sig.withColumn("_n", F.count(value).over(w)).where(F.col("_n") == n).withColumn("_v", (F.col(value) - F.avg(value).over(w)) * hann)
-    norm = fs * sum((0.5 - 0.5 * math.cos(2 * math.pi * k / n)) ** 2 for k in range(n))
-    got = _transform(x, by, n, _frequencies(n, fs, low, high), "_v", sample)
-    sides = F.when((F.col("k") == 0) | (F.col("k") * 2 == n), 1.0).otherwise(2.0)
-    return got.select(*by, "freq", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * sides / norm).alias("power"))
+    freqs = _frequencies(n, fs, low, high)
+    at, names = np.array([k for k, _ in freqs], int), np.array([f for _, f in freqs])
+    weight, norm = _hann(n), fs * (_hann(n) ** 2).sum()
+    sides = np.where((at == 0) | (at * 2 == n), 1.0, 2.0)
+
+    def spectrum(x: dict) -> dict | None:
+        v = x[value].astype(float)
+        if len(v) != n or np.isnan(v).any():
+            return None
+        z = np.fft.rfft((v - v.mean()) * weight)[at]
+        return {"freq": names, "power": (z.real**2 + z.imag**2) * sides / norm}
+
+    return apply_kernel(sig, by, [sample], [value], spectrum, "freq double, power double")
 
 
 def slepian_tapers(n: int, half_bandwidth: float, count: int) -> np.ndarray:
@@ -52,12 +56,17 @@ def power_multitaper(sig: DataFrame, by: list[str], n: int, fs: float, low: floa
     """Mean power over max(2NW - 1, 1) tapers within (low, high], NW being bandwidth times half the window's length."""
     nw = bandwidth * n / fs / 2
     tapers = slepian_tapers(n, nw, max(int(2 * nw - 1), 1))
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in tapers.T])
-    w = Window.partitionBy(*by)
-    x = sig.withColumn("_n", F.count(value).over(w)).where(F.col("_n") == n).withColumn("_m", F.col(value) - F.avg(value).over(w))
-    x = x.select(*by, sample, "_m", F.posexplode(F.get(table, F.col(sample).cast("int"))).alias("taper", "_w")).withColumn("_v", F.col("_m") * F.col("_w"))
-    got = _transform(x, [*by, "taper"], n, _frequencies(n, fs, low, high, True), "_v", sample)
-    return got.groupBy(*by, "freq").agg((F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / fs).alias("power"))
+    freqs = _frequencies(n, fs, low, high, True)
+    at, names = np.array([k for k, _ in freqs], int), np.array([f for _, f in freqs])
+
+    def spectrum(x: dict) -> dict | None:
+        v = x[value].astype(float)
+        if len(v) != n or np.isnan(v).any():
+            return None
+        z = np.fft.rfft((v - v.mean()) * tapers, axis=1)[:, at]
+        return {"freq": names, "power": (z.real**2 + z.imag**2).mean(0) / fs}
+
+    return apply_kernel(sig, by, [sample], [value], spectrum, "freq double, power double")
 
 
 def hybrid_spectrum(sig: DataFrame, by: list[str], n: int, fs: float, split: float, low: float, high: float, bandwidth: float) -> DataFrame:
@@ -66,26 +75,32 @@ def hybrid_spectrum(sig: DataFrame, by: list[str], n: int, fs: float, split: flo
 
 
 def coherence(sig: DataFrame, by: list[str], source: str, length: int, fs: float, low: float, high: float, value: str = "value", sample: str = "sample") -> DataFrame:
-    """Squared coherence of every pair of sources over half-overlapping Hann windows of a length.
-
-    A sample lies in at most two windows; cross spectra are sums over the windows of products at equal frequencies.
-    """
-    half = length // 2
-    last = F.max(sample).over(Window.partitionBy(*by, source))
-    x = sig.withColumn("_l", F.floor((last + 1 - length) / half))
-    block = F.floor(F.col(sample) / half)
-    x = x.withColumn("window", F.explode(F.filter(F.array(block - 1, block), lambda b: (b >= 0) & (b <= F.col("_l"))))).withColumn("_s", (F.col(sample) - F.col("window") * half).cast("int"))
-    w = Window.partitionBy(*by, source, "window")
-    x = x.withColumn("_v", (F.col(value) - F.avg(value).over(w)) * (0.5 - 0.5 * F.cos(F.lit(2 * math.pi) * F.col("_s") / length)))
-    spectra = _transform(x, [*by, source, "window"], length, _frequencies(length, fs, low, high), "_v", "_s")
-    a = spectra.select(*by, "window", "freq", F.col(source).alias("a"), F.col("re").alias("ar"), F.col("im").alias("ai"))
-    b = spectra.select(*by, "window", "freq", F.col(source).alias("b"), F.col("re").alias("br"), F.col("im").alias("bi"))
-    both = a.join(b, [*by, "window", "freq"]).where("a < b")
-    sums = both.groupBy(*by, "a", "b", "freq").agg(
-        F.avg(F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")).alias("cr"), F.avg(F.col("ai") * F.col("br") - F.col("ar") * F.col("bi")).alias("ci"),
-        F.avg(F.col("ar") * F.col("ar") + F.col("ai") * F.col("ai")).alias("pa"), F.avg(F.col("br") * F.col("br") + F.col("bi") * F.col("bi")).alias("pb"),
-    )
-    return sums.select(*by, "a", "b", "freq", F.try_divide(F.col("cr") * F.col("cr") + F.col("ci") * F.col("ci"), F.col("pa") * F.col("pb")).alias("coherence"))
+    """(by, a, b, freq, coherence): squared coherence of every pair of sources over half-overlapping Hann windows of a
+    length; missing values count as zero, windows start at sample 0. A group holds one trial of all its sources."""
+    half, weight = length // 2, _hann(length)
+    freqs = _frequencies(length, fs, low, high)
+    at, names = np.array([k for k, _ in freqs], int), np.array([f for _, f in freqs])
+
+    def cross(x: dict) -> dict | None:
+        sources = np.unique(x[source])
+        last = int(x[sample].max())
+        grid = np.zeros((len(sources), last + 1))
+        grid[np.searchsorted(sources, x[source]), x[sample].astype(int)] = np.nan_to_num(x[value].astype(float))
+        starts = np.arange(0, last + 2 - length, half)
+        if not len(starts) or len(sources) < 2:
+            return None
+        own = grid[:, starts[:, None] + np.arange(length)]
+        z = np.fft.rfft((own - own.mean(2, keepdims=True)) * weight, axis=2)[:, :, at]
+        power = (z.real**2 + z.imag**2).mean(1)
+        i, j = np.triu_indices(len(sources), 1)
+        with np.errstate(all="ignore"):
+            c = np.abs((z[i] * z[j].conj()).mean(1)) ** 2 / (power[i] * power[j])
+        n = len(names)
+        return {"a": np.repeat(sources[i], n), "b": np.repeat(sources[j], n), "freq": np.tile(names, len(i)), "coherence": c.ravel()}
+
+    kind = sig.schema[source].dataType.simpleString().replace("bigint", "long")
+    got = apply_kernel(sig, by, [source, sample], [value], cross, f"a {kind}, b {kind}, freq double, coherence double")
+    return got.withColumn("coherence", F.when(~F.isnan("coherence"), F.col("coherence")))
 
 
 def aperiodic_residual(spectrum: DataFrame, by: list[str], freq: str = "freq", power: str = "power", keep: float = 0.975) -> DataFrame:
@@ -115,15 +130,50 @@ def smoothing_taps(fs: float, cut: float, taps: int) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def fir(sig: DataFrame, by: list[str], taps: list[float], centred: bool = True, every: int = 1, value: str = "value", sample: str = "sample") -> DataFrame:
-    """Filtered samples: each sample meets the taps once and lands on those it contributes to; samples off the ends
-    count as zero. Only every so many are computed."""
-    shift = len(taps) // 2 if centred else 0
-    table = F.array(*[F.struct(F.lit(k - shift).alias("k"), F.lit(float(h)).alias("h")) for k, h in enumerate(taps)])
+def notch_taps(fs: float, low: float, high: float, taps: int) -> list[float]:
+    """A filter that stops the band from low to high: the sample itself less the band-pass."""
+    out = [-h for h in bandpass_taps(fs, low, high, taps)]
+    out[taps // 2] += 1.0
+    return out
+
+
+def fir(sig: DataFrame, by: list[str], taps: list[float], centred: bool = True, every: int = 1, value: str = "value", sample: str = "sample", chunk: int = 1 << 16) -> DataFrame:
+    """(by, sample, filtered) at every sample from a group's first to its last that a known sample is in reach of;
+    missing samples and those off the ends count as zero. Only every so many are computed.
+
+    A group is cut into chunks of samples, which also get the samples in reach beyond their ends, so that recordings of
+    any length spread over tasks.
+    """
+    size = len(taps)
+    shift, h = size // 2 if centred else 0, np.array(taps, float)
     ends = sig.groupBy(*by).agg(F.min(sample).alias("_a"), F.max(sample).alias("_b"))
-    x = sig.select(*by, F.col(sample).alias("_s"), F.col(value).alias("_v"), F.explode(table).alias("t")).withColumn(sample, F.col("_s") + F.col("t.k"))
-    x = x.where(F.col(sample) % every == 0).groupBy(*by, sample).agg(F.sum(F.col("_v") * F.col("t.h")).alias("filtered"))
-    return x.join(ends, by).where(F.col(sample).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    s = F.col(sample)
+    homes = F.sequence(F.floor((s - shift) / chunk), F.floor((s + size - 1 - shift) / chunk))
+    rows = sig.join(ends, by).select(*by, F.explode(homes).alias("_chunk"), F.col(sample).cast("long").alias("_s"), F.col(value).cast("double").alias("_v"), F.col("_a").cast("long").alias("_a"), F.col("_b").cast("long").alias("_b"))
+    rows = rows.withColumn("_own", F.col("_chunk"))
+
+    def convolve(x: dict) -> dict | None:
+        at, own = x["_s"], int(x["_own"][0])
+        low, high = max(own * chunk, int(x["_a"][0])), min(own * chunk + chunk - 1, int(x["_b"][0]))
+        if low > high:
+            return None
+        base = int(min(at[0], low - size))
+        dense = np.zeros(int(max(at[-1], high)) - base + size + 1)
+        seen = np.zeros(len(dense))
+        known = ~np.isnan(x["_v"])
+        dense[at[known] - base] = x["_v"][known]
+        seen[at[known] - base] = 1
+        out = np.arange(low, high + 1)
+        out = out[out % every == 0]
+        if not len(out):
+            return None
+        first = out - base + shift
+        got = np.convolve(dense, h)[first]
+        near = np.convolve(seen, np.ones(size))[first] > 0.5
+        return {sample: out[near], "filtered": got[near]}
+
+    kind = "long" if sig.schema[sample].dataType.simpleString() == "bigint" else "int"
+    return apply_kernel(rows, [*by, "_chunk"], ["_s"], ["_v", "_a", "_b", "_own"], convolve, f"{sample} {kind}, filtered double").drop("_chunk")
 
 
 def envelope(sig: DataFrame, by: list[str], band: list[float], smooth: list[float], every: int) -> DataFrame:
@@ -144,5 +194,5 @@ def split_recordings(spikes: DataFrame, files: DataFrame) -> DataFrame:
     """Spikes of a joined recording with the file they fall in and their sample in it; files are (file_no, n)."""
     w = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     spans = files.withColumn("_from", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    x = spikes.join(F.broadcast(spans), (F.col("sample") >= F.col("_from")) & (F.col("sample") < F.col("_from") + F.col("n")))
-    return x.withColumn("file_sample", F.col("sample") - F.col("_from")).drop("_from", "n")
+    x = span_join(spikes, spans.where("n > 0").withColumn("_to", F.col("_from") + F.col("n") - 1), "sample", "_from", "_to")
+    return x.withColumn("file_sample", F.col("sample") - F.col("_from")).drop("_from", "_to", "n")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import block_id
+from .kernels import apply_kernel
 
 
 def normalized_position(df: DataFrame, bins: int = 10, session: str = "session", pos: str = "pos") -> DataFrame:
@@ -69,24 +71,56 @@ def gradient(df: DataFrame, by: list[str], order: list[str], value: str, out: st
     return df.withColumn(out, F.when(down.isNull(), up - F.col(value)).when(up.isNull(), F.col(value) - down).otherwise((up - down) / 2))
 
 
-def peaks(df: DataFrame, by: list[str], order: list[str], value: str, prominence: float) -> DataFrame:
-    """Strict local maxima whose height over the higher of the lowest points between them and the next higher value
-    (or the end) on either side is at least the prominence."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    x = df.withColumn("_i", F.row_number().over(w))
-    marked = x.withColumn("_top", (F.col(value) > F.lag(value).over(w)) & (F.col(value) > F.lead(value).over(w)))
-    whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    listed = marked.withColumn("_all", F.collect_list(value).over(whole)).where("_top")
-
-    def lowest(values: Column) -> Column:
-        """Walking away to one side until a higher value: the lowest value seen."""
-        start = F.struct(F.col(value).cast("double").alias("low"), F.lit(False).alias("stop"))
-        step = lambda acc, v: F.when(acc["stop"] | (v > F.col(value)), F.struct(acc["low"].alias("low"), F.lit(True).alias("stop"))).otherwise(F.struct(F.least(acc["low"], v).alias("low"), F.lit(False).alias("stop")))
-        return F.aggregate(values, start, step)["low"]
-
-    left = lowest(F.reverse(F.slice("_all", 1, F.col("_i") - 1)))
-    right = lowest(F.slice("_all", F.col("_i") + 1, F.size("_all")))
-    return listed.withColumn("prominence", F.col(value) - F.greatest(left, right)).where(F.col("prominence") >= prominence).drop("_i", "_top", "_all")
+def _prominences(v: np.ndarray) -> np.ndarray:
+    """Of each value its height over the higher of the lowest points between it and the next higher value, or the end,
+    on either side: one walk each way with a stack of values still to be exceeded."""
+
+    def lowest(x: np.ndarray) -> np.ndarray:
+        out, stack = np.empty(len(x)), []
+        for k, value in enumerate(x.tolist()):
+            low = value
+            while stack and stack[-1][0] <= value:
+                low = min(low, stack.pop()[1])
+            out[k] = low
+            stack.append((value, low))
+        return out
+
+    return v - np.maximum(lowest(v), lowest(v[::-1])[::-1])
+
+
+def peaks(df: DataFrame, by: list[str], order: str, value: str, prominence: float, distance: float = 0.0, kind: str = "max") -> DataFrame:
+    """(by, order, value, prominence, kind) of strict local maxima (or minima, or both) of at least the prominence; of
+    two of one kind nearer than the distance, in order, the higher one stays, the earlier of equals."""
+    if kind not in ("max", "min", "both"):
+        raise ValueError("kind must be max, min or both")
+
+    def find(x: dict) -> dict | None:
+        at, v = x[order], x[value].astype(float)
+        keep = ~np.isnan(v)
+        at, v = at[keep], v[keep]
+        found = []
+        for name, sign in (("max", 1.0), ("min", -1.0)):
+            if kind not in (name, "both") or len(v) < 3:
+                continue
+            w = v * sign
+            top = np.flatnonzero((w[1:-1] > w[:-2]) & (w[1:-1] > w[2:])) + 1
+            high = _prominences(w)
+            top = top[high[top] >= prominence]
+            if distance > 0:
+                gone = np.zeros(len(top), bool)
+                for k in np.argsort(-w[top], kind="stable"):
+                    if not gone[k]:
+                        near = np.abs(at[top] - at[top[k]]) < distance
+                        near[k] = False
+                        gone |= near
+                top = top[~gone]
+            found += [(at[k], v[k], high[k], name) for k in top]
+        if not found:
+            return None
+        return dict(zip((order, value, "prominence", "kind"), map(np.array, zip(*found))))
+
+    name = {"bigint": "long"}.get(df.schema[order].dataType.simpleString(), df.schema[order].dataType.simpleString())
+    return apply_kernel(df, by, [order], [value], find, f"{order} {name}, {value} double, prominence double, kind string")
 
 
 def detrend(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

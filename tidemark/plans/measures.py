@@ -71,12 +71,12 @@ def _(t):
     return t("part").withColumn("q", quad).select("p_partkey", r6(G.polygon_area(F.col("q"))).alias("area"), G.is_collapsed(F.col("q")).alias("collapsed"))
 
 
-@query("H6_circle_in_square", "SELECT p_partkey, round(pi() * pow(least(p_size, 40) / 10.0, 2) / 4, 5) AS quarter FROM part WHERE p_size <= 40")
+@query("H6_circle_in_square", "SELECT p_partkey, round(pi() * pow(least(p_size, 45) / 10.0, 2) / 4, 5) AS quarter FROM part")
 def _(t):
-    r = F.col("p_size") / 10
+    r = F.least(F.col("p_size"), F.lit(45)) / 10
     pt = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
     quad = F.array(pt(0.0, 0.0), pt(9.0, 0.0), pt(9.0, 9.0), pt(0.0, 9.0))
-    return t("part").where("p_size <= 40").select("p_partkey", F.round(G.circle_polygon_area(F.lit(0.0), F.lit(0.0), r, quad), 5).alias("quarter"))
+    return t("part").select("p_partkey", F.round(G.circle_polygon_area(F.lit(0.0), F.lit(0.0), r, quad), 5).alias("quarter"))
 
 
 @query("H7_code_words", "SELECT l_orderkey, l_linenumber, count(*) AS n, max((l_suppkey % 256) * 256 + l_partkey % 256)::BIGINT AS word, max((l_partkey + 32768) % 32768)::BIGINT AS stripped FROM lineitem GROUP BY ALL")
@@ -113,32 +113,42 @@ def _(t):
     return t("events").select("event_id", r6(X.decibel(v)).alias("db"), X.clip(v, 10.0, 60.0).alias("clipped"), r6(X.normal_density(v, F.lit(50.0), F.lit(20.0))).alias("density"), r6(X.rescale(v, F.lit(0.0), F.lit(100.0))).alias("rescaled"))
 
 
-def _perm_sql(n: int, where: str, family: str) -> str:
+def _perm_sql(n: int, units: str, family: str) -> str:
+    """units: a query of (family, trial, sample, own, v)."""
     f = f"{family}, " if family else ""
-    on = f"USING ({f}trial)"
-    return f"""WITH u AS (SELECT {f}trial, sample, any_value(state) = 0 AS own, avg(value) AS v FROM sig_nan WHERE {where} GROUP BY {f}trial, sample HAVING avg(value) IS NOT NULL),
-l AS (SELECT DISTINCT {f}trial, own FROM (SELECT {f}trial, bool_or(own) AS own FROM u GROUP BY {f}trial)),
+    return f"""WITH u AS ({units}),
+l AS (SELECT {f}trial, bool_or(own) AS own FROM u GROUP BY {f}trial),
 n AS (SELECT *, count_if(own) OVER ({f"PARTITION BY {family}" if family else ""}) AS n1 FROM l),
 p AS (SELECT {f}trial, perm, CASE WHEN perm = 0 THEN own ELSE row_number() OVER (PARTITION BY {f}perm ORDER BY md5(perm || '#' || trial), trial) <= n1 END AS one FROM n, range({n + 1}) r(perm)),
-d AS (SELECT {f}perm, sample, avg(CASE WHEN one THEN v END) - avg(CASE WHEN NOT one THEN v END) AS diff FROM u JOIN p {on} GROUP BY {f}perm, sample),
+d AS (SELECT {f}perm, sample, avg(CASE WHEN one THEN v END) - avg(CASE WHEN NOT one THEN v END) AS diff FROM u JOIN p USING ({f}trial) GROUP BY {f}perm, sample),
 e AS (SELECT {f}perm, max(diff) AS hi, min(diff) AS lo FROM d WHERE perm > 0 GROUP BY {f}perm),
 m AS (SELECT {f}quantile_cont(hi, 0.975) AS upper, quantile_cont(lo, 0.025) AS lower FROM e {f"GROUP BY {family}" if family else ""})
 SELECT {f}sample, round(diff, 6) AS diff, round(upper, 6) AS upper, round(lower, 6) AS lower, diff > upper OR diff < lower AS significant FROM d {f"JOIN m USING ({family})" if family else ", m"} WHERE perm = 0"""
 
 
-def _units(t, family: list[str], where: str):
-    return t.sig_nan.where(where).groupBy(*family, "trial", "sample").agg(F.max("state").alias("state"), F.avg("value").alias("v"))
-
-
-@query("I1_permutation_test", _perm_sql(200, "state < 2", ""))
+@query("I1_permutation_test", _perm_sql(1000, "SELECT trial, sample, any_value(state) = 0 AS own, avg(value) AS v FROM sig_nan GROUP BY trial, sample HAVING avg(value) IS NOT NULL", ""))
 def _(t):
-    x = S.permutation_test(_units(t, [], "state < 2"), "state", "trial", "sample", "v", 0, 200)
+    """State 0 against all others, all channels together."""
+    units = t.sig_nan.groupBy("trial", "sample").agg(F.max("state").alias("state"), F.avg("value").alias("v"))
+    x = S.permutation_test(units, F.col("state") == 0, "trial", "sample", "v", 1000)
     return x.withColumns({n: r6(n) for n in ("diff", "upper", "lower")})
 
 
-@query("I2_permutation_family", _perm_sql(100, "state < 2", "array_id"))
+_FAMILY = """SELECT level, area, s1, s2, trial, sample, state = s1 AS own, v FROM (
+  SELECT level, area, trial, sample, any_value(state) AS state, avg(value) AS v FROM (
+    SELECT *, unnest(['channel', 'array', 'merged']) AS level, unnest([channel::VARCHAR, array_id::VARCHAR, CASE WHEN array_id <= 2 THEN 'fovea' ELSE 'periphery' END]) AS area FROM sig_nan)
+  GROUP BY level, area, trial, sample HAVING avg(value) IS NOT NULL)
+JOIN (SELECT a.state AS s1, b.state AS s2 FROM (SELECT DISTINCT state FROM sig) a JOIN (SELECT DISTINCT state FROM sig) b ON a.state < b.state) ON state IN (s1, s2)"""
+
+
+@query("I2_permutation_family", _perm_sql(1000, _FAMILY, "level, area, s1, s2"))
 def _(t):
-    x = S.permutation_test(_units(t, ["array_id"], "state < 2"), "state", "trial", "sample", "v", 0, 100, family=["array_id"])
+    """Every pair of states, in every channel, array and merged area."""
+    levels = {"channel": F.col("channel").cast("string"), "array": F.col("array_id").cast("string"), "merged": F.when(F.col("array_id") <= 2, "fovea").otherwise("periphery")}
+    rows = t.sig_nan.withColumn("_a", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), c.alias("area")) for n, c in levels.items()])))
+    units = rows.groupBy("_a.level", "_a.area", "trial", "sample").agg(F.max("state").alias("state"), F.avg("value").alias("v"))
+    pairs = J.pairs(t.sig, "state").select(F.col("first").alias("s1"), F.col("second").alias("s2"), F.explode(F.array("first", "second")).alias("state"))
+    x = S.permutation_test(units.join(pairs, "state"), F.col("state") == F.col("s1"), "trial", "sample", "v", 1000, family=["level", "area", "s1", "s2"])
     return x.withColumns({n: r6(n) for n in ("diff", "upper", "lower")})
 
 
@@ -156,44 +166,47 @@ def _(t):
     return x.withColumns({n: r6(n) for n in ("z", "p")})
 
 
-def _z_sql(source: str, group: str, key: str, hit: str, n: int, family: str = "") -> str:
-    f = f"{family}, " if family else ""
-    part = f"PARTITION BY {family}" if family else ""
+def _z_sql(source: str, group: str, hit: str, n: int) -> str:
     z = lambda k: f"(({k}) * (n - n1 - (k - ({k}))) - (n1 - ({k})) * (k - ({k}))) / 2 / nullif(sqrt(n1 * (n - n1) * (n + 1) / 12), 0)"
-    join = f"JOIN s USING ({family})" if family else "CROSS JOIN s"
-    return f"""WITH x AS (SELECT {f}{group} AS g, {key} AS key, ({hit})::INT AS hit FROM {source}),
-s AS (SELECT *, sum(n1) OVER ({part}) AS n, sum(k1) OVER ({part}) AS k, sum(n1) OVER ({part} ORDER BY g ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT {f}g, count(*) AS n1, sum(hit) AS k1 FROM x GROUP BY ALL)),
-r AS (SELECT {f}perm, hit, row_number() OVER (PARTITION BY {f}perm ORDER BY md5(perm || '#' || key), key) AS r FROM x, range(1, {n + 1}) q(perm)),
-h AS (SELECT {f}g, perm, sum(hit) AS kp, any_value(n1) AS n1, any_value(n) AS n, any_value(k) AS k, any_value(k1) AS k1 FROM r {join} WHERE r <= upto AND r > upto - n1 GROUP BY {f}g, perm),
-p AS (SELECT {f}g, avg((abs({z("kp")}) >= abs({z("k1")}) )::INT) AS p FROM h GROUP BY {f}g)
-SELECT {f}g AS {group}, n1::BIGINT AS n1, k1::BIGINT AS k1, round({z("k1")}, 6) AS z, round(p, 6) AS p FROM s LEFT JOIN p USING ({f}g)"""
+    return f"""WITH s AS (SELECT *, sum(n1) OVER () AS n, sum(k1) OVER () AS k FROM (SELECT {group} AS g, count(*) AS n1, sum(({hit})::INT) AS k1 FROM {source} GROUP BY ALL)),
+b AS (SELECT g, n1::DOUBLE AS n1, k::DOUBLE AS k, n::DOUBLE AS n, abs({z("k1")}) AS z, n1 * k / n AS mean, 12 * sqrt(n1 * k / n * (n - k) / n * (n - n1) / greatest(n - 1, 1)) + 1 AS wide FROM s WHERE {z("k1")} IS NOT NULL),
+c AS (SELECT *, greatest(n1 + k - n, 0, floor(mean - wide))::BIGINT AS low, least(n1, k, ceil(mean + wide))::BIGINT AS high FROM b),
+j AS (SELECT *, unnest(range(low, high + 1)) AS j FROM c),
+l AS (SELECT *, sum(CASE WHEN j = low THEN 0.0::DOUBLE ELSE ln((k - j + 1) * (n1 - j + 1) / (j * (n - k - n1 + j))) END) OVER (PARTITION BY g ORDER BY j ROWS UNBOUNDED PRECEDING) AS l FROM j),
+w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY g)) AS w, {z("j")} AS zj FROM l),
+t AS (SELECT g, sum(CASE WHEN zj <= -z THEN w ELSE 0 END) / sum(w) AS lo, sum(CASE WHEN zj >= z THEN w ELSE 0 END) / sum(w) AS hi FROM w GROUP BY g),
+p AS (SELECT g, avg((u < lo OR u >= 1 - hi)::INT) AS p FROM (SELECT *, ('0x' || substr(md5(perm || '#' || g), 1, 13))::BIGINT / 4503599627370496 AS u FROM t, range(1, {n + 1}) q(perm)) GROUP BY g)
+SELECT g AS {group}, n1::BIGINT AS n1, k1::BIGINT AS k1, round({z("k1")}, 6) AS z, round(p, 6) AS p FROM s LEFT JOIN p USING (g)"""
+
+
+PERMS = 10_000
 
 
-@query("I4_rank_z_vs_rest", _z_sql("tr", "state", "trial", "outcome = 'F'", 50))
+@query("I4_rank_z_vs_rest", _z_sql("tr", "state", "outcome = 'F'", PERMS))
 def _(t):
-    x = S.rank_z_vs_rest(t.tr, "state", "trial", F.col("outcome") == "F", 50)
+    x = S.rank_z_vs_rest(t.tr, "state", F.col("outcome") == "F", PERMS)
     return x.withColumns({n: r6(n) for n in ("z", "p")})
 
 
-_POS = """(SELECT session * 100000 + pos AS key, least(floor((row_number() OVER (PARTITION BY session, block ORDER BY pos) - 1) / n * 10), 9)::INT AS bin, state FROM (
+_POS = """(SELECT least(floor((row_number() OVER (PARTITION BY session, block ORDER BY pos) - 1) / n * 10), 9)::INT AS bin, state FROM (
   SELECT *, count(*) OVER (PARTITION BY session, block) AS n FROM (SELECT *, coalesce(sum(is_exit::INT) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM seq)) WHERE n >= 2)"""
 
 
-@query("I5_position_effect", _z_sql(_POS, "bin", "key", "state = 'view'", 50))
+@query("I5_position_effect", _z_sql(_POS, "bin", "state = 'view'", PERMS))
 def _(t):
-    x = W.normalized_position(t.seq).withColumn("key", F.col("session") * 100000 + F.col("pos"))
-    return S.rank_z_vs_rest(x, "bin", "key", F.col("state") == "view", 50).withColumns({n: r6(n) for n in ("z", "p")})
+    x = W.normalized_position(t.seq)
+    return S.rank_z_vs_rest(x, "bin", F.col("state") == "view", PERMS).withColumns({n: r6(n) for n in ("z", "p")})
 
 
-_OFF = """(SELECT (a.session * 100000 + a.pos) * 16 + s.pos - a.pos + 5 AS key, (s.pos - a.pos)::INT AS "offset", s.state FROM seq a JOIN seq s ON a.session = s.session AND s.pos BETWEEN a.pos - 5 AND a.pos + 5 WHERE a.is_exit)"""
+_OFF = """(SELECT (s.pos - a.pos)::INT AS "offset", s.state FROM seq a JOIN seq s ON a.session = s.session AND s.pos BETWEEN a.pos - 5 AND a.pos + 5 WHERE a.is_exit)"""
 
 
-@query("I6_transition_effect", f"""SELECT z.*, round(z.k1 / z.n1 / b.share, 6) AS ratio FROM ({_z_sql(_OFF, '"offset"', 'key', "state = 'error'", 50)}) z, (SELECT avg((state = 'error')::INT) AS share FROM seq) b WHERE z.n1 >= 5""")
+@query("I6_transition_effect", f"""SELECT z.*, round(z.k1 / z.n1 / b.share, 6) AS ratio FROM ({_z_sql(_OFF, '"offset"', "state = 'error'", PERMS)}) z, (SELECT avg((state = 'error')::INT) AS share FROM seq) b WHERE z.n1 >= 5""")
 def _(t):
     x = J.event_window(t.seq, t.seq.where("is_exit"), ["session"], "pos", 5, 5)
-    x = x.withColumn("key", (F.col("session") * 100000 + F.col("anchor")) * 16 + F.col("offset") + 5)
-    z = S.rank_z_vs_rest(x, "offset", "key", F.col("state") == "error", 50).where("n1 >= 5")
+    z = S.rank_z_vs_rest(x, "offset", F.col("state") == "error", PERMS).where("n1 >= 5")
     base = A.shares(t.seq, "state").where("state = 'error'").select("share")
+    # one row
     return z.crossJoin(F.broadcast(base)).withColumn("ratio", F.col("k1") / F.col("n1") / F.col("share")).drop("share").withColumns({n: r6(n) for n in ("z", "p", "ratio")})
 
 

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -14,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import kinematics as K
 from ..operators import spatial as S
+from ..staging import new_dir
 from ..streaming import jobs as T
 from .registry import query, r6
 
@@ -108,12 +106,12 @@ def _(t):
     return x.select("channel", "cx", "cy", "sigma", (F.round("amplitude", 5) + F.lit(0.0)).alias("amplitude"), F.round("sse", 5).alias("sse"))
 
 
-_BOOT = f"(SELECT *, CASE WHEN u < 0.3679 THEN 0 WHEN u < 0.7358 THEN 1 WHEN u < 0.9197 THEN 2 WHEN u < 0.981 THEN 3 ELSE 4 END::DOUBLE AS w FROM (SELECT *, ('0x' || substr(md5(boot || '#' || key), 1, 4))::INT / 65536 AS u FROM {_SURF}, range(1, 21) b(boot)))"
+_BOOT = f"(SELECT *, CASE WHEN u < 0.3679 THEN 0 WHEN u < 0.7358 THEN 1 WHEN u < 0.9197 THEN 2 WHEN u < 0.981 THEN 3 ELSE 4 END::DOUBLE AS w FROM (SELECT *, ('0x' || substr(md5(boot || '#' || key), 1, 4))::INT / 65536 AS u FROM {_SURF}, range(1, 501) b(boot)))"
 
 
 @query("N3_bootstrap_params", f"SELECT channel, round(avg(cx), 6) AS mean_cx, round(quantile_cont(sigma, 0.5), 6) AS median_sigma, count(*) AS n FROM ({_fit_sql(_BOOT, 'channel, boot')}) GROUP BY channel")
 def _(t):
-    x = S.bootstrap_search(_surface(t), ["channel"], "key", 20, _CENTRES, _SIGMAS)
+    x = S.bootstrap_search(_surface(t), ["channel"], "key", 500, _CENTRES, _SIGMAS)
     return x.groupBy("channel").agg(F.round(F.avg("cx"), 6).alias("mean_cx"), F.round(F.median("sigma"), 6).alias("median_sigma"), F.count(F.lit(1)).alias("n"))
 
 
@@ -195,16 +193,6 @@ def _(t):
     return x.select("session", "seq", r6("median").alias("median"), "n")
 
 
-def _work(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(t):
     schema = t("events").schema
     at = f"{t.sf_dir}/events.parquet"
@@ -213,25 +201,28 @@ def _stream(t):
 
 @query("T1_stream_ingest", "SELECT event_id, user_id, event_type FROM events")
 def _(t):
-    out = _work(t.spark)
+    out = new_dir(t.spark, "stream")
     T.drain(T.ingest(_stream(t), "event_id", "ts", "60 days").select("event_id", "user_id", "event_type"), f"{out}/t", f"{out}/c")
     return t.spark.read.parquet(f"{out}/t")
 
 
-@query("T2_stream_segment", """WITH m AS (SELECT *, sum((code = 3000)::INT) OVER (PARTITION BY session ORDER BY us, code DESC) AS g FROM ev WHERE code IN (3000, 3091))
+@query("T2_stream_segment", """WITH m AS (SELECT *, sum((code = 3000)::INT) OVER (PARTITION BY session ORDER BY us, seq) AS g FROM ev WHERE code IN (3000, 3091))
 SELECT session, min(CASE WHEN code = 3000 THEN us END) AS "start", min(CASE WHEN code = 3091 THEN us END) AS "stop" FROM m WHERE g > 0 GROUP BY session, g HAVING count_if(code = 3091) > 0""")
 def _(t):
-    out = _work(t.spark)
+    out = new_dir(t.spark, "stream")
     code = F.when(F.col("event_type") == "signup", 3000).when(F.col("event_type") == "purchase", 3091).otherwise(0)
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     schema = t("events").schema
-    raw = T.events_stream(t.spark, f"{t.sf_dir}/events.parque[t]", schema).select(F.col("user_id").alias("session"), us.alias("us"), code.alias("code"))
-    T.drain(T.segment(raw, "session", "us", "code", 3000, 3091, 86_400_000), f"{out}/t", f"{out}/c")
-    return t.spark.read.parquet(f"{out}/t")
+    raw = T.events_stream(t.spark, f"{t.sf_dir}/events.parque[t]", schema)
+    raw = raw.select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), us.alias("us"), F.col("event_id").alias("seq"), code.alias("code"))
+    # files come in any order, so rows may be as late as the whole recording is long
+    T.drain(T.segment(raw, "session", "ts", "us", "seq", "code", 3000, 3091, "60 days"), f"{out}/t", f"{out}/c")
+    settled = t.spark.read.schema("session long, start long, stop long").parquet(f"{out}/t")
+    return settled.unionByName(T.unsettled(t.spark, f"{out}/c", "session", 3000, 3091))
 
 
 @query("T3_stream_rate", "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y-%m-%d %H') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
-    out = _work(t.spark)
+    out = new_dir(t.spark, "stream")
     T.drain_complete(T.rates(_stream(t), "ts", "6 hours", "1 day", ["event_type"]), f"{out}/t", f"{out}/c")
     return t.spark.read.parquet(f"{out}/t").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n")

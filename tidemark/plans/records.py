@@ -9,6 +9,7 @@ from ..operators import trials as R
 from ..sources import eventlog as E
 from ..sources import signals as S
 from ..sources import tables as B
+from ..staging import numbered
 from .registry import query, r6
 
 #: Events as log lines: each event a marker line, clicks followed by a description, other kinds by further lines.
@@ -137,7 +138,7 @@ def _(t):
 
 @query("A13_slice_by_index", "SELECT 'S' || session || '_' || 20240100 + session AS session_id, (20240100 + session)::VARCHAR AS date, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY us, seq) - 1) // 500 AS session FROM ev) GROUP BY session")
 def _(t):
-    ranked = t.ev.select((F.row_number().over(Window.orderBy("us", "seq")) - 1).cast("long").alias("pos"))
+    ranked = numbered(t.ev.select("us", "seq"), ["us", "seq"])
     last = ranked.agg(F.floor(F.max("pos") / 500).alias("m"))
     entry = lambda k: F.struct(F.concat(F.lit("S"), k.cast("string"), F.lit("_"), (F.lit(20240100) + k).cast("string")).alias("session_id"), (k * 500).alias("start_idx"), (k * 500 + 499).alias("end_idx"))
     index = last.select(F.to_json(F.transform(F.sequence(F.lit(0).cast("long"), "m"), entry)).alias("text"))
@@ -152,17 +153,16 @@ def _(t):
     return x.select("page_id", F.nullif(F.get(parts, F.lit(3)), F.lit("")).alias("lang"), F.regexp_extract(F.coalesce(F.get(parts, F.lit(4)), F.lit("")), r"^(\d+)", 1).alias("number"))
 
 
-@query("A15_new_results_only", "SELECT trial, state FROM tr WHERE trial % 3 <> 0")
+@query("A15_new_results_only", "SELECT DISTINCT session, state FROM tr WHERE (session, state) NOT IN (SELECT session, state FROM tr WHERE outcome = 'F')")
 def _(t):
-    known = t.tr.where("trial % 3 = 0").select("trial", "state")
-    return B.without_known(t.tr.select("trial", "state"), known, ["trial"])
+    known = t.tr.where("outcome = 'F'").select("session", "state")
+    return B.without_known(t.tr.select("session", "state"), known, ["session", "state"])
 
 
-@query("A16_append_new", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 6 = 0 AND c_custkey % 4 <> 0")
+@query("A16_append_new", "SELECT c_custkey AS session FROM customer UNION ALL SELECT user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
 def _(t):
-    c = t("customer").select("c_custkey", "c_mktsegment")
-    old, new = c.where("c_custkey % 4 = 0"), c.where("c_custkey % 6 = 0")
-    return old.unionByName(B.without_known(new, old, ["c_custkey", "c_mktsegment"]))
+    old, new = t("customer").select(F.col("c_custkey").alias("session")), t("events").select(F.col("user_id").alias("session"))
+    return B.append_new(old, new, ["session"])
 
 
 @query("A17_session_inventory", "SELECT o_custkey, count(*) AS trials, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS tasks FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY o_custkey HAVING list_contains(list(o_orderpriority), '2-HIGH')")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import predicates as P
+from ..staging import numbered
 from .registry import query, r6
 
 
@@ -47,10 +48,10 @@ def _(t):
     return P.drop_all_missing(t.sig_nan).select("trial", "channel", "sample", "value")
 
 
-@query("B6_drop_all_nan_positions", "SELECT trial, dense_rank() OVER (ORDER BY trial)::INT - 1 AS place FROM (SELECT DISTINCT trial FROM sig_nan WHERE value IS NOT NULL AND session = 2)")
+@query("B6_drop_all_nan_positions", "SELECT session, trial, dense_rank() OVER (PARTITION BY session ORDER BY trial)::INT - 1 AS place FROM (SELECT DISTINCT session, trial FROM sig_nan WHERE value IS NOT NULL)")
 def _(t):
-    kept = P.drop_all_missing(t.sig_nan.where("session = 2")).select("trial").distinct()
-    return kept.withColumn("place", F.dense_rank().over(Window.orderBy("trial")) - 1)
+    kept = P.drop_all_missing(t.sig_nan).select("session", "trial").distinct()
+    return kept.withColumn("place", F.dense_rank().over(Window.partitionBy("session").orderBy("trial")) - 1)
 
 
 @query("B7_mask_bad", "SELECT trial, channel, sample, CASE WHEN NOT (trial IN (3, 8) OR channel = 2 OR (channel = 5 AND sample BETWEEN 10 AND 20)) THEN value END AS value FROM sig")
@@ -111,10 +112,12 @@ def _(t):
     return t.tr.where("outcome = 'F' AND rt <= 200000").select("trial", "rt")
 
 
-@query("C1_attach_state", "SELECT o.session, o.trial, s.state FROM (SELECT session, trial FROM tr WHERE trial % 2 = 0) o JOIN (SELECT session, trial, state FROM tr WHERE trial % 3 = 0) s USING (session, trial)")
+@query("C1_attach_state", "SELECT DISTINCT o.session, o.trial, s.state FROM (SELECT o_custkey AS session, l_orderkey AS trial FROM lineitem JOIN orders ON l_orderkey = o_orderkey) o JOIN (SELECT session, trial, state FROM tr) s USING (session, trial)")
 def _(t):
-    coded = t.tr.where("trial % 2 = 0").select("session", (F.col("trial") + 1000).alias("trial_code"))
-    return J.attach_state(coded, t.tr.where("trial % 3 = 0").select("session", "trial", "state")).select("session", "trial", "state")
+    # lines are the coded trials: every line's order, and the session it belongs to
+    lines = t("lineitem").select(F.col("l_orderkey").alias("trial")).distinct()
+    coded = lines.join(t.tr.select("session", "trial"), "trial").select("session", (F.col("trial") + 1000).alias("trial_code"))
+    return J.attach_state(coded, t.tr.select("session", "trial", "state")).select("session", "trial", "state")
 
 
 @query("C2_keep_trials", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -149,10 +152,11 @@ def _(t):
     return J.first_in_window(_trials(t), hits, ["session"], "start_us", "end_us", "us", "code", 5e6).select("session", "trial", "first_code", "latency", "hits")
 
 
-@query("C6_asof_backward", "SELECT e.session, e.seq, v.us AS us_found, v.value AS value_found FROM (SELECT * FROM ev WHERE code <> 3011) e ASOF LEFT JOIN (SELECT * FROM ev WHERE code = 3011) v ON e.session = v.session AND e.us >= v.us")
+@query("C6_asof_backward", """SELECT e.session, e.seq, coalesce(v.us, f.us) AS us_found, CASE WHEN v.us IS NULL THEN f.value ELSE v.value END AS value_found FROM (SELECT * FROM ev WHERE code <> 3011) e ASOF LEFT JOIN (SELECT * FROM ev WHERE code = 3011) v ON e.session = v.session AND e.us >= v.us
+LEFT JOIN (SELECT session, min(us) AS us, arg_min(value, us) AS value FROM ev WHERE code = 3011 GROUP BY session) f ON f.session = e.session""")
 def _(t):
     left = t.ev.where("code != 3011").select("session", "us", "seq")
-    return J.asof_backward(left, t.ev.where("code = 3011").select("session", "us", "value"), ["session"], "us", "us", ["value"]).select("session", "seq", "us_found", "value_found")
+    return J.asof_backward(left, t.ev.where("code = 3011").select("session", "us", "value"), ["session"], "us", "us", ["value"], or_first=True).select("session", "seq", "us_found", "value_found")
 
 
 @query("C7_asof_forward", "SELECT e.session, e.seq, v.us AS us_found, v.value AS value_found FROM (SELECT * FROM ev WHERE code <> 3011) e ASOF LEFT JOIN (SELECT * FROM ev WHERE code = 3011) v ON e.session = v.session AND e.us <= v.us")
@@ -173,9 +177,9 @@ _TOP = "(SELECT row_number() OVER (ORDER BY us, seq) - 1 AS p, code FROM ev)"
 
 
 @query("C9_align_sequences", f"""WITH a AS {_TOP}, b AS (SELECT p - 37 AS p, code FROM a WHERE p >= 37), k AS (SELECT list(code ORDER BY p) AS h FROM b WHERE p < 12),
-g AS (SELECT p, list(code) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS gram FROM a) SELECT p AS "offset" FROM g, k WHERE gram = h""")
+g AS (SELECT p, list(code) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS gram FROM a) SELECT p AS "offset", count(*) OVER () AS matches FROM g, k WHERE gram = h""")
 def _(t):
-    a = t.ev.select((F.row_number().over(Window.orderBy("us", "seq")) - 1).cast("long").alias("p"), "code")
+    a = numbered(t.ev.select("us", "seq", "code"), ["us", "seq"], "p")
     b = a.where("p >= 37").withColumn("p", F.col("p") - 37)
     return J.align_sequences(a, b, "p", "code", 12)
 
@@ -244,12 +248,12 @@ def _(t):
     return t.ev.groupBy("session").agg(F.concat_ws(",", F.array_sort(F.collect_set("event_type"))).alias("kinds")).orderBy("session")
 
 
-@query("G1_union_common", "SELECT trial, sample, value FROM sig WHERE trial < 8 AND sample < 50 AND (trial % 2 = 0 OR sample < 40) AND sample < 40 AND channel = 0")
+@query("G1_union_common", """WITH s AS (SELECT *, sample - session AS aligned FROM sig), c AS (SELECT aligned FROM s GROUP BY aligned HAVING count(DISTINCT session) = (SELECT count(DISTINCT session) FROM s))
+SELECT session, trial, channel, aligned, value FROM s WHERE aligned IN (SELECT aligned FROM c)""")
 def _(t):
-    one = t.sig.where("channel = 0 AND trial < 8 AND trial % 2 = 0 AND sample < 50").select("trial", "sample", "value")
-    two = t.sig.where("channel = 0 AND trial < 8 AND trial % 2 = 1 AND sample < 40").select("sample", "trial", "value")
-    common = one.select("sample").intersect(two.select("sample"))
-    return one.unionByName(two).join(common, "sample", "left_semi")
+    # sessions begin at other times: their samples overlap in part only
+    x = t.sig.select("session", "trial", "channel", (F.col("sample") - F.col("session")).alias("aligned"), "value")
+    return J.common_points(x, "session", "aligned")
 
 
 @query("G2_intersect", "SELECT trial FROM tr WHERE outcome = 'F' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09")

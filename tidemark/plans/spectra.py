@@ -105,10 +105,13 @@ def _(t):
     return x.withColumn("swing", r6("swing"))
 
 
-@query("J8_split_recordings", "SELECT file_no, count(*) AS n, min(s - f)::BIGINT AS low, max(s - f)::BIGINT AS high FROM (SELECT l_orderkey AS s FROM lineitem) JOIN (SELECT file_no, (file_no * 1000)::BIGINT AS f FROM range(60) r(file_no)) ON s >= f AND s < f + 1000 GROUP BY file_no")
+@query("J8_split_recordings", """WITH f AS (SELECT file_no, n, (coalesce(sum(n) OVER (ORDER BY file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "from" FROM (
+  SELECT file_no, 500 + file_no % 7 * 100 AS n FROM (SELECT unnest(range(0, max(l_orderkey) // 500 + 1)) AS file_no FROM lineitem)))
+SELECT file_no::BIGINT AS file_no, count(*) AS n, min(s - "from")::BIGINT AS low, max(s - "from")::BIGINT AS high FROM (SELECT l_orderkey AS s FROM lineitem) JOIN f ON s >= "from" AND s < "from" + n GROUP BY file_no""")
 def _(t):
-    last = t("lineitem").agg(F.lit(59).alias("m"))
-    files = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long"))).alias("file_no"), F.lit(1000).cast("long").alias("n"))
+    # files of 500 to 1,100 samples, as many as the recording needs
+    last = t("lineitem").agg(F.floor(F.max("l_orderkey") / 500).alias("m"))
+    files = last.select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("file_no")).withColumn("n", 500 + F.col("file_no") % 7 * 100)
     x = P.split_recordings(t("lineitem").select(F.col("l_orderkey").alias("sample")), files)
     return x.groupBy("file_no").agg(F.count(F.lit(1)).alias("n"), F.min("file_sample").alias("low"), F.max("file_sample").alias("high"))
 

@@ -295,7 +295,7 @@ l AS (SELECT c.session, c.pos, c.value, coalesce(max(CASE WHEN s.value > c.value
 p AS (SELECT l.session, l.pos, l.value, l.value - greatest(min(CASE WHEN s.pos BETWEEN a + 1 AND l.pos THEN s.value END), min(CASE WHEN s.pos BETWEEN l.pos AND b - 1 THEN s.value END)) AS prominence FROM l JOIN seq s USING (session) GROUP BY l.session, l.pos, l.value)
 SELECT session, pos, round(prominence, 6) AS prominence FROM p WHERE prominence >= 20""")
 def _(t):
-    return _round(X.peaks(t.seq, ["session"], ["pos"], "value", 20.0).select("session", "pos", "prominence"), "prominence")
+    return _round(X.peaks(t.seq, ["session"], "pos", "value", 20.0).select("session", "pos", "prominence"), "prominence")
 
 
 @query("E10_detrend", """SELECT session, pos, round(value - (avg(value) OVER s + covar_pop(pos, value) OVER s / var_pop(pos) OVER s * (pos - avg(pos) OVER s)), 6) AS detrended FROM seq WINDOW s AS (PARTITION BY session)""")

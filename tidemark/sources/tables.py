@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import span_join
+
 
 def read_delimited(spark: SparkSession, path: str, schema: str, header: bool = True, separator: str = ",") -> DataFrame:
     return spark.read.csv(path, schema=schema, header=header, sep=separator)
@@ -38,7 +40,7 @@ INDEX = T.ArrayType(T.StructType([T.StructField("session_id", T.StringType()), T
 def slice_by_index(values: DataFrame, index: DataFrame, text: str, pos: str) -> DataFrame:
     """Values with the session whose slice holds their position, both ends included; date is the id's second part."""
     slices = index.select(F.explode(F.from_json(text, INDEX)).alias("s")).select("s.*")
-    x = values.join(F.broadcast(slices), F.col(pos).between(F.col("start_idx"), F.col("end_idx")))
+    x = span_join(values, slices, pos, "start_idx", "end_idx")
     return x.withColumn("date", F.split_part("session_id", F.lit("_"), F.lit(2))).drop("start_idx", "end_idx")
 
 
@@ -55,6 +57,11 @@ def without_known(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFram
     return new.join(known.select(*keys).distinct(), same, "left_anti").dropDuplicates(keys)
 
 
+def append_new(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """known with the rows of new whose keys it lacks."""
+    return known.unionByName(without_known(new, known, keys))
+
+
 def write_results(df: DataFrame, path: str, keys: list[str]) -> None:
     """Append rows whose keys the table at path doesn't hold; what it holds is never overwritten."""
     spark = df.sparkSession

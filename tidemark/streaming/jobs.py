@@ -26,34 +26,68 @@ def ingest(stream: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def segment(stream: DataFrame, key: str, time: str, code: str, start: int, stop: int, timeout_ms: int) -> DataFrame:
-    """(key, start, stop) of trials: from a start to the first stop after it, unless another start comes first. The open
-    start is a session's only state; one left open longer than the timeout is given up."""
+def _trials(open_: int | None, marks: list[tuple], start: int, stop: int) -> tuple[list[tuple[int, int]], int | None]:
+    """Trials among marks (time, seq, code), put in order, after an open start; and the start then open."""
+    found = []
+    for t, _, c in sorted(marks):
+        if c == start:
+            open_ = t
+        elif open_ is not None:
+            found.append((open_, t))
+            open_ = None
+    return found, open_
+
+
+#: What a session keeps: its open start, and the marks that the watermark hasn't passed yet.
+_PENDING = "open long, ms array<long>, times array<long>, seqs array<long>, codes array<int>"
+
+
+def segment(stream: DataFrame, key: str, event_time: str, time: str, seq: str, code: str, start: int, stop: int, lateness: str) -> DataFrame:
+    """(key, start, stop) of trials: from a start to the first stop after it, unless another start comes first.
+
+    event_time is a timestamp, time a long that grows with it, and seq a long that orders equal times. Rows may come in
+    any order within the lateness; later ones are dropped, as by any watermark. A session keeps its marks until the
+    watermark has passed them; only then are they put in order and paired, woken by event-time timers if no row comes.
+    Marks that no watermark has passed when a stream ends are read from its state by ``unsettled``.
+    """
 
     def run(ids: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        open_, marks = None, []
+        if state.exists:
+            open_, *lists = state.get
+            marks = list(zip(*lists))
+        for rows in batches:
+            marks += zip(*(rows[c].tolist() for c in ("_ms", time, seq, code)))
+        passed = state.getCurrentWatermarkMs()
+        found, open_ = _trials(open_, [m[1:] for m in marks if m[0] <= passed], start, stop)
+        marks = [m for m in marks if m[0] > passed]
+        if marks or open_ is not None:
+            state.update((open_, *([int(m[k]) for m in marks] for k in range(4))))
+            if marks:
+                state.setTimeoutTimestamp(int(min(m[0] for m in marks)))
+        elif state.exists:
             state.remove()
-            return
-        open_ = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values([time, code], kind="stable")
-        found = []
-        for t, c in zip(rows[time], rows[code]):
-            if c == start:
-                open_ = int(t)
-            elif c == stop and open_ is not None:
-                found.append((ids[0], open_, int(t)))
-                open_ = None
-        if open_ is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((open_,))
-            state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(found, columns=[key, "start", "stop"])
+        yield pd.DataFrame([(ids[0], *x) for x in found], columns=[key, "start", "stop"])
 
     kind = stream.schema[key].dataType.simpleString()
-    marks = stream.where(F.col(code).isin(start, stop)).select(key, time, code)
-    return marks.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start long, stop long", "start long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marks = stream.withWatermark(event_time, lateness).where(F.col(code).isin(start, stop))
+    marks = marks.select(key, event_time, F.unix_millis(event_time).alias("_ms"), F.col(time).cast("long").alias(time), F.col(seq).cast("long").alias(seq), F.col(code).cast("int").alias(code))
+    return marks.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start long, stop long", _PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def unsettled(spark: SparkSession, checkpoint: str, key: str, start: int, stop: int) -> DataFrame:
+    """(key, start, stop) of the trials among marks that a drained stream of ``segment`` still keeps."""
+    kept = spark.read.format("statestore").load(checkpoint).select(F.col("key").getField(key).alias(key), "value.groupState.*")
+    kind = kept.schema[key].dataType.simpleString()
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for session, open_, times, seqs, codes in zip(*(rows[c] for c in (key, "open", "times", "seqs", "codes"))):
+                out += [(session, *x) for x in _trials(None if pd.isna(open_) else int(open_), list(zip(times, seqs, codes)), start, stop)[0]]
+            yield pd.DataFrame(out, columns=[key, "start", "stop"])
+
+    return kept.mapInPandas(close, f"{key} {kind}, start long, stop long")
 
 
 def rates(stream: DataFrame, time: str, window: str, lateness: str, by: list[str]) -> DataFrame:
