@@ -69,22 +69,22 @@ def test_fingerprint_by_the_letter():
         assert simhash.fingerprint(text) == want
 
 
-@pytest.mark.parametrize("radius", [4, 7])
-def test_shards_lose_no_pair(radius):
+@pytest.mark.parametrize(("radius", "trees"), [(4, 4), (4, 5), (7, 4), (7, 8)])
+def test_shards_lose_no_pair(radius, trees):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64) * 2 + rng.integers(0, 2, 400, dtype=np.uint64)
     near = base[rng.integers(0, 400, 600)]
     for _ in range(radius):
         near = near ^ (np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64))
     fps = np.unique(np.concatenate([base, near]))
-    forest = simhash.fit_forest(fps[:256], 5000, radius, 4, 16)
+    forest = simhash.fit_forest(fps[:256], 5000, radius, trees, 16)
     row, shard, home = simhash.route(fps, forest)
-    assert home.sum() == 4 * len(fps)
+    assert home.sum() == trees * len(fps) and (trees <= radius or home.all())
     seen, links = set(), set()
     for s in np.unique(shard):
         own = np.sort(row[shard == s])
         where = {r: bool(home[(shard == s) & (row == r)].any()) for r in own}
-        root = simhash.link_shard(fps[own], np.array([where[r] for r in own]), radius, block=7)
+        root = simhash.link_shard(fps[own], np.array([where[r] for r in own]), radius, cells=2000)
         links |= {(own[k], own[root[k]]) for k in range(len(own)) if root[k] != k}
         seen |= {(a, b) for a in own if where[a] for b in own}
     close = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= radius) if j > i]
@@ -100,6 +100,30 @@ def test_op1_against_all_pairs(spark):
     assert got["component_id"].tolist() == [ids[r] for r in union_find(len(fps), links)]
 
 
+def test_large_shards_are_cut_into_pairs_of_blocks(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, 60, dtype=np.uint64)
+    near = base[rng.integers(0, 60, 500)]
+    for _ in range(3):
+        near = near ^ (np.uint64(1) << rng.integers(0, 63, 500, dtype=np.uint64))
+    fps = np.unique(np.concatenate([base, near]))
+    close = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 4) if j > i]
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    at = {int(x): k for k, x in enumerate(fps)}
+    for rows in (20, 100_000):
+        got = [(at[r["a"]], at[r["b"]]) for r in simhash.links(df, task_rows=rows).collect()]
+        assert union_find(len(fps), got) == union_find(len(fps), close)
+
+
+def test_components_of_a_hub_without_broadcast(spark, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    links = [(0, k) for k in range(1, 100_000)] + [(200_000, 99_999), (300_000, 300_001)]
+    got = components(spark.createDataFrame(links, "a long, b long"))
+    assert got.groupBy("root").count().orderBy("root").collect() == [(0, 100_001), (300_000, 2)]
+
+
 def test_simhash_of_odd_rows(spark):
     got = [tuple(r) for r in simhash.near_duplicates(odd(spark)).collect()]
     assert len(got) == len(ODD)
@@ -369,6 +393,11 @@ def test_fingerprints_of_odd_rows(spark):
     assert digest.neighbour_likeness(docs.limit(0), bits).count() == 0
 
 
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
@@ -379,10 +408,9 @@ def test_pipeline_stages(spark):
         own = stage(spark, last, sf).cache()
         assert own.columns == docs.columns and own.join(last, "doc_id", "left_anti").count() == 0, name
         if stage is C.near_dedup:
-            fps = {r["doc_id"]: simhash.fingerprint(r["text"], 5) for r in last.collect()}
-            ids = sorted(fps)
-            values = np.array([fps[i] for i in ids], np.uint64)
-            root = union_find(len(ids), [(i, j) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(values[i] ^ values) <= 7)])
+            texts = dict(sorted((r["doc_id"], r["text"]) for r in last.collect()))
+            ids, sets = list(texts), [shingle_set(t) for t in texts.values()]
+            root = union_find(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
             assert sorted(r["doc_id"] for r in own.collect()) == sorted({ids[r] for r in root})
         last = own
     kept = last.count()

@@ -1,50 +1,40 @@
-"""What the operators share: cutting lineage in shared storage, connected components, word splitting."""
+"""What the operators share: joins with counted sides, memory of workers, connected components, running sums."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import new_dir, shared_dir
+from ..staging import written as cut
+
+__all__ = ["cut", "new_dir", "shared_dir"]
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new temporary one only where unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Rows of the smaller side of a join up to which it is broadcast; it is counted first, and beyond it both are sorted.
+SMALL_ROWS = 500_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def join_counted(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """big joined with small, which is a written table of a few numbers a row: broadcast only if it is counted to be
+    small. Else both sides are shuffled bare, so that adaptive execution can split the hot keys of big."""
+    return big.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small.hint("merge"), on, how)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Pass whole texts to Python in Arrow batches of 1,000 rows, where the session has Spark's 10,000.
-
-    Texts take several kB each and every batch is held by the JVM and by its worker at once.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def by_bytes(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes, one row at least, so that results of long texts don't pile up."""
+    rows = max(1, int(len(batch) * most / max(1, batch.nbytes)))
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
 
 
 def release() -> None:
@@ -75,9 +65,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star steps.
 
     edges has two long columns; loops and repeats are fine. Returns (node, root) for every node that has an edge,
-    root being the smallest node of its component. Each step is two aggregations that combine on the map side and
-    a join whose hot side adaptive execution can split, so that a node with very many edges fills no task. Rounds
-    grow with the logarithm of the longest path. Only counts and hash sums reach the driver.
+    root being the smallest node of its component. Each step is two aggregations that combine on the map side, whose
+    results are written, and a join with these, so that a node with very many edges fills no task (join_counted).
+    Rounds grow with the logarithm of the longest path. Only counts and hash sums reach the driver.
     """
     a, b = edges.columns
     e = cut(
@@ -88,13 +78,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = _state(e)
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
+        large = join_counted(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
-            large.join(low, "u")
+            join_counted(large, low, "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
             .select(F.col("x.u").alias("u"), F.col("x.m").alias("v"))
             .where("u != v")

@@ -14,8 +14,16 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+#: Rows that the queries' session passes to Python at once. Texts take several kB each, some a hundred, and a batch is
+#: held by the JVM and by its worker at once. Operators leave the session's setting alone.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

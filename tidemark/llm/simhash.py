@@ -1,10 +1,11 @@
 """SimHash near-duplicates found with vantage-point trees over fingerprints.
 
 A pair within ``radius`` of 64 bits has, among ``trees`` bands of bits, a band where it differs in at most
-``radius // trees`` bits. Each band has a vantage-point tree: a node holds a vantage fingerprint and a radius mu, and
-splits fingerprints into those whose band distance to the vantage point is at most mu and the rest. Every fingerprint
-is at home in one leaf (a shard) and also queries each shard that the triangle bound leaves open, that is, when its
-distance lies within the band's allowance of mu. Inside a shard the whole 64 bits are compared, so pairs are exact.
+``radius // trees`` bits, the allowance. Each band has a vantage-point tree: a node holds a vantage fingerprint and a
+radius mu, and splits fingerprints into those whose band distance to the vantage point is at most mu and the rest. Every
+fingerprint is at home in one leaf (a shard) and also queries each shard that the triangle bound leaves open, that is,
+when its distance lies within the allowance of mu: none, where there are more trees than the radius. Inside a shard the
+whole 64 bits are compared, so pairs are exact.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, short_batches, tidied
+from .common import by_bytes, components, cut, join_counted, tidied
 
 SEED = 42
 
@@ -64,10 +65,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            for part in by_bytes(batch):
+                fps = np.array([fingerprint(t.as_py(), width) for t in part.column(1)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["id", "fp"])
 
-    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(tidied(run), f"id {kind}, fp long")
 
@@ -84,10 +85,11 @@ class Forest:
 
 
 def fit_forest(sample: np.ndarray, n: int, radius: int, trees: int, shard_rows: int) -> Forest:
-    """Vantage points and median radii from a sample; as many levels as bring n fingerprints to shard_rows a leaf."""
+    """Vantage points and median radii from a sample; as many levels as bring n fingerprints to shard_rows a leaf, or as
+    a band has bits, beyond which a tree parts little more."""
     edges = np.linspace(0, 64, trees + 1).astype(int)
     masks = np.array([((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges, edges[1:])], np.uint64)
-    levels = int(np.clip(np.ceil(np.log2(max(n, 1) / shard_rows)), 0, 16))
+    levels = int(np.clip(np.ceil(np.log2(max(n, 1) / shard_rows)), 0, np.diff(edges).max()))
     vantage, mu = np.zeros((trees, 1 << levels), np.uint64), np.zeros((trees, 1 << levels), np.uint8)
     for t in range(trees):
         members = {1: sample}
@@ -125,13 +127,14 @@ def route(fps: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
 
 
-def link_shard(fps: np.ndarray, home: np.ndarray, radius: int, block: int = 256) -> np.ndarray:
+def link_shard(fps: np.ndarray, home: np.ndarray, radius: int, cells: int = 1 << 22) -> np.ndarray:
     """Root (smallest index linked to, over any path of verified links) of each of a shard's fingerprints.
 
-    Each home fingerprint is compared with all visitors, block by block, but for those that already belong to the
+    Home fingerprints are compared with all others in blocks of so many cells, but for those that already belong to the
     largest group: two members of one group need no comparison, and the others are compared with all of it.
     """
-    root = np.arange(len(fps))
+    root, n = np.arange(len(fps)), max(1, len(fps))
+    block = max(1, cells // n)
 
     def union(i: int, linked: np.ndarray) -> None:
         groups = np.unique(root[linked])
@@ -158,25 +161,44 @@ def link_shard(fps: np.ndarray, home: np.ndarray, radius: int, block: int = 256)
     return root
 
 
-def links(fps: DataFrame, radius: int = 4, trees: int = 4, shard_rows: int = 512, sample_rows: int = 4096) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, trees: int | None = None, shard_rows: int = 512, sample_rows: int = 4096, task_rows: int = 100_000) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints which a chain of pairs within radius connects.
 
     fps has one long column of distinct fingerprints. The trees are fitted on at most sample_rows fingerprints (the
-    first in hash order); every fingerprint is indexed. A shard returns a star for each of its groups instead of all
-    pairs, so that a large group of near copies stays linear.
+    first in hash order); every fingerprint is indexed. By default there is one tree more than the radius: some band is
+    then equal in any pair within the radius, so that a fingerprint has one shard a tree at every size; fewer trees
+    have wider bands and let it visit further shards. Shards of more than task_rows are cut into blocks, and each pair
+    of blocks is a task of its own. A shard returns a star for each of its groups instead of all pairs, so that a large
+    group of near copies stays linear. Only the sizes of shards above task_rows reach the driver.
     """
-    name = fps.columns[0]
+    name, trees = fps.columns[0], trees or radius + 1
     n = fps.count()
     top = fps.select(name).orderBy(F.xxhash64(name), name).limit(sample_rows).collect()
     forest = fit_forest(np.array([r[0] for r in top], np.int64).view(np.uint64), n, radius, trees, shard_rows)
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.asarray(batch.column(0)).view(np.uint64)
+            for at in range(0, len(own), 20_000):
+                shard, rows = np.unique(route(own[at : at + 20_000], forest)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(rows)], ["shard", "rows"])
+
+    sizes = fps.select(name).mapInArrow(tally, "shard long, rows long").groupBy("shard").agg(F.sum("rows").alias("rows"))
+    large = {r["shard"]: -(-2 * r["rows"] // task_rows) for r in sizes.where(F.col("rows") > task_rows).collect()}
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.asarray(batch.column(0)).view(np.uint64)
             for part in np.array_split(own, max(1, len(own) // 2000)):
                 row, shard, home = route(part, forest)
+                blocks = np.array([large.get(s, 1) for s in shard.tolist()], np.int64)
+                # a row of block b is in the pairs of b with every block
+                at = np.repeat(np.arange(len(row)), blocks)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                b = (part[row[at]] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % blocks[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), pa.array(part[row].view(np.int64)), pa.array(home)], ["shard", "fp", "home"]
+                    [pa.array(x) for x in (shard[at], np.minimum(b, other), np.maximum(b, other), part[row[at]].view(np.int64), home[at])],
+                    ["shard", "p", "q", "fp", "home"],
                 )
 
     def shard_edges(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,12 +208,12 @@ def links(fps: DataFrame, radius: int = 4, trees: int = 4, shard_rows: int = 512
         linked = root != np.arange(len(own))
         return pd.DataFrame({"a": own[linked], "b": own[root[linked]]})
 
-    spread_out = fps.select(name).mapInArrow(tidied(spread), "shard long, fp long, home boolean")
-    return spread_out.groupBy("shard").applyInPandas(shard_edges, "a long, b long")
+    spread_out = fps.select(name).mapInArrow(tidied(spread), "shard long, p long, q long, fp long, home boolean")
+    return spread_out.groupBy("shard", "p", "q").applyInPandas(shard_edges, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, trees: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, trees: int | None = None
 ) -> DataFrame:
     """One row for each row of docs: (id_col, fingerprint, component_id).
 
@@ -204,13 +226,12 @@ def near_duplicates(
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows")))
     if distinct.isEmpty():
         return prints.select(F.col("id").alias(id_col), F.lit("").alias("fingerprint"), F.col("id").alias("component_id"))
-    roots = components(links(distinct.select("fp"), radius, trees))
-    group = roots.withColumnsRenamed({"node": "fp"}).join(distinct, "fp")
-    lows = group.groupBy("root").agg(F.min("low").alias("component"))
-    linked = roots.join(lows, "root").select(F.col("node").alias("fp"), "component")
-    alone = distinct.where("rows > 1").join(roots, F.col("fp") == F.col("node"), "left_anti")
-    known = linked.unionByName(alone.select("fp", F.col("low").alias("component")))
-    return prints.join(known, "fp", "left").select(
+    roots = cut(components(links(distinct.select("fp"), radius, trees)).withColumnRenamed("node", "fp"))
+    lows = cut(join_counted(distinct, roots, "fp").groupBy("root").agg(F.min("low").alias("component")))
+    linked = join_counted(roots, lows, "root").select("fp", "component")
+    alone = join_counted(distinct.where("rows > 1"), roots, "fp", "left_anti").select("fp", F.col("low").alias("component"))
+    known = cut(linked.unionByName(alone))
+    return join_counted(prints, known, "fp", "left").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component", "id").alias("component_id"),
