@@ -84,11 +84,13 @@ class Forest:
     mu: np.ndarray
 
 
-def fit_forest(sample: np.ndarray, n: int, radius: int, trees: int, shard_rows: int) -> Forest:
+def fit_forest(sample: np.ndarray, n: int, allowance: int, trees: int, shard_rows: int, deals: int = 1) -> Forest:
     """Vantage points and median radii from a sample; as many levels as bring n fingerprints to shard_rows a leaf, or as
-    a band has bits, beyond which a tree parts little more."""
+    a band has bits, beyond which a tree parts little more. A second deal has bands of bits far apart."""
     edges = np.linspace(0, 64, trees + 1).astype(int)
-    masks = np.array([((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges, edges[1:])], np.uint64)
+    bands = [range(a, b) for a, b in zip(edges, edges[1:])]
+    bands += [range(t, 64, trees) for t in range(trees)] * (deals > 1)
+    masks, trees = np.array([sum(1 << int(k) for k in band) for band in bands], np.uint64), len(bands)
     levels = int(np.clip(np.ceil(np.log2(max(n, 1) / shard_rows)), 0, np.diff(edges).max()))
     vantage, mu = np.zeros((trees, 1 << levels), np.uint64), np.zeros((trees, 1 << levels), np.uint8)
     for t in range(trees):
@@ -102,7 +104,7 @@ def fit_forest(sample: np.ndarray, n: int, radius: int, trees: int, shard_rows:
             if len(own):
                 inside = np.bitwise_count((own ^ v) & masks[t]) <= mu[t, node]
                 members[2 * node], members[2 * node + 1] = own[inside], own[~inside]
-    return Forest(masks, radius // trees, levels, vantage, mu)
+    return Forest(masks, allowance, levels, vantage, mu)
 
 
 def route(fps: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,20 +163,48 @@ def link_shard(fps: np.ndarray, home: np.ndarray, radius: int, cells: int = 1 <<
     return root
 
 
-def links(fps: DataFrame, radius: int = 4, trees: int | None = None, shard_rows: int = 512, sample_rows: int = 4096, task_rows: int = 100_000) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints which a chain of pairs within radius connects.
+def nearest_edges(distance, n: int, most: int, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """A shortest spanning forest of n items that are at most so far apart: every group picks its nearest outside item,
+    round after round, so that any two that are linked are linked by steps no longer than theirs.
 
-    fps has one long column of distinct fingerprints. The trees are fitted on at most sample_rows fingerprints (the
-    first in hash order); every fingerprint is indexed. By default there is one tree more than the radius: some band is
-    then equal in any pair within the radius, so that a fingerprint has one shard a tree at every size; fewer trees
-    have wider bands and let it visit further shards. Shards of more than task_rows are cut into blocks, and each pair
-    of blocks is a task of its own. A shard returns a star for each of its groups instead of all pairs, so that a large
-    group of near copies stays linear. Only the sizes of shards above task_rows reach the driver.
+    distance(rows) gives the distances of some rows to all items as unsigned bytes, 255 where no step is allowed.
+    """
+    root, todo, ends = np.arange(n), np.arange(n), []
+    block = max(1, cells // max(1, n))
+    while len(todo) and n > 1:
+        far, other = np.full(n, 255, np.uint8), np.zeros(n, np.int64)
+        for at in range(0, len(todo), block):
+            own = todo[at : at + block]
+            d = distance(own)
+            d[root[own, None] == root[None, :]] = 255
+            other[own] = d.argmin(1)
+            far[own] = d[np.arange(len(own)), other[own]]
+        near = todo[far[todo] <= most]
+        # of each group the shortest step out, ties by place
+        first = near[np.lexsort((near, far[near], root[near]))]
+        first = first[np.unique(root[first], return_index=True)[1]]
+        for i in first[np.argsort(far[first], kind="stable")]:
+            a, b = sorted((root[i], root[other[i]]))
+            if a != b:
+                ends.append((i, other[i]))
+                root[root == b] = a
+        todo = np.flatnonzero(np.isin(root, root[near]))
+    a, b = np.array(ends, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def shards(fps: DataFrame, allowance: int, trees: int, deals: int = 1, shard_rows: int = 512, sample_rows: int = 4096, task_rows: int = 100_000) -> DataFrame:
+    """Rows of fps (a long fingerprint first, then other long columns) with each shard that they live in or query:
+    columns shard, p and q name a task, home tells whether the row lives there.
+
+    The trees are fitted on at most sample_rows fingerprints (the first in hash order); every fingerprint is indexed.
+    Shards of more than task_rows are cut into blocks, and each pair p, q of blocks is a task of its own; only the sizes
+    of such shards reach the driver.
     """
-    name, trees = fps.columns[0], trees or radius + 1
+    name, names = fps.columns[0], fps.columns
     n = fps.count()
     top = fps.select(name).orderBy(F.xxhash64(name), name).limit(sample_rows).collect()
-    forest = fit_forest(np.array([r[0] for r in top], np.int64).view(np.uint64), n, radius, trees, shard_rows)
+    forest = fit_forest(np.array([r[0] for r in top], np.int64).view(np.uint64), n, allowance, trees, shard_rows, deals)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,18 +218,32 @@ def links(fps: DataFrame, radius: int = 4, trees: int | None = None, shard_rows:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.asarray(batch.column(0)).view(np.uint64)
-            for part in np.array_split(own, max(1, len(own) // 2000)):
-                row, shard, home = route(part, forest)
+            for start in range(0, len(batch), 2000):
+                part = batch.slice(start, 2000)
+                own = np.asarray(part.column(0)).view(np.uint64)
+                row, shard, home = route(own, forest)
                 blocks = np.array([large.get(s, 1) for s in shard.tolist()], np.int64)
                 # a row of block b is in the pairs of b with every block
                 at = np.repeat(np.arange(len(row)), blocks)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                b = (part[row[at]] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % blocks[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (shard[at], np.minimum(b, other), np.maximum(b, other), part[row[at]].view(np.int64), home[at])],
-                    ["shard", "p", "q", "fp", "home"],
-                )
+                b = (own[row[at]] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % blocks[at]
+                kept = part.take(pa.array(row[at]))
+                tasks = (shard[at], np.minimum(b, other), np.maximum(b, other), home[at])
+                yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, tasks)], [*names, "shard", "p", "q", "home"])
+
+    fields = ", ".join(f"{c} long" for c in names)
+    return fps.mapInArrow(tidied(spread), f"{fields}, shard long, p long, q long, home boolean")
+
+
+def links(fps: DataFrame, radius: int = 4, trees: int | None = None, **sizes: int) -> DataFrame:
+    """Edges (a, b) that connect exactly the fingerprints which a chain of pairs within radius connects.
+
+    fps has one long column of distinct fingerprints. By default there is one tree more than the radius: some band is
+    then equal in any pair within the radius, so that a fingerprint has one shard a tree at every size; fewer trees
+    have wider bands and let it visit further shards. A shard returns a star for each of its groups instead of all
+    pairs, so that a large group of near copies stays linear.
+    """
+    trees = trees or radius + 1
 
     def shard_edges(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fp")
@@ -208,8 +252,8 @@ def links(fps: DataFrame, radius: int = 4, trees: int | None = None, shard_rows:
         linked = root != np.arange(len(own))
         return pd.DataFrame({"a": own[linked], "b": own[root[linked]]})
 
-    spread_out = fps.select(name).mapInArrow(tidied(spread), "shard long, p long, q long, fp long, home boolean")
-    return spread_out.groupBy("shard", "p", "q").applyInPandas(shard_edges, "a long, b long")
+    dealt = shards(fps.toDF("fp"), radius // trees, trees, **sizes)
+    return dealt.groupBy("shard", "p", "q").applyInPandas(shard_edges, "a long, b long")
 
 
 def near_duplicates(
