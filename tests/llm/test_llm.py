@@ -291,6 +291,53 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def links_by_brute_force(rows, cosine=0.98):
+    """(id, links, component) of (id, vector, label) rows of usable vectors."""
+    m = np.array([v for _, v, _ in rows], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    labels = np.array([x for _, _, x in rows])
+    close = (m @ m.T >= cosine) & (labels[:, None] == labels[None])
+    np.fill_diagonal(close, False)
+    root = union_find(len(rows), zip(*np.nonzero(close)))
+    low = {}
+    for (i, _, _), r in zip(rows, root):
+        low[r] = min(i, low.get(r, i))
+    return Counter((i, int(n), low[r]) for (i, _, _), n, r in zip(rows, close.sum(1), root))
+
+
+def test_vectors_of_repeated_ids_keep_their_links(spark):
+    v, w = [1.0, 0.0, 0.001], [1.0, 0.002, 0.0]
+    rows = [(1, v, 0), (1, w, 0), (2, v, 0), (3, [0.0, 1.0, 0.0], 0), (3, [0.0, 1.0, 0.0], 0), (3, [0.0, 1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = vectors.near_duplicates(df).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == links_by_brute_force(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_op7_against_all_pairs(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in queries.table(spark, sf, "embeddings").collect()]
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in queries.op7_vectors(spark, sf).collect())
+    assert got == links_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("centre", [0.0, 1.0, 6.0])
+def test_recall_of_lone_pairs_in_a_concentrated_label(spark, centre):
+    """Vectors whose mean cosine is about 0, 0.5 and 0.97, with lone pairs at 0.98 to 0.99 among them."""
+    rng = np.random.default_rng(10)
+    n, dim = 3000, 32
+    base = rng.normal(size=(n, dim)) / np.sqrt(dim)
+    base[:, 0] += centre
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = base[:300] + 0.15 * rng.normal(size=(300, dim)) / np.sqrt(dim)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([base, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want, got = links_by_brute_force(rows), Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect())
+    linked = Counter({k: n for k, n in want.items() if k[1]})
+    assert linked and sum((linked & got).values()) >= 0.95 * sum(linked.values())
+    assert sum(n * k[1] for k, n in got.items()) <= sum(n * k[1] for k, n in want.items())
+
+
 def test_chat_round_trip(spark):
     control = ["### ", "</turn>", "\\", "\n", "### assistant: ", ":", "x", "\\###", "é😀", ""]
     rng = random.Random(7)
