@@ -240,9 +240,29 @@ def test_licenses_in_every_place_and_odd_rows(spark):
     for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string, name string")).collect():
         found[r["doc_id"]].add(r["license"])
     assert all(name in found[i] for i, _, name in rows)
+    twice = spark.createDataFrame([(1, rows[0][1], None), (1, rows[0][1], "x"), (None, rows[5][1], None)], "doc_id int, text string, license string")
+    assert Counter(r["doc_id"] for r in licenses.scan(twice).where(F.col("license").isin(rows[0][2], rows[5][2])).collect()) == {1: 2, None: 1}
     assert licenses.scan(odd(spark)).count() == 0 and licenses.scan(odd(spark).limit(0)).count() == 0
 
 
+def test_short_notices_are_never_missed(spark):
+    """The shortest notice, of three shingles, among 3,000 sets of random neighbours; and changed texts by containment."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(20))) + " Released under the MIT License. " + " ".join(word() for _ in range(rng.randrange(20)))) for k in range(3000)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).where("license = 'MIT notice'")
+    assert found.count() == 3000
+    whole, changed = licenses.words_of(licenses.TEMPLATES["MIT whole text"]), []
+    for k in range(300):
+        w = whole.copy()
+        for at in rng.sample(range(len(w)), 5):
+            w[at] = word()
+        changed.append((k, " ".join(w)))
+    got = {r["doc_id"] for r in licenses.scan(spark.createDataFrame(changed, "doc_id int, text string")).where("license = 'MIT whole text'").collect()}
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    assert got == {k for k, t in changed if len(five(whole) & five(t.split())) >= 0.8 * len(five(whole))}
+
+
 def test_quality_of_held_out_rows(spark):
     got = pandas(queries.op6_quality(spark, "/root/testdata/sf0.1").join(queries.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id"))
     own = got[got["held_out"]]

@@ -1,10 +1,11 @@
 """License notices found by MinHash over overlapping windows of words, in DataFrame operations alone.
 
-Templates are cut into passages; windows of SHINGLES three-word shingles, one each STRIDE words, are hashed to BANDS
-one-row bands. A window that holds a passage of s shingles has a Jaccard similarity of about s / SHINGLES with it; for
-the shortest passages (3 shingles, 0.19) the chance that no band collides in any of the four windows around them is
-under 0.03^4. A band can only collide in a window that holds the passage's own minimum, so only windows around such
-shingles are laid out: that loses no collision. What the bands retrieve is then verified by exact containment of the
+Templates are cut into passages of at most 16 three-word shingles, hashed to BANDS one-row bands. A band can only collide
+in a window that holds the passage's own minimum, so windows are laid around such shingles only, which loses no
+collision: windows of SHINGLES shingles, one each STRIDE words, and one that lies as the passage would with its minimum
+in this place. A passage that stands unchanged in a text has Jaccard similarity 1 with the latter, so that every band
+collides and it is always retrieved; one changed in some words, with a similarity of J to a window, is missed by it with
+(1 - J)^BANDS, under 1 % from J = 0.25 on. What the bands retrieve is then verified by exact containment of the
 template's five-word shingles in the document.
 """
 
@@ -31,6 +32,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+    "MIT whole text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "BSD text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "ISC text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "Apache-2.0 text": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -73,8 +75,10 @@ def _five(words: Column) -> Column:
     return F.transform(_positions(words, 5), lambda i: F.array_join(F.slice(words, i + 1, 5), " "))
 
 
-def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[list[int], dict[int, list[str]], dict[str, list[str]]]:
-    """(hashes that can be a band's minimum, templates by band key, five-word shingles by template)."""
+def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[dict[int, list[tuple[int, int]]], dict[int, list[str]], dict[str, list[str]]]:
+    """(places of the shingles that are some band's minimum, templates by band key, five-word shingles by template).
+
+    A place is (shingles before it, shingles in all) of its passage."""
     passages = []
     for name, text in templates.items():
         w = words_of(text)
@@ -84,13 +88,17 @@ def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[lis
     df = spark.createDataFrame(passages, "name string, words array<string>")
     df = df.withColumn("h", F.transform(_positions(F.col("words"), 3), lambda i: _shingle_hash(F.col("words"), i)))
     low = F.array(*[F.array_min(F.transform("h", _minimum(j))).getField("x") for j in range(BANDS)])
-    anchors, keys = set(), {}
-    for row in df.select("name", low.alias("low"), _bands(F.col("h")).alias("bands")).collect():
-        anchors |= set(row["low"])
+    anchors, keys = {}, {}
+    for row in df.select("name", "h", low.alias("low"), _bands(F.col("h")).alias("bands")).collect():
+        for x in row["low"]:
+            place = (row["h"].index(x), len(row["h"]))
+            if place not in anchors.setdefault(x, []):
+                anchors[x].append(place)
         for key in row["bands"]:
-            keys.setdefault(key, []).append(row["name"])
+            if row["name"] not in keys.setdefault(key, []):
+                keys[key].append(row["name"])
     five = {n: list(dict.fromkeys(" ".join(w[i : i + 5]) for i in range(len(w) - 4))) for n, w in ((n, words_of(t)) for n, t in templates.items())}
-    return sorted(anchors), keys, five
+    return anchors, keys, five
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -104,13 +112,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     words = F.filter(F.split(F.lower(F.col(text_col).cast("string")), BETWEEN), lambda w: w != "")
     base = _once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "w", words).drop("text")
     w = F.col("w")
-    hits = _once(base, "p", F.filter(_positions(w, 3), lambda i: _shingle_hash(w, i).isin(anchors))).where(F.size("p") > 0)
-    # windows whose shingles STRIDE * k to STRIDE * k + SHINGLES - 1 hold an anchor
-    around = F.transform("p", lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - SHINGLES + 1) / STRIDE)).cast("int"), F.floor(p / STRIDE).cast("int")))
-    laid = _once(hits, "k", F.array_distinct(F.flatten(around)))
-    window = lambda k: F.transform(
-        F.sequence(k * STRIDE, F.least(k * STRIDE + SHINGLES - 1, F.size("w") - 3)), lambda i: _shingle_hash(w, i)
-    )
+    hits = _once(base, "p", F.filter(_positions(w, 3), lambda i: _shingle_hash(w, i).isin(sorted(anchors)))).where(F.size("p") > 0)
+    last = F.size("w") - 3
+    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    # windows whose shingles STRIDE * k to STRIDE * k + SHINGLES - 1 hold an anchor, and those that lie as its passage would
+    around = F.transform("p", lambda p: F.transform(F.sequence(F.greatest(F.lit(0), F.ceil((p - SHINGLES + 1) / STRIDE)).cast("int"), F.floor(p / STRIDE).cast("int")), lambda k: span(k * STRIDE, F.least(k * STRIDE + SHINGLES - 1, last))))
+    places = F.create_map(*[x for h, own in sorted(anchors.items()) for x in (F.lit(h), F.array(*[span(F.lit(before), F.lit(size)) for before, size in own]))])
+    aligned = F.transform("p", lambda p: F.transform(places[_shingle_hash(w, p)], lambda x: span(p - x["a"], p - x["a"] + x["b"] - 1)))
+    inside = F.filter(F.flatten(F.concat(around, aligned)), lambda x: (x["a"] >= 0) & (x["b"] <= last))
+    laid = _once(hits, "k", F.array_distinct(inside))
+    window = lambda k: F.transform(F.sequence(k["a"], k["b"]), lambda i: _shingle_hash(w, i))
     known = F.array(*[F.lit(x) for x in keys])
     lists = F.transform("k", lambda k: F.array_intersect(_bands(window(k)), known))
     retrieved = _once(laid, "keys", F.array_distinct(F.flatten(lists)))
