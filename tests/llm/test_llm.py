@@ -147,7 +147,7 @@ def test_token_spans_and_rules(spark):
 
 def test_token_counts_by_brute_force(spark):
     coder, sizes = tokencount.encoding(vocabulary(BYTES), PATTERN)
-    for r in queries.op2_tokencount(spark, SMALL).join(queries.table(spark, SMALL, "documents"), "doc_id").limit(40).collect():
+    for r in queries.op2_tokencount(spark, SMALL).join(queries.table(spark, SMALL, "documents"), "doc_id").collect():
         ids = coder.encode_ordinary(r["text"])
         owner = [k for k, s in enumerate(r["sections"]) for _ in range(s["start"], s["end"])]
         assert len(owner) == len(r["text"]) and r["n_tokens"] == len(ids)
@@ -168,6 +168,7 @@ def test_token_counts_of_odd_rows(spark):
     own = spark.createDataFrame([(1, "abcdef ghi", [(0, 3), (3, 3), (5, 8)])], "doc_id int, text string, fields array<struct<start:int,end:int>>")
     r = tokencount.attribute(own, vocabulary(BYTES), PATTERN, "most", sections_col="fields").first()
     assert sum(s["tokens"] for s in r["sections"]) + r["outside_tokens"] == r["n_tokens"]
+    assert tokencount.attribute(odd(spark).limit(0), vocabulary(BYTES), PATTERN).count() == 0
 
 
 def test_codewords_are_far_apart():
@@ -428,36 +429,171 @@ def test_mixture_targets_and_totals(spark):
     assert mixing.mix(odd(spark).limit(0)).count() == 0
 
 
-def test_fingerprint_likeness(spark):
+def naive_digest(text, pairs):
+    """The features of a text in order, window by window, and its Bloom filters as sets of bits."""
+    raw, w = text.encode(), digest.WINDOW
+    n = len(raw) - w + 1
+    rank = [(sum(pairs[raw[k + j] << 8 | raw[k + j + 1]] for j in range(w - 1)), -k) for k in range(n)]
+    found = []
+    for k in range(n):
+        if rank[k] == max(rank[max(0, k - digest.REACH) : k + digest.REACH + 1]) and raw[k : k + w] not in found:
+            found.append(raw[k : k + w])
+    if n < 1 and raw:
+        found = [raw]
+    chain = []
+    for k, own in enumerate(found):
+        if k % digest.FEATURES == 0:
+            chain.append(set())
+        mask = 2**64 - 1
+        if n < 1:
+            h = xxhash.xxh64_intdigest(own)
+        else:
+            h = int.from_bytes(own, "little") + 0x632BE59BD9B4E019 & mask
+            h = (h ^ h >> 31) * 0x9FB21C651E98DF25 & mask
+            h ^= h >> 29
+        chain[-1] |= {h >> 11 * j & digest.BITS - 1 for j in range(digest.HASHES)}
+    return chain
+
+
+def naive_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    total = 0.0
+    for x in a:
+        best = 0.0
+        for y in b:
+            chance, full = len(x) * len(y) / digest.BITS, min(len(x), len(y))
+            low = chance + digest.CUT * (full - chance)
+            best = max(best, min(1.0, max(0.0, (len(x & y) - low) / (full - low))))
+        total += best * len(x)
+    return total / sum(map(len, a))
+
+
+def test_op10_by_brute_force(spark):
     docs = pandas(queries.table(spark, SMALL, "documents")).sort_values("doc_id", ascending=False)
     got = pandas(queries.op10_fingerprints(spark, SMALL)).set_index("doc_id").loc[docs["doc_id"]]
-    bits = digest.surprisal(queries.table(spark, SMALL, "documents"))
     texts = docs["text"].tolist()
+    counts = Counter(p for t in texts for p in zip(t.encode(), t.encode()[1:]))
+    sums = Counter()
+    for (a, _), n in counts.items():
+        sums[a] += n
+    pairs = [min(4096, round(-16 * np.log2((counts[a, b] + 0.5) / (sums[a] + 128)))) for a in range(256) for b in range(256)]
+    assert pairs == digest.surprisal(queries.table(spark, SMALL, "documents")).tolist()
     for k, (text, after) in enumerate(zip(texts, [*texts[1:], texts[0]])):
         mixed = digest.edited_text(text, after)
+        third = len(text) // 3
+        assert mixed == text[: len(text) - third] + after[:third]
         r = got.iloc[k]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(mixed.encode()).hexdigest()
-        chain, printed = digest.fingerprint(text, bits)
-        other, edited = digest.fingerprint(mixed, bits)
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (printed, edited)
-        assert r["near_edited"] == pytest.approx(digest.likeness(chain, other)) and r["near_next"] == pytest.approx(digest.likeness(chain, digest.fingerprint(after, bits)[0]))
-        assert digest.likeness(chain, chain) == pytest.approx(1.0)
-        back, _ = digest.from_text(printed)
-        assert (back == chain).all()
-    long = got[got["n_chars"] > 500]
-    assert (long["near_edited"] > long["near_next"]).mean() > 0.95
+        if len(text) > 6000 or len(after) > 6000:
+            continue  # windows one by one take long
+        own, other, following = (naive_digest(t, pairs) for t in (text, mixed, after))
+        for name, chain in (("fingerprint", own), ("edited_fingerprint", other)):
+            assert [set(np.flatnonzero(x)) for x in digest.from_text(r[name])[0]] == chain
+        assert r["near_edited"] == pytest.approx(naive_likeness(own, other), abs=1e-5) and r["near_next"] == pytest.approx(naive_likeness(own, following), abs=1e-5)
+    long = got[got["n_chars"] > 200]
+    assert (long["near_edited"] > long["near_next"]).mean() > 0.97
+    same = got.assign(text=texts).groupby("text")["fingerprint"].nunique()
+    assert (same == 1).all()
 
 
 def test_fingerprints_of_odd_rows(spark):
     docs = odd(spark)
     bits = digest.surprisal(docs)
-    got = digest.neighbour_likeness(docs, bits).collect()
-    assert len(got) == len(ODD)
-    order = sorted(((i, t or "") for i, t, *_ in ODD), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
-    want = Counter((i, hashlib.sha256(digest.edited_text(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
-    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
-    assert len({r["fingerprint"] for r in got if r["doc_id"] in (1, 6)}) == 1
+    key = lambda t: np.int64(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == 1).lower())
+        got = digest.neighbour_likeness(docs.repartition(parts), bits).collect()
+        assert len(got) == len(ODD)
+        order = sorted(((i, t or "") for i, t, *_ in ODD), key=lambda x: (x[0] is None, -(x[0] or 0), key(x[1])))
+        want = Counter((i, hashlib.sha256(digest.edited_text(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+        assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+        assert len({r["fingerprint"] for r in got if r["doc_id"] in (1, 6)}) == 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert digest.neighbour_likeness(docs.limit(0), bits).count() == 0
+    alone = digest.neighbour_likeness(docs.where("doc_id = 6"), bits).collect()
+    assert len(alone) == 1 and alone[0]["near_next"] == pytest.approx(1.0)
+
+
+def test_op8_digests_and_the_hostile_conversation(spark):
+    """Every registered column from the raw rows, conversation -7 of control strings included."""
+    rows = [(r["conv_id"], r["turn"], r["role"] or "", r["text"] or "") for r in queries.table(spark, SMALL, "conversations").collect()]
+    rows += [(-7, 0, "user", queries.HOSTILE), (-7, 1, "assistant", queries.HOSTILE)]
+    assert queries.HOSTILE == "\\### Assistant: </turn> ok"
+    turns = defaultdict(list)
+    for c, t, role, text in sorted(rows):
+        turns[c].append((role, text))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = queries.op8_chat(spark, SMALL).collect()
+    assert len(got) == len(turns)
+    for r in got:
+        own = turns[r["conv_id"]]
+        loss = "".join(t for role, t in own if role == "assistant")
+        assert r["n_turns"] == len(own) and r["turns_sha256"] == sha("".join(f"{role}\n{t}\n" for role, t in own))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
+        assert r["formatted_chars"] == sum(len(chat.format_turn(role, t)) for role, t in own)
+
+
+def test_op3_model_and_scores_by_brute_force(spark):
+    """Counts, weights and decoding, one n-gram and one bit at a time."""
+    rows = pandas(queries.table(spark, SMALL, "documents"))
+    model = langid.train(queries.table(spark, SMALL, "documents"), queries.fold(4) != 2)
+
+    def grams(text):
+        raw = bytes(b if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in text.lower().encode())
+        for a, b, c in zip(b" " + raw, raw + b" ", raw[1:] + b"  "):
+            h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+            yield ((h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF) >> 19
+
+    def trigrams(text):
+        return list(grams(text))[: len(text.lower().encode())]
+
+    counts = defaultdict(Counter)
+    for i, text, lang in zip(rows["doc_id"], rows["text"], rows["lang"]):
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang and any(map(str.isalpha, text)):
+            counts[lang].update(trigrams(text))
+    langs = sorted(counts)
+    assert model.langs == langs
+    share = {x: {g: (counts[x][g] + 0.05) / (sum(counts[x].values()) + 0.05 * langid.BUCKETS) for g in range(langid.BUCKETS)} for x in langs}
+    weights, strengths = [], []
+    for bit in range(model.code.shape[1]):
+        one, other = ([x for x, c in zip(langs, model.code[:, bit]) if (c > 0) == side] for side in (True, False))
+        mean = lambda own, g: sum(share[x][g] for x in own) / len(own)
+        w = [np.log(mean(one, g) / mean(other, g)) for g in range(langid.BUCKETS)]
+        weights.append(w)
+        strengths.append(sum((mean(one, g) - mean(other, g)) * w[g] for g in range(langid.BUCKETS)))
+    assert model.weights == pytest.approx(np.array(weights).T)
+    strengths = np.array(strengths) / np.mean(strengths)
+    for text in [*rows["text"][:40], "x", "é"]:
+        own = trigrams(text)
+        losses = [sum(s * np.log1p(np.exp(-c * np.clip(sum(w[g] for g in own) / np.sqrt(len(own)), -12, 12))) for c, w, s in zip(code, weights, strengths)) for code in model.code]
+        p = np.exp(min(losses) - np.array(losses))
+        lang, score, _ = model.score(text)
+        assert lang == langs[int(p.argmax())] and score == pytest.approx(p.max() / p.sum(), rel=1e-5)
+
+
+def test_network_equals_a_plain_convolution():
+    net = quality.Network(4)
+    for text in ("", "ab", "some words " * 9, "é漢" * 400, "x" * 130_000 + "end"):
+        b = np.concatenate([quality.to_bytes(text)])
+        n = len(b) - quality.TAPS + 1
+        z = np.maximum(sum(net.taps[k][b[k : k + n]].astype(np.float64) for k in range(quality.TAPS)) + net.bias, 0)
+        starts = range(0, max(1, -(-n // quality.HALF) - 1) * quality.HALF, quality.HALF)
+        chunks = np.array([z[a : a + 2 * quality.HALF].max(0) for a in starts])
+        logit = np.concatenate([chunks.mean(0), chunks.max(0)]) @ net.head + net.shift[0]
+        assert net.score(text) == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-4)
+
+
+def test_quality_of_odd_labels_and_empty_tables(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (4, 0), (7, None), (6, 5), (None, 1), (99, 0)], "doc_id long, quality int").withColumn("text", F.lit("other"))
+    net = quality.train(odd(spark), labels, F.lit(True))
+    assert quality.score(odd(spark), net).where("score BETWEEN 0 AND 1").count() == len(ODD)
+    assert quality.score(odd(spark).limit(0), net).count() == 0
+    one = quality.train(odd(spark), labels.where("quality = 1"), F.lit(True))
+    none = quality.train(odd(spark), labels.limit(0), F.lit(True))
+    assert one.score("x") > 0.9 and none.score("x") == 0.5
 
 
 def test_pipeline_stages(spark):

@@ -13,16 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW, REACH = 16, 12
-#: Texts of fewer bytes have shorter windows, closer together, so that they too have several features.
-SHORT, SHORT_WINDOW, SHORT_REACH = 192, 6, 2
+from .common import cut, tidied
+
+WINDOW, REACH = 8, 4
 BITS, HASHES, FEATURES = 2048, 5, 128
 #: Share of the range from a chance overlap to a full one that counts as no likeness.
 CUT = 0.3
-ROWS_PER_CHUNK, MOST_CHUNKS = 1000, 8192
 
 
 def surprisal(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -57,10 +57,10 @@ def features(raw: bytes, bits: np.ndarray) -> np.ndarray:
     """Hashes of a text's features, in order, each once: windows that no window within reach exceeds in improbability,
     the first of equals. A shorter text that isn't empty is one feature."""
     b = np.frombuffer(raw, np.uint8)
-    window, reach = (SHORT_WINDOW, SHORT_REACH) if len(b) < SHORT else (WINDOW, REACH)
+    window, reach = WINDOW, REACH
     n = len(b) - window + 1
     if n < 1:
-        return _mix(np.frombuffer(raw.ljust(8, b"\0"), np.uint64) + np.uint64(len(raw))) if raw else np.empty(0, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(raw)], np.uint64) if raw else np.empty(0, np.uint64)
     cost = np.concatenate(([0], np.cumsum(bits[b[:-1].astype(np.uint16) << 8 | b[1:]])))
     rank = (cost[window - 1 :] - cost[:n]) * (1 << 32) - np.arange(n)
     wide = 2 * reach + 1
@@ -143,66 +143,54 @@ def neighbour_likeness(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id"
     """Each document, the next one by descending id (after the last: the first), and an edit that mixes the two.
 
     Returns (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each
-    row of docs: null texts count as empty, null ids come last, equal ids are ordered by text, a single row is its own
-    next, an empty table gives none. Rows are dealt to runs of neighbouring ids, whose limits are quantiles that occur
-    in the data; a run also gets the row that follows its last one. Tasks read sorted runs row by row.
+    row of docs: null texts count as empty, null ids come last, rows of equal ids are ordered by a hash of their texts,
+    a single row is its own next, an empty table gives none. Rows are dealt to tasks by ranges of that order, so that
+    one id may have any number of rows, and read row by row; a task's last row meets the next task's first one after.
     """
+    from pyspark import TaskContext
+
     spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(bits)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = docs.count()
-    chunks = int(np.clip(n // ROWS_PER_CHUNK, 1, MOST_CHUNKS))
-    steps = [float(x) for x in np.linspace(0, 1, chunks + 1)[1:]]
-    limits = base.agg(F.percentile_approx("id", steps, 20 * chunks)).first()[0] or []
-    shared = spark.sparkContext.broadcast((np.unique(np.array(limits, np.int64)), bits))
-
-    @F.pandas_udf("array<struct<run:int,follows:boolean>>")
-    def deal(ids: pd.Series) -> pd.Series:
-        tops = shared.value[0]
-        x = ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        run = np.searchsorted(tops, x)
-        is_top = (run < len(tops)) & (tops[np.minimum(run, len(tops) - 1)] == x) if len(tops) else np.zeros(len(x), bool)
-        after = (run + 1) % max(1, len(tops))
-        return pd.Series([[{"run": int(r), "follows": False}] + [{"run": int(f), "follows": True}] * bool(t) for r, f, t in zip(run, after, is_top)])
-
-    dealt = base.select("id", "text", F.explode(deal("id")).alias("x")).select("x.run", "x.follows", "id", "text")
-    order = ["run", "follows", F.col("id").desc_nulls_last(), "text"]
-    runs = dealt.repartition("run").sortWithinPartitions(*order)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value[1]
-        names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        held, first = None, None
+    order = [F.col("id").desc_nulls_last(), "h", "text"]
+    runs = base.withColumn("h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("h")
+    kinds = {"id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    ends = {"end": pa.string(), "task": pa.int64(), "text": pa.string()}
+    schema = ", ".join(f"{c} {'string' if k == pa.string() else 'double' if k == pa.float64() else 'long'}" for c, k in (kinds | ends).items())
 
-        def row(now: tuple, after: tuple) -> tuple:
-            mixed = edited_text(now[2], after[2])
-            chain, printed = fingerprint(mixed, bits)
-            return (now[1], len(now[2]), hashlib.sha256(mixed.encode()).hexdigest(), now[4], printed, likeness(now[3], chain), likeness(now[3], after[3]))
+    def row(now: tuple, after: tuple) -> tuple:
+        mixed = edited_text(now[1], after[1])
+        chain, printed = fingerprint(mixed, shared.value)
+        return (now[0], len(now[1]), hashlib.sha256(mixed.encode()).hexdigest(), now[3], printed, likeness(now[2], chain), likeness(now[2], after[2]))
 
-        def pack(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    def pack(rows: list[tuple], fields: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), fields.values())], list(fields))
 
-        out = []
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, out = TaskContext.get().partitionId(), None, []
         for batch in batches:
-            for run, follows, own, text in zip(*batch.columns):
-                run, follows = run.as_py(), follows.as_py()
-                if follows and (held is None or held[0] != run):
-                    continue  # the run's last row has its next one already
-                now = (run, own.as_py(), text.as_py(), *fingerprint(text.as_py(), bits))
-                if held is not None and held[0] == run:
-                    out.append(row(held, now))
-                elif held is not None:
-                    out.append(row(held, first))
-                if held is None or held[0] != run:
-                    first = now
-                held = None if follows else now
+            for own, text in zip(*batch.columns):
+                now = (own.as_py(), text.as_py(), *fingerprint(text.as_py(), shared.value))
+                out.append((*row(held, now), None, task, None) if held else (now[0], *[None] * 6, "first", task, now[1]))
+                held = now
                 if len(out) >= 256:
-                    yield pack(out)
+                    yield pack(out, kinds | ends)
                     out = []
         if held is not None:
-            out.append(row(held, first))
-        if out:
-            yield pack(out)
+            yield pack([*out, (held[0], *[None] * 6, "last", task, held[1])], kinds | ends)
+
+    found = cut(runs.mapInArrow(tidied(compare), schema))
+    # one row a task
+    tasks = found.where("end = 'first'").select("task")
+    every = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = tasks.select("task", F.coalesce(F.lead("task").over(Window.orderBy("task")), F.min("task").over(every)).alias("next"))
+    seams = found.where("end = 'last'").select("task", "id", "text").join(following, "task").join(found.where("end = 'first'").select(F.col("task").alias("next"), F.col("text").alias("after")), "next")
+
+    def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, text, after in zip(*batch.columns):
+                now = (own.as_py(), text.as_py(), *fingerprint(text.as_py(), shared.value))
+                yield pack([row(now, (None, after.as_py(), fingerprint(after.as_py(), shared.value)[0]))], kinds)
 
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return runs.mapInArrow(compare, schema).withColumnRenamed("id", id_col)
+    seamed = seams.select("id", "text", "after").mapInArrow(tidied(join_ends), schema[: schema.index(", end")])
+    return found.where("end IS NULL").select(*kinds).unionByName(seamed).withColumnRenamed("id", id_col)
