@@ -499,19 +499,18 @@ def test_op10_by_brute_force(spark):
     assert (same == 1).all()
 
 
-def test_fingerprints_of_odd_rows(spark):
+def test_fingerprints_of_odd_rows(spark, monkeypatch):
     docs = odd(spark)
     bits = digest.surprisal(docs)
     key = lambda t: np.int64(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
-    for parts in (1, 5):
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == 1).lower())
-        got = digest.neighbour_likeness(docs.repartition(parts), bits).collect()
+    for length in (1000, 1):
+        monkeypatch.setattr(digest, "LENGTH", length)
+        got = digest.neighbour_likeness(docs, bits).collect()
         assert len(got) == len(ODD)
         order = sorted(((i, t or "") for i, t, *_ in ODD), key=lambda x: (x[0] is None, -(x[0] or 0), key(x[1])))
         want = Counter((i, hashlib.sha256(digest.edited_text(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
         assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
         assert len({r["fingerprint"] for r in got if r["doc_id"] in (1, 6)}) == 1
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert digest.neighbour_likeness(docs.limit(0), bits).count() == 0
     alone = digest.neighbour_likeness(docs.where("doc_id = 6"), bits).collect()
     assert len(alone) == 1 and alone[0]["near_next"] == pytest.approx(1.0)

@@ -7,22 +7,26 @@ in text order, into a chain of Bloom filters, and likeness is the normalised ove
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidied
+from .common import tidied
 
 WINDOW, REACH = 8, 4
 BITS, HASHES, FEATURES = 2048, 5, 128
 #: Share of the range from a chance overlap to a full one that counts as no likeness.
 CUT = 0.3
+#: Least mean length of a run of neighbouring documents.
+LENGTH = 1000
 
 
 def surprisal(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -144,53 +148,60 @@ def neighbour_likeness(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id"
 
     Returns (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each
     row of docs: null texts count as empty, null ids come last, rows of equal ids are ordered by a hash of their texts,
-    a single row is its own next, an empty table gives none. Rows are dealt to tasks by ranges of that order, so that
-    one id may have any number of rows, and read row by row; a task's last row meets the next task's first one after.
+    a single row is its own next, an empty table gives none. Rows are dealt to runs of that order, each of which starts
+    with a row drawn by hash; the runs grow with the root of the rows, in number and in length, and one id may fill any
+    number of them. A run also gets the row that starts the next one. Tasks read sorted runs row by row.
     """
-    from pyspark import TaskContext
-
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bits)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("id").desc_nulls_last(), "h", "text"]
-    runs = base.withColumn("h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("h")
-    kinds = {"id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
-    ends = {"end": pa.string(), "task": pa.int64(), "text": pa.string()}
-    schema = ", ".join(f"{c} {'string' if k == pa.string() else 'double' if k == pa.float64() else 'long'}" for c, k in (kinds | ends).items())
-
-    def row(now: tuple, after: tuple) -> tuple:
-        mixed = edited_text(now[1], after[1])
-        chain, printed = fingerprint(mixed, shared.value)
-        return (now[0], len(now[1]), hashlib.sha256(mixed.encode()).hexdigest(), now[3], printed, likeness(now[2], chain), likeness(now[2], after[2]))
-
-    def pack(rows: list[tuple], fields: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), fields.values())], list(fields))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    n = docs.count()
+    length = LENGTH + math.isqrt(n // 4)
+    drawn = base.where(F.pmod(F.xxhash64("id", "h", F.lit(9)), F.lit(length)) == 0).select("id", "h").distinct().collect()
+    lowest = base.select("id", "h").orderBy(F.col("id").desc_nulls_last(), "h").limit(1).collect()
+    # descending ids as ascending keys, null last
+    place = lambda own, h: (1 << 63 if own is None else -own, h)
+    shared = spark.sparkContext.broadcast((sorted({place(*r) for r in [*drawn, *lowest]}), bits))
+
+    @F.arrow_udf("array<struct<run:int,follows:boolean>>")
+    def deal(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        starts, out = shared.value[0], []
+        for own, h in zip(ids.to_pylist(), hashes.to_pylist()):
+            key = place(own, h)
+            run = bisect.bisect_right(starts, key) - 1
+            out.append([{"run": run, "follows": False}] + [{"run": (run - 1) % len(starts), "follows": True}] * (starts[run] == key))
+        return pa.array(out, pa.list_(pa.struct([("run", pa.int32()), ("follows", pa.bool_())])))
+
+    dealt = base.select("id", "text", "h", F.explode(deal("id", "h")).alias("x")).select("x.run", "x.follows", "id", "h", "text")
+    order = ["run", "follows", F.col("id").desc_nulls_last(), "h", "text"]
+    runs = dealt.repartition("run").sortWithinPartitions(*order).drop("h")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held, out = TaskContext.get().partitionId(), None, []
-        for batch in batches:
-            for own, text in zip(*batch.columns):
-                now = (own.as_py(), text.as_py(), *fingerprint(text.as_py(), shared.value))
-                out.append((*row(held, now), None, task, None) if held else (now[0], *[None] * 6, "first", task, now[1]))
-                held = now
-                if len(out) >= 256:
-                    yield pack(out, kinds | ends)
-                    out = []
-        if held is not None:
-            yield pack([*out, (held[0], *[None] * 6, "last", task, held[1])], kinds | ends)
+        bits = shared.value[1]
+        kinds = {"id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+        held, out = None, []
 
-    found = cut(runs.mapInArrow(tidied(compare), schema))
-    # one row a task
-    tasks = found.where("end = 'first'").select("task")
-    every = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = tasks.select("task", F.coalesce(F.lead("task").over(Window.orderBy("task")), F.min("task").over(every)).alias("next"))
-    seams = found.where("end = 'last'").select("task", "id", "text").join(following, "task").join(found.where("end = 'first'").select(F.col("task").alias("next"), F.col("text").alias("after")), "next")
+        def row(now: tuple, after: tuple) -> tuple:
+            mixed = edited_text(now[2], after[2])
+            chain, printed = fingerprint(mixed, bits)
+            return (now[1], len(now[2]), hashlib.sha256(mixed.encode()).hexdigest(), now[4], printed, likeness(now[3], chain), likeness(now[3], after[3]))
+
+        def pack(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
 
-    def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, text, after in zip(*batch.columns):
-                now = (own.as_py(), text.as_py(), *fingerprint(text.as_py(), shared.value))
-                yield pack([row(now, (None, after.as_py(), fingerprint(after.as_py(), shared.value)[0]))], kinds)
+            for run, follows, own, text in zip(*batch.columns):
+                run, follows = run.as_py(), follows.as_py()
+                if follows and (held is None or held[0] != run):
+                    continue  # the run's last row has met its next one already
+                now = (run, own.as_py(), text.as_py(), *fingerprint(text.as_py(), bits))
+                if held is not None:
+                    out.append(row(held, now))
+                held = None if follows else now
+                if len(out) >= 256:
+                    yield pack(out)
+                    out = []
+        if out:
+            yield pack(out)
 
-    seamed = seams.select("id", "text", "after").mapInArrow(tidied(join_ends), schema[: schema.index(", end")])
-    return found.where("end IS NULL").select(*kinds).unionByName(seamed).withColumnRenamed("id", id_col)
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return runs.mapInArrow(tidied(compare), schema).withColumnRenamed("id", id_col)
