@@ -342,3 +342,56 @@ def test_rank_z_p_against_shuffled_rows(spark):
         own = g == r["g"]
         far = np.abs(z(shuffled[:, own].sum(1), own.sum())) >= abs(r["z"]) - 1e-12
         assert r["k1"] == hit[own].sum() and r["p"] == pytest.approx(far.mean(), abs=0.03)
+
+
+def test_headers_stop_at_blank_lines_and_split_double_fields(spark):
+    lines = ["maze_3 opened at 10:30", "User: ann", "Res:X: 640,Y: 480", "odd:one:three", "User: bob", "", "Late: 1"]
+    got = E.header(frame(spark, [("s", k, x) for k, x in enumerate(lines)] + [("t", 0, "lone")], "session string, n int, value string"), "session", "n")
+    assert rows(got, "session") == [("s", "maze_3", "10:30", {"User": "bob", "ResX": "640", "ResY": "480"}), ("t", "lone", "lone", None)]
+
+
+def test_files_with_two_header_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("nose,,ear\nx,y,x\n1,2.5,3\n4,none,6\n")
+    got = T.read_two_row_header(spark, str(tmp_path / "a.csv"))
+    assert got.columns == ["nose_x", "nose_y", "ear_x"]
+    assert sorted(rows(got)) == [(1.0, 2.5, 3.0), (4.0, None, 6.0)]
+
+
+def test_channel_metadata_is_complete_or_an_error(spark, tmp_path):
+    sig, trials = frame(spark, [(1, 1, 0, 0, 1.0)], "session int, trial int, channel int, sample long, value double"), frame(spark, [(1, 0.0)], "trial int, starting_time double")
+    channels = frame(spark, [(0, "a1", 500.0)], "channel int, name string, sample_rate double")
+    signals.write_signal(sig, trials, str(tmp_path / "s"), channels=channels)
+    assert rows(signals.read_channels(spark, str(tmp_path / "s"))) == [(0, "a1", 500.0)]
+    signals.write_signal(sig, trials, str(tmp_path / "t"), channels=channels.drop("sample_rate"))
+    with pytest.raises(ValueError):
+        signals.read_channels(spark, str(tmp_path / "t"))
+
+
+def test_words_with_strobe_bits(spark):
+    top = 32768
+    words = frame(spark, [(1, 0, top + 7, False), (1, 1, 5, True), (1, 2, 9, False), (1, 3, top + 2, False), (1, 4, top + 3, True), (2, 0, 4, False), (2, 0, 4, False), (2, 1, 4, False), (3, 0, 8, True)], "g int, t long, word long, up boolean")
+    got = lambda repair: sorted(rows(W.words_at_strobes(words, ["g"], "t", "word", F.col("up"), repair)))
+    plain = [(2, 0, 4), (2, 1, 4), (3, 0, 8)]
+    assert got(None) == [(1, 0, top + 7), (1, 3, top + 2), *plain]
+    assert got("strobe") == [(1, 1, 5 - top), (1, 4, 3), *plain]
+    assert got("shift") == [(1, 0, None), (1, 3, 9), *plain]
+    with pytest.raises(ValueError):
+        got("other")
+
+
+def test_recordings_that_disagree_with_their_log(spark):
+    flashes = frame(spark, [("a", t) for t in (0, 100, 101, 102, 103, 150, 300, 301, 302)], "film string, t long")
+    parts = W.split_at_bursts(flashes, ["film"], "t", ["t"], 6, 3)
+    assert sorted(rows(parts.select("t", "part"))) == [(100, 0), (101, 0), (102, 0), (103, 0), (150, 0), (300, 1), (301, 1), (302, 1)]
+    log = lambda n: frame(spark, [("a", n)], "film string, expected long")
+    assert rows(W.closest_part(parts, ["film"], log(4))) == [("a", 0, 5, 4, False)]
+    assert rows(W.closest_part(parts, ["film"], log(3), strict=True)) == [("a", 1, 3, 3, True)]
+    with pytest.raises(Exception, match="agree"):
+        rows(W.closest_part(parts, ["film"], log(9), strict=True))
+
+
+def test_gaze_straight_ahead_turns_nothing(spark):
+    eye = F.struct(*[F.lit(0.0).alias(n) for n in "xyz"])
+    df = frame(spark, [(0.0, 0.0, 10.0, 0.0), (20.0, 5.0, 20.0, 5.0), (None, 0.0, 1.0, 1.0)], "gx double, gy double, x double, y double")
+    got = rows(df.select(F.round(G.dome_to_eye(F.col("x"), F.col("y"), F.col("gx"), F.col("gy"), eye)["eccentricity"], 6)))
+    assert got == [(10.0,), (0.0,), (None,)]

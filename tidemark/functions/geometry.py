@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _point(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
@@ -48,6 +55,53 @@ def relative_elevation(elevation: Column) -> Column:
     return F.when(elevation >= 0, 90 - elevation).otherwise(-90 - elevation)
 
 
+def from_relative_elevation(folded: Column) -> Column:
+    """The elevation of a folded one. Both poles fold to 0, which is read as the upper one."""
+    return relative_elevation(folded)
+
+
+def dome_to_cartesian(x: Column, y: Column, radius: float = 60.0) -> Column:
+    """A point of a dome from its angles right of and above straight ahead (x right, y up, z ahead)."""
+    a, e = F.radians(x), F.radians(y)
+    return _point(radius * F.cos(e) * F.sin(a), radius * F.sin(e), radius * F.cos(e) * F.cos(a))
+
+
+def _bounded(c: Column) -> Column:
+    """c between -1 and 1; null and NaN stay."""
+    return F.when(c.between(-1, 1) | F.isnan(c), c).otherwise(F.signum(c))
+
+
+def cartesian_to_dome(p: Column, radius: float = 60.0) -> Column:
+    """(x, y): the angles of a dome's point; behind the left side x goes on beyond 180."""
+    return F.struct((90 - F.degrees(F.atan2(p["z"], p["x"]))).alias("x"), F.degrees(F.asin(_bounded(p["y"] / radius))).alias("y"))
+
+
+def project_to_plane(p: Column, distance: float) -> Column:
+    """Where the line from zero through a point meets the plane z = distance; null if it never does."""
+    k = F.try_divide(F.lit(distance), p["z"])
+    return F.when(k.isNotNull(), scale(p, k))
+
+
+def flat_angles(p: Column) -> Column:
+    """(x, y): the angles of a point's projections to the horizontal and the vertical plane."""
+    return F.struct(F.degrees(F.atan(F.try_divide(p["x"], p["z"]))).alias("x"), F.degrees(F.atan(F.try_divide(p["y"], p["z"]))).alias("y"))
+
+
+def from_flat_angles(x: Column, y: Column, z: Column) -> Column:
+    return _point(F.tan(F.radians(x)) * z, F.tan(F.radians(y)) * z, z)
+
+
+def gaze_direction(x: Column, y: Column) -> Column:
+    """Unit vector of a gaze x right of and y above straight ahead."""
+    return dome_to_cartesian(x, y, 1.0)
+
+
+def eye_to_dome(x: Column, y: Column, eye: Column, radius: float = 60.0) -> Column:
+    """(x, y) on the dome that an eye away from its middle sees at flat angles."""
+    ray = let(from_flat_angles(x, y, F.lit(radius) - eye["z"]), normalize)
+    return let(let(ray, lambda r: sphere_intersect(eye, r, F.lit(radius))), lambda p: cartesian_to_dome(p, radius))
+
+
 def sphere_intersect(origin: Column, direction: Column, radius: Column) -> Column:
     """The far point where a ray from origin meets a sphere about zero; null if it doesn't."""
     a, b, c = dot(direction, direction), 2 * dot(origin, direction), dot(origin, origin) - radius * radius
@@ -62,6 +116,45 @@ def rotate(p: Column, axis: Column, angle: Column) -> Column:
     return add(add(scale(p, F.cos(t)), scale(cross(axis, p), F.sin(t))), scale(axis, dot(axis, p) * (1 - F.cos(t))))
 
 
+def euler_parameters(axis: Column, angle: Column) -> Column:
+    """(a, w) of a turn about a unit axis."""
+    half = F.radians(angle) / 2
+    return F.struct(F.cos(half).alias("a"), let(axis, lambda k: scale(k, F.sin(half))).alias("w"))
+
+
+def rotate_by(p: Column, turn: Column) -> Column:
+    """A point turned by Euler parameters."""
+    return let(cross(turn["w"], p), lambda once: add(add(p, scale(once, 2 * turn["a"])), scale(cross(turn["w"], once), F.lit(2.0))))
+
+
+def to_gaze_frame(p: Column, x: Column, y: Column) -> Column:
+    """A point after the turn that brings the gaze (x, y) straight ahead; a gaze straight ahead turns nothing."""
+    ahead = _point(F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+    def turned(gaze: Column) -> Column:
+        angle = F.degrees(F.acos(_bounded(gaze["z"])))
+        axis = let(cross(gaze, ahead), normalize)
+        return F.when((gaze["x"] == 0) & (gaze["y"] == 0), p).otherwise(let(euler_parameters(axis, angle), lambda turn: rotate_by(p, turn)))
+
+    return let(gaze_direction(x, y), turned)
+
+
+def cartesian_to_retinal(p: Column) -> Column:
+    """(eccentricity, polar) of a direction: the angle from straight ahead, and the angle around it from the right."""
+    return F.struct((90 - F.degrees(F.asin(_bounded(p["z"])))).alias("eccentricity"), F.degrees(F.atan2(p["y"], p["x"])).alias("polar"))
+
+
+def retinal_to_cartesian(eccentricity: Column, polar: Column) -> Column:
+    e, a = F.radians(eccentricity), F.radians(polar)
+    return _point(F.sin(e) * F.cos(a), F.sin(e) * F.sin(a), F.cos(e))
+
+
+def dome_to_eye(x: Column, y: Column, gaze_x: Column, gaze_y: Column, eye: Column, radius: float = 60.0) -> Column:
+    """(eccentricity, polar) of a dome's point for an eye away from its middle that looks along a gaze."""
+    seen = let(add(dome_to_cartesian(x, y, radius), scale(eye, F.lit(-1.0))), normalize)
+    return let(let(seen, lambda p: to_gaze_frame(p, gaze_x, gaze_y)), cartesian_to_retinal)
+
+
 def angle_between(a: Column, b: Column) -> Column:
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(normalize(a), normalize(b))))))
 

@@ -193,6 +193,13 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return full.withColumn("expected", expected).withColumn("chi2", F.pow(F.col("n") - F.col("expected"), 2) / F.col("expected"))
 
 
+def quantile_summary(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """Mean, population deviation and named quantiles of each group, these interpolated."""
+    q = F.percentile(value, F.array(*[F.lit(s) for s in shares.values()]))
+    got = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), q.alias("_q"))
+    return got.select(*by, "mean", "sd", *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(shares)])
+
+
 def circular_summary(df: DataFrame, angle: str, by: list[str]) -> DataFrame:
     """Circular mean and deviation of angles in radians, with the resultant length."""
     s, c = F.avg(F.sin(angle)), F.avg(F.cos(angle))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import sliding_fit
+from .windows import sliding_fit, smooth
 
 
 def decision_point(df: DataFrame, by: list[str], pos: str, cues: dict[str, Column], reach: int, width: float, least: int = 30) -> DataFrame:
@@ -27,11 +27,13 @@ def decision_point(df: DataFrame, by: list[str], pos: str, cues: dict[str, Colum
     return scored.groupBy(*by).agg(F.max_by(pos, F.struct(F.round("score", 9), -F.col(pos))).alias("decision"), F.max("score").alias("score"))
 
 
-def reaction_time(df: DataFrame, by: list[str], pos: str, value: str, windows: list[int], least: float = 0.001, share: float = 0.05) -> DataFrame:
+def reaction_time(df: DataFrame, by: list[str], pos: str, value: str, windows: list[int], least: float = 0.001, share: float = 0.05, taps: list[float] | None = None) -> DataFrame:
     """The sample at which a path departs most from straight lines: over several window lengths the sum of 1 - R
     squared, weighted by what is left of the trial, and its first maximum; null if that is below least or below the
-    given percentile of all trials' maxima."""
+    given percentile of all trials' maxima. With taps the path is smoothed first."""
     x = df.select(*by, pos, value)
+    if taps:
+        x = smooth(x, by, [pos], value, taps)
     for k in windows:
         x = sliding_fit(x, k, by, [pos], value).withColumnRenamed("r2", f"_r{k}").drop("slope")
     w = Window.partitionBy(*by)

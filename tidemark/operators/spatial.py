@@ -102,6 +102,24 @@ def overlaps(pairs: DataFrame, least: float = 0.01) -> DataFrame:
     return pairs.withColumns({"collapsed": flat, "inside_a": F.when(known, flat | hit("a")), "inside_b": F.when(known, flat | hit("b"))})
 
 
+def gaze_centred(stimuli: DataFrame, x: str, y: str, width: float, height: float, gaze_x: str, gaze_y: str, eye: tuple[float, float, float], radius: float = 60.0) -> DataFrame:
+    """stimuli with polygon: the corners of each one's box on the dome as directions (x, y, z) from an eye that looks
+    along its gaze. Null positions or gazes have null corners."""
+    at = F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", eye)])
+
+    def seen(corner: Column) -> Column:
+        r = G.dome_to_eye(corner["x"], corner["y"], F.col(gaze_x), F.col(gaze_y), at, radius)
+        return G.let(r, lambda a: G.retinal_to_cartesian(a["eccentricity"], a["polar"]))
+
+    return stimuli.withColumn("polygon", F.transform(G.corners(F.col(x), F.col(y), F.lit(width), F.lit(height)), seen))
+
+
+def stimulus_slots(stimuli: DataFrame, by: list[str], order: list[str], size: int = 5) -> DataFrame:
+    """stimuli with slot, their place from 0 among the size stimuli of a round, and round, both in order."""
+    k = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    return stimuli.withColumns({"slot": (k % size).cast("int"), "round": F.floor(k / size).cast("int")})
+
+
 def warp_outline(polygons: DataFrame, outline: DataFrame, quad: str) -> DataFrame:
     """Every outline point (point, u, v) mapped into every quadrilateral; the outline is one stated shape."""
     x = polygons.crossJoin(F.broadcast(outline))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import asof_backward
+
 
 def trial_number(events: DataFrame, on: list[str], order: list[str], code: str, start: int) -> DataFrame:
     """events with trial: how many start markers there are up to each row of its session."""
@@ -33,6 +35,21 @@ def trial_payloads(events: DataFrame, on: list[str], order: list[str], code: str
     return got.select(*on, "trial", F.transform("_e", lambda e: F.struct((e[order[0]] - first).alias("t"), e[code].alias("code"))).alias("events"))
 
 
+def attach_payloads(starts: DataFrame, on: list[str], trial: str, start: str, payloads: dict[str, tuple[DataFrame, str, list[str], list[str]]]) -> DataFrame:
+    """starts (on, trial, start) with an array a payload, by name: its rows from the trial's start to before the next
+    one's, as (t since the start, columns) in order. A payload is (rows, time, columns, those of them to be counted from
+    the trial's first row); a trial without rows has null."""
+    got = starts
+    for name, (rows, time, columns, zeroed) in payloads.items():
+        own = asof_backward(rows.select(*on, time, *columns), starts.select(*on, F.col(start).alias("_start"), F.col(trial).alias("_trial")), on, time, "_start", ["_trial"])
+        item = F.struct((F.col(time) - F.col("_start_found")).alias("t"), *columns)
+        listed = own.where("_trial_found IS NOT NULL").groupBy(*on, F.col("_trial_found").alias(trial)).agg(F.array_sort(F.collect_list(item)).alias("_l"))
+        first = F.col("_l")[0]
+        moved = F.transform("_l", lambda e: F.struct(e["t"].alias("t"), *[(e[c] - first[c] if c in zeroed else e[c]).alias(c) for c in columns]))
+        got = got.join(listed.select(*on, trial, moved.alias(name)), [*on, trial], "left")
+    return got
+
+
 def typical_bins(events: DataFrame, on: list[str], order: list[str], time: str, longest_gap: float) -> DataFrame:
     """(k, mean_time): the mean time of the k-th event since its session's first, over the sessions without a long gap
     that have the most frequent number of events (the smaller one of equals)."""

@@ -123,12 +123,79 @@ def peaks(df: DataFrame, by: list[str], order: str, value: str, prominence: floa
     return apply_kernel(df, by, [order], [value], find, f"{order} {name}, {value} double, prominence double, kind string")
 
 
-def detrend(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Value less its straight line over the group's rows."""
+def path_kinematics(df: DataFrame, by: list[str], order: list[str], x: str, y: str, epsilon: float = 1e-5) -> DataFrame:
+    """df with the motion along a path, all by central differences of its rows: dx, dy, speed, the unit tangent and its
+    change (tangent_x, tangent_y, turn_x, turn_y), the unit normal (normal_x, normal_y), ddx, ddy, along (the change of
+    speed) and curvature. Speeds and turns of zero count as epsilon where they divide."""
+
+    def add(frame: DataFrame, **of: str) -> DataFrame:
+        for out, value in of.items():
+            frame = gradient(frame, by, order, value, out)
+        return frame
+
+    length = lambda a, b: F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b))
+    some = lambda c: F.when(c == 0, F.lit(epsilon)).otherwise(c)
+    got = add(df, dx=x, dy=y).withColumn("speed", some(length("dx", "dy")))
+    got = got.withColumns({"tangent_x": F.col("dx") / F.col("speed"), "tangent_y": F.col("dy") / F.col("speed")})
+    got = add(got, turn_x="tangent_x", turn_y="tangent_y", ddx="dx", ddy="dy", along="speed").withColumn("_l", some(length("turn_x", "turn_y")))
+    bend = F.abs(F.col("ddx") * F.col("dy") - F.col("dx") * F.col("ddy")) / F.pow("speed", F.lit(3))
+    return got.withColumns({"normal_x": F.col("turn_x") / F.col("_l"), "normal_y": F.col("turn_y") / F.col("_l"), "curvature": bend}).drop("_l")
+
+
+def path_candidates(paths: DataFrame, by: list[str], pos: str) -> DataFrame:
+    """Of each path of ``path_kinematics`` the first rows at which its tangent, its pull to the side, its acceleration
+    and its curvature change or are greatest: tangent, normal, acceleration, curvature."""
+    side = F.col("curvature") * F.col("speed") * F.col("speed")
+    what = {"tangent": F.abs("turn_y"), "normal": F.greatest(side * F.col("normal_x"), side * F.col("normal_y")), "acceleration": F.abs("ddy"), "curvature": F.col("curvature")}
+    most = lambda c: F.max_by(pos, F.when(c.isNotNull(), F.struct(F.round(c, 9), -F.col(pos))))
+    return paths.groupBy(*by).agg(*[most(c).alias(n) for n, c in what.items()])
+
+
+def smooth(df: DataFrame, by: list[str], order: list[str], value: str, taps: list[float]) -> DataFrame:
+    """df with value replaced by the weighted mean of its neighbours, an odd number of taps around the row; beyond the
+    ends, and where values are missing, the other taps count alone."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    half = len(taps) // 2
+    near = [(F.lag(value, half - k).over(w) if k < half else F.lead(value, k - half).over(w), t) for k, t in enumerate(taps)]
+    total = sum((F.coalesce(c * t, F.lit(0.0)) for c, t in near), F.lit(0.0))
+    weight = sum((F.when(c.isNotNull(), F.lit(t)).otherwise(0.0) for c, t in near), F.lit(0.0))
+    return df.withColumn(value, F.try_divide(total, weight))
+
+
+def words_at_strobes(df: DataFrame, by: list[str], time: str, word: str, rising: Column, repair: str | None = None) -> DataFrame:
+    """(by, time, word): the code word that stands before each rising strobe bit, in order of time.
+
+    The first row of a group is no strobe. A group without strobes gives its rows, those of equal time and word once.
+    Words above 2^15 hold the strobe bit. repair says what becomes of them: None leaves them; "strobe" takes, if a group
+    has any, all its words from the strobe rows, less 2^15; "shift" takes the word one row earlier, and of a group's
+    first strobe less 2^15 if that one holds the bit too. Words that can't be repaired are null.
+    """
+    if repair not in (None, "strobe", "shift"):
+        raise ValueError("repair must be None, strobe or shift")
+    top = 32768
+    w, own = Window.partitionBy(*by).orderBy(time, word), Window.partitionBy(*by)
+    x = df.select(*by, time, word, F.coalesce(rising, F.lit(False)).alias("_s"))
+    x = x.withColumns({"_t": F.lag(time).over(w), "_w": F.lag(word).over(w), "_w2": F.lag(word, 2).over(w), "_k": F.row_number().over(w)})
+    x = x.withColumn("_s", F.col("_s") & (F.col("_k") > 1))
+    x = x.withColumns({"_any": F.max("_s").over(own), "_wrong": F.max(F.col("_s") & (F.col("_w") > top)).over(own), "_first": F.min(F.when(F.col("_s"), F.col("_k"))).over(own)})
+    at, got = F.col("_t"), F.col("_w")
+    if repair == "strobe":
+        at, got = F.when(F.col("_wrong"), F.col(time)).otherwise(at), F.when(F.col("_wrong"), F.col(word) - top).otherwise(got)
+    elif repair == "shift":
+        earlier = F.when((F.col("_w2") > top) & (F.col("_k") == F.col("_first")), F.col("_w2") - top).otherwise(F.col("_w2"))
+        got = F.when(got > top, F.when(earlier <= top, earlier)).otherwise(got)
+    strobed = x.where("_s").select(*by, at.alias(time), got.alias(word))
+    plain = x.where("NOT _any").select(*by, time, word).dropDuplicates()
+    return strobed.unionByName(plain)
+
+
+def detrend(df: DataFrame, by: list[str], order: list[str], value: str, alpha: float = 0.0) -> DataFrame:
+    """Value less its straight line over the group's rows; alpha draws the line's slope towards zero (ridge)."""
     x = df.withColumn("_i", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("double"))
     own = Window.partitionBy(*by)
     mx, my = F.avg("_i").over(own), F.avg(value).over(own)
-    slope = F.coalesce(F.try_divide(F.covar_pop("_i", value).over(own), F.var_pop("_i").over(own)), F.lit(0.0))
+    ridge = F.lit(float(alpha)) / F.count(value).over(own)
+    slope = F.coalesce(F.try_divide(F.covar_pop("_i", value).over(own), F.var_pop("_i").over(own) + ridge), F.lit(0.0))
     return x.withColumn("detrended", F.col(value) - (my + slope * (F.col("_i") - mx))).drop("_i")
 
 
@@ -176,6 +243,31 @@ def burst_sessions(df: DataFrame, by: list[str], t: str, order: list[str], gap:
     return x.groupBy(*by, "_run").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("_run")
 
 
+def split_at_bursts(df: DataFrame, by: list[str], t: str, order: list[str], gap: float, least: int) -> DataFrame:
+    """df with part, from 0: which recording a row belongs to, each one beginning with a run of at least so many rows
+    no further than gap apart. Rows before the first such run are left out."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce((F.col(t) - F.lag(t).over(w)) > gap, F.lit(True))
+    x = df.withColumn("_new", new).withColumn("_run", F.sum(F.col("_new").cast("int")).over(up_to))
+    long_enough = F.count(F.lit(1)).over(Window.partitionBy(*by, "_run")) >= least
+    x = x.withColumn("_start", F.col("_new") & long_enough)
+    return x.withColumn("part", F.sum(F.col("_start").cast("int")).over(up_to) - 1).where("part >= 0").drop("_new", "_run", "_start")
+
+
+def closest_part(parts: DataFrame, by: list[str], expected: DataFrame, tolerance: float = 0.2, strict: bool = False) -> DataFrame:
+    """(by, part, n, expected, agrees): of each recording's parts the one whose number of rows is closest to what its
+    log expects, the earlier of equals; agrees says whether it is off by no more than the tolerance. Strict makes a part
+    that doesn't agree an error. expected: by, expected."""
+    counts = parts.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n")).join(expected, by)
+    off = F.abs(F.col("n") - F.col("expected"))
+    best = counts.groupBy(*by).agg(F.min_by(F.struct("part", "n", "expected"), F.struct(off, "part")).alias("b")).select(*by, "b.*")
+    agrees = F.coalesce(F.try_divide(F.abs(F.col("n") - F.col("expected")), F.col("expected")) <= tolerance, F.lit(False))
+    if strict:
+        agrees = F.when(agrees, True).otherwise(F.raise_error(F.lit("a part's rows don't agree with its log")).cast("boolean"))
+    return best.withColumn("agrees", agrees)
+
+
 def zscore(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Population z within each group; null where nothing varies."""
     w = Window.partitionBy(*by)

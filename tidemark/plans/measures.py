@@ -46,6 +46,55 @@ def _(t):
     return x.select("id", *[r6(F.col(f"p.{c}")).alias(c) for c in "xyz"])
 
 
+_EYE = (1.5, 2.9, -13.8)
+_DOME = f"SELECT id, az / 2 AS ax, el / 2 AS ay, az / 9 AS gx, el / 5 AS gy FROM ({_AE})"
+
+
+def _dome(t):
+    return _ae(t).select("id", (F.col("az") / 2).alias("ax"), (F.col("el") / 2).alias("ay"), (F.col("az") / 9).alias("gx"), (F.col("el") / 5).alias("gy"))
+
+
+def _eye():
+    return F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", _EYE)])
+
+
+@query("H1_relative_elevation", f"SELECT id, el AS elevation, CASE WHEN el >= 0 THEN 90 - el ELSE -90 - el END AS folded FROM ({_AE})")
+def _(t):
+    x = _ae(t).withColumn("folded", G.relative_elevation(F.col("el")))
+    return x.select("id", G.from_relative_elevation(F.col("folded")).alias("elevation"), "folded")
+
+
+@query("H2_dome_transforms", f"""WITH p AS (SELECT *, 60 * cos(radians(ay)) * sin(radians(ax)) AS x, 60 * sin(radians(ay)) AS y, 60 * cos(radians(ay)) * cos(radians(ax)) AS z FROM ({_DOME})),
+r AS (SELECT *, tan(radians(gx)) * 73.8 AS dx, tan(radians(gy)) * 73.8 AS dy FROM p), n AS (SELECT *, sqrt(dx * dx + dy * dy + 73.8 * 73.8) AS l FROM r),
+b AS (SELECT *, dx / l AS ux, dy / l AS uy, 73.8 / l AS uz, 2 * ({_EYE[0]} * dx + {_EYE[1]} * dy + {_EYE[2]} * 73.8) / l AS b FROM n),
+s AS (SELECT *, (-b + sqrt(b * b - 4 * ({_EYE[0] ** 2 + _EYE[1] ** 2 + _EYE[2] ** 2!r} - 3600))) / 2 AS s FROM b)
+SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(ax, 6) AS back_x, round(ay, 6) AS back_y, CASE WHEN abs(ax) < 89 THEN round(x * 40 / z, 6) END AS plane_x, CASE WHEN abs(ax) < 89 THEN round(y * 40 / z, 6) END AS plane_y,
+  round(degrees(atan(x / z)), 6) AS flat_x, round(90 - degrees(atan2({_EYE[2]} + s * uz, {_EYE[0]} + s * ux)), 6) AS seen_x, round(degrees(asin(({_EYE[1]} + s * uy) / 60)), 6) AS seen_y FROM s""")
+def _(t):
+    p, plane = F.col("p"), F.col("plane")
+    x = _dome(t).withColumn("p", G.dome_to_cartesian(F.col("ax"), F.col("ay"))).withColumn("plane", F.when(F.abs("ax") < 89, G.project_to_plane(F.col("p"), 40.0)))
+    x = x.withColumns({"back": G.cartesian_to_dome(p), "flat": G.flat_angles(p), "seen": G.eye_to_dome(F.col("gx"), F.col("gy"), _eye())})
+    return x.select("id", *[r6(p[c]).alias(c) for c in "xyz"], *[r6(F.col(f"{n}.{c}")).alias(f"{n}_{c}") for n in ("back", "seen") for c in "xy"], r6(plane["x"]).alias("plane_x"), r6(plane["y"]).alias("plane_y"), r6("flat.x").alias("flat_x"))
+
+
+def retinal_sql(source: str, keep: str) -> str:
+    """Directions (x, y, z) and retinal angles of the dome's points (ax, ay) of a source under its gazes (gx, gy)."""
+    ex, ey, ez = _EYE
+    return f"""SELECT {keep}, rx AS x, ry AS y, rz AS z, 90 - degrees(asin(greatest(-1, least(1, rz)))) AS eccentricity, degrees(atan2(ry, rx)) AS polar FROM (
+  SELECT *, CASE WHEN hk = 0 THEN vx ELSE vx * c + ky * vz * s + kx * (kx * vx + ky * vy) * (1 - c) END AS rx, CASE WHEN hk = 0 THEN vy ELSE vy * c - kx * vz * s + ky * (kx * vx + ky * vy) * (1 - c) END AS ry, CASE WHEN hk = 0 THEN vz ELSE vz * c + (kx * vy - ky * vx) * s END AS rz FROM (
+  SELECT *, ux / u AS vx, uy / u AS vy, uz / u AS vz, hy / nullif(hk, 0) AS kx, -hx / nullif(hk, 0) AS ky, hz AS c, sqrt(1 - hz * hz) AS s FROM (
+  SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS u, sqrt(hx * hx + hy * hy) AS hk FROM (
+  SELECT *, 60 * cos(radians(ay)) * sin(radians(ax)) - {ex} AS ux, 60 * sin(radians(ay)) - {ey} AS uy, 60 * cos(radians(ay)) * cos(radians(ax)) - {ez} AS uz,
+    cos(radians(gy)) * sin(radians(gx)) AS hx, sin(radians(gy)) AS hy, cos(radians(gy)) * cos(radians(gx)) AS hz FROM {source}))))"""
+
+
+@query("H3_retinal_transforms", f"SELECT id, round(eccentricity, 5) AS eccentricity, round(polar, 4) AS polar, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM ({retinal_sql(f'({_DOME})', 'id')})")
+def _(t):
+    x = _dome(t).withColumn("r", G.dome_to_eye(F.col("ax"), F.col("ay"), F.col("gx"), F.col("gy"), _eye()))
+    x = x.withColumn("p", G.retinal_to_cartesian(F.col("r.eccentricity"), F.col("r.polar")))
+    return x.select("id", F.round("r.eccentricity", 5).alias("eccentricity"), (F.round("r.polar", 4) + F.lit(0.0)).alias("polar"), *[(F.round(f"p.{c}", 5) + F.lit(0.0)).alias(c) for c in "xyz"])
+
+
 @query("H4_stimulus_corners", "SELECT p_partkey, (p_size - 2.0)::DOUBLE AS x0, (p_retailprice / 100 + 1.5)::DOUBLE AS y1, (p_size + 2.0)::DOUBLE AS x2 FROM part")
 def _(t):
     q = G.reorder(G.corners(F.col("p_size").cast("double"), F.col("p_retailprice") / 100, F.lit(4.0), F.lit(3.0)))
@@ -86,6 +135,29 @@ def _(t):
     return x.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.max(word).alias("word"), F.max(X.strip_strobe(F.col("l_partkey") + 32768)).alias("stripped"))
 
 
+_STROBES = """WITH w AS (SELECT l_orderkey, l_linenumber, min((l_suppkey % 256) * 256 + l_partkey % 256) AS word, bool_or(l_quantity > 25) AS s FROM lineitem GROUP BY ALL),
+x AS (SELECT *, lag(l_linenumber) OVER o AS t1, lag(word) OVER o AS w1, lag(word, 2) OVER o AS w2, row_number() OVER o AS k FROM w WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+y AS (SELECT *, s AND k > 1 AS hit FROM x), z AS (SELECT *, bool_or(hit) OVER p AS any_hit, bool_or(hit AND w1 > 32768) OVER p AS wrong, min(CASE WHEN hit THEN k END) OVER p AS first FROM y WINDOW p AS (PARTITION BY l_orderkey))"""
+
+
+def _strobes(t, repair):
+    word = X.combine_words(F.col("l_suppkey"), F.col("l_partkey"))
+    x = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(word).alias("word"), F.max(F.col("l_quantity") > 25).alias("s"))
+    return W.words_at_strobes(x, ["l_orderkey"], "l_linenumber", "word", F.col("s"), repair)
+
+
+@query("H7_strobe_words", f"{_STROBES} SELECT l_orderkey, CASE WHEN hit AND wrong THEN l_linenumber WHEN hit THEN t1 ELSE l_linenumber END AS l_linenumber, CASE WHEN hit AND wrong THEN word - 32768 WHEN hit THEN w1 ELSE word END AS word FROM z WHERE hit OR NOT any_hit")
+def _(t):
+    """Words with the strobe bit make their group take the words of the strobe rows."""
+    return _strobes(t, "strobe")
+
+
+@query("H7_shifted_words", f"{_STROBES}, e AS (SELECT *, CASE WHEN w2 > 32768 AND k = first THEN w2 - 32768 ELSE w2 END AS w3 FROM z) SELECT l_orderkey, CASE WHEN hit THEN t1 ELSE l_linenumber END AS l_linenumber, CASE WHEN hit AND w1 > 32768 THEN CASE WHEN w3 <= 32768 THEN w3 END WHEN hit THEN w1 ELSE word END AS word FROM e WHERE hit OR NOT any_hit")
+def _(t):
+    """Words with the strobe bit are taken one row earlier."""
+    return _strobes(t, "shift")
+
+
 @query("H8_iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, strftime(o_orderdate, '%H%M%S') AS time, strftime(o_orderdate, '%Y_%m_%d') AS dashed FROM orders")
 def _(t):
     iso = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
@@ -210,10 +282,23 @@ def _(t):
     return z.crossJoin(F.broadcast(base)).withColumn("ratio", F.col("k1") / F.col("n1") / F.col("share")).drop("share").withColumns({n: r6(n) for n in ("z", "p", "ratio")})
 
 
-@query("I7_normality_profile", "SELECT state, round(mean, 4) AS mean, round(sd, 4) AS sd, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis, n FROM (SELECT state, avg(rt) AS mean, stddev_pop(rt) AS sd, count(rt) AS n, avg(pow((rt - m) / s, 3)) AS sk, avg(pow((rt - m) / s, 4)) - 3 AS ku FROM tr JOIN (SELECT state, avg(rt) AS m, stddev_pop(rt) AS s FROM tr GROUP BY state) USING (state) GROUP BY state)")
+@query("I7_normality_profile", "SELECT state, round(mean, 4) AS mean, round(sd, 4) AS sd, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis, n, round(n / 6 * (sk * sk + ku * ku / 4), 4) AS jarque_bera FROM (SELECT state, avg(rt) AS mean, stddev_pop(rt) AS sd, count(rt) AS n, avg(pow((rt - m) / s, 3)) AS sk, avg(pow((rt - m) / s, 4)) - 3 AS ku FROM tr JOIN (SELECT state, avg(rt) AS m, stddev_pop(rt) AS s FROM tr GROUP BY state) USING (state) GROUP BY state)")
+def _(t):
+    x = S.normality(t.tr, "state", "rt")
+    return x.withColumns({"jarque_bera": F.round("jarque_bera", 4), "mean": F.round("mean", 4), "sd": F.round("sd", 4), "skewness": r6("skewness"), "kurtosis": r6("kurtosis")})
+
+
+@query("I7_density", """WITH l AS (SELECT state, avg(rt) AS m, stddev_pop(rt) AS s, min(rt) AS lo, max(rt) AS hi, count(rt) AS c FROM tr GROUP BY state), x AS (SELECT state, m, s, lo, (hi - lo) / 12 AS w, c, least(floor((rt - lo) / ((hi - lo) / 12)), 11)::INT AS bin FROM tr JOIN l USING (state) WHERE hi > lo)
+SELECT state, bin, round(lo + (bin + 0.5) * w, 6) AS centre, count(*) AS n, round(1000 * count(*) / (c * w), 6) AS density, round(1000 * exp(-pow((lo + (bin + 0.5) * w - m) / s, 2) / 2) / (s * 2.5066282746310002), 6) AS normal FROM x GROUP BY state, bin, m, s, lo, w, c""")
+def _(t):
+    x = S.density_profile(t.tr, "state", "rt", 12)
+    return x.select("state", "bin", r6("centre").alias("centre"), "n", r6(F.col("density") * 1000).alias("density"), r6(F.col("normal") * 1000).alias("normal"))
+
+
+@query("I7_quantiles", " UNION ALL ".join(f"SELECT state, {p!r}::DOUBLE AS share, round(quantile_cont(rt, {p!r}), 6) AS observed, round(avg(rt) + stddev_pop(rt) * {z!r}, 4) AS normal FROM tr GROUP BY state" for p, z in S.normal_quantiles(20)))
 def _(t):
-    x = S.normality(t.tr, "state", "rt").drop("jarque_bera")
-    return x.withColumns({"mean": F.round("mean", 4), "sd": F.round("sd", 4), "skewness": r6("skewness"), "kurtosis": r6("kurtosis")})
+    x = S.quantile_pairs(t.tr, "state", "rt", 20)
+    return x.select("state", "share", F.round("observed", 6).alias("observed"), F.round("normal", 4).alias("normal"))
 
 
 @query("I8_p_from_z", f"SELECT event_id, round(CASE WHEN z >= 0 THEN {_UPPER} ELSE 1 - {_UPPER} END, 6) AS p FROM (SELECT *, abs(z) / 1.4142135623730951 AS x, 1 / (1 + 0.3275911 * (abs(z) / 1.4142135623730951)) AS t FROM (SELECT event_id, (value - 50) / 20 AS z FROM events))")

@@ -13,6 +13,8 @@ from ..operators import kinematics as K
 from ..operators import spatial as S
 from ..staging import new_dir
 from ..streaming import jobs as T
+from .measures import _EYE as EYE
+from .measures import retinal_sql
 from .registry import query, r6
 
 _CELLS = "(SELECT DISTINCT (p_size % 12) * 100 + p_partkey % 10 AS cell, (p_size % 12) * 3.0::DOUBLE AS az, (p_partkey % 10) * 3.0::DOUBLE AS el FROM part)"
@@ -131,6 +133,22 @@ def _(t):
     return x.withColumn("q", q).select("session", "seq", r6(F.col("q")[2]["x"]).alias("left_x"), r6(F.col("q")[0]["x"]).alias("right_x"))
 
 
+_SEEN = """(SELECT session, seq, us, k, value / 4 + [2, 2, -2, -2][k] AS ax, value / 8 + [-1.5, 1.5, 1.5, -1.5][k] AS ay, gx, gy FROM (
+  SELECT e.session, e.seq, e.us, e.value, g.value / 5 AS gx, g.value / 9 AS gy, unnest([1, 2, 3, 4]) AS k FROM (SELECT * FROM ev WHERE code = 3011) e ASOF JOIN (SELECT * FROM ev WHERE code = 1) g ON e.session = g.session AND e.us <= g.us))"""
+
+
+@query("N5_retinal_polygons", f"""SELECT p.session, p.seq, slot::INT AS slot, round::INT AS round, k::INT AS corner, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM ({retinal_sql(_SEEN, 'session, seq, k')}) p
+JOIN (SELECT session, seq, (row_number() OVER w - 1) % 5 AS slot, (row_number() OVER w - 1) // 5 AS round FROM ev WHERE code = 3011 WINDOW w AS (PARTITION BY session ORDER BY us, seq)) USING (session, seq)""")
+def _(t):
+    """Corners of every stimulus as the eye sees them under the next gaze, with the stimulus's slot among five."""
+    stimuli = S.stimulus_slots(t.ev.where("code = 3011").select("session", "us", "seq", (F.col("value") / 4).alias("x"), (F.col("value") / 8).alias("y")), ["session"], ["us", "seq"])
+    gaze = t.ev.where("code = 1").select("session", "us", (F.col("value") / 5).alias("gx"), (F.col("value") / 9).alias("gy"))
+    seen = J.asof_forward(stimuli, gaze, ["session"], "us", "us", ["gx", "gy"]).where("us_found IS NOT NULL")
+    polygons = S.gaze_centred(seen, "x", "y", 4.0, 3.0, "gx_found", "gy_found", EYE)
+    x = polygons.select("session", "seq", "slot", "round", F.posexplode("polygon").alias("k", "p"))
+    return x.select("session", "seq", "slot", "round", (F.col("k") + 1).alias("corner"), *[(F.round(f"p.{c}", 5) + F.lit(0.0)).alias(c) for c in "xyz"])
+
+
 @query("N6_warp_outline", "SELECT p_partkey, n_nationkey AS point, round(u * p_size, 6) AS x, round(v * 3.0 + u * 2.0, 6) AS y FROM part, (SELECT n_nationkey, n_nationkey / 25 AS u, (n_nationkey * 7 % 25) / 25 AS v FROM nation)")
 def _(t):
     s = F.col("p_size").cast("double")
@@ -140,12 +158,13 @@ def _(t):
     return S.warp_outline(t("part").select("p_partkey", quad.alias("q")), outline, "q").select("p_partkey", "point", r6("x").alias("x"), r6("y").alias("y"))
 
 
-@query("C12_spatial_overlap", "SELECT p_partkey, p_size < 10 AS collapsed, true AS inside_a, p_size < 10 AS inside_b FROM part")
+@query("C12_spatial_overlap", """SELECT p_partkey, p_size < 10 AS collapsed, p_size < 10 OR d < 1.5 AND 2.25 * acos(d / 1.5) - d * sqrt(2.25 - d * d) >= 0.1 * pi() * 2.25 AS inside_a, p_size < 10 AS inside_b
+FROM (SELECT p_partkey, p_size, least((p_partkey % 16) / 10.0, 1.5) AS d FROM part)""")
 def _(t):
     s = F.col("p_size").cast("double")
     box = lambda x: F.array(*[F.struct(F.lit(a).alias("x"), b.alias("y")) for a, b in ((x, s * 0), (x + 9.0, s * 0), (x + 9.0, s), (x, s))])
-    x = t("part").select("p_partkey", F.lit(4.0).alias("x"), F.lit(2.0).alias("y"), F.lit(1.5).alias("radius"), box(0.0).alias("a"), box(50.0).alias("b"))
-    return S.overlaps(x).select("p_partkey", "collapsed", "inside_a", "inside_b")
+    x = t("part").select("p_partkey", (-(F.col("p_partkey") % 16) / 10).alias("x"), (s / 2).alias("y"), F.lit(1.5).alias("radius"), box(0.0).alias("a"), box(50.0).alias("b"))
+    return S.overlaps(x, 0.1).select("p_partkey", "collapsed", "inside_a", "inside_b")
 
 
 @query("N7_overlap_raster", """WITH g AS (SELECT session, min(us) + unnest(range(20)) * 86400000000 AS tick FROM ev GROUP BY session),
@@ -186,6 +205,16 @@ def _(t):
     return K.reaction_time(t.seq, ["session"], "pos", "value", [5, 9])
 
 
+_TAPS = [0.25, 0.5, 0.25]
+
+
+@query("E12_smoothed_reaction", "WITH seq AS (SELECT * REPLACE ((0.25 * coalesce(lag(value) OVER w, 0) + 0.5 * value + 0.25 * coalesce(lead(value) OVER w, 0)) / (CASE WHEN lag(value) OVER w IS NULL THEN 0 ELSE 0.25 END + 0.5 + CASE WHEN lead(value) OVER w IS NULL THEN 0 ELSE 0.25 END) AS value) FROM (SELECT session, row_number() OVER (PARTITION BY session ORDER BY us, seq) - 1 AS pos, value FROM ev) WINDOW w AS (PARTITION BY session ORDER BY pos)), " + f"""a AS ({_r2(5)}), b AS ({_r2(9)}), s AS (SELECT a.session, a.pos, round((1 - a.r2 + 1 - b.r2) * (1 - a.pos / count(*) OVER (PARTITION BY a.session)), 6) AS s FROM a JOIN b USING (session, pos)),
+m AS (SELECT session, s AS score, pos FROM s QUALIFY row_number() OVER (PARTITION BY session ORDER BY s DESC, pos) = 1)
+SELECT session, score, CASE WHEN score >= 0.001 AND score >= (SELECT quantile_cont(score, 0.05) FROM m) THEN pos END AS reaction FROM m""")
+def _(t):
+    return K.reaction_time(t.seq, ["session"], "pos", "value", [5, 9], taps=_TAPS)
+
+
 @query("E18_median_subsample", "SELECT a.session, a.seq, round(median(b.value), 6) AS median, count(*) AS n FROM (SELECT * FROM ev WHERE code = 3011) a JOIN (SELECT * FROM ev WHERE code <> 3011) b ON a.session = b.session AND abs(a.us - b.us) <= 43200000000 GROUP BY a.session, a.seq")
 def _(t):
     left = t.ev.where("code = 3011").select("session", "us", "seq")
@@ -226,3 +255,19 @@ def _(t):
     out = new_dir(t.spark, "stream")
     T.drain_complete(T.rates(_stream(t), "ts", "6 hours", "1 day", ["event_type"]), f"{out}/t", f"{out}/c")
     return t.spark.read.parquet(f"{out}/t").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n")
+
+
+@query("T3_sliding_rate", "SELECT strftime(time_bucket(INTERVAL 2 HOURS, ts) - to_hours(2 * k), '%Y-%m-%d %H') AS window_start, event_type, count(*) AS n FROM events, range(3) r(k) GROUP BY ALL")
+def _(t):
+    out = new_dir(t.spark, "stream")
+    T.drain_complete(T.rates(_stream(t), "ts", "6 hours", "1 day", ["event_type"], slide="2 hours"), f"{out}/t", f"{out}/c")
+    return t.spark.read.parquet(f"{out}/t").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n")
+
+
+@query("T3_burst_rate", """SELECT user_id, round(epoch(min(ts)))::BIGINT AS begins, round(epoch(max(ts)))::BIGINT + 14400 AS ends, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (
+  SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 4 HOURS, true)::INT AS f FROM events)) GROUP BY user_id, run""")
+def _(t):
+    out = new_dir(t.spark, "stream")
+    T.drain_complete(T.burst_rates(_stream(t), "ts", "4 hours", "1 day", ["user_id"]), f"{out}/t", f"{out}/c")
+    at = lambda c: F.round(F.unix_millis(c) / 1000).cast("long")
+    return t.spark.read.parquet(f"{out}/t").select("user_id", at("window_start").alias("begins"), at("window_end").alias("ends"), "n")

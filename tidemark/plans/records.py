@@ -9,7 +9,7 @@ from ..operators import trials as R
 from ..sources import eventlog as E
 from ..sources import signals as S
 from ..sources import tables as B
-from ..staging import numbered
+from ..staging import new_dir, numbered
 from .registry import query, r6
 
 #: Events as log lines: each event a marker line, clicks followed by a description, other kinds by further lines.
@@ -52,12 +52,25 @@ def _(t):
     return _log(t).withColumn("payload", F.array_join("payload", ","))
 
 
-@query("A2_read_log_header", "SELECT user_id AS session, max(CASE WHEN event_type = 'view' THEN v END) AS level, count(*) AS fields FROM (SELECT user_id, event_type, arg_max(event_id::VARCHAR, rn) AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 40 GROUP BY ALL) GROUP BY user_id")
+_HEAD = """SELECT user_id AS session, rn, CASE WHEN rn = 1 THEN 'map_' || event_id % 3 || ' loaded at 10:' || event_id % 60 WHEN event_type = 'error' THEN 'Res:X: ' || event_id || ',Y: ' || event_id % 5
+  WHEN event_type = 'purchase' AND event_id % 11 = 0 THEN '' ELSE event_type || ': ' || event_id END AS line FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"""
+
+
+@query("A2_read_log_header", f"""WITH l AS ({_HEAD}), k AS (SELECT session, rn, string_split(line, ':') AS p FROM (SELECT *, min(CASE WHEN rn > 1 AND line = '' THEN rn END) OVER (PARTITION BY session) AS stop FROM l) WHERE rn BETWEEN 2 AND 41 AND (stop IS NULL OR rn < stop)),
+f AS (SELECT session, rn, p[1] AS k, trim(p[2]) AS v FROM k WHERE len(p) = 2 UNION ALL SELECT session, rn, p[1] || p[2], trim(split_part(p[3], ',', 1)) FROM k WHERE len(p) = 4 UNION ALL SELECT session, rn, p[1] || split_part(p[3], ',', 2), trim(p[4]) FROM k WHERE len(p) = 4),
+g AS (SELECT session, k, arg_max(v, rn) AS v FROM f GROUP BY session, k)
+SELECT session, split_part(line, ' ', 1) AS level, split_part(line, ' ', 4) AS start_time, max(CASE WHEN k = 'view' THEN v END) AS view, max(CASE WHEN k = 'ResX' THEN v END) AS res_x, max(CASE WHEN k = 'ResY' THEN v END) AS res_y, nullif(count(k), 0) AS fields FROM l LEFT JOIN g USING (session) WHERE rn = 1 GROUP BY session, line""")
 def _(t):
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    lines = t("events").select(F.col("user_id").alias("session"), rn.alias("n"), F.concat_ws(": ", "event_type", "event_id").alias("value"))
-    x = E.header(lines, "session", "n")
-    return x.select("session", F.col("fields")["view"].alias("level"), F.size("fields").cast("long").alias("fields"))
+    rn, i, kind = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.col("event_id"), F.col("event_type")
+    line = (
+        F.when(F.col("n") == 1, F.concat(F.lit("map_"), (i % 3).cast("string"), F.lit(" loaded at 10:"), (i % 60).cast("string")))
+        .when(kind == "error", F.concat(F.lit("Res:X: "), i.cast("string"), F.lit(",Y: "), (i % 5).cast("string")))
+        .when((kind == "purchase") & (i % 11 == 0), F.lit(""))
+        .otherwise(F.concat_ws(": ", kind, i))
+    )
+    x = E.header(t("events").withColumn("n", rn).select(F.col("user_id").alias("session"), "n", line.alias("value")), "session", "n")
+    field = lambda k, n: F.try_element_at("fields", F.lit(k)).alias(n)
+    return x.select("session", "level", "start_time", field("view", "view"), field("ResX", "res_x"), field("ResY", "res_y"), F.when(F.col("fields").isNotNull(), F.size("fields")).cast("long").alias("fields"))
 
 
 @query("A3_event_markers", f"""SELECT session, line_no, ts, code, device_ts, description FROM (SELECT *, split_part(payload, ',', 1)::BIGINT AS code, split_part(payload, ',', 2)::DOUBLE AS device_ts,
@@ -86,12 +99,32 @@ _PARAM = """SELECT user_id AS session, event_id % 9 AS object_id, ts, event_id,
 @query("A6_typed_params", """SELECT session, object_id, (event_id / 8)::DOUBLE AS value_ts, name, 'Float' AS type, CASE name WHEN 'k' THEN k WHEN 'v' THEN value END AS number, NULL::BOOLEAN AS flag, NULL::VARCHAR AS string FROM (
   SELECT user_id AS session, event_id % 9 AS object_id, event_id, value, (props->>'k')::DOUBLE AS k, unnest(['k', 'v', 'w']) AS name FROM events)""")
 def _(t):
+    return E.typed_params(_param_log(t))
+
+
+@query("A6_initial_params", """SELECT session, object_id, value_ts, name, CASE name WHEN 'k' THEN k WHEN 'v' THEN value END AS number FROM (
+  SELECT user_id AS session, event_id % 9 AS object_id, (event_id / 8)::DOUBLE AS value_ts, value, (props->>'k')::DOUBLE AS k, unnest(['k', 'v', 'w']) AS name FROM events
+  QUALIFY event_id = min(event_id) OVER (PARTITION BY user_id, event_id % 9))""")
+def _(t):
+    return E.initial_only(E.typed_params(_param_log(t))).select("session", "object_id", "value_ts", "name", "number")
+
+
+@query("A6_param_history", """SELECT session, object_id, name, count(*)::INT AS changes, round(sum(coalesce(number, 0)), 6) AS total, arg_max(ts, ts) AS last_ts FROM (
+  SELECT *, lag(number) OVER w AS b, row_number() OVER w AS n FROM (SELECT user_id AS session, event_id % 9 AS object_id, (event_id / 8)::DOUBLE AS ts, name, CASE name WHEN 'k' THEN (props->>'k')::DOUBLE WHEN 'v' THEN value END AS number FROM events, (VALUES ('k'), ('v'), ('w')) v(name))
+  WINDOW w AS (PARTITION BY session, object_id, name ORDER BY ts)) WHERE n = 1 OR number IS DISTINCT FROM b GROUP BY ALL""")
+def _(t):
+    x = E.param_history(E.typed_params(_param_log(t)))
+    total = F.aggregate(F.transform("history", lambda h: F.coalesce(h["number"], F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+    return x.select("session", "object_id", "name", F.size("history").alias("changes"), r6(total).alias("total"), F.element_at("history", -1)["ts"].alias("last_ts"))
+
+
+def _param_log(t) -> DataFrame:
     i = F.col("event_id")
     base = t("events").select(F.col("user_id").alias("session"), (i % 9).alias("object_id"), (i / 8).alias("ts"), i.alias("event_id"), F.get_json_object("props", "$.k").alias("k"), F.col("value").cast("string").alias("v"))
     head = F.struct(F.lit("FloatParameterHeader").alias("kind"), F.array(F.lit("k"), F.lit("v"), F.lit("w")).alias("payload"))
     vals = F.struct(F.lit("ParameterValues").alias("kind"), F.array("k", "v", F.lit("none")).alias("payload"))
     log = base.select("session", "object_id", "ts", "event_id", F.posexplode(F.array(head, vals)).alias("_p", "x")).select("session", "object_id", "ts", (F.col("event_id") * 2 + F.col("_p")).alias("line_no"), "x.kind", "x.payload")
-    return E.typed_params(log)
+    return log
 
 
 @query("A7_object_track", f"""WITH l AS (SELECT session, object_id, ts, payload FROM ({_PARSED}) WHERE kind = 'Location'), r AS (SELECT session, object_id, ts, payload FROM ({_PARSED}) WHERE kind = 'Rotation')
@@ -123,6 +156,18 @@ def _(t):
     return S.unpack(S.pack(t.sig, ["trial", "channel"]), ["trial", "channel"])
 
 
+@query("A10_signal_files", "SELECT channel, 'ch' || channel AS name, session, min(sample / 64.0)::DOUBLE AS t0, max(sample / 64.0)::DOUBLE AS t1, count(*) AS n, round(sum(value), 4) AS total FROM sig GROUP BY ALL")
+def _(t):
+    """Samples, trials and channels written as files and read back, with times by the channels' own sample rate."""
+    path = new_dir(t.spark, "signal")
+    channels = t.sig.select("channel").distinct().select("channel", F.concat(F.lit("ch"), F.col("channel").cast("string")).alias("name"), F.lit(64.0).alias("sample_rate"))
+    S.write_signal(t.sig, t.sig.select("session", "trial").distinct().withColumn("starting_time", F.lit(0.0)), path, channels=channels)
+    back, _ = S.read_signal(t.spark, path)
+    x = back.join(S.read_channels(t.spark, path), "channel").withColumn("t", F.col("sample") / F.col("sample_rate"))
+    x = x.groupBy("channel", "name", F.col("session").cast("long").alias("session")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return x.withColumn("total", F.round("total", 4) + F.lit(0.0))
+
+
 @query("A11_trial_time_vector", "SELECT o_orderkey AS trial, i::INT AS sample, (i - 3) / 64 AS t FROM (SELECT o_orderkey, unnest(range(o_orderkey % 6)) AS i FROM orders)")
 def _(t):
     x = t.tr.select("trial", (F.col("trial") % 6).alias("n"), F.lit(-3).alias("offset"))
@@ -136,6 +181,16 @@ def _(t):
     return x.select("session", F.aggregate(codes, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), F.size(codes).alias("n"))
 
 
+@query("A12_event_lists", "SELECT session, array_to_string(list(code ORDER BY us, seq), ',') AS codes FROM ev GROUP BY session")
+def _(t):
+    """Each session's codes as text, written as a delimited file, read back, taken apart and joined again."""
+    path = new_dir(t.spark, "codes")
+    listed = t.ev.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("us", "seq", "code"))).getField("code").alias("codes"))
+    listed.select("session", B.codes_to_text(F.col("codes")).alias("codes")).write.csv(path, header=True, sep=";")
+    back = B.read_delimited(t.spark, path, "session long, codes string", separator=";")
+    return back.select("session", B.codes_to_text(B.text_to_codes(F.col("codes"))).alias("codes"))
+
+
 @query("A13_slice_by_index", "SELECT 'S' || session || '_' || 20240100 + session AS session_id, (20240100 + session)::VARCHAR AS date, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY us, seq) - 1) // 500 AS session FROM ev) GROUP BY session")
 def _(t):
     ranked = numbered(t.ev.select("us", "seq"), ["us", "seq"])
@@ -153,6 +208,15 @@ def _(t):
     return x.select("page_id", F.nullif(F.get(parts, F.lit(3)), F.lit("")).alias("lang"), F.regexp_extract(F.coalesce(F.get(parts, F.lit(4)), F.lit("")), r"^(\d+)", 1).alias("number"))
 
 
+@query("A14_path_fields", """SELECT doc_id, coalesce(source, 'none') AS project, coalesce(lang, 'none') AS subject, (20240100 + doc_id % 28)::VARCHAR AS day, CASE WHEN doc_id % 3 > 0 THEN lpad((doc_id % 1000000)::VARCHAR, 6, '0') END AS tag FROM documents""")
+def _(t):
+    i = F.col("doc_id")
+    name = F.when(i % 3 > 0, F.concat(F.lit("b_events"), F.lpad((i % 1000000).cast("string"), 6, "0"), F.lit(".npy"))).otherwise("b_words.npy")
+    path = F.concat_ws("/", F.lit("/data/projects"), F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), (20240100 + i % 28).cast("string"), name)
+    x = t("documents").select("doc_id", path.alias("path"))
+    return x.select("doc_id", *B.path_fields(F.col("path"), "projects", ["project", "subject", "day"]), B.alignment_tag(F.col("path")).alias("tag"))
+
+
 @query("A15_new_results_only", "SELECT DISTINCT session, state FROM tr WHERE (session, state) NOT IN (SELECT session, state FROM tr WHERE outcome = 'F')")
 def _(t):
     known = t.tr.where("outcome = 'F'").select("session", "state")
@@ -201,6 +265,19 @@ def _(t):
     return x.select("session", "trial", F.array_join(F.transform(F.col("events").getField("code"), lambda c: c.cast("string")), ",").alias("codes"), F.array_max(F.col("events").getField("t")).alias("span"))
 
 
+@query("D30_trial_tracks", f"""WITH s AS (SELECT session, trial::INT AS trial, us FROM ({_RUN}) WHERE code = 3000), v AS (SELECT e.session, s.trial, e.us, e.value FROM ev e ASOF JOIN s ON e.session = s.session AND e.us >= s.us WHERE e.code = 3011),
+o AS (SELECT e.session, s.trial, count(*)::INT AS n FROM ev e ASOF JOIN s ON e.session = s.session AND e.us >= s.us WHERE e.code = 2 GROUP BY e.session, s.trial),
+z AS (SELECT session, trial, count(*)::INT AS n_track, round(sum(value - first), 6) AS moved FROM (SELECT *, first_value(value) OVER (PARTITION BY session, trial ORDER BY us, value) AS first FROM v) GROUP BY session, trial)
+SELECT s.session, s.trial, n_track, moved, o.n AS n_objects FROM s LEFT JOIN z USING (session, trial) LEFT JOIN o USING (session, trial)""")
+def _(t):
+    """Each trial's track, counted from its first place, and the objects that appear in it."""
+    starts = R.trial_number(t.ev, ["session"], ["us", "seq"], "code", 3000).where("code = 3000").select("session", "trial", F.col("us").alias("start"))
+    x = R.attach_payloads(starts, ["session"], "trial", "start", {"track": (t.ev.where("code = 3011"), "us", ["value"], ["value"]), "objects": (t.ev.where("code = 2"), "us", ["seq"], [])})
+    moved = F.aggregate(F.col("track").getField("value"), F.lit(0.0), lambda a, b: a + b)
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return x.select("session", "trial", size("track").alias("n_track"), r6(moved).alias("moved"), size("objects").alias("n_objects"))
+
+
 @query("D31_paired_identity", "SELECT p_partkey, coalesce(a, m[b]) || ' ' || coalesce(b, m[a]) AS identity FROM (SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN [30, 49, 51, 70][p_size % 4 + 1] END AS a, CASE WHEN p_size % 3 = 0 THEN [30, 49, 51, 70][p_size % 4 + 1] END AS b, MAP {30: 70, 70: 30, 49: 51, 51: 49} AS m FROM part)")
 def _(t):
     code = F.element_at(F.array(*map(F.lit, (30, 49, 51, 70))), F.col("p_size") % 4 + 1)

@@ -229,6 +229,14 @@ def _(t):
     return _round(A.circular_summary(x, "a", ["event_type"]), "mean_angle", "resultant", "sd_angle")
 
 
+_SHARES = {"q025": 0.025, "q250": 0.25, "q500": 0.5, "q750": 0.75, "q975": 0.975}
+
+
+@query("D35_quantile_summary", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for n, q in _SHARES.items()) + " FROM events GROUP BY event_type")
+def _(t):
+    return _round(A.quantile_summary(t("events"), "value", ["event_type"], _SHARES), "mean", "sd", *_SHARES)
+
+
 @query("E1_block_id", f"SELECT session, pos, block FROM ({_BLOCKS})")
 def _(t):
     return A.block_id(t.seq).select("session", "pos", "block")
@@ -289,6 +297,36 @@ def _(t):
     return _round(X.gradient(t.seq, ["session"], ["pos"], "value").select("session", "pos", "gradient"), "gradient")
 
 
+def _gradient_sql(source: str, **of: str) -> str:
+    g = lambda v: f"CASE WHEN lag({v}) OVER w IS NULL THEN lead({v}) OVER w - {v} WHEN lead({v}) OVER w IS NULL THEN {v} - lag({v}) OVER w ELSE (lead({v}) OVER w - lag({v}) OVER w) / 2 END"
+    return f"SELECT *, {', '.join(f'{g(v)} AS {n}' for n, v in of.items())} FROM {source} WINDOW w AS (PARTITION BY session ORDER BY pos)"
+
+
+_PATH = f"""WITH g AS ({_gradient_sql('(SELECT session, pos, value, (seq % 97)::DOUBLE AS y FROM (SELECT session, row_number() OVER (PARTITION BY session ORDER BY us, seq) - 1 AS pos, value, seq FROM ev))', dx='value', dy='y')}),
+s AS (SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) = 0 THEN 1e-5 ELSE sqrt(dx * dx + dy * dy) END AS speed FROM g), d AS (SELECT *, dx / speed AS tx, dy / speed AS ty FROM s),
+k AS ({_gradient_sql('d', turn_x='tx', turn_y='ty', ddx='dx', ddy='dy')}), l AS (SELECT *, CASE WHEN sqrt(turn_x * turn_x + turn_y * turn_y) = 0 THEN 1e-5 ELSE sqrt(turn_x * turn_x + turn_y * turn_y) END AS l FROM k),
+p AS (SELECT *, turn_x / l AS nx, turn_y / l AS ny, abs(ddx * dy - dx * ddy) / pow(speed, 3) AS curvature FROM l)"""
+
+
+def _path(t):
+    path = t.ev.select("session", (F.row_number().over(Window.partitionBy("session").orderBy("us", "seq")) - 1).cast("long").alias("pos"), "value", (F.col("seq") % 97).cast("double").alias("y"))
+    return X.path_kinematics(path, ["session"], ["pos"], "value", "y")
+
+
+@query("E8_path_kinematics", f"{_PATH} SELECT session, pos, round(speed, 6) AS speed, round(tx, 6) AS tangent_x, round(ty, 6) AS tangent_y, round(nx, 6) AS normal_x, round(ny, 6) AS normal_y, round(curvature, 5) AS curvature FROM p")
+def _(t):
+    x = _path(t).select("session", "pos", "speed", "tangent_x", "tangent_y", "normal_x", "normal_y", "curvature")
+    return _round(x, "speed", "tangent_x", "tangent_y", "normal_x", "normal_y").withColumn("curvature", F.round("curvature", 5))
+
+
+_FIRST = lambda c, n: f"first(pos ORDER BY round({c}, 9) DESC NULLS LAST, pos) AS {n}"
+
+
+@query("E8_path_candidates", f"{_PATH}, c AS (SELECT session, count(*) AS n, {_FIRST('abs(turn_y)', 'tangent')}, {_FIRST('greatest(curvature * speed * speed * nx, curvature * speed * speed * ny)', 'normal')}, {_FIRST('abs(ddy)', 'acceleration')}, {_FIRST('curvature', 'curvature')} FROM p GROUP BY session) SELECT session, CASE WHEN n > 1 THEN tangent END AS tangent, CASE WHEN n > 1 THEN normal END AS normal, CASE WHEN n > 1 THEN acceleration END AS acceleration, CASE WHEN n > 1 THEN curvature END AS curvature FROM c")
+def _(t):
+    return X.path_candidates(_path(t), ["session"], "pos")
+
+
 @query("E9_peaks", """WITH x AS (SELECT session, pos, value, lag(value) OVER w AS d, lead(value) OVER w AS u FROM seq WINDOW w AS (PARTITION BY session ORDER BY pos)),
 c AS (SELECT * FROM x WHERE value > d AND value > u),
 l AS (SELECT c.session, c.pos, c.value, coalesce(max(CASE WHEN s.value > c.value AND s.pos < c.pos THEN s.pos END), -1) AS a, coalesce(min(CASE WHEN s.value > c.value AND s.pos > c.pos THEN s.pos END), 1000000000) AS b FROM c JOIN seq s USING (session) GROUP BY ALL),
@@ -303,6 +341,11 @@ def _(t):
     return _round(X.detrend(t.seq, ["session"], ["pos"], "value").select("session", "pos", "detrended"), "detrended")
 
 
+@query("E10_detrend_ridge", """SELECT session, pos, round(value - (avg(value) OVER s + covar_pop(pos, value) OVER s / (var_pop(pos) OVER s + 50 / count(*) OVER s) * (pos - avg(pos) OVER s)), 6) AS detrended FROM seq WINDOW s AS (PARTITION BY session)""")
+def _(t):
+    return _round(X.detrend(t.seq, ["session"], ["pos"], "value", alpha=50).select("session", "pos", "detrended"), "detrended")
+
+
 @query("E13_rezero", "SELECT session, pos, us - first_value(us) OVER w AS us_zeroed, round(value - first_value(value) OVER w, 6) AS value_zeroed FROM seq WINDOW w AS (PARTITION BY session ORDER BY pos)")
 def _(t):
     return _round(X.rezero(t.seq, ["session"], ["pos"], ["us", "value"]).select("session", "pos", "us_zeroed", "value_zeroed"), "value_zeroed")
@@ -337,6 +380,23 @@ def _(t):
     return X.burst_sessions(t.seq, ["session"], "us", ["us", "pos"], 14_400_000_000, 4)
 
 
+_PARTS = """WITH r AS (SELECT *, sum(f) OVER (PARTITION BY session ORDER BY us, pos) AS run FROM (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY session ORDER BY us, pos) > 14400000000, true)::INT AS f FROM seq)),
+s AS (SELECT *, f = 1 AND count(*) OVER (PARTITION BY session, run) >= 3 AS begins FROM r), p AS (SELECT *, sum(begins::INT) OVER (PARTITION BY session ORDER BY us, pos) - 1 AS part FROM s)"""
+
+
+@query("E17_split_at_bursts", f"{_PARTS} SELECT session, pos, part::INT AS part FROM p WHERE part >= 0")
+def _(t):
+    return X.split_at_bursts(t.seq, ["session"], "us", ["us", "pos"], 14_400_000_000, 3).select("session", "pos", F.col("part").cast("int").alias("part"))
+
+
+@query("E17_closest_part", f"""{_PARTS}, e AS (SELECT session, count_if(state = 'view')::BIGINT AS expected FROM seq GROUP BY session), c AS (SELECT session, part, count(*) AS n FROM p WHERE part >= 0 GROUP BY session, part)
+SELECT session, part::INT AS part, n, expected, coalesce(abs(n - expected) / nullif(expected, 0) <= 0.2, false) AS agrees FROM c JOIN e USING (session) QUALIFY row_number() OVER (PARTITION BY session ORDER BY abs(n - expected), part) = 1""")
+def _(t):
+    parts = X.split_at_bursts(t.seq, ["session"], "us", ["us", "pos"], 14_400_000_000, 3)
+    expected = t.seq.groupBy("session").agg(F.count_if(F.col("state") == "view").alias("expected"))
+    return X.closest_part(parts, ["session"], expected).withColumn("part", F.col("part").cast("int"))
+
+
 @query("E19_zscore", "SELECT session, pos, round((value - avg(value) OVER s) / nullif(stddev_pop(value) OVER s, 0), 6) AS z FROM seq WINDOW s AS (PARTITION BY state)")
 def _(t):
     return _round(X.zscore(t.seq, ["state"], "value").select("session", "pos", "z"), "z")

@@ -23,11 +23,26 @@ def read_event_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def header(lines: DataFrame, session: str, line_no: str, text: str = "value", most: int = 40) -> DataFrame:
-    """(session, fields map) of the key:value lines among a log's first ones; the last value of a key counts."""
-    head = lines.where((F.col(line_no) <= most) & F.col(text).contains(":"))
-    pairs = head.select(session, F.trim(F.split_part(F.col(text), F.lit(":"), F.lit(1))).alias("k"), F.trim(F.split_part(F.col(text), F.lit(":"), F.lit(2))).alias("v"), line_no)
-    last = pairs.groupBy(session, "k").agg(F.max_by("v", line_no).alias("v"))
-    return last.groupBy(session).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("fields"))
+    """(session, level, start_time, fields map) of each log: the first and last word of its first line, and the values
+    of the lines after it, at most so many, up to a blank line or one that starts with 0. ``key: value`` is one field;
+    ``key:a: value,b: value`` are the two fields keya and keyb. Other lines are skipped; of a key the last value counts.
+    """
+    w = Window.partitionBy(session).orderBy(line_no)
+    x = lines.select(session, line_no, F.col(text).alias("_t"), F.row_number().over(w).alias("_k"))
+    over = F.max(((F.col("_k") > 1) & ((F.trim("_t") == "") | F.col("_t").startswith("0"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.where(F.col("_k") <= most + 1).withColumn("_over", over).where("_over = 0")
+    part = F.split("_t", ":")
+    middle = F.split(part[2], ",")
+    field = lambda k, v: F.struct(k.alias("k"), F.trim(v).alias("v"))
+    found = F.when(F.size(part) == 2, F.array(field(part[0], part[1]))).when(
+        (F.size(part) == 4) & (F.size(middle) == 2), F.array(field(F.concat(part[0], part[1]), middle[0]), field(F.concat(part[0], middle[1]), part[3]))
+    )
+    pairs = x.where("_k > 1").select(session, line_no, F.posexplode(found).alias("_p", "f"))
+    last = pairs.groupBy(session, "f.k").agg(F.max_by("f.v", F.struct(line_no, "_p")).alias("v"))
+    fields = last.groupBy(session).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("fields"))
+    words = F.split(F.trim("_t"), r"\s+")
+    first = x.where("_k = 1").select(session, words[0].alias("level"), F.element_at(words, -1).alias("start_time"))
+    return first.join(fields, session, "left")
 
 
 def event_markers(log: DataFrame, session: str = "session", order: str = "line_no") -> DataFrame:
@@ -70,6 +85,15 @@ def initial_only(params: DataFrame, session: str = "session") -> DataFrame:
     return params.withColumn("_f", F.min("value_ts").over(w)).where("value_ts = _f").drop("_f")
 
 
+def param_history(params: DataFrame, session: str = "session") -> DataFrame:
+    """(session, object_id, name, type, history): each parameter's values over time, as an array of (ts, number, flag,
+    string) without those that repeat the value before."""
+    w = Window.partitionBy(session, "object_id", "name", "type").orderBy("value_ts", "number", "string")
+    value = F.struct("number", "flag", "string")
+    changed = params.withColumn("_b", F.lag(value).over(w)).where(~F.col("_b").eqNullSafe(value))
+    return changed.groupBy(session, "object_id", "name", "type").agg(F.array_sort(F.collect_list(F.struct(F.col("value_ts").alias("ts"), "number", "flag", "string"))).alias("history"))
+
+
 def vector(text: Column) -> Column:
     """X, Y and Z of ``X=1 Y=2 Z=3``; a part that is no number is null."""
     part = lambda k: F.regexp_extract(text, rf"{k}=(\S+)", 1).try_cast("double")

@@ -17,10 +17,22 @@ def unpack(packed: DataFrame, by: list[str]) -> DataFrame:
     return packed.select(*by, "first_sample", F.posexplode("values").alias("_k", "value")).select(*by, (F.col("first_sample") + F.col("_k")).alias("sample"), "value")
 
 
-def write_signal(sig: DataFrame, trials: DataFrame, path: str, partition: str = "session") -> None:
-    """Samples partitioned by session and sorted by channel and time within files, so that crops prune; trials beside."""
+def write_signal(sig: DataFrame, trials: DataFrame, path: str, partition: str = "session", channels: DataFrame | None = None) -> None:
+    """Samples partitioned by session and sorted by channel and time within files, so that crops prune; trials beside,
+    and the channels' metadata (channel, name, sample_rate), if given."""
     sig.repartition(partition, "channel").sortWithinPartitions("channel", "trial", "sample").write.mode("overwrite").partitionBy(partition).parquet(f"{path}/samples")
     trials.write.mode("overwrite").parquet(f"{path}/trials")
+    if channels is not None:
+        channels.write.mode("overwrite").parquet(f"{path}/channels")
+
+
+def read_channels(spark: SparkSession, path: str) -> DataFrame:
+    """(channel, name, sample_rate) as written; metadata without names or sample rates is an error."""
+    channels = spark.read.parquet(f"{path}/channels")
+    missing = {"channel", "name", "sample_rate"} - set(channels.columns)
+    if missing:
+        raise ValueError(f"the channels lack {', '.join(sorted(missing))}")
+    return channels
 
 
 def read_signal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -34,6 +34,16 @@ def joined_header(first: list[str], second: list[str]) -> list[str]:
     return names
 
 
+def read_two_row_header(spark: SparkSession, path: str, kind: str = "double", separator: str = ",") -> DataFrame:
+    """Delimited files whose first two rows together name the columns, all of one kind. The names are the first file's;
+    rows that repeat either header row are left out wherever they stand."""
+    first, second = (r.value for r in spark.read.text(path).head(2))
+    names = joined_header(first.split(separator), second.split(separator))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.text(path).where(~F.col("value").isin(first, second)).select(F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "), {"sep": separator}).alias("x"))
+    return rows.select(*[F.col("x").getField(n).try_cast(kind).alias(n) for n in names])
+
+
 INDEX = T.ArrayType(T.StructType([T.StructField("session_id", T.StringType()), T.StructField("start_idx", T.LongType()), T.StructField("end_idx", T.LongType())]))
 
 
@@ -51,6 +61,11 @@ def path_fields(path: Column, root: str, names: list[str]) -> list[Column]:
     return [F.when(at > 0, F.get(parts, (at + k).cast("int"))).alias(n) for k, n in enumerate(names)]
 
 
+def alignment_tag(path: Column) -> Column:
+    """The last six digits of ``..._events######.npy``; null for other paths."""
+    return F.nullif(F.regexp_extract(path, r"_events\d*(\d{6})\.npy$", 1), F.lit(""))
+
+
 def without_known(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new whose keys, nulls included, aren't known yet; equal new rows appear once."""
     same = reduce(lambda a, b: a & b, [new[k].eqNullSafe(known[k]) for k in keys])

@@ -90,9 +90,15 @@ def unsettled(spark: SparkSession, checkpoint: str, key: str, start: int, stop:
     return kept.mapInPandas(close, f"{key} {kind}, start long, stop long")
 
 
-def rates(stream: DataFrame, time: str, window: str, lateness: str, by: list[str]) -> DataFrame:
-    """Events by window of time and group; with a watermark old windows are closed and forgotten."""
-    return stream.withWatermark(time, lateness).groupBy(F.window(time, window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
+def rates(stream: DataFrame, time: str, window: str, lateness: str, by: list[str], slide: str | None = None) -> DataFrame:
+    """Events by window of time, overlapping if it slides, and group; with a watermark old windows are closed and
+    forgotten."""
+    return stream.withWatermark(time, lateness).groupBy(F.window(time, window, slide).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
+
+
+def burst_rates(stream: DataFrame, time: str, gap: str, lateness: str, by: list[str]) -> DataFrame:
+    """Events by burst and group: a burst ends when its group has no event for so long."""
+    return stream.withWatermark(time, lateness).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(*by, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
 def drain_complete(result: DataFrame, out: str, checkpoint: str) -> None:
