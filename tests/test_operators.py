@@ -13,6 +13,7 @@ from tidemark.functions import scalars as X
 from tidemark.operators import aggregates as A
 from tidemark.operators import joins as J
 from tidemark.operators import predicates as P
+from tidemark.operators import spatial as O
 from tidemark.operators import spectral as S
 from tidemark.operators import statistics as I
 from tidemark.operators import windows as W
@@ -395,3 +396,29 @@ def test_gaze_straight_ahead_turns_nothing(spark):
     df = frame(spark, [(0.0, 0.0, 10.0, 0.0), (20.0, 5.0, 20.0, 5.0), (None, 0.0, 1.0, 1.0)], "gx double, gy double, x double, y double")
     got = rows(df.select(F.round(G.dome_to_eye(F.col("x"), F.col("y"), F.col("gx"), F.col("gy"), eye)["eccentricity"], 6)))
     assert got == [(10.0,), (0.0,), (None,)]
+
+
+def test_roles_of_overlaps(spark):
+    rows = [
+        ("A", None, False, True, True, "target"), ("A", "B", False, False, True, "distractor"), ("B", None, False, False, False, "neither"), ("B", "B", True, True, True, "target"),
+        ("B", "A", True, True, True, "distractor"), ("A", None, True, True, True, "neither"), (None, "A", False, True, True, "neither"), ("A", "A", False, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "target string, reached string, collapsed boolean, inside_a boolean, inside_b boolean, want string")
+    assert [r["got"] for r in df.withColumn("got", O.overlap_role("target", "reached")).collect()] == [r[-1] for r in rows]
+
+
+def test_raster_rows_gaps_and_ends(spark):
+    trials = [(1, 1, 0, 2.0, "correct"), (1, 2, 0, 99.0, "wrong"), (1, 3, 1, None, "correct"), (1, 4, 1, 1.0, "wrong"), (1, 5, 2, 1.0, "correct")]
+    states = [(1, 1, 7, 0.5, "target"), (1, 1, 7, 1.0, "distractor"), (1, 4, 7, 0.0, "target")]
+    a = spark.createDataFrame(trials, "session long, trial long, block long, end double, outcome string")
+    b = spark.createDataFrame(states, "session long, trial long, area int, t double, state string")
+    got = O.overlap_raster(a, b, ["session"], [7], [0.0, 1.0, 2.0], 10.0).collect()
+    by_row = {}
+    for r in sorted(got, key=lambda r: (r["row"], r["tick"])):
+        by_row.setdefault((r["row"], r["trial"], r["outcome"]), []).append(r["state"])
+    none = [None] * 3
+    assert by_row == {
+        (0, 1, "correct"): ["target", "distractor", "distractor"], (1, None, "gap"): none, (2, None, "gap"): none, (3, 4, "wrong"): ["target", "target", None],
+        (4, None, "gap"): none, (5, None, "gap"): none, (6, 5, "correct"): ["neither", "neither", None],
+    }
+    assert O.overlap_raster(a.limit(0), b.limit(0), ["session"], [7], [0.0], 10.0).count() == 0

@@ -211,18 +211,28 @@ def circle_polygon_area(x: Column, y: Column, radius: Column, points: Column) ->
     def sector(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
         return radius * radius * F.atan2(ax * by - ay * bx, ax * bx + ay * by) / 2
 
-    def edge(a: Column, b: Column) -> Column:
+    # a step an array, so that what later steps use many times is computed once an edge
+    def line(a: Column, b: Column) -> Column:
         dx, dy = b["x"] - a["x"], b["y"] - a["y"]
         aa, bb, cc = dx * dx + dy * dy, a["x"] * dx + a["y"] * dy, a["x"] * a["x"] + a["y"] * a["y"] - radius * radius
-        disc = bb * bb - aa * cc
-        root = F.sqrt(F.greatest(F.lit(0.0), disc))
-        t1, t2 = F.try_divide(-bb - root, aa), F.try_divide(-bb + root, aa)
-        lo, hi = F.greatest(F.lit(0.0), t1), F.least(F.lit(1.0), t2)
-        px, py, qx, qy = a["x"] + lo * dx, a["y"] + lo * dy, a["x"] + hi * dx, a["y"] + hi * dy
-        inside = sector(a["x"], a["y"], px, py) + (px * qy - py * qx) / 2 + sector(qx, qy, b["x"], b["y"])
-        return F.when(aa == 0, F.lit(0.0)).when((disc <= 0) | (lo >= hi), sector(a["x"], a["y"], b["x"], b["y"])).otherwise(inside)
-
-    parts = F.zip_with(near, _following(near), edge)
+        return F.struct(a.alias("a"), b.alias("b"), dx.alias("dx"), dy.alias("dy"), aa.alias("aa"), bb.alias("bb"), (bb * bb - aa * cc).alias("disc"))
+
+    def crossed(e: Column) -> Column:
+        root = F.sqrt(F.greatest(F.lit(0.0), e["disc"]))
+        lo, hi = F.greatest(F.lit(0.0), F.try_divide(-e["bb"] - root, e["aa"])), F.least(F.lit(1.0), F.try_divide(-e["bb"] + root, e["aa"]))
+        return F.struct(e.alias("e"), lo.alias("lo"), hi.alias("hi"))
+
+    def chord(c: Column) -> Column:
+        e, a = c["e"], c["e"]["a"]
+        at = lambda t: F.struct((a["x"] + t * e["dx"]).alias("x"), (a["y"] + t * e["dy"]).alias("y"))
+        return F.struct(a.alias("a"), e["b"].alias("b"), e["aa"].alias("aa"), ((e["disc"] <= 0) | (c["lo"] >= c["hi"])).alias("out"), at(c["lo"]).alias("p"), at(c["hi"]).alias("q"))
+
+    def area(k: Column) -> Column:
+        a, b, p, q = k["a"], k["b"], k["p"], k["q"]
+        inside = sector(a["x"], a["y"], p["x"], p["y"]) + (p["x"] * q["y"] - p["y"] * q["x"]) / 2 + sector(q["x"], q["y"], b["x"], b["y"])
+        return F.when(k["aa"] == 0, F.lit(0.0)).when(k["out"], sector(a["x"], a["y"], b["x"], b["y"])).otherwise(inside)
+
+    parts = F.transform(F.transform(F.transform(F.zip_with(near, _following(near), line), crossed), chord), area)
     return F.when(F.size(points) >= 3, F.abs(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v))).otherwise(F.lit(0.0))
 
 

@@ -64,7 +64,7 @@ def length_profile(df: DataFrame, value: str, by: str, width: float) -> DataFram
     q = df.groupBy(by).agg(F.avg(value).alias("mean"), *[F.percentile(value, F.lit(p)).alias(n) for n, p in (("median", 0.5), ("p10", 0.1), ("p15", 0.15), ("p20", 0.2))])
     bins = df.groupBy(by, F.floor(F.col(value) / width).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
     mode = bins.groupBy(by).agg(F.max_by("bin", F.struct("k", -F.col("bin"))).alias("modal_bin"))
-    over = df.join(F.broadcast(q.select(by, "p10")), by).where(F.col(value) >= F.col("p10")).groupBy(by).agg(F.count(F.lit(1)).alias("over_p10"))
+    over = df.join(q.select(by, "p10"), by).where(F.col(value) >= F.col("p10")).groupBy(by).agg(F.count(F.lit(1)).alias("over_p10"))
     return q.join(mode, by).join(over, by)
 
 

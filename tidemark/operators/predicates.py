@@ -57,7 +57,7 @@ def mask_bad(sig: DataFrame, trials: DataFrame, channels: DataFrame, value: str
     """Values of listed trials and of listed channels become null; a channel's row may limit it to samples (lo, hi)."""
     t = trials.select(F.col("trial"), F.lit(True).alias("_t")).distinct()
     c = channels.groupBy("channel").agg(F.collect_list(F.struct("lo", "hi")).alias("_c"))
-    x = sig.join(F.broadcast(t), "trial", "left").join(F.broadcast(c), "channel", "left")
+    x = sig.join(t, "trial", "left").join(c, "channel", "left")
     inside = F.exists("_c", lambda r: r["lo"].isNull() | F.col("sample").between(r["lo"], r["hi"]))
     return x.withColumn(value, F.when(F.col("_t").isNull() & ~F.coalesce(inside, F.lit(False)), F.col(value))).drop("_t", "_c")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .joins import asof_backward
 
 
 def coverage(cells: DataFrame, sweeps: DataFrame, half_width: float) -> DataFrame:
@@ -22,7 +23,7 @@ def grid_activity(rates: DataFrame, covered: DataFrame, cells: DataFrame, keys:
     """Mean activity of each cell over directions: of a direction the mean over the bins whose sweep covers the cell, or,
     where none does, the spontaneous level (mean over directions of the median over bins). rates: keys, direction, bin,
     rate."""
-    per = rates.join(F.broadcast(covered), ["direction", "bin"]).groupBy(*keys, "cell", "direction").agg(F.avg("rate").alias("a"))
+    per = rates.join(covered, ["direction", "bin"]).groupBy(*keys, "cell", "direction").agg(F.avg("rate").alias("a"))
     quiet = rates.groupBy(*keys, "direction").agg(F.median("rate").alias("m")).groupBy(*keys).agg(F.avg("m").alias("quiet"), F.collect_set("direction").alias("_d"))
     full = quiet.crossJoin(F.broadcast(cells.select("cell"))).select(*keys, "cell", "quiet", F.explode("_d").alias("direction"))
     x = full.join(per, [*keys, "cell", "direction"], "left").withColumn("a", F.coalesce("a", "quiet"))
@@ -102,6 +103,47 @@ def overlaps(pairs: DataFrame, least: float = 0.01) -> DataFrame:
     return pairs.withColumns({"collapsed": flat, "inside_a": F.when(known, flat | hit("a")), "inside_b": F.when(known, flat | hit("b"))})
 
 
+def overlap_role(target: str, reached: str, collapsed: str = "collapsed", inside_a: str = "inside_a", inside_b: str = "inside_b") -> Column:
+    """What a circle overlaps at a time: target, distractor or neither.
+
+    target and reached name columns of 'A' or 'B'. Over both stimuli the target counts; where the stimuli are collapsed,
+    the one that was reached decides. An unknown target, or a collapse that nothing was reached in, is neither; circles
+    without flags (no radius) have null.
+    """
+    t, r = F.col(target), F.col(reached)
+    own, other = F.when(t == "A", F.col(inside_a)).otherwise(F.col(inside_b)), F.when(t == "A", F.col(inside_b)).otherwise(F.col(inside_a))
+    seen = F.when(own, "target").when(other, "distractor").otherwise("neither")
+    fallen = F.when(r == t, "target").when(r.isin("A", "B"), "distractor").otherwise("neither")
+    known = F.col(inside_a).isNotNull() & F.col(inside_b).isNotNull()
+    return F.when(known, F.when(t.isin("A", "B"), F.when(F.col(collapsed), fallen).otherwise(seen)).otherwise("neither"))
+
+
+def overlap_raster(trials: DataFrame, states: DataFrame, by: list[str], areas: list, ticks: list, longest: float, gap_rows: int = 2) -> DataFrame:
+    """(by, area, row, trial, outcome, tick, state): states of areas over time, a row of the raster a trial.
+
+    trials: by, trial (their order), block, end (when the reward came, from the onset), outcome; states: by, trial, area,
+    t, state. A tick has the last state at or before it, ticks before the first have the first, and trials without any
+    have neither; after the trial's end states are null. Trials without an end or with one later than longest take no row.
+    Where the block changes, also at a trial without a row, gap_rows rows without trial and state stand between.
+    """
+    in_order = Window.partitionBy(*by).orderBy("trial")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    shown = F.col("end").isNotNull() & (F.col("end") <= longest)
+    x = trials.select(*by, "trial", "block", "end", "outcome", shown.alias("_shown")).withColumn("_new", F.coalesce(F.col("block") != F.lag("block").over(in_order), F.lit(False)))
+    x = x.withColumns({"_rows": F.coalesce(F.sum(F.col("_shown").cast("int")).over(before), F.lit(0)), "_gaps": F.sum(F.col("_new").cast("int")).over(in_order)})
+    per_area = F.explode(F.array(*map(F.lit, areas))).alias("area")
+    lines = x.where("_shown").select(*by, "trial", "end", "outcome", (F.col("_rows") + gap_rows * F.col("_gaps")).alias("row"), per_area)
+    grid = lines.withColumn("tick", F.explode(F.array(*map(F.lit, ticks))))
+    found = asof_backward(grid, states, [*by, "trial", "area"], "tick", "t", ["state"], or_first=True)
+    state = F.when(F.col("tick") <= F.col("end"), F.coalesce("state_found", F.lit("neither")))
+    kept = found.select(*by, "area", "row", "trial", "outcome", "tick", state.alias("state"))
+    first = F.col("_rows") + gap_rows * (F.col("_gaps") - 1)
+    gaps = x.where("_new").select(*by, first.alias("_first"), per_area).withColumn("row", F.explode(F.sequence(F.col("_first"), F.col("_first") + gap_rows - 1)))
+    gaps = gaps.withColumn("tick", F.explode(F.array(*map(F.lit, ticks))))
+    none = lambda c: F.lit(None).cast(kept.schema[c].dataType).alias(c)
+    return kept.unionByName(gaps.select(*by, "area", "row", none("trial"), F.lit("gap").alias("outcome"), "tick", none("state")))
+
+
 def gaze_centred(stimuli: DataFrame, x: str, y: str, width: float, height: float, gaze_x: str, gaze_y: str, eye: tuple[float, float, float], radius: float = 60.0) -> DataFrame:
     """stimuli with polygon: the corners of each one's box on the dome as directions (x, y, z) from an eye that looks
     along its gaze. Null positions or gazes have null corners."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -11,7 +12,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import kinematics as K
 from ..operators import spatial as S
-from ..staging import new_dir
+from ..staging import new_dir, written
 from ..streaming import jobs as T
 from .measures import _EYE as EYE
 from .measures import retinal_sql
@@ -167,7 +168,7 @@ def _(t):
     return S.overlaps(x, 0.1).select("p_partkey", "collapsed", "inside_a", "inside_b")
 
 
-@query("N7_overlap_raster", """WITH g AS (SELECT session, min(us) + unnest(range(20)) * 86400000000 AS tick FROM ev GROUP BY session),
+@query("N7_state_votes", """WITH g AS (SELECT session, min(us) + unnest(range(20)) * 86400000000 AS tick FROM ev GROUP BY session),
 s AS (SELECT g.session, g.tick, coalesce(e.event_type, 'neither') AS kind FROM g ASOF LEFT JOIN ev e ON g.session = e.session AND g.tick >= e.us),
 c AS (SELECT day, session % 6 AS area, count_if(kind NOT IN ('view', 'click')) AS n0, count_if(kind = 'view') AS n1, count_if(kind = 'click') AS n2 FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tick)::INT - 1 AS day FROM s) GROUP BY day, session % 6)
 SELECT area, day, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 'neither' WHEN n1 >= n2 THEN 'view' ELSE 'click' END AS winner FROM c""")
@@ -180,6 +181,54 @@ def _(t):
     return A.majority_vote(x, ["area", "day"], "kind", ["neither", "view", "click"]).select("area", "day", "winner")
 
 
+_AREAS, _TICKS, _LONGEST, _GAP = [0, 1, 2, 3, 4], [6.0 * k for k in range(8)], 48.0, 2
+
+
+@query("N7_overlap_raster", f"""WITH v AS (SELECT session, us, seq, code, sum((code = 3000)::INT) OVER w AS trial, sum((code = 3091)::INT) OVER w AS blocks FROM ev WINDOW w AS (PARTITION BY session ORDER BY us, seq)),
+tr AS (SELECT session, trial, min(us) AS onset, min(blocks) AS block, CASE WHEN min(seq) % 11 <> 0 THEN CASE WHEN min(seq) % 2 = 0 THEN 'A' ELSE 'B' END END AS target,
+  (min(us) FILTER (code = 1) - min(us)) / 3.6e9 AS "end", CASE WHEN min(us) FILTER (code = 2) < min(us) FILTER (code = 1) THEN 'wrong' ELSE 'correct' END AS outcome FROM v WHERE trial > 0 GROUP BY session, trial),
+p AS (SELECT session, us, seq, trial FROM v WHERE code = 3011 AND trial > 0), h AS (SELECT session, us, CASE code WHEN 1 THEN 'A' ELSE 'B' END AS which FROM ev WHERE code IN (1, 2)),
+n AS (SELECT p.*, CASE WHEN f.us IS NULL OR p.us - b.us <= f.us - p.us THEN b.which ELSE f.which END AS reached FROM p ASOF LEFT JOIN h b ON p.session = b.session AND p.us >= b.us ASOF LEFT JOIN h f ON p.session = f.session AND p.us <= f.us),
+c AS (SELECT n_regionkey AS area, n_nationkey % 9 - 4 AS x, 1 + n_nationkey % 3 * 0.5::DOUBLE AS r FROM nation WHERE n_nationkey % 8 <> 7),
+d AS (SELECT n.*, area, r, least(greatest(seq % 7 - 3 - x, -r), r) AS da, least(greatest(x - (seq % 5 - 2), -r), r) AS db, seq % 4 = 0 AS flat FROM n, c),
+f AS (SELECT *, r * r * acos(da / r) - da * sqrt(r * r - da * da) >= 0.01 * pi() * r * r AS ia, r * r * acos(db / r) - db * sqrt(r * r - db * db) >= 0.01 * pi() * r * r AS ib FROM d),
+o AS (SELECT f.*, (f.us - onset) / 3.6e9 AS t, CASE WHEN target IS NULL THEN 'neither' WHEN flat THEN CASE WHEN reached = target THEN 'target' WHEN reached IS NOT NULL THEN 'distractor' ELSE 'neither' END
+  WHEN CASE target WHEN 'A' THEN ia ELSE ib END THEN 'target' WHEN ia OR ib THEN 'distractor' ELSE 'neither' END AS role FROM f JOIN tr USING (session, trial)),
+s AS (SELECT session, trial, area, t, CASE WHEN count_if(role = 'neither') >= greatest(count_if(role = 'target'), count_if(role = 'distractor')) THEN 'neither' WHEN count_if(role = 'target') >= count_if(role = 'distractor') THEN 'target' ELSE 'distractor' END AS state FROM o GROUP BY session, trial, area, t),
+k AS (SELECT *, coalesce("end" <= {_LONGEST}, false) AS shown, coalesce(block <> lag(block) OVER (PARTITION BY session ORDER BY trial), false) AS fresh FROM tr),
+l AS (SELECT *, coalesce(sum(shown::INT) OVER (PARTITION BY session ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(fresh::INT) OVER (PARTITION BY session ORDER BY trial) AS gaps FROM k),
+g AS (SELECT l.*, a.area, q.tick FROM l, (SELECT unnest({_AREAS}) AS area) a, (SELECT unnest({_TICKS})::DOUBLE AS tick) q),
+first AS (SELECT session, trial, area, arg_min(state, t) AS state FROM s GROUP BY session, trial, area)
+SELECT g.session, g.area, (before + {_GAP} * gaps)::BIGINT AS "row", g.trial::BIGINT AS trial, outcome, tick, CASE WHEN tick <= "end" THEN coalesce(s.state, first.state, 'neither') END AS state
+FROM g ASOF LEFT JOIN s ON g.session = s.session AND g.trial = s.trial AND g.area = s.area AND g.tick >= s.t LEFT JOIN first ON g.session = first.session AND g.trial = first.trial AND g.area = first.area WHERE shown
+UNION ALL SELECT session, area, (before + {_GAP} * (gaps - 1) + k.k)::BIGINT, NULL, 'gap', tick, NULL FROM g, range({_GAP}) k(k) WHERE fresh""")
+def _(t):
+    """Views are the time points at which 25 receptive fields (nations, in areas) meet two boxes; clicks and errors
+    reach for A and B, and the first click is a trial's reward."""
+    in_order = Window.partitionBy("session").orderBy("us", "seq")
+    count = lambda code: F.sum((F.col("code") == code).cast("int")).over(in_order)
+    v = t.ev.select("session", "us", "seq", "code", count(3000).alias("trial"), count(3091).alias("blocks")).where("trial > 0")
+    hit = lambda code: F.min(F.when(F.col("code") == code, F.col("us")))
+    target = F.when(F.min("seq") % 11 != 0, F.when(F.min("seq") % 2 == 0, "A").otherwise("B"))
+    trials = v.groupBy("session", "trial").agg(
+        F.min("us").alias("onset"), F.min("blocks").alias("block"), target.alias("target"), ((hit(1) - F.min("us")) / 3.6e9).alias("end"), F.when(hit(2) < hit(1), "wrong").otherwise("correct").alias("outcome")
+    )
+    reaches = t.ev.where("code in (1, 2)").select("session", "us", F.when(F.col("code") == 1, "A").otherwise("B").alias("which"))
+    points = J.nearest(v.where("code = 3011").select("session", "us", "seq", "trial"), reaches, ["session"], "us", "us", "which").withColumnRenamed("nearest", "reached")
+    points = points.join(trials.select("session", "trial", "onset", "target"), ["session", "trial"])
+    k = F.col("n_nationkey")
+    fields = t("nation").select(F.col("n_regionkey").alias("area"), (k % 9 - 4).cast("double").alias("x"), F.lit(0.0).alias("y"), F.when(k % 8 != 7, 1 + k % 3 * 0.5).alias("radius"))
+    half = F.when(F.col("seq") % 4 == 0, 2.5).otherwise(30.0)
+    left, right = (F.col("seq") % 7 - 3).cast("double"), (F.col("seq") % 5 - 2).cast("double")
+    box = lambda a, b: F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((a, -half), (b, -half), (b, half), (a, half))])
+    # the points and states are read several times below; a point costs 50 areas, so even few points fill all cores
+    points = written(points.repartition(t.spark.sparkContext.defaultParallelism, "session", "seq"))
+    seen = S.overlaps(points.crossJoin(fields).withColumns({"a": box(left, left + 40), "b": box(right - 40, right)}))
+    seen = seen.withColumn("t", (F.col("us") - F.col("onset")) / 3.6e9).withColumn("role", S.overlap_role("target", "reached")).where("role IS NOT NULL")
+    states = A.majority_vote(seen, ["session", "trial", "area", "t"], "role", ["neither", "target", "distractor"]).withColumnRenamed("winner", "state")
+    return S.overlap_raster(trials, written(states), ["session"], _AREAS, _TICKS, _LONGEST, _GAP)
+
+
 _KERNEL = "(VALUES " + ", ".join(f"({k}, {math.exp(-k * k / 4)!r}::DOUBLE)" for k in range(-3, 4)) + ") k(k, h)"
 
 
