@@ -68,35 +68,40 @@ def pack(conversations: DataFrame, path: str, pattern: str, conv_col: str = "con
     intervals of the stream, its own last), loss_start and loss_end (characters of its segment under the loss mask, or
     null), conversations (how many share it). members: conv_id, step, node.
 
-    Turns follow by turn, then role and text (nulls first); null roles and texts count as empty; repeated rows are
-    repeated turns; rows without a conversation id are left out; further columns are ignored; an empty table gives
-    empty results. A conversation, like a document, is handled as one row; shared nodes may have any number of them.
+    Turns follow by turn, then role (null as empty, first), then a hash of role and text; null roles and texts count as
+    empty; repeated rows are repeated turns; rows without a conversation id are left out; further columns are ignored; an
+    empty table gives empty results. A conversation, like a document, is handled as one row; shared nodes may have any
+    number of them.
+
+    Texts are shuffled once, by conversation. The tree is laid out from hashes of the turns alone; only the first
+    conversation of a node, which owns it, tokenizes its text. The nodes are written before they are returned.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.where(F.col(conv_col).isNotNull()).select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), blank(role_col).alias("role"), blank(text_col).alias("text")
     )
-    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.withColumns({f"h{k}": F.xxhash64(F.lit(k), "role", "text") for k in (1, 2)})
+    by = Window.partitionBy("conv_id").orderBy("turn", "role", "h1", "h2")
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = rows.withColumn("step", F.row_number().over(by) - 1)
-    salted = [F.xxhash64(F.lit(k), "step", "role", "text") for k in (1, 2)]
-    node = F.concat(*[F.lower(F.lpad(F.hex(F.bit_xor(h).over(so_far)), 16, "0")) for h in salted])
-    steps = cut(steps.withColumn("node", node).withColumn("parent", F.lag("node").over(by)))
 
+    def numbered(x: DataFrame) -> DataFrame:
+        x = x.withColumn("step", F.row_number().over(by) - 1)
+        halves = [F.lower(F.lpad(F.hex(F.bit_xor(F.xxhash64("step", h)).over(so_far)), 16, "0")) for h in ("h1", "h2")]
+        return x.withColumn("node", F.concat(*halves)).withColumn("parent", F.lag("node").over(by))
+
+    steps = cut(numbered(rows.drop("text")).select("conv_id", "step", "node"))
     paths = steps.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("step", "node"))).getField("node"), "/").alias("path"), F.lit(1).cast("long").alias("one"))
     ranks = running(paths, ["path", "conv_id"], "one", "rank").select("conv_id", "rank")
     members = cut(steps.join(ranks, "conv_id").select("conv_id", "rank", "step", "node"))
-    owners = members.groupBy("node").agg(F.min("rank").alias("owner"))
-    texts = steps.groupBy("node").agg(
-        F.first("parent").alias("parent"), F.first("step").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"), F.count(F.lit(1)).alias("conversations")
-    )
+    first = F.min(F.struct("rank", "conv_id", "step"))
+    owners = cut(members.groupBy("node").agg(first.alias("o"), F.count(F.lit(1)).alias("conversations")).select("node", "o.conv_id", F.col("o.step").alias("depth"), F.col("o.rank").alias("owner"), "conversations"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, _ = encoding(path, pattern)
-        names = ["node", "parent", "depth", "conversations", "owner", "tokens", "n_tokens", "loss_start", "loss_end"]
+        names = ["node", "parent", "tokens", "n_tokens", "loss_start", "loss_end"]
         for batch in batches:
             ids, starts, ends = [], [], []
-            for role, text in zip(batch.column(5), batch.column(6)):
+            for role, text in zip(batch.column(2), batch.column(3)):
                 segment = format_turn(role.as_py(), text.as_py())
                 ids.append(coder.encode_ordinary(segment))
                 _, _, a, b = read_turns(segment)[0]
@@ -104,12 +109,14 @@ def pack(conversations: DataFrame, path: str, pattern: str, conv_col: str = "con
                 starts.append(a if masked else None)
                 ends.append(b if masked else None)
             new = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *new], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *new], names)
 
-    plain = texts.join(owners, "node").select("node", "parent", F.col("depth").cast("long"), "conversations", "owner", "role", "text")
-    schema = "node string, parent string, depth long, conversations long, owner long, tokens array<int>, n_tokens long, loss_start long, loss_end long"
-    placed = running(plain.mapInArrow(tokenize, schema), ["owner", "depth"], "n_tokens", "start")
-    placed = cut(placed)
+    # an owner's own nodes are the end of its path
+    since = owners.groupBy("conv_id").agg(F.min("depth").alias("since"))
+    own_texts = numbered(rows).join(since, "conv_id").where("step >= since").select("node", "parent", "role", "text")
+    encoded = cut(own_texts.mapInArrow(tokenize, "node string, parent string, tokens array<int>, n_tokens long, loss_start long, loss_end long"))
+    sizes = owners.select("node", F.col("depth").cast("long"), "owner", "conversations").join(encoded.select("node", "n_tokens"), "node")
+    placed = cut(running(sizes, ["owner", "depth"], "n_tokens", "start"))
 
     # an owner's own nodes follow each other in the stream; what they attend to before is the same for all of them
     steps_placed = members.join(placed.select("node", "owner", "start", "n_tokens"), "node")
@@ -120,9 +127,10 @@ def pack(conversations: DataFrame, path: str, pattern: str, conv_col: str = "con
     intervals = runs.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("step", "start", "end"))).alias("runs")).withColumnRenamed("rank", "owner")
     past = F.transform(F.filter("runs", lambda r: r["step"] < F.element_at("runs", -1)["step"]), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
     own = F.array(F.struct(F.element_at("runs", -1)["start"].alias("start"), (F.col("start") + F.col("n_tokens")).alias("end")))
-    nodes = placed.join(leaders, "node").join(intervals, "owner").withColumn("attends", F.concat(past, own))
+    laid = placed.join(intervals, "owner").withColumn("attends", F.concat(past, own)).drop("runs", "owner")
+    nodes = encoded.drop("n_tokens").join(laid, "node").join(leaders, "node")
     kept = ["node", "parent", "depth", "start", "n_tokens", "tokens", "position", "attends", "loss_start", "loss_end", "conversations"]
-    return nodes.select(kept), members.select("conv_id", "step", "node")
+    return cut(nodes.select(kept)), members.select("conv_id", "step", "node")
 
 
 def read_back(nodes: DataFrame, members: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -130,19 +138,25 @@ def read_back(nodes: DataFrame, members: DataFrame, path: str, pattern: str) ->
 
     turns is an array of structs (role, text); loss_text all text under the loss mask, unescaped, in order.
     """
-    own = members.join(nodes.select("node", "tokens", "loss_start", "loss_end"), "node")
-    whole = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("step", "tokens", "loss_start", "loss_end"))).alias("steps"))
+
+    @F.arrow_udf("string")
+    def decode(tokens: pa.Array) -> pa.Array:
+        coder, _ = encoding(path, pattern)
+        return pa.array([coder.decode(ids.as_py()) for ids in tokens], pa.string())
+
+    # each node is decoded once, before its text goes to all of its conversations
+    own = members.join(nodes.select("node", decode("tokens").alias("text"), "loss_start", "loss_end"), "node")
+    whole = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("step", "text", "loss_start", "loss_end"))).alias("steps"))
     kind = members.schema["conv_id"].dataType.simpleString()
     turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, _ = encoding(path, pattern)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 turns, masked, sizes = [], [], []
                 part = batch.slice(at, 512)
                 for steps in part.column(1):
-                    segments = [(coder.decode(s["tokens"]), s["loss_start"], s["loss_end"]) for s in steps.as_py()]
+                    segments = [(s["text"], s["loss_start"], s["loss_end"]) for s in steps.as_py()]
                     text = "".join(s for s, _, _ in segments)
                     turns.append([{"role": r, "text": t} for r, t, _, _ in read_turns(text)])
                     masked.append("".join(unescape(s[a:b]) for s, a, b in segments if a is not None))
