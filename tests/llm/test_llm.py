@@ -516,6 +516,21 @@ def test_fingerprints_of_odd_rows(spark, monkeypatch):
     assert len(alone) == 1 and alone[0]["near_next"] == pytest.approx(1.0)
 
 
+def test_turns_of_equal_number_and_a_shared_start(spark):
+    """Texts tied in turn and role are all kept, in one order for all conversations and reruns; a start that many
+    conversations share is one node."""
+    rows = [(c, t, "user", x) for c in range(40) for t, x in ((0, "start"), (1, "b"), (1, "a"), (2, f"own {c}"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = []
+    for part in (df, df.orderBy(F.col("text").desc()).repartition(3)):
+        nodes, members = chat.pack(part, vocabulary(BYTES), PATTERN)
+        assert nodes.count() == 3 + 40 and nodes.agg(F.max("conversations")).first()[0] == 40
+        got = chat.read_back(nodes, members, vocabulary(BYTES), PATTERN).collect()
+        found.append({r["conv_id"]: [t["text"] for t in r["turns"]] for r in got})
+    assert found[0] == found[1]
+    assert all(x[0] == "start" and sorted(x[1:3]) == ["a", "b"] and x[3:] == [f"own {c}"] for c, x in found[0].items())
+
+
 def test_op8_digests_and_the_hostile_conversation(spark):
     """Every registered column from the raw rows, conversation -7 of control strings included."""
     rows = [(r["conv_id"], r["turn"], r["role"] or "", r["text"] or "") for r in queries.table(spark, SMALL, "conversations").collect()]
