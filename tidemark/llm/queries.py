@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from . import bpe, chat, digest, langid, licenses, mixing, quality, simhash, tokencount, vectors
+from . import alignment, bpe, chat, digest, infill, langid, licenses, mixing, quality, simhash, tokencount, vectors, warc
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+BYTE_VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 #: Rows that the queries' session passes to Python at once. Texts take several kB each, some a hundred, and a batch is
@@ -99,10 +100,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.neighbour_likeness(docs, digest.surprisal(docs))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return cut.select(
+        "doc_id", F.col("units").alias("n"), "form", "prefix_chars", "middle_chars",
+        sha(F.col("output")).alias("output_sha256"), sha(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.link_counts(docs, vocabulary(BYTE_VOCABULARY), vocabulary(PIECES))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of seekable bundles in the shared folder, read back from them."""
+    read = warc.read(*warc.write(table(spark, sf_dir, "pages")))
+    return warc.resolved(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    own = (op1_simhash, op2_tokencount, op3_langid, op4_bpe, op5_licenses, op6_quality, op7_vectors, op8_chat, op9_mixing, op10_fingerprints)
+    own = (op1_simhash, op2_tokencount, op3_langid, op4_bpe, op5_licenses, op6_quality, op7_vectors, op8_chat, op9_mixing, op10_fingerprints, op11_infill, op12_alignment, op13_warc)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": licenses.oracle_sql()}
+    return {"op5_licenses": licenses.oracle_sql(), "op11_infill": infill.oracle_sql(), "op13_warc": warc.oracle_sql()}
