@@ -1,5 +1,6 @@
 """Edges, ties, missing values and invariants on small frames."""
 
+import datetime as dt
 import math
 import random
 import time
@@ -189,51 +190,115 @@ def test_headers_of_two_rows():
     assert T.joined_header(["scorer", "nose", ""], ["i", "x", "y"]) == ["scorer_i", "nose_x", "nose_y"]
 
 
-def stream_of(spark, folder, events, parts):
-    """A stream of files of (session, us, seq, code) rows, in the order given, with us as a time."""
+SECOND = 1_000_000
+
+
+def stream_of(spark, folder, parts):
+    """A stream of files of (session, us, seq, code) rows, in the order given, with us as a time, in its own session."""
     from tidemark.streaming import jobs
 
-    schema = "session long, us long, seq long, code int"
+    schema = "session long, us long, seq long, code int, ts timestamp"
     for k, own in enumerate(parts):
-        frame(spark, own, schema).coalesce(1).write.parquet(str(folder / "in" / f"p{k}"))
+        rows_ = frame(spark, own, "session long, us long, seq long, code int").withColumn("ts", F.timestamp_micros("us"))
+        rows_.coalesce(1).write.parquet(str(folder / "in" / f"p{k}"))
         time.sleep(1.1)  # files are read in the order of their times
-    stream = jobs.events_stream(spark, str(folder / "in" / "*"), frame(spark, events, schema).schema)
-    return stream.withColumn("ts", F.timestamp_micros("us"))
+    return jobs.events_stream(jobs.session_for(spark, 2), str(folder / "in" / "*"), spark.createDataFrame([], schema).schema)
 
 
-def test_stream_equals_batch_over_several_files(spark, tmp_path):
+def trials_of(spark, folder, stream, lateness, longest):
+    from tidemark.streaming import jobs
+
+    trials = jobs.segment(stream, "session", "ts", "us", "seq", "code", 1, 9, lateness, longest)
+    seen = jobs.drain(trials, str(folder / "out"), str(folder / "check"))
+    return seen, spark.read.schema("session long, start long, stop long, complete boolean").parquet(str(folder / "out"))
+
+
+def kept_state(spark, folder):
+    from tidemark.streaming import jobs
+
+    own = jobs.session_for(spark, 2)
+    return {n: own.read.format("statestore").option("stateVarName", n).load(str(folder / "check")).count() for n in ("marks", "open", "wake")}
+
+
+def end_recording(spark, folder, stream, seen, by):
     from tidemark.streaming import jobs
 
+    jobs.end_marker(spark, str(folder / "in" / "end"), stream.schema, "ts", seen, by)
+
+
+def test_stream_equals_batch_over_several_files(spark, tmp_path):
+    """Files in any order, times tied: the sink alone has the batch's trials once the recording has ended, and no state
+    is left."""
     rng = random.Random(1)
-    second = 1_000_000
-    events = [(s, rng.randrange(200) * second, k, rng.choice([1, 9, 5])) for s in range(4) for k in range(40)]
+    events = [(s, rng.randrange(200) * SECOND, k, rng.choice([1, 9, 5])) for s in range(4) for k in range(40)]
     mixed = rng.sample(events, len(events))
-    stream = stream_of(spark, tmp_path, events, [mixed[k::3] for k in range(3)])
-    jobs.drain(jobs.segment(stream, "session", "ts", "us", "seq", "code", 1, 9, "10 minutes"), str(tmp_path / "out"), str(tmp_path / "check"))
-    settled = spark.read.schema("session long, start long, stop long").parquet(str(tmp_path / "out"))
-    got = settled.unionByName(jobs.unsettled(spark, str(tmp_path / "check"), "session", 1, 9))
+    stream = stream_of(spark, tmp_path, [mixed[k::3] for k in range(3)])
+    longest = dt.timedelta(seconds=20)
+    seen, _ = trials_of(spark, tmp_path, stream, "10 minutes", longest)
+    end_recording(spark, tmp_path, stream, seen, dt.timedelta(minutes=20))
+    _, got = trials_of(spark, tmp_path, stream, "10 minutes", longest)
     want = []
     for s in range(4):
-        open_ = None
-        for _, t, _, c in sorted(e for e in events if e[0] == s):
+        marks = sorted((t, k, c) for x, t, k, c in events if x == s and c != 5)
+        for (t, _, c), after in zip(marks, [*marks[1:], (None, None, None)]):
             if c == 1:
-                open_ = t
-            elif c == 9 and open_ is not None:
-                want.append((s, open_, t))
-                open_ = None
-    assert sorted(rows(got)) == sorted(want)
+                full = after[2] == 9 and after[0] - t <= 20 * SECOND
+                want.append((s, t, after[0] if full else None, full))
+    assert sorted(rows(got), key=str) == sorted(want, key=str) and {x[3] for x in want} == {True, False}
+    assert kept_state(spark, tmp_path) == {"marks": 0, "open": 0, "wake": 0}
 
 
-def test_stream_settles_what_the_watermark_passed(spark, tmp_path):
-    """Session 1 gets no rows after the first file: a timer settles its trial. A row beyond the lateness is dropped."""
+def test_trials_leave_the_running_stream(spark, tmp_path):
+    """Session 1 gets no rows after the first file: its trial leaves when a later file moves the watermark. Session 3's
+    start is never stopped: a timer gives it up and frees it. A row beyond the lateness is dropped; session 2 is open."""
+    parts = [[(1, 20 * SECOND, 1, 9), (1, 10 * SECOND, 0, 1), (3, 15 * SECOND, 5, 1)], [(2, 500 * SECOND, 2, 1)], [(2, 510 * SECOND, 3, 9), (2, 5 * SECOND, 4, 9), (None, 4 * SECOND, 6, 1)]]
+    stream = stream_of(spark, tmp_path, parts)
+    _, got = trials_of(spark, tmp_path, stream, "30 seconds", dt.timedelta(seconds=100))
+    assert sorted(rows(got)) == [(1, 10 * SECOND, 20 * SECOND, True), (3, 15 * SECOND, None, False)]
+    assert kept_state(spark, tmp_path) == {"marks": 2, "open": 0, "wake": 1}
+
+
+def test_upsert_replays_change_nothing(spark, tmp_path, monkeypatch):
+    """A batch whose write fails after its rows, before the ledger, is run again; earlier batches stay as they were; a
+    closed window's state goes; what no ledger names is not read."""
+    from tidemark.streaming import jobs
+
+    hour = 3600 * SECOND
+    parts = [[(1, k * hour // 4, k, 1) for k in range(8)], [(1, 2 * hour + k, 10 + k, 1) for k in range(3)], [(1, 30 * hour, 20, 1)], [(1, 31 * hour, 21, 1)]]
+    stream = stream_of(spark, tmp_path, parts)
+    result = jobs.rates(stream, "ts", "1 hour", "90 minutes", ["session"])
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    whole = type(spark.range(1).write).parquet
+    failed = []
+
+    def failing(self, path, *a, **b):
+        if path.endswith("ledger/batch=1") and not failed:
+            failed.append(path)
+            raise OSError("lost")
+        return whole(self, path, *a, **b)
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1).write), "parquet", failing)
+        with pytest.raises(Exception):
+            jobs.upsert(result, out, check)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "rows" / "batch=0").rglob("*.parquet")}
+    assert failed and before
+    assert sum(r["n"] for r in jobs.latest(spark, out, ["window_start", "session"]).collect()) == 8
+    jobs.upsert(result, out, check)
+    got = {r["window_start"].hour + 24 * (r["window_start"].day - 1): r["n"] for r in jobs.latest(spark, out, ["window_start", "session"]).collect()}
+    assert got == {0: 4, 1: 4, 2: 3, 30: 1, 31: 1}
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "rows" / "batch=0").rglob("*.parquet")}
+    assert jobs.session_for(spark).read.format("statestore").load(check).count() == 2  # windows of hours 30 and 31
+
+
+def test_feed_is_in_order_and_whole(spark, tmp_path):
     from tidemark.streaming import jobs
 
-    second = 1_000_000
-    parts = [[(1, 20 * second, 1, 9), (1, 10 * second, 0, 1)], [(2, 500 * second, 2, 1)], [(2, 510 * second, 3, 9), (2, 5 * second, 4, 9)]]
-    stream = stream_of(spark, tmp_path, parts[0], parts)
-    jobs.drain(jobs.segment(stream, "session", "ts", "us", "seq", "code", 1, 9, "30 seconds"), str(tmp_path / "out"), str(tmp_path / "check"))
-    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, 10 * second, 20 * second)]
-    assert rows(jobs.unsettled(spark, str(tmp_path / "check"), "session", 1, 9)) == [(2, 500 * second, 510 * second)]
+    df = spark.range(1000).select("id", F.timestamp_seconds(F.col("id") * 7919 % 1000).alias("ts")).unionByName(spark.sql("select 5000L as id, cast(null as timestamp) as ts"))
+    folders = jobs.feed(df, "ts", str(tmp_path / "feed"), 4)
+    ranges = [spark.read.parquet(p).agg(F.min("ts"), F.max("ts"), F.count("id")).first() for p in folders]
+    assert len(folders) == 4 and sum(r[2] for r in ranges) == 1000 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert all(150 < r[2] < 350 for r in ranges)
 
 
 def test_asof_of_a_hot_key_equals_the_plain_one(spark):

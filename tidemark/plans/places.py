@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.sql import Window
@@ -271,52 +272,96 @@ def _(t):
     return x.select("session", "seq", r6("median").alias("median"), "n")
 
 
-def _stream(t):
-    schema = t("events").schema
-    at = f"{t.sf_dir}/events.parquet"
-    return T.events_stream(t.spark, at.replace("events.parquet", "events.parque[t]"), schema).withColumn("ts", F.col("ts").cast("timestamp"))
+class _Recording:
+    """The events as they would come in: files of consecutive days, a folder for the marker that ends the recording, and
+    a stream over both in a session of its own."""
 
+    def __init__(self, t, parts: int = 3):
+        self.out = new_dir(t.spark, "stream")
+        self.spark = T.session_for(t.spark)
+        self.schema = t("events").schema
+        self.feed = T.feed(t("events"), "ts", f"{self.out}/feed", parts)
+        t("events").limit(0).write.parquet(f"{self.out}/feed/end")
+        self.stream = T.events_stream(self.spark, f"{self.out}/feed/*", self.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        self.checkpoint = f"{self.out}/checkpoint"
 
-@query("T1_stream_ingest", "SELECT event_id, user_id, event_type FROM events")
+    def end(self, after: dt.datetime | None, by: dt.timedelta) -> None:
+        if after:
+            T.end_marker(self.spark, f"{self.out}/feed/end", self.schema, "ts", after, by)
+
+
+_DAY = dt.timedelta(days=1)
+
+
+def _drained(t, result, lateness: dt.timedelta, run=T.drain) -> str:
+    """What a stream of the recording gives, in its sink, when all of it came and its end was marked."""
+    own = _Recording(t)
+    sink = f"{own.out}/sink"
+    own.end(run(result(own.stream), sink, own.checkpoint), lateness)
+    run(result(own.stream), sink, own.checkpoint)
+    return sink
+
+
+@query("T1_stream_ingest", "SELECT event_id, user_id, event_type FROM events WHERE ts IS NOT NULL")
 def _(t):
-    out = new_dir(t.spark, "stream")
-    T.drain(T.ingest(_stream(t), "event_id", "ts", "60 days").select("event_id", "user_id", "event_type"), f"{out}/t", f"{out}/c")
-    return t.spark.read.parquet(f"{out}/t")
+    """Files that come in two runs, the second with a file that was delivered before: each event is kept once."""
+    own = _Recording(t)
+    once = T.ingest(own.stream, "event_id", "ts", "3 days").select("event_id", "user_id", "event_type")
+    T.drain(once, f"{own.out}/sink", own.checkpoint)
+    t.spark.read.schema(own.schema).parquet(own.feed[-1]).write.parquet(f"{own.out}/feed/again")
+    T.drain(once, f"{own.out}/sink", own.checkpoint)
+    return t.spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(f"{own.out}/sink")
+
+
+def _trials(t, longest: dt.timedelta):
+    code = F.when(F.col("event_type") == "signup", 3000).when(F.col("event_type") == "purchase", 3091).otherwise(0)
+    us = F.unix_micros(F.col("ts")) - F.lit(1_704_067_200_000_000)
+
+    def result(stream):
+        x = stream.select(F.col("user_id").alias("session"), "ts", us.alias("us"), F.col("event_id").alias("seq"), code.alias("code"))
+        return T.segment(x, "session", "ts", "us", "seq", "code", 3000, 3091, "1 day", longest)
+
+    return t.spark.read.schema("session long, start long, stop long, complete boolean").parquet(_drained(t, result, 2 * _DAY + longest))
 
 
 @query("T2_stream_segment", """WITH m AS (SELECT *, sum((code = 3000)::INT) OVER (PARTITION BY session ORDER BY us, seq) AS g FROM ev WHERE code IN (3000, 3091))
 SELECT session, min(CASE WHEN code = 3000 THEN us END) AS "start", min(CASE WHEN code = 3091 THEN us END) AS "stop" FROM m WHERE g > 0 GROUP BY session, g HAVING count_if(code = 3091) > 0""")
 def _(t):
-    out = new_dir(t.spark, "stream")
-    code = F.when(F.col("event_type") == "signup", 3000).when(F.col("event_type") == "purchase", 3091).otherwise(0)
-    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
-    schema = t("events").schema
-    raw = T.events_stream(t.spark, f"{t.sf_dir}/events.parque[t]", schema)
-    raw = raw.select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), us.alias("us"), F.col("event_id").alias("seq"), code.alias("code"))
-    # files come in any order, so rows may be as late as the whole recording is long
-    T.drain(T.segment(raw, "session", "ts", "us", "seq", "code", 3000, 3091, "60 days"), f"{out}/t", f"{out}/c")
-    settled = t.spark.read.schema("session long, start long, stop long").parquet(f"{out}/t")
-    return settled.unionByName(T.unsettled(t.spark, f"{out}/c", "session", 3000, 3091))
+    return _trials(t, 60 * _DAY).where("complete").drop("complete")
+
+
+@query("T2_stream_trials", """SELECT session, us AS "start", CASE WHEN closed THEN stop END AS "stop", closed AS complete FROM (SELECT *, coalesce(after = 3091 AND stop // 1000 - us // 1000 <= 172800000, false) AS closed FROM (
+  SELECT *, lead(code) OVER w AS after, lead(us) OVER w AS stop FROM ev WHERE code IN (3000, 3091) WINDOW w AS (PARTITION BY session ORDER BY us, seq)) WHERE code = 3000)""")
+def _(t):
+    """All trials, those that no stop followed within two days or before the next start as incomplete ones."""
+    return _trials(t, 2 * _DAY)
+
+
+_HOUR = "yyyy-MM-dd HH"
+
+
+def _rates(t, slide: str | None):
+    keys = ["window_start", "event_type"]
+    sink = _drained(t, lambda x: T.rates(x, "ts", "6 hours", "1 day", ["event_type"], slide), 2 * _DAY, T.upsert)
+    # the marker's own window has no group
+    return T.latest(t.spark, sink, keys).where("event_type IS NOT NULL").withColumn("window_start", F.date_format("window_start", _HOUR))
 
 
 @query("T3_stream_rate", "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y-%m-%d %H') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
-    out = new_dir(t.spark, "stream")
-    T.drain_complete(T.rates(_stream(t), "ts", "6 hours", "1 day", ["event_type"]), f"{out}/t", f"{out}/c")
-    return t.spark.read.parquet(f"{out}/t").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n")
+    return _rates(t, None)
 
 
 @query("T3_sliding_rate", "SELECT strftime(time_bucket(INTERVAL 2 HOURS, ts) - to_hours(2 * k), '%Y-%m-%d %H') AS window_start, event_type, count(*) AS n FROM events, range(3) r(k) GROUP BY ALL")
 def _(t):
-    out = new_dir(t.spark, "stream")
-    T.drain_complete(T.rates(_stream(t), "ts", "6 hours", "1 day", ["event_type"], slide="2 hours"), f"{out}/t", f"{out}/c")
-    return t.spark.read.parquet(f"{out}/t").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n")
+    return _rates(t, "2 hours")
 
 
 @query("T3_burst_rate", """SELECT user_id, round(epoch(min(ts)))::BIGINT AS begins, round(epoch(max(ts)))::BIGINT + 14400 AS ends, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (
   SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 4 HOURS, true)::INT AS f FROM events)) GROUP BY user_id, run""")
 def _(t):
-    out = new_dir(t.spark, "stream")
-    T.drain_complete(T.burst_rates(_stream(t), "ts", "4 hours", "1 day", ["user_id"]), f"{out}/t", f"{out}/c")
+    """Bursts leave the stream once each, when the watermark has passed them; the end marker's own is never passed."""
+    sink = _drained(t, lambda x: T.burst_rates(x, "ts", "4 hours", "1 day", ["user_id"]), 2 * _DAY)
     at = lambda c: F.round(F.unix_millis(c) / 1000).cast("long")
-    return t.spark.read.parquet(f"{out}/t").select("user_id", at("window_start").alias("begins"), at("window_end").alias("ends"), "n")
+    kept = t.spark.read.schema("user_id long, window_start timestamp, window_end timestamp, n long").parquet(sink)
+    return kept.select("user_id", at("window_start").alias("begins"), at("window_end").alias("ends"), "n")
