@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import numbered
+from .scans import HOT_ROWS, Scan, scan
+
 
 def state_summary(df: DataFrame, value: str = "value", by: str = "state", **rates: Column) -> DataFrame:
     """Mean, sample deviation and non-null count of a value, and the rate of each named condition, by state."""
@@ -13,26 +16,27 @@ def state_summary(df: DataFrame, value: str = "value", by: str = "state", **rate
     )
 
 
-def run_lengths(df: DataFrame, session: str = "session", pos: str = "pos", state: str = "state") -> DataFrame:
-    """(session, start, state, length) of each run of equal states; nulls are equal to each other."""
-    by = Window.partitionBy(session).orderBy(pos)
-    first = F.coalesce(~F.col(state).eqNullSafe(F.lag(state).over(by)), F.lit(True)) | F.lag(pos).over(by).isNull()
-    run = F.sum(first.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_run", run).groupBy(session, "_run").agg(F.min(pos).alias("start"), F.first(state).alias(state), F.count(F.lit(1)).alias("length")).drop("_run")
+def run_lengths(df: DataFrame, session: str = "session", pos: str = "pos", state: str = "state", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(session, start, state, length) of each run of equal states; nulls are equal to each other. The last row before a
+    change of state gives its run's length, so runs are never grouped."""
+    x = Scan(df.select(session, pos, state), [session], [pos], hot_rows).carry(_before=("lag", F.struct(state)))
+    x = x.with_columns({"_new": F.col("_before").isNull() | ~F.col(f"_before.{state}").eqNullSafe(F.col(state))}).carry(_rows=("before", F.lit(1).cast("long")))
+    starts = x.where(F.col("_new")).carry(_next=("lead", F.col("_rows"))).done()
+    total = df.groupBy(F.col(session).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    got = starts.where("_next IS NOT NULL").withColumn("length", F.col("_next") - F.col("_rows"))
+    last = starts.where("_next IS NULL").join(total, F.col(session).eqNullSafe(F.col("_s"))).withColumn("length", F.col("_n") - F.col("_rows"))
+    columns = [session, F.col(pos).alias("start"), state, "length"]
+    return got.select(*columns).unionByName(last.select(*columns))
 
 
-def transition_matrix(df: DataFrame, session: str = "session", pos: str = "pos", state: str = "state", pooled: bool = False) -> DataFrame:
+def transition_matrix(df: DataFrame, session: str = "session", pos: str = "pos", state: str = "state", pooled: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Counts and row shares of (state, next state); pooled runs all sessions together, in session order, and then also
     counts the step from one session to the next."""
-    by = Window.orderBy(session, pos) if pooled else Window.partitionBy(session).orderBy(pos)
+    pairs = scan(df.select(session, pos, state), [session], [pos], hot_rows, b=("lead", F.col(state))).select(F.col(state).alias("a"), "b").where("b IS NOT NULL")
     if pooled:  # the step over a session's end needs only its last and first state
-        within = Window.partitionBy(session).orderBy(pos)
-        pairs = df.select(F.col(state).alias("a"), F.lead(state).over(within).alias("b")).where("b IS NOT NULL")
-        ends = df.groupBy(session).agg(F.min_by(state, pos).alias("first"), F.max_by(state, pos).alias("last"))
-        seams = ends.select(F.col("last").alias("a"), F.lead("first").over(Window.orderBy(session)).alias("b")).where("b IS NOT NULL")
-        pairs = pairs.unionByName(seams)
-    else:
-        pairs = df.select(F.col(state).alias("a"), F.lead(state).over(by).alias("b")).where("b IS NOT NULL")
+        ends = numbered(df.groupBy(session).agg(F.min_by(state, pos).alias("first"), F.max_by(state, pos).alias("last")), [session], "_k")
+        after = ends.select((F.col("_k") - 1).alias("_k"), F.col("first").alias("b"))
+        pairs = pairs.unionByName(ends.join(after, "_k").select(F.col("last").alias("a"), "b").where("b IS NOT NULL"))
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("a")))
 
@@ -165,10 +169,9 @@ def common_median_reference(sig: DataFrame, by: list[str], value: str = "value")
     return sig.withColumn("referenced", F.col(value) - F.median(value).over(Window.partitionBy(*by)))
 
 
-def block_id(df: DataFrame, session: str = "session", pos: str = "pos", is_exit: str = "is_exit") -> DataFrame:
+def block_id(df: DataFrame, session: str = "session", pos: str = "pos", is_exit: str = "is_exit", hot_rows: int = HOT_ROWS) -> DataFrame:
     """df with block: the number of exits before each row; an exit ends its own block."""
-    before = Window.partitionBy(session).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("block", F.coalesce(F.sum(F.col(is_exit).cast("long")).over(before), F.lit(0)).cast("long"))
+    return scan(df, [session], [pos], hot_rows, block=("before", F.col(is_exit).cast("long")))
 
 
 def block_table(df: DataFrame, session: str = "session", pos: str = "pos", state: str = "state") -> DataFrame:

@@ -9,16 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import HOT_ROWS, Scan, scan
+
 
 def attach_state(trials: DataFrame, states: DataFrame, shift: int = 1000, trial: str = "trial_code") -> DataFrame:
     """Trials with their state, joined on the trial number that is left of a code less its base."""
     return trials.withColumn("trial", F.col(trial) - shift).join(states, ["session", "trial"])
 
 
-#: Rows of a key that one sorted task takes; keys with more are cut at quantiles of their times.
-HOT_ROWS = 1_000_000
-
-
 def _asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], forward: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
     side = F.lit(1 if forward else 0)
     kept = [c for c in left.columns if c not in on]
@@ -26,30 +24,9 @@ def _asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, righ
     b = right.where(F.col(right_time).isNotNull()).select(*on, F.col(right_time).alias("_t"), side.alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(right_time, *values).alias("_right"))
     both = a.unionByName(b)
     # right rows stand before equal left rows looking back, and after them looking ahead
-    order = ["_t", "_side", *[F.col(f"_right.{v}") for v in values]]
-
-    def found(part: list[str]) -> Column:
-        w = Window.partitionBy(*on, *part).orderBy(*order)
-        return F.first("_right", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_right", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-
-    counts = both.groupBy(*on).agg(F.count("_t").alias("_n"))
-    widest = counts.agg(F.max("_n")).first()[0] or 0
-    if widest <= hot_rows:
-        x = both.withColumn("_found", found([])).where("_left IS NOT NULL")
-    else:
-        parts = -(-widest // hot_rows)
-        at = [k / parts for k in range(1, parts)]
-        hot = counts.where(F.col("_n") > hot_rows).drop("_n")
-        own = (both.join(hot, on, "left_semi") if on else both).groupBy(*on).agg(F.percentile_approx("_t", at, 100 * parts).alias("_cuts"))
-        x = both.join(own, on, "left") if on else both.crossJoin(F.broadcast(own))  # one row
-        x = x.withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_t"))), F.lit(0))).drop("_cuts")
-        # what a part's rows find in the parts before it (or after it, looking ahead): one row a part
-        key = F.when(F.col("_right").isNotNull(), F.struct("_t", *[F.col(f"_right.{v}") for v in values]))
-        ends = x.groupBy(*on, "_part").agg((F.min_by if forward else F.max_by)("_right", key).alias("_end"))
-        w = Window.partitionBy(*on).orderBy("_part")
-        other = F.first("_end", True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("_end", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        ends = ends.withColumn("_other", other).drop("_end")
-        x = x.withColumn("_found", found(["_part"])).where("_left IS NOT NULL").join(ends, [*on, "_part"], "left").withColumn("_found", F.coalesce("_found", "_other"))
+    # names of the values' own, to order by
+    ranks = {f"_rank{k}": F.col(f"_right.{v}") for k, v in enumerate(values)}
+    x = Scan(both.withColumns(ranks), on, ["_t", "_side", *ranks], hot_rows).carry(_found=("next" if forward else "last", F.col("_right"))).done().where("_left IS NOT NULL")
     return x.select(*on, "_left.*", F.col(f"_found.{right_time}").alias(f"{right_time}_found"), *[F.col(f"_found.{v}").alias(f"{v}_found") for v in values])
 
 
@@ -134,14 +111,12 @@ def align_sequences(a: DataFrame, b: DataFrame, pos: str, code: str, key: int, c
     return found.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("matches"))))
 
 
-def segment(events: DataFrame, on: list[str], order: list[str], time: str, code: str, start: Column, trigger: Column, stop: Column) -> DataFrame:
+def segment(events: DataFrame, on: list[str], order: list[str], time: str, code: str, start: Column, trigger: Column, stop: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(on, start, trigger, stop, offset) of trials: a start whose next stop precedes the next start, with the last
     trigger between them; offset is start less trigger."""
     kind = F.when(start, "a").when(stop, "z").when(trigger, "t")
     marks = events.withColumn("_k", kind).where("_k IS NOT NULL")
-    w = Window.partitionBy(*on).orderBy(*order)
-    group = F.sum(F.when(F.col("_k") == "a", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marks = marks.withColumn("_g", group).where("_g > 0")
+    marks = scan(marks, on, order, hot_rows, _g=("upto", (F.col("_k") == "a").cast("int"))).where("_g > 0")
     per = marks.groupBy(*on, "_g").agg(
         F.min(F.when(F.col("_k") == "a", F.col(time))).alias("start"),
         F.min(F.when(F.col("_k") == "z", F.struct(*order))).alias("_z"),

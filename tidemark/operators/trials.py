@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import asof_backward
+from .scans import HOT_ROWS, scan
 
 
-def trial_number(events: DataFrame, on: list[str], order: list[str], code: str, start: int) -> DataFrame:
+def trial_number(events: DataFrame, on: list[str], order: list[str], code: str, start: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """events with trial: how many start markers there are up to each row of its session."""
-    w = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("trial", F.sum(F.when(F.col(code) == start, 1).otherwise(0)).over(w).cast("int"))
+    return scan(events, on, order, hot_rows, trial=("upto", F.when(F.col(code) == start, 1).otherwise(0))).withColumn("trial", F.col("trial").cast("int"))
 
 
 def trial_info(events: DataFrame, on: list[str], order: list[str], code: str, start: int, flags: dict[str, int], choices: list[int]) -> DataFrame:

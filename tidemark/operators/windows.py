@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import block_id
 from .kernels import apply_kernel
+from .scans import HOT_ROWS, Scan, scan
 
 
 def normalized_position(df: DataFrame, bins: int = 10, session: str = "session", pos: str = "pos") -> DataFrame:
@@ -205,41 +206,37 @@ def rezero(df: DataFrame, by: list[str], order: list[str], values: list[str]) ->
     return df.withColumns({f"{v}_zeroed": F.col(v) - F.first(v).over(w) for v in values})
 
 
-def fill_linear(df: DataFrame, by: list[str], frame: str, value: str) -> DataFrame:
+def fill_linear(df: DataFrame, by: list[str], frame: str, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All frame numbers from a group's first to its last; missing ones get the straight line between neighbours and
     filled true."""
     ends = df.groupBy(*by).agg(F.min(frame).alias("_a"), F.max(frame).alias("_b"))
     grid = ends.select(*by, F.explode(F.sequence("_a", "_b")).alias(frame))
     x = grid.join(df.select(*by, frame, value), [*by, frame], "left")
-    back = Window.partitionBy(*by).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(frame).rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(frame).alias("f"), F.col(value).alias("v")))
-    a, b = F.last(known, True).over(back), F.first(known, True).over(ahead)
-    x = x.withColumns({"_p": a, "_n": b})
+    x = scan(x, by, [frame], hot_rows, _p=("last", known), _n=("next", known))
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col(frame) - F.col("_p.f")) / (F.col("_n.f") - F.col("_p.f"))
     return x.withColumn("filled", F.col(value).isNull()).withColumn(value, F.coalesce(F.col(value), line)).drop("_p", "_n")
 
 
-def carry_forward(df: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
+def carry_forward(df: DataFrame, by: list[str], order: list[str], values: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Nulls replaced by the last known value before."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({v: F.last(v, True).over(w) for v in values})
+    return scan(df, by, order, hot_rows, **{v: ("last", F.col(v)) for v in values}).select(df.columns)
 
 
-def threshold_events(sig: DataFrame, by: list[str], sample: str, q: float, refractory: int, keep_first: bool = False, value: str = "value") -> DataFrame:
+def threshold_events(sig: DataFrame, by: list[str], sample: str, q: float, refractory: int, keep_first: bool = False, value: str = "value", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Samples beyond q population deviations of their channel that lie more than the refractory time after the last
     such sample; a channel's first is dropped unless kept by option."""
-    sd = F.stddev_pop(value).over(Window.partitionBy(*by))
-    over = sig.withColumn("_sd", sd).where(F.abs(value) > q * F.col("_sd")).drop("_sd")
-    gap = F.col(sample) - F.lag(sample).over(Window.partitionBy(*by).orderBy(sample))
-    return over.withColumn("_g", gap).where((F.col("_g") > refractory) | (F.col("_g").isNull() & F.lit(keep_first))).drop("_g")
+    sd = sig.groupBy(*by).agg(F.stddev_pop(value).alias("_sd"))
+    over = sig.join(sd, by).where(F.abs(value) > q * F.col("_sd")).select(sig.columns)
+    x = scan(over, by, [sample], hot_rows, _g=("lag", F.col(sample)))
+    return x.withColumn("_g", F.col(sample) - F.col("_g")).where((F.col("_g") > refractory) | (F.col("_g").isNull() & F.lit(keep_first))).drop("_g")
 
 
-def burst_sessions(df: DataFrame, by: list[str], t: str, order: list[str], gap: float, least: int) -> DataFrame:
+def burst_sessions(df: DataFrame, by: list[str], t: str, order: list[str], gap: float, least: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Runs of rows no further than gap apart that hold at least so many: start, end and number of each."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    new = F.coalesce((F.col(t) - F.lag(t).over(w)) > gap, F.lit(True))
-    x = df.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = Scan(df, by, order, hot_rows).carry(_b=("lag", F.col(t)))
+    new = F.coalesce((F.col(t) - F.col("_b")) > gap, F.lit(True))
+    x = x.with_columns({"_new": new.cast("int")}).carry(_run=("upto", F.col("_new"))).done()
     return x.groupBy(*by, "_run").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("_run")
 
 

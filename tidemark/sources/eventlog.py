@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scans import HOT_ROWS, Scan, scan
+
 LINE = r"^([^,]*),\[(\d+)\],LogTypes::(\w+),?(.*)$"
 
 
@@ -45,10 +47,9 @@ def header(lines: DataFrame, session: str, line_no: str, text: str = "value", mo
     return first.join(fields, session, "left")
 
 
-def event_markers(log: DataFrame, session: str = "session", order: str = "line_no") -> DataFrame:
+def event_markers(log: DataFrame, session: str = "session", order: str = "line_no", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Marker rows with code and device time, and the description of the next line if that is one."""
-    w = Window.partitionBy(session).orderBy(order)
-    x = log.withColumn("_nk", F.lead("kind").over(w)).withColumn("_np", F.lead("payload").over(w)).where("kind = 'Eventmarker'")
+    x = scan(log, [session], [order], hot_rows, _nk=("lead", F.col("kind")), _np=("lead", F.col("payload"))).where("kind = 'Eventmarker'")
     return x.select(session, order, "ts", F.get("payload", F.lit(0)).try_cast("long").alias("code"), F.get("payload", F.lit(1)).try_cast("double").alias("device_ts"), F.when(F.col("_nk") == "Description", F.get("_np", F.lit(0))).alias("description"))
 
 
