@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import predicates as P
-from ..staging import numbered
+from ..operators import sequences as Q
+from ..staging import numbered, written
 from .registry import query, r6
 
 
@@ -184,6 +185,61 @@ def _(t):
     return J.align_sequences(a, b, "p", "code", 12)
 
 
+_CODED = "(SELECT session, us, seq, code + 100 * (seq % 7) AS code, row_number() OVER (PARTITION BY session ORDER BY us, seq) - 1 AS pos, count(*) OVER (PARTITION BY session) AS n FROM ev)"
+# sessions whose recording is whole, ends early, begins late, or repeats what their log begins with
+_TAKEN = "CASE session % 4 WHEN 1 THEN pos < n - 5 WHEN 2 THEN pos >= 4 ELSE true END"
+
+
+def _coded(t):
+    x = Q.with_position(t.ev.select("session", "us", "seq", (F.col("code") + 100 * (F.col("seq") % 7)).alias("code")), ["session"], ["us", "seq"])
+    return written(x.join(x.groupBy("session").agg(F.count(F.lit(1)).alias("n")), "session"))
+
+
+_LATE = f"""c AS {_CODED}, l AS (SELECT session, pos, code FROM c),
+r AS (SELECT session, us, code, row_number() OVER (PARTITION BY session ORDER BY part, pos) - 1 AS pos FROM (SELECT session, us, code, pos, 1 AS part FROM c WHERE {_TAKEN} UNION ALL SELECT session, us, code, pos, 0 FROM c WHERE session % 4 = 3 AND pos < 6)),
+ka AS (SELECT session, list(code ORDER BY pos) AS key FROM l WHERE pos < 6 GROUP BY session), kb AS (SELECT session, list(code ORDER BY pos) AS key FROM r WHERE pos < 100 GROUP BY session),
+a AS (SELECT g.session, count(*) AS n, min(pos) AS at FROM (SELECT session, pos, list(code) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS gram FROM r) g JOIN ka ON g.session = ka.session AND gram = key GROUP BY g.session),
+b AS (SELECT g.session, count(*) AS n, min(pos) AS at FROM (SELECT session, pos, list(code) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS gram FROM l) g JOIN kb ON g.session = kb.session AND gram[:len(key)] = key GROUP BY g.session),
+o AS (SELECT s.session, CASE WHEN a.n = 1 THEN 'aligned' WHEN a.n > 1 THEN 'many' WHEN b.n = 1 THEN 'late' ELSE 'none' END AS status, CASE WHEN a.n = 1 THEN a.at WHEN a.n IS NULL AND b.n = 1 THEN -b.at END AS shift FROM (SELECT DISTINCT session FROM l) s LEFT JOIN a USING (session) LEFT JOIN b USING (session)),
+p AS (SELECT l.session, l.pos, l.code, r.us, r.code AS other, status, shift FROM l JOIN o USING (session) LEFT JOIN r ON r.session = l.session AND r.pos = l.pos + shift)"""
+
+
+def _recorded(t):
+    """A log, and its recording with its own positions."""
+    c = _coded(t)
+    taken = F.when(F.col("session") % 4 == 1, F.col("pos") < F.col("n") - 5).when(F.col("session") % 4 == 2, F.col("pos") >= 4).otherwise(True)
+    twice = c.where("session % 4 = 3 AND pos < 6").withColumn("part", F.lit(0))
+    r = c.where(taken).withColumn("part", F.lit(1)).unionByName(twice).withColumn("_order", F.col("part") * 1_000_000_000_000 + F.col("pos")).drop("pos")
+    return Q.with_position(r, ["session"], ["_order"]).select("session", "pos", F.col("us").alias("time"), "code"), c.select("session", "pos", "code")
+
+
+@query("C9_align_to_log", f"WITH {_LATE} SELECT session, pos, code, us AS time FROM p WHERE shift IS NOT NULL")
+def _(t):
+    return Q.align_to_log(*_recorded(t), ["session"])[0]
+
+
+@query("C9_alignment_report", f"""WITH {_LATE} SELECT session, status, any_value(shift) AS "offset", CASE WHEN any_value(shift) IS NOT NULL THEN count(other) END AS paired, CASE WHEN any_value(shift) IS NOT NULL THEN count(*) - count(other) END AS missing, CASE WHEN any_value(shift) IS NOT NULL THEN count_if(other <> code)::BIGINT END AS differing FROM p GROUP BY session, status""")
+def _(t):
+    return Q.align_to_log(*_recorded(t), ["session"])[1]
+
+
+@query("C9_align_to_screen", f"""WITH c AS (SELECT * REPLACE (CASE WHEN pos = 0 THEN 992 WHEN pos = n - 1 THEN 993 ELSE code END AS code) FROM {_CODED})
+SELECT session, CASE WHEN session % 5 = 4 AND pos = 0 THEN NULL ELSE us * 0.03::DOUBLE END AS sample, CASE WHEN session % 5 = 4 AND pos = 0 THEN NULL ELSE us * 0.03::DOUBLE + 16000 * 0.03::DOUBLE END AS screen_sample, us + 16000 AS screen_time, code FROM c
+WHERE pos < n - CASE session % 5 WHEN 1 THEN 2 ELSE 1 END AND pos >= CASE session % 5 WHEN 2 THEN 1 ELSE 0 END""")
+def _(t):
+    """Recordings with both session markers, without the last or the first row, with the end of the session before, and
+    without either marker (these by way of the log, so that their first row has no time)."""
+    k, p = F.col("session") % 5, F.col("pos")
+    c = _coded(t).withColumn("code", F.when(p == 0, 992).when(p == F.col("n") - 1, 993).otherwise(F.col("code")).cast("long"))
+    log = c.select("session", "pos", "code", F.col("us").alias("log_time"), (F.col("us") + 16_000).alias("screen_time"))
+    taken = F.when(k == 1, p < F.col("n") - 1).when(k == 2, p > 0).when(k == 4, (p > 0) & (p < F.col("n") - 1)).otherwise(True)
+    r = c.where(taken).withColumn("pos", F.when(k.isin(2, 4), p - 1).when(k == 3, p + 1).otherwise(p))
+    before = c.where((k == 3) & (p == 0)).withColumn("code", F.lit(993).cast("long"))
+    r = r.unionByName(before).select("session", "pos", (F.col("us") * 0.03).alias("time"), "code")
+    x = Q.align_to_screen(r, log, ["session"], 0.03)[0]
+    return x
+
+
 @query("C10_segment", """WITH m AS (SELECT *, sum((code = 3000)::INT) OVER (PARTITION BY session ORDER BY us, seq) AS g FROM ev WHERE code IN (3000, 3011, 3091)),
 z AS (SELECT session, g, min(CASE WHEN code = 3000 THEN us END) AS "start", min(CASE WHEN code = 3091 THEN us END) AS "stop", min(CASE WHEN code = 3091 THEN us * 1000000 + seq END) AS zk FROM m WHERE g > 0 GROUP BY ALL HAVING zk IS NOT NULL)
 SELECT z.session, "start", max(CASE WHEN code = 3011 AND m.us * 1000000 + seq < zk THEN m.us END) AS "trigger", "stop", "start" - max(CASE WHEN code = 3011 AND m.us * 1000000 + seq < zk THEN m.us END) AS "offset" FROM z JOIN m USING (session, g) GROUP BY z.session, "start", "stop" """)
