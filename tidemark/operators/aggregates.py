@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import numbered
+from .quantiles import exact_quantiles, join_groups
 from .scans import HOT_ROWS, Scan, scan
 
 
@@ -63,9 +64,9 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, den
     return counts
 
 
-def length_profile(df: DataFrame, value: str, by: str, width: float) -> DataFrame:
+def length_profile(df: DataFrame, value: str, by: str, width: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mean, median, 10th, 15th and 20th percentile (interpolated), most frequent bin, and rows at or above the 10th."""
-    q = df.groupBy(by).agg(F.avg(value).alias("mean"), *[F.percentile(value, F.lit(p)).alias(n) for n, p in (("median", 0.5), ("p10", 0.1), ("p15", 0.15), ("p20", 0.2))])
+    q = join_groups(df.groupBy(by).agg(F.avg(value).alias("mean")), exact_quantiles(df, [by], value, {"median": 0.5, "p10": 0.1, "p15": 0.15, "p20": 0.2}, hot_rows), [by])
     bins = df.groupBy(by, F.floor(F.col(value) / width).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
     mode = bins.groupBy(by).agg(F.max_by("bin", F.struct("k", -F.col("bin"))).alias("modal_bin"))
     over = df.join(q.select(by, "p10"), by).where(F.col(value) >= F.col("p10")).groupBy(by).agg(F.count(F.lit(1)).alias("over_p10"))
@@ -196,11 +197,10 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return full.withColumn("expected", expected).withColumn("chi2", F.pow(F.col("n") - F.col("expected"), 2) / F.col("expected"))
 
 
-def quantile_summary(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+def quantile_summary(df: DataFrame, value: str, by: list[str], shares: dict[str, float], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mean, population deviation and named quantiles of each group, these interpolated."""
-    q = F.percentile(value, F.array(*[F.lit(s) for s in shares.values()]))
-    got = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), q.alias("_q"))
-    return got.select(*by, "mean", "sd", *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(shares)])
+    got = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    return join_groups(got, exact_quantiles(df, by, value, shares, hot_rows), by)
 
 
 def circular_summary(df: DataFrame, angle: str, by: list[str]) -> DataFrame:

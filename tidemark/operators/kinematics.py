@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .windows import sliding_fit, smooth
 
 
@@ -40,7 +41,7 @@ def reaction_time(df: DataFrame, by: list[str], pos: str, value: str, windows: l
     left = 1 - F.col(pos) / F.count(F.lit(1)).over(w)
     x = x.withColumn("_s", F.round(sum((1 - F.col(f"_r{k}") for k in windows), F.lit(0.0)) * left, 6))
     best = x.groupBy(*by).agg(F.max("_s").alias("score"), F.max_by(pos, F.struct("_s", -F.col(pos))).alias("_at"))
-    low = best.agg(F.percentile("score", F.lit(share)).alias("_low"))
+    low = exact_quantiles(best, [], "score", {"_low": share})
     got = best.crossJoin(F.broadcast(low))  # one row
     return got.select(*by, "score", F.when((F.col("score") >= least) & (F.col("score") >= F.col("_low")), F.col("_at")).alias("reaction"))
 

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, join_groups
+from .scans import HOT_ROWS
+
 
 def select_trials(df: DataFrame, conditions: list[str]) -> DataFrame:
     """Rows for which all of ``Key``, ``~Key``, ``Key=X`` and ``~Key=X`` hold; values compare as strings, a bare key must
@@ -101,11 +104,12 @@ def trial_outcome(correct: Column, wrong: Column, miss: Column, leaves: Column)
     return F.when(leaves & (base != "other"), F.concat(base, F.lit("_end"))).otherwise(base)
 
 
-def likelihood_box(pose: DataFrame, x: str, y: str, likelihood: str, by: list[str], least: float = 0.9, buffer: float = 0.2) -> DataFrame:
+def likelihood_box(pose: DataFrame, x: str, y: str, likelihood: str, by: list[str], least: float = 0.9, buffer: float = 0.2, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Box between the smallest and largest medians of confident coordinates of each part, grown by a share of its
     size and not below zero."""
     sure = F.col(likelihood) > least
-    parts = pose.groupBy(*by, "part").agg(F.median(F.when(sure, F.col(x))).alias("mx"), F.median(F.when(sure, F.col(y))).alias("my"))
+    median = lambda c, name: exact_quantiles(pose.select(*by, "part", F.when(sure, F.col(c)).alias("_m")), [*by, "part"], "_m", {name: 0.5}, hot_rows)
+    parts = join_groups(median(x, "mx"), median(y, "my"), [*by, "part"])
     box = parts.groupBy(*by).agg(F.min("mx").alias("x0"), F.max("mx").alias("x1"), F.min("my").alias("y0"), F.max("my").alias("y1"))
     dx, dy = (F.col("x1") - F.col("x0")) * buffer, (F.col("y1") - F.col("y0")) * buffer
     zero = F.lit(0.0)

@@ -238,6 +238,20 @@ def _(t):
     return x.withColumns({n: r6(n) for n in ("z", "p")})
 
 
+@query("I3_exact_pairs", f"""WITH RECURSIVE w AS (SELECT 0 AS i, 0 AS size, 0 AS s, 1.0::DOUBLE AS ways UNION ALL SELECT i + 1, size, s, sum(ways) FROM (SELECT i, size, s, ways FROM w WHERE i < 38 UNION ALL SELECT i, size + 1, s + i + 1, ways FROM w WHERE i < 38 AND size < 19) GROUP BY i, size, s),
+a AS (SELECT s_nationkey AS g, s_acctbal AS v FROM supplier), c AS (SELECT g, count(v) AS n FROM a GROUP BY g), pr AS (SELECT a.g AS g1, a.n AS n1, b.g AS g2, b.n AS n2 FROM c a JOIN c b ON a.g < b.g WHERE a.n > 3 AND b.n > 3),
+x AS (SELECT g1, n1, g2, n2, g, count(*) OVER (PARTITION BY g1, g2, v) AS k, rank() OVER o + (count(*) OVER (PARTITION BY g1, g2, v) - 1) / 2 AS rk FROM pr JOIN a ON g IN (g1, g2) WINDOW o AS (PARTITION BY g1, g2 ORDER BY v)),
+u AS (SELECT g1, n1, g2, n2, max(k) AS tied, sum(CASE WHEN g = g1 THEN rk END) - n1 * (n1 + 1) / 2 AS u FROM x GROUP BY g1, n1, g2, n2),
+z AS (SELECT *, (u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS z, count(*) OVER () AS m FROM u),
+e AS (SELECT g1, g2, 2 * least(sum(CASE WHEN s - n1 * (n1 + 1) / 2 <= u THEN ways ELSE 0 END), sum(CASE WHEN s - n1 * (n1 + 1) / 2 >= u THEN ways ELSE 0 END)) / sum(ways) AS exact FROM z JOIN w ON i = n1 + n2 AND size = n1 WHERE n1 < 20 AND n2 < 20 AND tied = 1 GROUP BY g1, g2),
+q AS (SELECT z.*, least(exact, 1.0) AS exact, abs(z) / 1.4142135623730951 AS x, 1 / (1 + 0.3275911 * abs(z) / 1.4142135623730951) AS t FROM z LEFT JOIN e USING (g1, g2))
+SELECT g1, n1::BIGINT AS n1, g2, n2::BIGINT AS n2, u, round(least(1.0, coalesce(exact, 2 * {_UPPER}) * m), 6) AS p FROM q""")
+def _(t):
+    """Nations' suppliers by balance, with the exact law where both nations have fewer than 20."""
+    x = S.mann_whitney(t("supplier").select(F.col("s_nationkey").alias("g"), "s_acctbal"), "g", "s_acctbal", exact_below=20)
+    return x.select("g1", "n1", "g2", "n2", "u", r6("p").alias("p"))
+
+
 def _z_sql(source: str, group: str, hit: str, n: int) -> str:
     z = lambda k: f"(({k}) * (n - n1 - (k - ({k}))) - (n1 - ({k})) * (k - ({k}))) / 2 / nullif(sqrt(n1 * (n - n1) * (n + 1) / 12), 0)"
     return f"""WITH s AS (SELECT *, sum(n1) OVER () AS n, sum(k1) OVER () AS k FROM (SELECT {group} AS g, count(*) AS n1, sum(({hit})::INT) AS k1 FROM {source} GROUP BY ALL)),
