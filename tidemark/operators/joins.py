@@ -17,16 +17,22 @@ def attach_state(trials: DataFrame, states: DataFrame, shift: int = 1000, trial:
     return trials.withColumn("trial", F.col(trial) - shift).join(states, ["session", "trial"])
 
 
-def _asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], forward: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _in_sequence(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], forward: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides as rows of one sequence (_left or _right is null), and its order: right rows stand before equal left
+    rows looking back, and after them looking ahead; equal right rows follow by their values."""
     side = F.lit(1 if forward else 0)
     kept = [c for c in left.columns if c not in on]
-    a = left.select(*on, F.col(left_time).alias("_t"), (1 - side).alias("_side"), F.struct(*kept).alias("_left"), F.lit(None).cast(right.select(F.struct(right_time, *values)).schema[0].dataType).alias("_right"))
-    b = right.where(F.col(right_time).isNotNull()).select(*on, F.col(right_time).alias("_t"), side.alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(right_time, *values).alias("_right"))
-    both = a.unionByName(b)
-    # right rows stand before equal left rows looking back, and after them looking ahead
-    # names of the values' own, to order by
-    ranks = {f"_rank{k}": F.col(f"_right.{v}") for k, v in enumerate(values)}
-    x = Scan(both.withColumns(ranks), on, ["_t", "_side", *ranks], hot_rows).carry(_found=("next" if forward else "last", F.col("_right"))).done().where("_left IS NOT NULL")
+    ranks = [f"_rank{k}" for k in range(len(values))]
+    found = F.struct(right_time, *values)
+    a = left.select(*on, F.col(left_time).alias("_t"), (1 - side).alias("_side"), *[F.lit(None).cast(right.schema[v].dataType).alias(r) for v, r in zip(values, ranks)], F.struct(*kept).alias("_left"), F.lit(None).cast(right.select(found).schema[0].dataType).alias("_right"))
+    known = right.where(F.col(right_time).isNotNull())
+    b = known.select(*on, F.col(right_time).alias("_t"), side.alias("_side"), *[F.col(v).alias(r) for v, r in zip(values, ranks)], F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), found.alias("_right"))
+    return a, b, ["_t", "_side", *ranks]
+
+
+def _asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], forward: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
+    a, b, order = _in_sequence(left, right, on, left_time, right_time, values, forward)
+    x = Scan(a.unionByName(b), on, order, hot_rows).carry(_found=("next" if forward else "last", F.col("_right"))).done().where("_left IS NOT NULL")
     return x.select(*on, "_left.*", F.col(f"_found.{right_time}").alias(f"{right_time}_found"), *[F.col(f"_found.{v}").alias(f"{v}_found") for v in values])
 
 
@@ -49,10 +55,12 @@ def asof_forward(left: DataFrame, right: DataFrame, on: list[str], left_time: st
     return _asof(left, right, on, left_time, right_time, values, True, hot_rows)
 
 
-def nearest(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, value: str, tolerance: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, value: str, tolerance: float | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """left with the right row of least time difference, the earlier of equals; beyond the tolerance nothing is found."""
-    back = asof_backward(left, right, on, left_time, right_time, [value]).withColumnsRenamed({f"{right_time}_found": "_bt", f"{value}_found": "_bv"})
-    both = asof_forward(back, right, on, left_time, right_time, [value]).withColumnsRenamed({f"{right_time}_found": "_ft", f"{value}_found": "_fv"})
+    a, b, order = _in_sequence(left, right, on, left_time, right_time, [value], False)
+    # a right row of equal time stands before the left one: looking back finds it, with a difference of none
+    both = Scan(a.unionByName(b), on, order, hot_rows).carry(_b=("last", F.col("_right")), _f=("next", F.col("_right"))).done().where("_left IS NOT NULL")
+    both = both.select(*on, "_left.*", *[F.col(f"_{side}.{c}").alias(f"_{side}{k}") for side in "bf" for c, k in ((right_time, "t"), (value, "v"))])
     db, df = F.col(left_time) - F.col("_bt"), F.col("_ft") - F.col(left_time)
     early = F.col("_ft").isNull() | (F.col("_bt").isNotNull() & (db <= df))
     gap = F.when(early, db).otherwise(df)

@@ -33,10 +33,11 @@ def cut_hot(df: DataFrame, on: list[str], at: str, hot_rows: int = HOT_ROWS, par
     # both tables are bounded by MOST_CUT rows
     hot = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).orderBy(F.col("_n").desc(), *on).limit(MOST_CUT)
     own = df.select(*on, at).join(F.broadcast(_keys(hot, on)), _same(on), "left_semi")
-    cuts = own.groupBy(*on).agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 20 * parts).alias("_cuts"), F.count(F.lit(1)).alias("_rows")).where("_rows > 0")
+    places = ", ".join(f"{k / parts}D" for k in range(1, parts))
+    cuts = own.groupBy(*on).agg(F.expr(f"percentile_approx(`{at}`, array({places}), {20 * parts})").alias("_cuts"), F.count(F.lit(1)).alias("_rows")).where("_rows > 0")
     x = df.join(F.broadcast(_keys(cuts, on, "_cuts", "_rows")), _same(on), "left")
-    part = F.when(F.col("_rows").isNull(), -1).otherwise(F.greatest(F.lit(0), F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.col(at)))))
-    return x.withColumn("_part", part).select(*df.columns, "_part")
+    part = F.expr(f"CASE WHEN _rows IS NULL THEN -1 WHEN _cuts IS NULL THEN 0 ELSE size(filter(_cuts, c -> c < `{at}`)) END")
+    return x.select(*[F.col(f"`{c}`") for c in df.columns], part.alias("_part"))
 
 
 #: What can be carried: the sum over the rows before, the sum up to a row, the last known value up to it, the next known

@@ -118,6 +118,61 @@ def overlap_role(target: str, reached: str, collapsed: str = "collapsed", inside
     return F.when(known, F.when(t.isin("A", "B"), F.when(F.col(collapsed), fallen).otherwise(seen)).otherwise("neither"))
 
 
+def _extent(polygon: Column) -> list[Column]:
+    """x0, x1, y0 and y1 of the box around a polygon."""
+    return [f(polygon.getField(c)) for c in "xy" for f in (F.array_min, F.array_max)]
+
+
+def _cells(x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> Column:
+    """The cells of a square grid that a box touches, as structs (i, j)."""
+    at = lambda c: F.floor(c / size).cast("long")
+    return F.flatten(F.transform(F.sequence(at(x0), at(x1)), lambda i: F.transform(F.sequence(at(y0), at(y1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+
+def overlap_votes(points: DataFrame, fields: DataFrame, key: list[str], areas: list, size: float, least: float = 0.01) -> DataFrame:
+    """(key, area, n_target, n_distractor, n_fields): how many fields of each of the stated areas overlap the target or the distractor at
+    each point, by ``overlap_role``.
+
+    points: key (unique), target, reached, a and b (polygons); fields: area, x, y, radius (null: the field doesn't count).
+    Boxes of polygons and circles are laid on a grid of cells of a stated size and meet where they share a cell; areas
+    are only computed for such pairs, once a pair: in the cell of the lower left corner of what their boxes share. Fields
+    that share no cell overlap neither. A point whose stimuli are collapsed needs no pair at all.
+    """
+    known = fields.where(F.col("radius").isNotNull())
+    sizes = known.groupBy("area").agg(F.count(F.lit(1)).alias("n_fields"))
+    flat = G.is_collapsed(F.col("a")) | G.is_collapsed(F.col("b"))
+    x = points.withColumn("collapsed", F.coalesce(flat, F.lit(False)))
+    decides = F.col("target").isin("A", "B") & ~F.col("collapsed")
+    each = x.where(decides).select(*key, "target", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("polygon")) for n, c in (("A", "a"), ("B", "b"))])).alias("_p"))
+    each = each.select(*key, "target", "_p.*").where(F.size("polygon") >= 3)
+    each = each.withColumns(dict(zip(("px0", "px1", "py0", "py1"), _extent(F.col("polygon"))))).withColumn("cell", F.explode(_cells(*map(F.col, ("px0", "px1", "py0", "py1")), size)))
+    r = F.col("radius")
+    round_ = known.withColumn("field", F.monotonically_increasing_id()).withColumns({"cx0": F.col("x") - r, "cx1": F.col("x") + r, "cy0": F.col("y") - r, "cy1": F.col("y") + r})
+    round_ = round_.withColumn("cell", F.explode(_cells(*map(F.col, ("cx0", "cx1", "cy0", "cy1")), size)))
+    met = each.join(round_, "cell").where("px0 <= cx1 AND cx0 <= px1 AND py0 <= cy1 AND cy0 <= py1")
+    corner = lambda c, p, f: F.floor(F.greatest(p, f) / size).cast("long") == F.col(f"cell.{c}")
+    met = met.where(corner("i", F.col("px0"), F.col("cx0")) & corner("j", F.col("py0"), F.col("cy0")))
+    smaller = F.least(G.polygon_area(F.col("polygon")), F.lit(3.141592653589793) * r * r)
+    hit = F.coalesce(F.try_divide(G.circle_polygon_area(F.col("x"), F.col("y"), r, F.col("polygon")), smaller) >= least, F.lit(False))
+    hits = met.where(hit).groupBy(*key, "area", "field").agg(F.bool_or(F.col("name") == F.col("target")).alias("own"))
+    votes = hits.groupBy(*key, "area").agg(F.count_if("own").alias("_t"), F.count_if(~F.col("own")).alias("_d"))
+    grid = x.select(*key, "target", "reached", "collapsed", F.explode(F.array(*map(F.lit, areas))).alias("area"))
+    got = grid.join(sizes, "area").join(votes, [*key, "area"], "left")
+    fallen = F.col("collapsed") & F.col("target").isin("A", "B")
+    to_target, to_other = F.col("reached") == F.col("target"), F.col("reached").isin("A", "B") & (F.col("reached") != F.col("target"))
+    count = lambda c, seen: F.when(fallen, F.when(F.coalesce(c, F.lit(False)), F.col("n_fields")).otherwise(0)).otherwise(F.coalesce(seen, F.lit(0)))
+    return got.select(*key, "area", count(to_target, "_t").alias("n_target"), count(to_other, "_d").alias("n_distractor"), "n_fields")
+
+
+def vote_states(votes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, state): of each group of ``overlap_votes`` rows what most fields have: neither, target or distractor, of
+    equals the first of these."""
+    t, d = F.sum("n_target"), F.sum("n_distractor")
+    n = F.sum("n_fields") - t - d
+    state = F.when((n >= t) & (n >= d), "neither").when(t >= d, "target").otherwise("distractor")
+    return votes.groupBy(*by).agg(state.alias("state"))
+
+
 def overlap_raster(trials: DataFrame, states: DataFrame, by: list[str], areas: list, ticks: list, longest: float, gap_rows: int = 2) -> DataFrame:
     """(by, area, row, trial, outcome, tick, state): states of areas over time, a row of the raster a trial.
 

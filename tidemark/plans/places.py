@@ -13,7 +13,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import kinematics as K
 from ..operators import spatial as S
-from ..staging import new_dir, written
+from ..staging import new_dir
 from ..streaming import jobs as T
 from .measures import _EYE as EYE
 from .measures import retinal_sql
@@ -222,12 +222,9 @@ def _(t):
     half = F.when(F.col("seq") % 4 == 0, 2.5).otherwise(30.0)
     left, right = (F.col("seq") % 7 - 3).cast("double"), (F.col("seq") % 5 - 2).cast("double")
     box = lambda a, b: F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((a, -half), (b, -half), (b, half), (a, half))])
-    # the points and states are read several times below; a point costs 50 areas, so even few points fill all cores
-    points = written(points.repartition(t.spark.sparkContext.defaultParallelism, "session", "seq"))
-    seen = S.overlaps(points.crossJoin(fields).withColumns({"a": box(left, left + 40), "b": box(right - 40, right)}))
-    seen = seen.withColumn("t", (F.col("us") - F.col("onset")) / 3.6e9).withColumn("role", S.overlap_role("target", "reached")).where("role IS NOT NULL")
-    states = A.majority_vote(seen, ["session", "trial", "area", "t"], "role", ["neither", "target", "distractor"]).withColumnRenamed("winner", "state")
-    return S.overlap_raster(trials, written(states), ["session"], _AREAS, _TICKS, _LONGEST, _GAP)
+    points = points.withColumns({"t": (F.col("us") - F.col("onset")) / 3.6e9, "a": box(left, left + 40), "b": box(right - 40, right)})
+    votes = S.overlap_votes(points, fields, ["session", "trial", "t", "seq"], _AREAS, 20.0)
+    return S.overlap_raster(trials, S.vote_states(votes, ["session", "trial", "area", "t"]), ["session"], _AREAS, _TICKS, _LONGEST, _GAP)
 
 
 _KERNEL = "(VALUES " + ", ".join(f"({k}, {math.exp(-k * k / 4)!r}::DOUBLE)" for k in range(-3, 4)) + ") k(k, h)"
