@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,25 +11,54 @@ from ..functions import geometry as G
 from .joins import asof_backward
 
 
+#: A point of the unit sphere at columns az and el (degrees), and the cube of a grid that a point lies in.
+_ON_SPHERE = "named_struct('x', cos(radians({az})) * cos(radians({el})), 'y', sin(radians({az})) * cos(radians({el})), 'z', sin(radians({el})))"
+_CUBE = "named_struct('i', cast(floor({p}.x / {h}D) as int), 'j', cast(floor({p}.y / {h}D) as int), 'k', cast(floor({p}.z / {h}D) as int))"
+
+
 def coverage(cells: DataFrame, sweeps: DataFrame, half_width: float) -> DataFrame:
     """(cell, direction, bin) where a cell lies nearer than half the width to a sweep's great circle.
 
-    cells (cell, az, el) are a stated grid and sweeps (direction, bin, az1, el1, az2, el2) a stated protocol, so the
-    smaller one is compared with every row of the other.
+    cells: cell, az, el; sweeps: direction, bin, az1, el1, az2, el2. The unit sphere is laid in cubes of twice the half
+    width. A cell has its own cube; a sweep has those around points of its circle that lie twice the half width apart, so
+    a cell near the circle shares a cube with it, once. Only such pairs are measured.
     """
+    w = math.radians(half_width)
+    h, n = 2 * w + 1e-9, max(4, math.ceil(math.pi / w))
+    own = cells.withColumn("_p", F.expr(_ON_SPHERE.format(az="az", el="el"))).withColumn("_cube", F.expr(_CUBE.format(p="_p", h=repr(h)))).drop("_p")
+    # the circle through the first point that sets out towards the second: cos(a) * point + sin(a) * heading
+    heading = "named_struct('x', -sin(radians(el1)) * cos(radians(az1)) * cos(_b) - sin(radians(az1)) * sin(_b), 'y', -sin(radians(el1)) * sin(radians(az1)) * cos(_b) + cos(radians(az1)) * sin(_b), 'z', cos(radians(el1)) * cos(_b))"
+    point = "named_struct('x', _p.x * cos(a) + _t.x * sin(a), 'y', _p.y * cos(a) + _t.y * sin(a), 'z', _p.z * cos(a) + _t.z * sin(a))"
+    shift = "named_struct('i', q.i + d div 9 - 1, 'j', q.j + d div 3 % 3 - 1, 'k', q.k + d % 3 - 1)"
+    around = f"transform(transform(sequence(0, {n - 1}), m -> m * {2 * math.pi / n!r}D), a -> {_CUBE.format(p='s', h=repr(h)).replace('s.', f'({point}).')})"
+    x = sweeps.withColumn("_b", F.radians(G.bearing(F.col("az1"), F.col("el1"), F.col("az2"), F.col("el2"))))
+    x = x.withColumns({"_p": F.expr(_ON_SPHERE.format(az="az1", el="el1")), "_t": F.expr(heading)}).withColumn("_q", F.array_distinct(F.expr(around)))
+    x = x.withColumn("_cube", F.explode(F.array_distinct(F.expr(f"flatten(transform(_q, q -> transform(sequence(0, 26), d -> {shift})))")))).drop("_b", "_p", "_t", "_q")
     off = G.cross_track(F.col("az"), F.col("el"), F.col("az1"), F.col("el1"), F.col("az2"), F.col("el2"))
-    return cells.join(F.broadcast(sweeps), F.abs(off) < half_width).select("cell", "direction", "bin")
+    return own.join(x, "_cube").where(F.abs(off) < half_width).select("cell", "direction", "bin")
+
+
+#: Shares of the cells that keys are paired with apart.
+SHARES = 32
 
 
 def grid_activity(rates: DataFrame, covered: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Mean activity of each cell over directions: of a direction the mean over the bins whose sweep covers the cell, or,
     where none does, the spontaneous level (mean over directions of the median over bins). rates: keys, direction, bin,
-    rate."""
+    rate; rows without a value of a key are left out.
+
+    Directions that don't cover a cell count as the spontaneous level without a row of their own: only what covered ones
+    differ by is summed. The result has every cell for every key; both are dealt to shares of the cells for that.
+    """
     per = rates.join(covered, ["direction", "bin"]).groupBy(*keys, "cell", "direction").agg(F.avg("rate").alias("a"))
-    quiet = rates.groupBy(*keys, "direction").agg(F.median("rate").alias("m")).groupBy(*keys).agg(F.avg("m").alias("quiet"), F.collect_set("direction").alias("_d"))
-    full = quiet.crossJoin(F.broadcast(cells.select("cell"))).select(*keys, "cell", "quiet", F.explode("_d").alias("direction"))
-    x = full.join(per, [*keys, "cell", "direction"], "left").withColumn("a", F.coalesce("a", "quiet"))
-    return x.groupBy(*keys, "cell").agg(F.avg("a").alias("activity"), F.stddev_pop("a").alias("sd"))
+    quiet = rates.groupBy(*keys, "direction").agg(F.median("rate").alias("m")).groupBy(*keys).agg(F.avg("m").alias("quiet"), F.count(F.lit(1)).alias("_n"))
+    off = F.col("a") - F.col("quiet")
+    differ = per.join(quiet, keys).groupBy(*keys, "cell").agg(F.sum(off).alias("_s"), F.sum(off * off).alias("_ss"))
+    share = F.pmod(F.xxhash64("cell"), F.lit(SHARES)).cast("int")
+    every = quiet.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).join(cells.select("cell").withColumn("_share", share), "_share")
+    mean, square = (F.coalesce(c, F.lit(0.0)) / F.col("_n") for c in ("_s", "_ss"))
+    x = every.join(differ, [*keys, "cell"], "left")
+    return x.select(*keys, "cell", (F.col("quiet") + mean).alias("activity"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("sd"))
 
 
 def bar_map(spikes: DataFrame, covered: DataFrame, cells: DataFrame, delays: list[int], bins: int, bin_col: str = "bin") -> DataFrame:
