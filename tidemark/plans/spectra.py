@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import filters as B
 from ..operators import spectral as P
 from ..operators import windows as W
 from .registry import query, r6
@@ -116,6 +117,49 @@ def _(t):
     return x.groupBy("file_no").agg(F.count(F.lit(1)).alias("n"), F.min("file_sample").alias("low"), F.max("file_sample").alias("high"))
 
 
+def _recursive_sql(source: str, by: str, sections: list, sign: int = 1) -> str:
+    """Sections run sample by sample from rest over rows (by, sample, x), numbered from 0 in order of sign * sample: by, sample, y."""
+    n, keys = len(sections), [k.strip() for k in by.split(",")]
+    state = ", ".join(f"z{k}1, z{k}2" for k in range(n))
+    inner = "SELECT *, x AS y0 FROM (SELECT n.*, {0} FROM nums n {1})"
+
+    def step(start: str, join: str) -> str:
+        sql = inner.format(start, join)
+        for k, (b0, *_) in enumerate(sections):
+            sql = f"SELECT *, {b0!r}::DOUBLE * y{k} + z{k}1 AS y{k + 1} FROM ({sql})"
+        after = ", ".join(f"{b1!r}::DOUBLE * y{k} - ({a1!r}::DOUBLE) * y{k + 1} + z{k}2 AS z{k}1, {b2!r}::DOUBLE * y{k} - ({a2!r}::DOUBLE) * y{k + 1} AS z{k}2" for k, (_, b1, b2, a1, a2) in enumerate(sections))
+        return f"SELECT {by}, sample, i, y{n} AS y, {after} FROM ({sql})"
+
+    zero = ", ".join(f"0.0::DOUBLE AS z{k}1, 0.0::DOUBLE AS z{k}2" for k in range(n))
+    match = " AND ".join(f"n.{k} = r.{k}" for k in keys)
+    return f"""WITH RECURSIVE nums AS (SELECT {by}, sample, x, row_number() OVER (PARTITION BY {by} ORDER BY {sign} * sample) AS i FROM {source}),
+r AS ({step(zero, "WHERE i = 1")} UNION ALL {step(state, f"JOIN r ON {match} AND n.i = r.i + 1")}) SELECT {by}, sample, y FROM r"""
+
+
+_BUTTER, _SLOW = B.butterworth(4, FS, 4, 16), B.butterworth(4, FS, high=8)
+_ONCE = _recursive_sql("(SELECT trial, channel, sample, value AS x FROM sig)", "trial, channel", _BUTTER)
+_TWICE = _recursive_sql(f"(SELECT trial, channel, sample, y AS x FROM ({_ONCE}))", "trial, channel", _BUTTER, -1)
+
+
+@query("J6_field_potential", f"SELECT trial, channel, sample, round(y, 6) AS filtered FROM ({_TWICE}) WHERE sample % 4 = 0")
+def _(t):
+    return B.field_potential(t.sig, _BY, FS, 4, 16, every=4, chunk=25).select(*_BY, "sample", r6("filtered").alias("filtered"))
+
+
+_RECT = _recursive_sql(f"(SELECT trial, channel, sample, abs(y) AS x FROM ({_TWICE}))", "trial, channel", _SLOW)
+
+
+@query("J6_unit_activity", f"SELECT trial, channel, sample, round(y, 6) AS filtered FROM ({_recursive_sql(f'(SELECT trial, channel, sample, y AS x FROM ({_RECT}))', 'trial, channel', _SLOW, -1)}) WHERE sample % 4 = 0")
+def _(t):
+    return B.unit_activity(t.sig, _BY, FS, 4, 16, 8, every=4).select(*_BY, "sample", r6("filtered").alias("filtered"))
+
+
+@query("J9_recursive_lowpass", f"SELECT session, pos, round(y, 6) AS filtered FROM (SELECT session, sample AS pos, y FROM ({_recursive_sql('(SELECT session, pos AS sample, value AS x FROM seq)', 'session', B.butterworth(1, 60, high=3))}))")
+def _(t):
+    """Values along a session through the first-order low-pass of 3 Hz at 60 Hz."""
+    return B.recursive(t.seq, ["session"], B.butterworth(1, 60, high=3), sample="pos").select("session", "pos", r6("filtered").alias("filtered"))
+
+
 LOW = P.smoothing_taps(60, 3, 12)
 
 
