@@ -487,3 +487,39 @@ def test_raster_rows_gaps_and_ends(spark):
         (4, None, "gap"): none, (5, None, "gap"): none, (6, 5, "correct"): ["neither", "neither", None],
     }
     assert O.overlap_raster(a.limit(0), b.limit(0), ["session"], [7], [0.0], 10.0).count() == 0
+
+
+def test_trial_table_edges(spark):
+    """A stimulus whose codes the trial's end cuts off, repeated stimuli, conditions and morphs, a block before and within
+    a trial, an error digit out of range, the last trial left open; ends that some trials lack."""
+    from tidemark.operators import trials as R
+
+    codes = [12, 3000, 3101, 7, 10_030, 4004, 10_005, 3101, 7, 10_040, 4003, 10_006, 55, 60, 70, 107, 108, 1, 3000, 20, 3006, 10_012, 3101, 7, 3000, 2, 3450, 3401, 3403, 3090, 3000, 1]
+    df = frame(spark, [("s", k, c) for k, c in enumerate(codes)] + [("t", 0, 3000), ("t", 1, 99), ("t", 2, 3000), (None, 0, 3000), (None, 1, 3000)], "session string, t int, code int")
+    got = {(r.session, r.trial): r.asDict() for r in R.trial_table(df, ["session"], ["t"], "code", 3000).collect()}
+    assert set(got) == {("s", 1), ("s", 2), ("s", 3), ("t", 1), (None, 1)}
+    a, b, c = (got["s", k] for k in (1, 2, 3))
+    assert (a["start_time"], a["end_time"], a["correct"], a["wrong"], a["error"], a["base_block"]) == (1, 18, True, False, 7, 2)
+    assert (a["condition_target"], a["condition_distractor"], a["distance"], a["offset"], a["right"], a["left"]) == (5, 20, 40, -6, True, True)
+    assert (b["placeholder_distance"], b["distance"], b["offset"], b["base_block"]) == (12, 3000 - 10_000, 0, 2)
+    assert (c["wrong"], c["morph_target"], c["morph_distractor"], c["base_block"], c["condition_target"]) == (True, 50, 3, 10, 0)
+    assert got["t", 1]["base_block"] is None and got["t", 1]["condition_target"] == 49
+    ended = R.trial_table(df, ["session"], ["t"], "code", 3000, start_at=2, end_at=3090, hot_rows=4).collect()
+    assert [(r.session, r.trial, r.start_time, r.end_time) for r in ended] == [("s", 3, 25, 29)]
+
+
+def test_typed_values_and_named_objects(spark):
+    log = frame(spark, [
+        ("s", 1, 1, 0.5, "IntParameterHeader", ["a", "b"]), ("s", 2, 1, 0.6, "IntParameter", ["3", "x"]), ("s", 3, 1, 0.7, "BoolParameterHeader", ["c", "d"]), ("s", 4, 1, 0.8, "BoolParameter", ["1", "false"]),
+        ("s", 5, 1, 0.9, "VectorParameterHeader", ["v"]), ("s", 6, 1, 1.0, "VectorParameter", ["X=1 Y=-2.5 Z=0"]), ("s", 7, 1, 1.1, "OddParameterHeader", ["o"]), ("s", 8, 1, 1.2, "OddParameter", ["text "]),
+        ("s", 9, 1, 1.3, "FloatParameterHeader", ["f"]), ("s", 10, 1, 1.4, "IntParameter", ["9"]),
+    ], "session string, line_no long, object_id long, ts double, kind string, payload array<string>")
+    got = {r.name: (r.type, r.number, r.flag, r.vector and tuple(r.vector), r.string) for r in E.typed_params(log).collect()}
+    assert got == {"a": ("Int", 3.0, None, None, None), "b": ("Int", None, None, None, None), "c": ("Bool", None, True, None, None), "d": ("Bool", None, False, None, None), "v": ("Vector", None, None, (1.0, -2.5, 0.0), None), "o": ("Odd", None, None, None, "text")}
+    born = [("s", 1, 7, "Guid", ["0"]), ("s", 2, 7, "StateName", ["x", "first "]), ("s", 3, 8, "Guid", ["0"]), ("s", 4, 8, "ObjectName", ["other"]), ("s", 9, 7, "Guid", ["0"]), ("s", 10, 7, "ObjectName", ["again"])]
+    schema = "session string, line_no long, object_id long, kind string, payload array<string>"
+    objects = E.named_objects(frame(spark, born, schema), ["ObjectName", "StateName"], hot_rows=2)
+    assert sorted(tuple(r) for r in objects.collect() if r.end) == [("s", 7, 0, 1, "first", 1, 8)]
+    assert sorted((r.name, r.repeat) for r in objects.collect() if r.end is None) == [("again", 1), ("other", 0)]
+    with pytest.raises(Exception, match="no naming row"):
+        E.named_objects(frame(spark, [*born, ("s", 11, 5, "Guid", ["0"]), ("s", 12, 6, "StateName", ["x"])], schema), ["StateName", "ObjectName"]).collect()

@@ -34,9 +34,9 @@ def cut_hot(df: DataFrame, on: list[str], at: str, hot_rows: int = HOT_ROWS, par
     hot = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).orderBy(F.col("_n").desc(), *on).limit(MOST_CUT)
     own = df.select(*on, at).join(F.broadcast(_keys(hot, on)), _same(on), "left_semi")
     places = ", ".join(f"{k / parts}D" for k in range(1, parts))
-    cuts = own.groupBy(*on).agg(F.expr(f"percentile_approx(`{at}`, array({places}), {20 * parts})").alias("_cuts"), F.count(F.lit(1)).alias("_rows")).where("_rows > 0")
-    x = df.join(F.broadcast(_keys(cuts, on, "_cuts", "_rows")), _same(on), "left")
-    part = F.expr(f"CASE WHEN _rows IS NULL THEN -1 WHEN _cuts IS NULL THEN 0 ELSE size(filter(_cuts, c -> c < `{at}`)) END")
+    cuts = own.groupBy(*on).agg(F.expr(f"percentile_approx(`{at}`, array({places}), {20 * parts})").alias("_scan_cuts"), F.count(F.lit(1)).alias("_scan_rows")).where("_scan_rows > 0")
+    x = df.join(F.broadcast(_keys(cuts, on, "_scan_cuts", "_scan_rows")), _same(on), "left")
+    part = F.expr(f"CASE WHEN _scan_rows IS NULL THEN -1 WHEN _scan_cuts IS NULL THEN 0 ELSE size(filter(_scan_cuts, c -> c < `{at}`)) END")
     return x.select(*[F.col(f"`{c}`") for c in df.columns], part.alias("_part"))
 
 

@@ -93,13 +93,39 @@ def _(t):
     return E.object_registry(_log(t))
 
 
+@query("A5_named_objects", """SELECT user_id AS session, event_id % 9 AS object_id, row_number() OVER w - 1 AS "repeat", (event_id % 3)::INT AS type, event_type || '_' || event_id % 5 AS name, event_id * 2 AS "start", lead(event_id * 2) OVER w - 1 AS "end" FROM events WINDOW w AS (PARTITION BY user_id, event_id % 9 ORDER BY event_id)""".replace("row_number() OVER w - 1", "(row_number() OVER w - 1)::INT"))
+def _(t):
+    """Every event an object: a Guid row and the row that names it, by one of three kinds."""
+    i = F.col("event_id")
+    kinds = ["ObjectName", "StateName", "SourceName"]
+    born = F.struct(F.lit("Guid").alias("kind"), F.array(F.lit("0")).alias("payload"))
+    named = F.struct(F.element_at(F.array(*map(F.lit, kinds)), (i % 3 + 1).cast("int")).alias("kind"), F.array(F.lit("x"), F.concat("event_type", F.lit("_"), (i % 5).cast("string"), F.lit(" "))).alias("payload"))
+    log = t("events").select(F.col("user_id").alias("session"), (i % 9).alias("object_id"), "event_id", F.posexplode(F.array(born, named)).alias("_p", "x")).select("session", "object_id", (F.col("event_id") * 2 + F.col("_p")).alias("line_no"), "x.kind", "x.payload")
+    return E.named_objects(log, kinds)
+
+
 _PARAM = """SELECT user_id AS session, event_id % 9 AS object_id, ts, event_id, props, value, event_type FROM events"""
 
 
 @query("A6_typed_params", """SELECT session, object_id, (event_id / 8)::DOUBLE AS value_ts, name, 'Float' AS type, CASE name WHEN 'k' THEN k WHEN 'v' THEN value END AS number, NULL::BOOLEAN AS flag, NULL::VARCHAR AS string FROM (
   SELECT user_id AS session, event_id % 9 AS object_id, event_id, value, (props->>'k')::DOUBLE AS k, unnest(['k', 'v', 'w']) AS name FROM events)""")
 def _(t):
-    return E.typed_params(_param_log(t))
+    return E.typed_params(_param_log(t)).drop("vector")
+
+
+@query("A6_all_types", """SELECT session, object_id, value_ts, type, name, CASE type WHEN 'Int' THEN n WHEN 'Float' THEN value END AS number, CASE WHEN type = 'Bool' THEN n % 3 > 0 END AS flag,
+  CASE WHEN type = 'Vector' THEN value END AS x, CASE WHEN type = 'Vector' THEN n END AS z, CASE WHEN type = 'String' THEN event_type END AS string FROM (
+  SELECT user_id AS session, event_id % 9 AS object_id, event_id / 8 AS value_ts, value, event_type, (event_id % 50)::DOUBLE AS n, ['Int', 'Bool', 'Vector', 'String', 'Float'][event_id % 5 + 1] AS type, unnest(['a', 'b']) AS name FROM events)""")
+def _(t):
+    """Parameters of the five types, their value lines of the headers' own kinds."""
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("Int", "Bool", "Vector", "String", "Float"))), (i % 5 + 1).cast("int"))
+    base = t("events").select(F.col("user_id").alias("session"), (i % 9).alias("object_id"), (i / 8).alias("ts"), i.alias("event_id"), kind.alias("type"), (i % 50).cast("string").alias("n"), F.col("value").cast("string").alias("v"), "event_type")
+    text = F.when(F.col("type") == "Int", F.col("n")).when(F.col("type") == "Bool", (F.col("n").cast("long") % 3).cast("string")).when(F.col("type") == "Vector", F.concat(F.lit("X="), "v", F.lit(" Y=none Z="), "n")).when(F.col("type") == "String", F.concat("event_type", F.lit(" "))).otherwise(F.col("v"))
+    head = F.struct(F.concat("type", F.lit("ParameterHeader")).alias("kind"), F.array(F.lit("a"), F.lit("b")).alias("payload"))
+    vals = F.struct(F.concat("type", F.lit("Parameter")).alias("kind"), F.array(text, text).alias("payload"))
+    log = base.select("session", "object_id", "ts", "event_id", F.posexplode(F.array(head, vals)).alias("_p", "x")).select("session", "object_id", "ts", (F.col("event_id") * 2 + F.col("_p")).alias("line_no"), "x.kind", "x.payload")
+    return E.typed_params(log).select("session", "object_id", "value_ts", "type", "name", "number", "flag", "vector.x", "vector.z", "string")
 
 
 @query("A6_initial_params", """SELECT session, object_id, value_ts, name, CASE name WHEN 'k' THEN k WHEN 'v' THEN value END AS number FROM (
@@ -259,6 +285,40 @@ def _(t):
     return R.trial_info(t.ev, ["session"], ["us", "seq"], "code", 3000, {"correct": 1, "wrong": 2, "leaves": 3091}, [1, 2]).withColumnRenamed("start_time", "start_us")
 
 
+_RICH = """(SELECT session, us, seq, k, code FROM (SELECT session, us, seq, unnest(codes) AS code, unnest(range(len(codes))) AS k FROM (SELECT session, us, seq, CASE event_type
+  WHEN 'signup' THEN CASE WHEN seq % 3 = 0 THEN [10 + seq % 40, 3000] ELSE [3000] END WHEN 'view' THEN [3006, 10000 + seq % 50, 50 + seq % 50, 3400 + seq % 101] WHEN 'click' THEN [1] WHEN 'error' THEN [2, 100 + seq % 40]
+  ELSE [3101, 7, 10000 + seq % 90, 4000 + seq % 7, 10000 + seq % 20, 3090] END AS codes FROM ev)))"""
+_TABLE = f"""WITH c AS (SELECT * FROM {_RICH}), m AS (SELECT *, sum((code = 3000)::INT) OVER w AS trial, last_value(CASE WHEN code BETWEEN 10 AND 49 THEN code - 10 END IGNORE NULLS) OVER w AS block, row_number() OVER w AS o,
+  lead(code, 1) OVER v AS n1, lead(code, 2) OVER v AS n2, lead(code, 3) OVER v AS n3, lead(code, 4) OVER v AS n4 FROM c WINDOW v AS (PARTITION BY session ORDER BY us, seq, k), w AS (PARTITION BY session ORDER BY us, seq, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT session, trial::BIGINT AS trial, min(us) AS start_time, min(us) FILTER (code = 3090) AS ended, bool_or(code = 1) AS correct, bool_or(code = 2) AS wrong, coalesce(arg_max(code - 100, o) FILTER (code BETWEEN 101 AND 139 AND code % 10 BETWEEN 3 AND 7), 0) AS error,
+  list(code ORDER BY o) FILTER (code BETWEEN 50 AND 99) AS cs, list(code ORDER BY o) FILTER (code BETWEEN 3400 AND 3500) AS ms, coalesce(arg_max(n1 - 10000, o) FILTER (code = 3006), 0) AS placeholder_distance,
+  coalesce(arg_max(n2 - 10000, o) FILTER (code = 3101), 0) AS distance, coalesce(arg_max(CASE WHEN n3 % 10 = 4 THEN n4 - 10000 ELSE 10000 - n4 END, o) FILTER (code = 3101), 0) AS "offset",
+  coalesce(bool_or(n3 % 10 = 4) FILTER (code = 3101), false) AS "right", coalesce(bool_or(n3 % 10 <> 4) FILTER (code = 3101), false) AS "left", arg_min(coalesce(block, -1), o) AS block FROM m WHERE trial > 0 GROUP BY session, trial),
+t AS (SELECT * EXCLUDE (cs, ms, block), coalesce(cs[1] - 50, 0) AS condition_target, CASE WHEN len(cs) > 1 THEN cs[-1] - 50 ELSE 0 END AS condition_distractor, coalesce(ms[1] - 3400, 0) AS morph_target, CASE WHEN len(ms) > 1 THEN ms[-1] - 3400 ELSE 0 END AS morph_distractor,
+  CASE WHEN block >= 0 THEN block END AS base_block, lead(start_time) OVER (PARTITION BY session ORDER BY trial) AS end_time FROM g)"""
+
+
+def _rich(t):
+    s, kind = F.col("seq"), F.col("event_type")
+    array = lambda *x: F.array(*[(c if not isinstance(c, int) else F.lit(c)).cast("long") for c in x])
+    codes = (
+        F.when(kind == "signup", F.when(s % 3 == 0, array(10 + s % 40, 3000)).otherwise(array(3000))).when(kind == "view", array(3006, 10000 + s % 50, 50 + s % 50, 3400 + s % 101))
+        .when(kind == "click", array(1)).when(kind == "error", array(2, 100 + s % 40)).otherwise(array(3101, 7, 10000 + s % 90, 4000 + s % 7, 10000 + s % 20, 3090))
+    )
+    return t.ev.select("session", "us", "seq", F.posexplode(codes).alias("k", "code"))
+
+
+@query("D29_trial_table", f"{_TABLE} SELECT * EXCLUDE (ended) FROM t WHERE end_time IS NOT NULL")
+def _(t):
+    return R.trial_table(_rich(t), ["session"], ["us", "seq", "k"], "code", 3000)
+
+
+@query("D29_trials_to_end", f"{_TABLE} SELECT session, trial, start_time, ended AS end_time, distance, base_block FROM t WHERE end_time IS NOT NULL AND ended IS NOT NULL")
+def _(t):
+    """Trials that hold an end marker, up to it."""
+    return R.trial_table(_rich(t), ["session"], ["us", "seq", "k"], "code", 3000, start_at=3000, end_at=3090).select("session", "trial", "start_time", "end_time", "distance", "base_block")
+
+
 @query("D30_trial_payloads", f"""SELECT session, trial::INT AS trial, array_to_string(list(code ORDER BY us, seq), ',') AS codes, max(us) - min(us) AS span FROM ({_RUN}) WHERE trial > 0 GROUP BY session, trial""")
 def _(t):
     x = R.trial_payloads(t.ev, ["session"], ["us", "seq"], "code", 3000)

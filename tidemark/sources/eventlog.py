@@ -61,6 +61,20 @@ def object_registry(log: DataFrame, session: str = "session", order: str = "line
     return born.select(session, "object_id", (F.row_number().over(w) - 1).alias("repeat"), F.get("payload", F.lit(0)).alias("name"), F.col(order).alias("start"), (F.lead(order).over(w) - 1).alias("end"))
 
 
+def named_objects(log: DataFrame, name_kinds: list[str], session: str = "session", order: str = "line_no", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(session, object_id, repeat, type, name, start, end) of logs in which a Guid row is followed by the row that names
+    its object: type is the place of that row's kind among name_kinds, name the last part of its payload. Lifetimes are
+    as in ``object_registry``. A Guid row whose next row is of another object or kind is an error."""
+    x = scan(log, [session], [order], hot_rows, _next=("lead", F.struct("object_id", "kind", "payload"))).where("kind = 'Guid'")
+    kinds = F.array(*map(F.lit, name_kinds))
+    kind = F.array_position(kinds, F.col("_next.kind")) - 1
+    good = F.coalesce((F.col("_next.object_id") == F.col("object_id")) & (kind >= 0), F.lit(False))
+    where = F.concat(F.lit("no naming row after the Guid row "), F.col(order).cast("string"), F.lit(" of session "), F.col(session).cast("string"))
+    x = x.withColumn("type", F.when(good, kind).otherwise(F.raise_error(where).cast("long")).cast("int")).withColumn("name", F.rtrim(F.element_at("_next.payload", -1)))
+    x = scan(x.select(session, "object_id", "type", "name", order), [session, "object_id"], [order], hot_rows, repeat=("before", F.lit(1)), _later=("lead", F.col(order)))
+    return x.select(session, "object_id", F.col("repeat").cast("int").alias("repeat"), "type", "name", F.col(order).alias("start"), (F.col("_later") - 1).alias("end"))
+
+
 def state_times(log: DataFrame, registry: DataFrame, state: str, kind: str, session: str = "session", order: str = "line_no") -> DataFrame:
     """Rows of a kind that belong to objects of a state, by the object's lifetime."""
     own = registry.where(F.col("name").startswith(state)).select(session, "object_id", "repeat", "start", F.coalesce("end", F.lit(9223372036854775807)).alias("end"))
@@ -68,16 +82,19 @@ def state_times(log: DataFrame, registry: DataFrame, state: str, kind: str, sess
     return x.select(session, "object_id", "repeat", "ts", order)
 
 
-def typed_params(log: DataFrame, session: str = "session", order: str = "line_no") -> DataFrame:
-    """Header lines (names) zipped with the next line of the object (values): one typed row a parameter."""
-    w = Window.partitionBy(session, "object_id").orderBy(order)
-    x = log.where(F.col("kind").endswith("Header") | F.col("kind").endswith("Values"))
-    x = x.withColumn("_v", F.lead("payload").over(w)).withColumn("_vk", F.lead("kind").over(w)).withColumn("value_ts", F.lead("ts").over(w))
-    x = x.where(F.col("kind").endswith("Header") & F.col("_vk").endswith("Values")).withColumn("type", F.regexp_extract("kind", "^(.*)ParameterHeader$", 1))
+def typed_params(log: DataFrame, session: str = "session", order: str = "line_no", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Header lines (names) zipped with the next line of the object (values): one typed row a parameter, in the column
+    of its type: number (Float, Int), flag (Bool, written as a number or a word), vector (X=.. Y=.. Z=..), else string.
+    A value line is of kind ParameterValues, or of its header's kind without "Header"; one of another type is none."""
+    value_line = F.col("kind").endswith("Values") | F.col("kind").endswith("Parameter")
+    x = log.where(F.col("kind").endswith("Header") | value_line)
+    x = scan(x, [session, "object_id"], [order], hot_rows, _n=("lead", F.struct("payload", "kind", "ts"))).withColumns({"_v": F.col("_n.payload"), "_vk": F.col("_n.kind"), "value_ts": F.col("_n.ts")})
+    own = F.col("_vk").endswith("Values") | (F.concat("_vk", F.lit("Header")) == F.col("kind"))
+    x = x.where(F.col("kind").endswith("Header") & own).withColumn("type", F.regexp_extract("kind", "^(.*)ParameterHeader$", 1))
     z = x.select(session, "object_id", "value_ts", "type", F.explode(F.arrays_zip(F.col("payload").alias("name"), F.col("_v").alias("value"))).alias("p"))
     text = F.col("p.value")
     number = F.col("type").isin("Float", "Int")
-    return z.select(session, "object_id", "value_ts", F.col("p.name").alias("name"), "type", F.when(number, text.try_cast("double")).alias("number"), F.when(F.col("type") == "Bool", text.try_cast("boolean")).alias("flag"), F.when(~number & (F.col("type") != "Bool"), text).alias("string"))
+    return z.select(session, "object_id", "value_ts", F.col("p.name").alias("name"), "type", F.when(number, text.try_cast("double")).alias("number"), F.when(F.col("type") == "Bool", F.coalesce(text.try_cast("long") != 0, text.try_cast("boolean"))).alias("flag"), F.when(F.col("type") == "Vector", vector(text)).alias("vector"), F.when(~F.col("type").isin("Float", "Int", "Bool", "Vector"), F.rtrim(text)).alias("string"))
 
 
 def initial_only(params: DataFrame, session: str = "session") -> DataFrame:
@@ -88,11 +105,11 @@ def initial_only(params: DataFrame, session: str = "session") -> DataFrame:
 
 def param_history(params: DataFrame, session: str = "session") -> DataFrame:
     """(session, object_id, name, type, history): each parameter's values over time, as an array of (ts, number, flag,
-    string) without those that repeat the value before."""
-    w = Window.partitionBy(session, "object_id", "name", "type").orderBy("value_ts", "number", "string")
-    value = F.struct("number", "flag", "string")
+    vector, string) without those that repeat the value before."""
+    w = Window.partitionBy(session, "object_id", "name", "type").orderBy("value_ts", "number", "flag", "vector", "string")
+    value = F.struct("number", "flag", "vector", "string")
     changed = params.withColumn("_b", F.lag(value).over(w)).where(~F.col("_b").eqNullSafe(value))
-    return changed.groupBy(session, "object_id", "name", "type").agg(F.array_sort(F.collect_list(F.struct(F.col("value_ts").alias("ts"), "number", "flag", "string"))).alias("history"))
+    return changed.groupBy(session, "object_id", "name", "type").agg(F.array_sort(F.collect_list(F.struct(F.col("value_ts").alias("ts"), "number", "flag", "vector", "string"))).alias("history"))
 
 
 def vector(text: Column) -> Column:
