@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import emitters as M
 from ..operators import trials as R
 from ..sources import eventlog as E
+from ..sources import recordings as V
 from ..sources import signals as S
 from ..sources import tables as B
 from ..staging import new_dir, numbered
@@ -79,6 +81,39 @@ def _(t):
     return E.event_markers(_log(t))
 
 
+@query("A1_log_source", f"SELECT session::VARCHAR AS session, line_no, ts, object_id, kind, payload FROM ({_PARSED}) WHERE ts >= 20")
+def _(t):
+    """Logs written as files, read through their own data source with a bound on time."""
+    folder = new_dir(t.spark, "logs")
+    V.write_log(_lines(t), folder, "session", ["line_no"], "value")
+    V.register(t.spark)
+    log = t.spark.read.format("trial_log").load(folder).where("ts >= 20.0")
+    return log.withColumn("payload", F.array_join("payload", ","))
+
+
+@query("A10_signal_source", "SELECT session::VARCHAR AS session, trial, channel, sample, round(session * 10 + sample / 64, 6)::DOUBLE AS t, value FROM sig WHERE session * 10 + sample / 64 <= 30.5")
+def _(t):
+    folder = new_dir(t.spark, "signals")
+    meta = t.sig.select("session").distinct().select("session", F.lit(64.0).alias("sample_rate"), (F.col("session") * 10.0).alias("starting_time"))
+    V.write_signal(t.sig, folder, "session", meta)
+    V.register(t.spark)
+    x = t.spark.read.format("trial_signal").load(folder).where("t <= 30.5")
+    return x.withColumn("t", r6("t"))
+
+
+@query("P13_segments", """SELECT session, us AS "start", CASE WHEN after = 3091 THEN stop END AS "stop" FROM (SELECT *, lead(code) OVER w AS after, lead(us) OVER w AS stop FROM ev WHERE code IN (3000, 3091) WINDOW w AS (PARTITION BY session ORDER BY us, seq)) WHERE code = 3000""")
+def _(t):
+    """A table function over sessions, called in SQL."""
+    M.register(t.spark)
+    marks = t.ev.select("session", "us", "seq", "code")
+    return t.spark.sql("SELECT * FROM segments(TABLE({marks}) PARTITION BY session ORDER BY (us, seq), 3000, 3091)", marks=marks)
+
+
+@query("P13_kgrams", """SELECT session, pos, array_to_string(gram, ',') AS gram FROM (SELECT session, row_number() OVER (PARTITION BY session ORDER BY us, seq) - 1 AS pos, list(code) OVER (PARTITION BY session ORDER BY us, seq ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gram FROM ev) WHERE len(gram) = 5""")
+def _(t):
+    return M.kgrams(t.ev.select("session", "us", "seq", F.col("code").cast("long").alias("code")), ["us", "seq"], 5).withColumn("gram", F.array_join(F.col("gram").cast("array<string>"), ","))
+
+
 _REG = f"""SELECT session, object_id, row_number() OVER w - 1 AS "repeat", payload AS name, line_no AS "start", lead(line_no) OVER w - 1 AS "end" FROM ({_PARSED}) WHERE kind = 'Guid' WINDOW w AS (PARTITION BY session, object_id ORDER BY line_no)"""
 
 
