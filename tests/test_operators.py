@@ -523,3 +523,11 @@ def test_typed_values_and_named_objects(spark):
     assert sorted((r.name, r.repeat) for r in objects.collect() if r.end is None) == [("again", 1), ("other", 0)]
     with pytest.raises(Exception, match="no naming row"):
         E.named_objects(frame(spark, [*born, ("s", 11, 5, "Guid", ["0"]), ("s", 12, 6, "StateName", ["x"])], schema), ["StateName", "ObjectName"]).collect()
+
+
+def test_curve_search_finds_the_curve(spark):
+    points = [("a", float(x), 2.0 + 3.0 * math.exp(-((x - 3) ** 2) / 2)) for x in range(-10, 11)] + [("b", float(x), 1.0) for x in range(4)] + [("a", None, 9.0), ("a", 50.0, None)]
+    got = {r.g: r for r in O.curve_search(frame(spark, points, "g string, x double, z double"), ["g"], [float(k) for k in range(-10, 11)], [*O.log_spaced(0.25, 4.0, 5)]).collect()}
+    a = got["a"]
+    assert (a.cx, a.sigma) == (3.0, 1.0) and abs(a.amplitude - 3) < 1e-9 and abs(a.base - 2) < 1e-9 and a.sse < 1e-9 and a.r2 > 1 - 1e-9
+    assert got["b"].sse < 1e-9

@@ -89,9 +89,9 @@ def gaussian_search(cells: DataFrame, by: list[str], centres: list[tuple[float,
     grid = F.array(*[F.struct(F.lit(float(a)).alias("cx"), F.lit(float(b)).alias("cy"), F.lit(float(s)).alias("sigma")) for a, b in centres for s in sigmas])
     x = cells.withColumn("_w", w).withColumn("c", F.explode(grid))
     dx, dy = F.col("x") - F.col("c.cx"), F.col("y") - F.col("c.cy")
-    x = x.withColumn("g", F.exp(-(dx * dx + dy * dy) / (2 * F.col("c.sigma") * F.col("c.sigma"))))
+    x = x.withColumn("_g", F.exp(-(dx * dx + dy * dy) / (2 * F.col("c.sigma") * F.col("c.sigma"))))
     s = lambda c: F.sum(F.col("_w") * c)
-    x = x.groupBy(*by, "c").agg(F.sum("_w").alias("n"), s(F.col("g")).alias("sg"), s(F.col("z")).alias("sz"), s(F.col("g") * F.col("g")).alias("sgg"), s(F.col("g") * F.col("z")).alias("sgz"), s(F.col("z") * F.col("z")).alias("szz"))
+    x = x.groupBy(*by, "c").agg(F.sum("_w").alias("n"), s(F.col("_g")).alias("sg"), s(F.col("z")).alias("sz"), s(F.col("_g") * F.col("_g")).alias("sgg"), s(F.col("_g") * F.col("z")).alias("sgz"), s(F.col("z") * F.col("z")).alias("szz"))
     cgg, cgz, czz = F.col("sgg") - F.col("sg") * F.col("sg") / F.col("n"), F.col("sgz") - F.col("sg") * F.col("sz") / F.col("n"), F.col("szz") - F.col("sz") * F.col("sz") / F.col("n")
     x = x.withColumn("amplitude", F.try_divide(cgz, cgg)).withColumn("sse", czz - F.coalesce(F.col("amplitude") * cgz, F.lit(0.0))).withColumn("sse0", czz)
     x = x.withColumn("base", (F.col("sz") - F.col("amplitude") * F.col("sg")) / F.col("n"))
@@ -99,6 +99,18 @@ def gaussian_search(cells: DataFrame, by: list[str], centres: list[tuple[float,
     return best.select(*by, "b.c.cx", "b.c.cy", "b.c.sigma", "b.amplitude", "b.base", "b.sse", (1 - F.try_divide(F.col("b.sse"), F.col("b.sse0"))).alias("r2"))
 
 
+def curve_search(points: DataFrame, by: list[str], centres: list[float], sigmas: list[float], weight: Column | None = None) -> DataFrame:
+    """gaussian_search along one axis: points by, x, z; of all stated centres and widths the best curve with its amplitude
+    and offset. Points without x or z don't count."""
+    flat = points.where("x IS NOT NULL AND z IS NOT NULL").withColumn("y", F.lit(0.0))
+    return gaussian_search(flat, by, [(c, 0.0) for c in centres], sigmas, weight).drop("cy")
+
+
+def log_spaced(low: float, high: float, n: int) -> list[float]:
+    """n widths from low to high, each the same multiple of the one before."""
+    return [low * (high / low) ** (k / (n - 1)) for k in range(n)]
+
+
 def bootstrap_weight(boot: Column, key: Column) -> Column:
     """A Poisson-like weight from 0 to 4 of each row in each resample, from a hash of both."""
     u = F.conv(F.substring(F.md5(F.concat_ws("#", boot.cast("string"), key.cast("string"))), 1, 4), 16, 10).cast("double") / 65536

@@ -110,6 +110,17 @@ def _(t):
     return x.select("channel", "cx", "cy", "sigma", (F.round("amplitude", 5) + F.lit(0.0)).alias("amplitude"), F.round("sse", 5).alias("sse"))
 
 
+_ALONG, _WIDTHS = [4.0 * k for k in range(16)], S.log_spaced(1.0, 32.0, 6)
+
+
+@query("N2_gaussian_curve", f"""SELECT channel, cx, round(sigma, 6) AS sigma, amplitude, sse FROM ({_fit_sql("(SELECT channel, sample::DOUBLE AS x, 0.0::DOUBLE AS y, avg(value) AS z, 1.0::DOUBLE AS w FROM sig GROUP BY channel, sample)", "channel").replace(_GRID, "(VALUES " + ", ".join(f"({c!r}::DOUBLE, 0.0::DOUBLE, {s!r}::DOUBLE)" for c in _ALONG for s in _WIDTHS) + ") c(cx, cy, sigma)")})""")
+def _(t):
+    """The Gaussian over time that fits each channel's mean best."""
+    x = t.sig.groupBy("channel", "sample").agg(F.avg("value").alias("z")).select("channel", F.col("sample").cast("double").alias("x"), "z")
+    got = S.curve_search(x, ["channel"], _ALONG, _WIDTHS)
+    return got.select("channel", "cx", r6("sigma").alias("sigma"), (F.round("amplitude", 5) + F.lit(0.0)).alias("amplitude"), F.round("sse", 5).alias("sse"))
+
+
 _BOOT = f"(SELECT *, CASE WHEN u < 0.3679 THEN 0 WHEN u < 0.7358 THEN 1 WHEN u < 0.9197 THEN 2 WHEN u < 0.981 THEN 3 ELSE 4 END::DOUBLE AS w FROM (SELECT *, ('0x' || substr(md5(boot || '#' || key), 1, 4))::INT / 65536 AS u FROM {_SURF}, range(1, 501) b(boot)))"
 
 
