@@ -623,3 +623,20 @@ def test_pipeline_stages(spark):
     kept = last.count()
     tokens = C.STAGES[-1][1](spark, last, sf)
     assert tokens.count() == kept and tokens.where("n_tokens != size(ids)").count() == 0
+
+
+def test_passes_run_where_they_are_cheaper(spark):
+    """The registered table's labels, at every size, and labels of millions go through passes; only labels so dense that
+    keys hardly part their vectors are compared whole, and no label's passes cost more than four times that."""
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        own = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").where("label IS NOT NULL AND embedding IS NOT NULL").toPandas()
+        for _, rows in own.groupby("label"):
+            m = np.stack(rows["embedding"].to_numpy()).astype(float)
+            mean = (m / np.linalg.norm(m, axis=1, keepdims=True)).mean(0)
+            assert vectors.passes_needed(len(m), 1 - mean @ mean, 0.98, 32, 0.01) > 0
+    for n in (10, 1_000, 10**5, 10**7, 10**9):
+        for spread in (1.0, 0.5, 0.03, 0.001):
+            passes = vectors.passes_needed(n, spread, 0.98, 32, 0.01)
+            whole = n / 2 + -(-n // vectors.BLOCK) * vectors.COPY
+            assert passes * (32 + vectors.COPY) <= vectors.FAVOUR * whole
+            assert passes or spread < 0.1 and n > 100

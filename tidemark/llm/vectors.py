@@ -3,8 +3,8 @@
 A pass gives every vector a key, the signs of its centred projections on random directions, and orders the vectors of a
 label by it; each is compared with the next ``window`` ones. How many passes a label needs follows from its size and
 from how closely its vectors lie together, so that a pair at the cosine sought is missed with a stated small chance.
-Passes carry vectors as half-precision numbers with a bound of their error: pairs that the bound decides are taken,
-others are verified in double precision. Components of the pairs then get their exact links: all vectors of a
+Passes carry vectors as single-precision numbers with a bound of their error: pairs that the bound decides are taken,
+the few others are verified in double precision. Components of the pairs then get their exact links: all vectors of a
 component are compared, block by block, so that groups larger than a window lose none.
 """
 
@@ -24,6 +24,9 @@ from .common import components, cut, join_counted, tidied
 #: Vectors of a block when a component, or a label too dense for passes, is compared whole.
 BLOCK = 4096
 BITS = 62
+#: What a shuffled copy of a vector costs, in comparisons; and how often the cost of comparing a label whole its passes
+#: may reach: whole comparison is kept for labels so dense that keys hardly part their vectors.
+COPY, FAVOUR = 100, 4
 
 
 def agreement(cosine: float, spread: float) -> float:
@@ -35,7 +38,7 @@ def agreement(cosine: float, spread: float) -> float:
 
 def passes_needed(n: int, spread: float, cosine: float, window: int, missed: float) -> int:
     """Passes after which a lone pair at the cosine is missed with at most the chance given; 0 if comparing all vectors
-    of the label costs no more.
+    of the label costs less than a part (1 / FAVOUR) of that. Copies count as well as comparisons, of either way.
 
     A pass shows a pair if its first t signs agree, 2^t being the label's size over the window.
     """
@@ -44,7 +47,8 @@ def passes_needed(n: int, spread: float, cosine: float, window: int, missed: flo
         return 1
     shown = agreement(cosine, spread) ** depth
     passes = math.ceil(math.log(missed) / math.log1p(-shown)) if shown < 1 else 1
-    return 0 if passes * window >= n else max(1, passes)
+    whole = n / 2 + math.ceil(n / BLOCK) * COPY
+    return 0 if passes * (window + COPY) > FAVOUR * whole else max(1, passes)
 
 
 def near_duplicates(
@@ -107,32 +111,39 @@ def near_duplicates(
     placed = join_counted(classes.withColumn("dim", F.size("vec")), stats, ["label", "dim"])
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector once a pass: its key, its numbers in half precision, and the length of their error. Vectors of
-        labels that are compared whole have pass -1 and go to blocks instead."""
-        planes: dict[tuple, np.ndarray] = {}
+        """Each vector once a pass: its key, its numbers in single precision, and the length of their error. Vectors of
+        labels that are compared whole have pass -1 and go to blocks instead. A pass's planes follow from its number, so
+        none are kept; what is held is one pass over a few hundred vectors."""
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64()]
+        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             for start in range(0, len(batch), 256):
                 piece = batch.slice(start, 256)
-                out = []
+                rows, centred, counts = [], [], []
                 for c, label, dim, n, total, v in zip(*(piece.column(k).to_pylist() for k in (0, 1, 2, 4)), piece.column(5), unit(piece.column(3))):
                     mean = np.asarray(total.values, float) / n
-                    count = passes_needed(n, max(0.0, 1 - float(mean @ mean)), cosine, window, missed)
-                    half = v.astype(np.float16)
-                    error = float(np.linalg.norm(v - half.astype(float)))
-                    if not count:
-                        out.append((c, label, dim, n, -1, 0, half.tobytes(), error))
-                    for p in range(count):
-                        if (dim, p) not in planes:
-                            planes[dim, p] = np.random.default_rng([seed, dim, p]).normal(size=(dim, BITS))
-                        key = int(((v - mean) @ planes[dim, p] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)))
-                        out.append((c, label, dim, n, p, key, half.tobytes(), error))
-                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["c", "label", "dim", "n", "pass", "key", "half", "error"])
+                    counts.append(passes_needed(n, max(0.0, 1 - float(mean @ mean)), cosine, window, missed))
+                    single = v.astype(np.float32)
+                    rows.append((c, label, dim, n, single.tobytes(), float(np.linalg.norm(v - single.astype(float)))))
+                    centred.append(v - mean)
+
+                def batch_of(own: list[int], p: int, keys: list[int]) -> pa.RecordBatch:
+                    found = [(*rows[i][:4], p, key, *rows[i][4:]) for i, key in zip(own, keys)]
+                    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), kinds)], ["c", "label", "dim", "n", "pass", "key", "half", "error"])
+
+                if not all(counts):
+                    own = [i for i, k in enumerate(counts) if not k]
+                    yield batch_of(own, -1, [0] * len(own))
+                for dim in sorted({r[2] for r in rows}):
+                    for p in range(max(k for r, k in zip(rows, counts) if r[2] == dim)):
+                        own = [i for i, (r, k) in enumerate(zip(rows, counts)) if r[2] == dim and k > p]
+                        planes = np.random.default_rng([seed, dim, p]).normal(size=(dim, BITS))
+                        yield batch_of(own, p, ((np.stack([centred[i] for i in own]) @ planes > 0) @ weights).tolist())
 
     spread = placed.select("c", "label", "dim", "vec", "n", "total").mapInArrow(tidied(project), "c long, label string, dim int, n long, pass int, key long, half binary, error double")
 
     def decided(a: np.ndarray, b: np.ndarray, ea: np.ndarray, eb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(surely linked, perhaps linked) of all pairs of half-precision rows with their errors."""
+        """(surely linked, perhaps linked) of all pairs of single-precision rows with their errors."""
         near = a @ b.T
         bound = ea[:, None] + eb[None] + ea[:, None] * eb[None] + 1e-9
         return near - bound >= cosine, near + bound >= cosine
@@ -182,7 +193,7 @@ def near_duplicates(
         root = np.arange(len(rows))
         for g in np.unique(group):
             at = np.flatnonzero(group == g)
-            m = np.stack([np.frombuffer(x, np.float16) for x in rows["half"].iloc[at]]).astype(float)
+            m = np.stack([np.frombuffer(x, np.float32) for x in rows["half"].iloc[at]]).astype(float)
             for start in range(0, len(at), window):
                 i, j = np.arange(start, min(start + window, len(at))), np.arange(start, min(start + 2 * window, len(at)))
                 sure, perhaps = decided(m[i], m[j], error[at[i]], error[at[j]])
@@ -203,7 +214,7 @@ def near_duplicates(
         """All pairs of two blocks of a label."""
         pdf = pdf.sort_values("c", ignore_index=True)
         c, error, root, out = pdf["c"].to_numpy(np.int64), pdf["error"].to_numpy(float), np.arange(len(pdf)), []
-        m = np.stack([np.frombuffer(x, np.float16) for x in pdf["half"]]).astype(float)
+        m = np.stack([np.frombuffer(x, np.float32) for x in pdf["half"]]).astype(float)
         everything = np.arange(len(pdf))
         for start in range(0, len(pdf), 256):
             i = everything[start : start + 256]
