@@ -640,3 +640,31 @@ def test_passes_run_where_they_are_cheaper(spark):
             whole = n / 2 + -(-n // vectors.BLOCK) * vectors.COPY
             assert passes * (32 + vectors.COPY) <= vectors.FAVOUR * whole
             assert passes or spread < 0.1 and n > 100
+
+
+def test_training_rows_and_bytes_are_bounded(spark, monkeypatch):
+    """An id on 3,000 rows gives one text, the same whatever the order of rows; long texts give none."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append(sorted((bytes(t), y) for t, y in zip(texts, labels))) or quality.Network())
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "short"), (3, "long " * 1000), (3, "fits"), (4, "long " * 1000)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0), (1, 1)], "doc_id long, quality int")
+    for own in (docs, docs.orderBy(F.desc("text"))):
+        quality.train(own, labels, F.lit(True), rows_per_label=10, text_bytes=100)
+    assert seen[0] == seen[1] and len(seen[0]) == 3 and [y for _, y in seen[0]].count(1) == 1
+
+
+def test_special_tokens_of_any_spelling(tmp_path):
+    """A vocabulary whose special tokens lack angle brackets still finds them in texts."""
+    import json
+
+    spec = json.loads(open(vocabulary(WORDS), encoding="utf-8").read())
+    for token in spec["added_tokens"]:
+        spec["model"]["vocab"].pop(token["content"], None)
+        token["content"] = token["content"].replace("<|", "[[").replace("|>", "]]")
+        spec["model"]["vocab"][token["content"]] = token["id"]
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    tokenizer = bpe.WordBpe(str(path))
+    ids = tokenizer.encode_batch(["a [[endoftext]] b", "no special", "[[startoftext]]"])
+    assert [49407 in x or 49406 in x for x in ids] == [True, False, True] and len(ids[2]) == 1

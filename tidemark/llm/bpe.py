@@ -244,7 +244,7 @@ class WordBpe:
         for text in texts:
             own, at = [], 0
             text = text or ""
-            if self.specials is not None and "<" in text:
+            if any(x in text for x in self.special):
                 for m in self.specials.finditer(text):
                     own += [self._plain(text[at : m.start()]), self.special[m[0]]]
                     at = m.end()

@@ -126,9 +126,10 @@ def fit(texts: list[np.ndarray], labels: list[int], shown: int = 12_000, batch:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_label: int = 1000) -> Network:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_label: int = 1000, text_bytes: int = 1 << 17) -> Network:
     """Fit on at most rows_per_label labelled documents of each label, the first in hash order among those where
-    learn (an expression over the labels' id) holds. The classes are drawn evenly; the head's shift is then moved by
+    learn (an expression over the labels' id) holds, and of each on one text of at most text_bytes bytes: of several rows
+    of an id the one that comes first by a hash. So at most 2 * rows_per_label * text_bytes bytes reach the driver. The classes are drawn evenly; the head's shift is then moved by
     the log-odds of the labels over all learnable rows, so that scores keep to the real share of label 1.
     """
     usable = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
@@ -144,8 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         net.shift[:] = 4.0 if 0 not in share and share else -4.0 if share else 0.0
         return net
     chosen = docs.sparkSession.createDataFrame(ids, picked.schema)
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), "_id")
-    rows = sorted(found.collect(), key=lambda r: (r["_id"], r["_y"], r["_t"] or ""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    short = docs.where(F.octet_length(text) <= text_bytes).select(F.col(id_col).alias("_id"), text.alias("_t"))
+    found = short.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t"))
+    rows = sorted(found.collect(), key=lambda r: (r["_id"], r["_y"]))
     net = fit([to_bytes(r["_t"]) for r in rows], [r["_y"] for r in rows])
     drawn = [min(share[y], rows_per_label) for y in (0, 1)]
     net.shift += np.float32(np.log(share[1] / share[0]) - np.log(drawn[1] / drawn[0]))

@@ -46,6 +46,8 @@ def passes_needed(n: int, spread: float, cosine: float, window: int, missed: flo
     if depth == 0:
         return 1
     shown = agreement(cosine, spread) ** depth
+    if shown < 1e-12:  # a plane through the mean parts such a pair as a rule
+        return 0
     passes = math.ceil(math.log(missed) / math.log1p(-shown)) if shown < 1 else 1
     whole = n / 2 + math.ceil(n / BLOCK) * COPY
     return 0 if passes * (window + COPY) > FAVOUR * whole else max(1, passes)
