@@ -531,3 +531,24 @@ def test_curve_search_finds_the_curve(spark):
     a = got["a"]
     assert (a.cx, a.sigma) == (3.0, 1.0) and abs(a.amplitude - 3) < 1e-9 and abs(a.base - 2) < 1e-9 and a.sse < 1e-9 and a.r2 > 1 - 1e-9
     assert got["b"].sse < 1e-9
+
+
+def test_gaussian_search_equals_every_candidate(spark):
+    """Candidates that are no full product, weights, cells off a grid and missing ones, against plain sums."""
+    rng = random.Random(12)
+    cells = [(g, rng.uniform(0, 5), rng.choice([0.0, 1.0, 2.5]), rng.gauss(0, 1), rng.choice([0.0, 1.0, 2.0])) for g in "ab" for _ in range(60)]
+    centres, sigmas = [(1.0, 1.0), (2.0, 0.5), (4.0, 1.0), (2.0, 2.0)], [0.5, 1.0, 3.0]
+    df = frame(spark, [*cells, ("a", None, 1.0, 1.0, 1.0), ("b", 1.0, 1.0, None, 1.0)], "ch string, x double, y double, z double, w double")
+    got = {r.ch: r for r in O.gaussian_search(df, ["ch"], centres, sigmas, F.col("w")).collect()}
+    for ch in "ab":
+        x, y, z, w = (np.array([c[k] for c in cells if c[0] == ch]) for k in range(1, 5))
+        best = None
+        for (cx, cy) in centres:
+            for s in sigmas:
+                g = np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * s * s))
+                m = np.stack([g, np.ones_like(g)], 1) * np.sqrt(w)[:, None]
+                fit = np.linalg.lstsq(m, z * np.sqrt(w), rcond=None)[0]
+                sse = float((w * (z - fit[0] * g - fit[1]) ** 2).sum())
+                best = min(best or (np.inf,), (sse, cx, cy, s, *fit))
+        r = got[ch]
+        assert (r.cx, r.cy, r.sigma) == best[1:4] and (r.sse, r.amplitude, r.base) == pytest.approx((best[0], best[4], best[5]), abs=1e-6)

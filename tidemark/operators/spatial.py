@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .joins import asof_backward
+from .quantiles import join_groups
 
 
 #: A point of the unit sphere at columns az and el (degrees), and the cube of a grid that a point lies in.
@@ -82,20 +83,30 @@ def sparse_map(responses: DataFrame, lit: DataFrame, by: list[str]) -> DataFrame
 def gaussian_search(cells: DataFrame, by: list[str], centres: list[tuple[float, float]], sigmas: list[float], weight: Column | None = None) -> DataFrame:
     """Of all stated centres and widths the Gaussian with the least squared error, with its amplitude and offset.
 
-    cells: by, x, y, z. For a given shape the best amplitude and offset follow from sums, so every candidate costs one
-    aggregation row.
+    cells: by, x, y, z; cells without any of x, y and z don't count. For a given shape the best amplitude and offset
+    follow from sums, and a Gaussian is a product of one along x and one along y. So the sums are taken along x for every
+    row of cells and place in x first, and only these along y: a cell meets the places in x, not every candidate.
     """
-    w = weight if weight is not None else F.lit(1.0)
-    grid = F.array(*[F.struct(F.lit(float(a)).alias("cx"), F.lit(float(b)).alias("cy"), F.lit(float(s)).alias("sigma")) for a, b in centres for s in sigmas])
-    x = cells.withColumn("_w", w).withColumn("c", F.explode(grid))
-    dx, dy = F.col("x") - F.col("c.cx"), F.col("y") - F.col("c.cy")
-    x = x.withColumn("_g", F.exp(-(dx * dx + dy * dy) / (2 * F.col("c.sigma") * F.col("c.sigma"))))
-    s = lambda c: F.sum(F.col("_w") * c)
-    x = x.groupBy(*by, "c").agg(F.sum("_w").alias("n"), s(F.col("_g")).alias("sg"), s(F.col("z")).alias("sz"), s(F.col("_g") * F.col("_g")).alias("sgg"), s(F.col("_g") * F.col("z")).alias("sgz"), s(F.col("z") * F.col("z")).alias("szz"))
+    number = lambda c: F.lit(float(c))
+    place = lambda name, values: F.explode(F.array(*map(number, sorted(set(values))))).alias(name)
+    known = cells.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").withColumn("_w", weight if weight is not None else F.lit(1.0)).select(*by, "x", "y", "z", "_w")
+    w, z = F.col("_w"), F.col("z")
+    total = known.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * z).alias("sz"), F.sum(w * z * z).alias("szz"))
+    bell = lambda at, centre: F.exp(-(F.col(at) - F.col(centre)) * (F.col(at) - F.col(centre)) / (2 * F.col("sigma") * F.col("sigma")))
+    across = known.select("*", place("sigma", sigmas)).select("*", place("cx", [a for a, _ in centres])).withColumn("_g", bell("x", "cx"))
+    g = F.col("_g")
+    rows = across.groupBy(*by, "y", "sigma", "cx").agg(F.sum(w * g).alias("_a"), F.sum(w * g * z).alias("_b"), F.sum(w * g * g).alias("_c"))
+    up = rows.select("*", place("cy", [b for _, b in centres]))
+    if len(set(centres)) < len({a for a, _ in centres}) * len({b for _, b in centres}):
+        up = up.where(F.array_contains(F.array(*[F.struct(number(a).alias("cx"), number(b).alias("cy")) for a, b in sorted(set(centres))]), F.struct("cx", "cy")))
+    g = F.col("_g")
+    x = up.withColumn("_g", bell("y", "cy")).groupBy(*by, "cx", "cy", "sigma").agg(F.sum(g * F.col("_a")).alias("sg"), F.sum(g * F.col("_b")).alias("sgz"), F.sum(g * g * F.col("_c")).alias("sgg"))
+    x = join_groups(x, total, by)
     cgg, cgz, czz = F.col("sgg") - F.col("sg") * F.col("sg") / F.col("n"), F.col("sgz") - F.col("sg") * F.col("sz") / F.col("n"), F.col("szz") - F.col("sz") * F.col("sz") / F.col("n")
     x = x.withColumn("amplitude", F.try_divide(cgz, cgg)).withColumn("sse", czz - F.coalesce(F.col("amplitude") * cgz, F.lit(0.0))).withColumn("sse0", czz)
     x = x.withColumn("base", (F.col("sz") - F.col("amplitude") * F.col("sg")) / F.col("n"))
-    best = x.groupBy(*by).agg(F.min_by(F.struct("c", "amplitude", "base", "sse", "sse0"), F.struct(F.round("sse", 9), "c")).alias("b"))
+    c = F.struct("cx", "cy", "sigma")
+    best = x.groupBy(*by).agg(F.min_by(F.struct(c.alias("c"), "amplitude", "base", "sse", "sse0"), F.struct(F.round("sse", 9), c)).alias("b"))
     return best.select(*by, "b.c.cx", "b.c.cy", "b.c.sigma", "b.amplitude", "b.base", "b.sse", (1 - F.try_divide(F.col("b.sse"), F.col("b.sse0"))).alias("r2"))
 
 
