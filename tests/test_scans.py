@@ -90,3 +90,23 @@ def test_only_the_largest_groups_are_cut(spark, monkeypatch):
     assert [r[0] for r in cut] == [1]
     got = S.scan(df, ["session"], ["t", "seq"], 5, **{k: (k, F.col("v")) for k in S.KINDS})
     assert {tuple(r) for r in got.select(*df.columns, *S.KINDS).collect()} == loops(rows)
+
+
+def test_framed_windows_on_cut_sessions_equal_whole_ones(spark):
+    """Frames that cross the ends of chunks, and groups that end within one."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([(s, k, rng.gauss(0, 1), rng.gauss(0, 1)) for s, n in (("a", 230), ("b", 7), ("c", 1), (None, 60)) for k in range(n)], "session string, t int, v double, w double")
+    on, order = ["session"], ["t"]
+    cases = [
+        lambda n: W.moving_average(df, 5, on, order, F.col("v"), n), lambda n: W.rolling_variance(df, 6, on, order, "v", hot_rows=n), lambda n: W.sliding_fit(df, 9, on, order, "v", hot_rows=n),
+        lambda n: W.gradient(df, on, order, "v", hot_rows=n), lambda n: W.smooth(df, on, order, "v", [0.1, 0.2, 0.4, 0.2, 0.1], n), lambda n: W.path_kinematics(df, on, order, "v", "w", hot_rows=n),
+    ]
+    for case in cases:
+        whole = {(r["session"], r["t"]): r for r in case(S.HOT_ROWS).collect()}
+        for n in (9, 10, 64):
+            got = case(n).collect()
+            assert len(got) == len(whole) > 200
+            for r in got:
+                assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(r, whole[r["session"], r["t"]])), (n, r)
+    with pytest.raises(ValueError):
+        W.sliding_fit(df, 9, on, order, "v", hot_rows=5)

@@ -34,9 +34,9 @@ def reaction_time(df: DataFrame, by: list[str], pos: str, value: str, windows: l
     given percentile of all trials' maxima. With taps the path is smoothed first."""
     x = df.select(*by, pos, value)
     if taps:
-        x = smooth(x, by, [pos], value, taps)
+        x = smooth(x, by, [pos], value, taps, None)  # trials
     for k in windows:
-        x = sliding_fit(x, k, by, [pos], value).withColumnRenamed("r2", f"_r{k}").drop("slope")
+        x = sliding_fit(x, k, by, [pos], value, hot_rows=None).withColumnRenamed("r2", f"_r{k}").drop("slope")
     w = Window.partitionBy(*by)
     left = 1 - F.col(pos) / F.count(F.lit(1)).over(w)
     x = x.withColumn("_s", F.round(sum((1 - F.col(f"_r{k}") for k in windows), F.lit(0.0)) * left, 6))

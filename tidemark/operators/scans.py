@@ -109,3 +109,15 @@ class Scan:
 def scan(df: DataFrame, on: list[str], order: list[str], hot_rows: int = HOT_ROWS, **values: tuple[str, Column]) -> DataFrame:
     """df with the columns name=(kind, value) of ``Scan.carry``."""
     return Scan(df, on, order, hot_rows).carry(**values).done()
+
+
+def chunked(df: DataFrame, on: list[str], order: list[str], before: int = 0, after: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df with _pos (a row's place in its group, from 0), _chunk and _own: groups in chunks of hot_rows places, each with as
+    many rows of the chunks before and after it, for which _own is false. A window over a group whose frame reaches no
+    further is, for own rows, one over its chunk. A chunk must be at least as long as what it lends."""
+    if hot_rows < max(before, after):
+        raise ValueError("chunks must be at least as long as the frame")
+    x = scan(df, on, order, hot_rows, _pos=("before", F.lit(1).cast("long")))
+    home, place = F.floor(F.col("_pos") / hot_rows), F.col("_pos") % hot_rows
+    near = F.array_compact(F.array(home, F.when(place >= hot_rows - before, home + 1), F.when((place < after) & (home > 0), home - 1)))
+    return x.withColumn("_chunk", F.explode(near)).withColumn("_own", home == F.col("_chunk"))

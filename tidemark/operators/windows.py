@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import block_id
 from .kernels import apply_kernel
-from .scans import HOT_ROWS, Scan, scan
+from .scans import HOT_ROWS, Scan, chunked, scan
 
 
 def normalized_position(df: DataFrame, bins: int = 10, session: str = "session", pos: str = "pos") -> DataFrame:
@@ -36,24 +36,40 @@ def early_late(df: DataFrame, k: int, by: list[str], order: list[str]) -> DataFr
     return x.withColumn("split", F.when(F.col("_s") == 1, "early").otherwise("late")).drop("_s")
 
 
-def moving_average(df: DataFrame, n: int, by: list[str], order: list[str], value: Column) -> DataFrame:
+def _framed(df: DataFrame, by: list[str], order: list[str], before: int, after: int, hot_rows: int | None, work) -> DataFrame:
+    """work(rows, window) over groups, or over their chunks with what the frame reaches of the others; hot_rows None means
+    groups that are known to be short, such as trials."""
+    if hot_rows is None:
+        return work(df, Window.partitionBy(*by).orderBy(*order))
+    x = work(chunked(df, by, order, before, after, hot_rows), Window.partitionBy(*by, "_chunk").orderBy(*order))
+    return x.where("_own").drop("_pos", "_chunk", "_own")
+
+
+def moving_average(df: DataFrame, n: int, by: list[str], order: list[str], value: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mean of the last n rows, from the n-th on."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("moving", F.avg(value).over(w.rowsBetween(-(n - 1), 0))).withColumn("_k", F.row_number().over(w)).where(F.col("_k") >= n).drop("_k")
+    mean = lambda x, w: x.withColumn("moving", F.avg(value).over(w.rowsBetween(-(n - 1), 0))).where(F.col("_pos") >= n - 1)
+    return _framed(df, by, order, n - 1, 0, hot_rows, mean)
 
 
-def rolling_variance(df: DataFrame, n: int, by: list[str], order: list[str], value: str, still: float = 1.0, pad: float = 100.0) -> DataFrame:
+def rolling_variance(df: DataFrame, n: int, by: list[str], order: list[str], value: str, still: float = 1.0, pad: float = 100.0, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Population variance of the n rows from each on, pad where fewer are left, and whether it is below still."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, n - 1)
-    var = F.when(F.count(F.lit(1)).over(w) == n, F.var_pop(value).over(w)).otherwise(F.lit(pad))
-    return df.withColumn("variance", var).withColumn("still", F.col("variance") < still)
 
+    def work(x: DataFrame, w) -> DataFrame:
+        f = w.rowsBetween(0, n - 1)
+        var = F.when(F.count(F.lit(1)).over(f) == n, F.var_pop(value).over(f)).otherwise(F.lit(pad))
+        return x.withColumn("variance", var).withColumn("still", F.col("variance") < still)
+
+    return _framed(df, by, order, 0, n - 1, hot_rows, work)
 
-def sliding_fit(df: DataFrame, n: int, by: list[str], order: list[str], value: str, flat: float = 1e-12) -> DataFrame:
+
+def sliding_fit(df: DataFrame, n: int, by: list[str], order: list[str], value: str, flat: float = 1e-12, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Slope and R squared of the straight line through the n rows from each on, by their place; a tail of fewer rows
     or a window without variance has R squared 1 and no slope in the tail."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    x = df.withColumn("_i", F.row_number().over(w).cast("double"))
+    return _framed(df, by, order, 0, n - 1, hot_rows, lambda x, w: _fit_lines(x, w, n, value, flat))
+
+
+def _fit_lines(x: DataFrame, w, n: int, value: str, flat: float) -> DataFrame:
+    x = x.withColumn("_i", F.row_number().over(w).cast("double"))
     f = w.rowsBetween(0, n - 1)
     k = float(n)
     sx, sy = F.sum("_i").over(f), F.sum(value).over(f)
@@ -65,11 +81,14 @@ def sliding_fit(df: DataFrame, n: int, by: list[str], order: list[str], value: s
     return x.withColumns({"slope": slope, "r2": r2}).drop("_i", "_sx", "_sy", "_sxx", "_syy", "_sxy", "_n")
 
 
-def gradient(df: DataFrame, by: list[str], order: list[str], value: str, out: str = "gradient") -> DataFrame:
+def gradient(df: DataFrame, by: list[str], order: list[str], value: str, out: str = "gradient", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Central differences, one-sided at the ends."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    return _framed(df, by, order, 1, 1, hot_rows, lambda x, w: _differences(x, w, value, out))
+
+
+def _differences(x: DataFrame, w, value: str, out: str) -> DataFrame:
     up, down = F.lead(value).over(w), F.lag(value).over(w)
-    return df.withColumn(out, F.when(down.isNull(), up - F.col(value)).when(up.isNull(), F.col(value) - down).otherwise((up - down) / 2))
+    return x.withColumn(out, F.when(down.isNull(), up - F.col(value)).when(up.isNull(), F.col(value) - down).otherwise((up - down) / 2))
 
 
 def _prominences(v: np.ndarray) -> np.ndarray:
@@ -124,21 +143,25 @@ def peaks(df: DataFrame, by: list[str], order: str, value: str, prominence: floa
     return apply_kernel(df, by, [order], [value], find, f"{order} {name}, {value} double, prominence double, kind string")
 
 
-def path_kinematics(df: DataFrame, by: list[str], order: list[str], x: str, y: str, epsilon: float = 1e-5) -> DataFrame:
+def path_kinematics(df: DataFrame, by: list[str], order: list[str], x: str, y: str, epsilon: float = 1e-5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """df with the motion along a path, all by central differences of its rows: dx, dy, speed, the unit tangent and its
     change (tangent_x, tangent_y, turn_x, turn_y), the unit normal (normal_x, normal_y), ddx, ddy, along (the change of
     speed) and curvature. Speeds and turns of zero count as epsilon where they divide."""
 
+    w = Window.partitionBy(*by, "_chunk").orderBy(*order)
+
     def add(frame: DataFrame, **of: str) -> DataFrame:
         for out, value in of.items():
-            frame = gradient(frame, by, order, value, out)
+            frame = _differences(frame, w, value, out)
         return frame
 
     length = lambda a, b: F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b))
     some = lambda c: F.when(c == 0, F.lit(epsilon)).otherwise(c)
-    got = add(df, dx=x, dy=y).withColumn("speed", some(length("dx", "dy")))
+    # differences of differences of differences reach three rows
+    got = add(chunked(df, by, order, 3, 3, hot_rows), dx=x, dy=y).withColumn("speed", some(length("dx", "dy")))
     got = got.withColumns({"tangent_x": F.col("dx") / F.col("speed"), "tangent_y": F.col("dy") / F.col("speed")})
     got = add(got, turn_x="tangent_x", turn_y="tangent_y", ddx="dx", ddy="dy", along="speed").withColumn("_l", some(length("turn_x", "turn_y")))
+    got = got.where("_own").drop("_pos", "_chunk", "_own")
     bend = F.abs(F.col("ddx") * F.col("dy") - F.col("dx") * F.col("ddy")) / F.pow("speed", F.lit(3))
     return got.withColumns({"normal_x": F.col("turn_x") / F.col("_l"), "normal_y": F.col("turn_y") / F.col("_l"), "curvature": bend}).drop("_l")
 
@@ -152,15 +175,19 @@ def path_candidates(paths: DataFrame, by: list[str], pos: str) -> DataFrame:
     return paths.groupBy(*by).agg(*[most(c).alias(n) for n, c in what.items()])
 
 
-def smooth(df: DataFrame, by: list[str], order: list[str], value: str, taps: list[float]) -> DataFrame:
+def smooth(df: DataFrame, by: list[str], order: list[str], value: str, taps: list[float], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """df with value replaced by the weighted mean of its neighbours, an odd number of taps around the row; beyond the
     ends, and where values are missing, the other taps count alone."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    half = len(taps) // 2
+    return _framed(df, by, order, half, half, hot_rows, lambda x, w: _weighted(x, w, value, taps))
+
+
+def _weighted(x: DataFrame, w, value: str, taps: list[float]) -> DataFrame:
     half = len(taps) // 2
     near = [(F.lag(value, half - k).over(w) if k < half else F.lead(value, k - half).over(w), t) for k, t in enumerate(taps)]
     total = sum((F.coalesce(c * t, F.lit(0.0)) for c, t in near), F.lit(0.0))
     weight = sum((F.when(c.isNotNull(), F.lit(t)).otherwise(0.0) for c, t in near), F.lit(0.0))
-    return df.withColumn(value, F.try_divide(total, weight))
+    return x.withColumn(value, F.try_divide(total, weight))
 
 
 def words_at_strobes(df: DataFrame, by: list[str], time: str, word: str, rising: Column, repair: str | None = None) -> DataFrame:
