@@ -20,9 +20,9 @@ def state_summary(df: DataFrame, value: str = "value", by: str = "state", **rate
 def run_lengths(df: DataFrame, session: str = "session", pos: str = "pos", state: str = "state", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(session, start, state, length) of each run of equal states; nulls are equal to each other. The last row before a
     change of state gives its run's length, so runs are never grouped."""
-    x = Scan(df.select(session, pos, state), [session], [pos], hot_rows).carry(_before=("lag", F.struct(state)))
-    x = x.with_columns({"_new": F.col("_before").isNull() | ~F.col(f"_before.{state}").eqNullSafe(F.col(state))}).carry(_rows=("before", F.lit(1).cast("long")))
-    starts = x.where(F.col("_new")).carry(_next=("lead", F.col("_rows"))).done()
+    x = Scan(df.select(session, pos, state), [session], [pos], hot_rows).carry(_before=("lag", F.struct(state)), _rows=("before", F.lit(1).cast("long")))
+    new = F.col("_before").isNull() | ~F.col(f"_before.{state}").eqNullSafe(F.col(state))
+    starts = x.where(new).carry(_next=("lead", F.col("_rows"))).done()
     total = df.groupBy(F.col(session).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     got = starts.where("_next IS NOT NULL").withColumn("length", F.col("_next") - F.col("_rows"))
     last = starts.where("_next IS NULL").join(total, F.col(session).eqNullSafe(F.col("_s"))).withColumn("length", F.col("_n") - F.col("_rows"))

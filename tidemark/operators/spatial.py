@@ -48,18 +48,19 @@ def grid_activity(rates: DataFrame, covered: DataFrame, cells: DataFrame, keys:
     where none does, the spontaneous level (mean over directions of the median over bins). rates: keys, direction, bin,
     rate; rows without a value of a key are left out.
 
-    Directions that don't cover a cell count as the spontaneous level without a row of their own: only what covered ones
-    differ by is summed. The result has every cell for every key; both are dealt to shares of the cells for that.
+    Directions that don't cover a cell count as the spontaneous level without a row of their own: only covered ones are
+    summed, and the others added by their number. The result has every cell for every key; both are dealt to shares of the cells for that.
     """
     per = rates.join(covered, ["direction", "bin"]).groupBy(*keys, "cell", "direction").agg(F.avg("rate").alias("a"))
     quiet = rates.groupBy(*keys, "direction").agg(F.median("rate").alias("m")).groupBy(*keys).agg(F.avg("m").alias("quiet"), F.count(F.lit(1)).alias("_n"))
-    off = F.col("a") - F.col("quiet")
-    differ = per.join(quiet, keys).groupBy(*keys, "cell").agg(F.sum(off).alias("_s"), F.sum(off * off).alias("_ss"))
+    seen = per.groupBy(*keys, "cell").agg(F.sum("a").alias("_s"), F.sum(F.col("a") * F.col("a")).alias("_ss"), F.count(F.lit(1)).alias("_m"))
     share = F.pmod(F.xxhash64("cell"), F.lit(SHARES)).cast("int")
     every = quiet.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).join(cells.select("cell").withColumn("_share", share), "_share")
-    mean, square = (F.coalesce(c, F.lit(0.0)) / F.col("_n") for c in ("_s", "_ss"))
-    x = every.join(differ, [*keys, "cell"], "left")
-    return x.select(*keys, "cell", (F.col("quiet") + mean).alias("activity"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("sd"))
+    rest, q = F.col("_n") - F.col("_m"), F.col("quiet")
+    mean, square = (F.col("_s") + rest * q) / F.col("_n"), (F.col("_ss") + rest * q * q) / F.col("_n")
+    x = every.join(seen, [*keys, "cell"], "left")
+    sd = F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
+    return x.select(*keys, "cell", F.coalesce(mean, q).alias("activity"), F.coalesce(sd, F.lit(0.0)).alias("sd"))
 
 
 def bar_map(spikes: DataFrame, covered: DataFrame, cells: DataFrame, delays: list[int], bins: int, bin_col: str = "bin") -> DataFrame:
