@@ -284,7 +284,7 @@ class _Recording:
     """The events as they would come in: files of consecutive days, a folder for the marker that ends the recording, and
     a stream over both in a session of its own."""
 
-    def __init__(self, t, parts: int = 3):
+    def __init__(self, t, parts: int = 2):
         self.out = new_dir(t.spark, "stream")
         self.spark = T.session_for(t.spark)
         self.schema = t("events").schema
