@@ -85,3 +85,19 @@ def test_two_passes_do_not_delay(spark):
     assert np.abs(of[20][mid] - tone[20][::2][mid]).max() < 0.03 and np.abs(of[450][mid]).max() < 0.05 and np.abs(of[50][mid]).max() < 0.1
     quiet = B.unit_activity(df.where(F.col("tone") == "450"), ["tone"], fs, 300, 490, 20, every=4, chunk=512).orderBy("sample").collect()
     assert np.abs(np.array([r.filtered for r in quiet])[150:350] - 2 / np.pi).max() < 0.1
+
+
+def test_work_follows_the_samples(spark, monkeypatch):
+    """A short recording costs as many blocks as it has samples, wherever it lies in its chunk; null names are kept."""
+    system, seen = B.Recursion(B.butterworth(1, 60, high=3)), []
+    df = spark.createDataFrame([(r, s, 1.0) for r in ("a", None) for s in (5, 6, 40_000, 70_000)], "rec string, sample long, value double")
+    packed = B._pack(df.where("sample < 100"), ["rec"], "value", "sample", 1 << 16).toArrow().to_batches()
+    for batch in packed:
+        seen += [len(x) for _, _, x, _ in B._stretches(batch, 1, False, 1 << 16)]
+    assert seen == [2, 2]
+    got = {(r.rec, r.sample): r.filtered for r in B.recursive(df, ["rec"], B.butterworth(1, 60, high=3)).collect()}
+    x = np.zeros(70_001)
+    x[[5, 6, 40_000, 70_000]] = 1
+    y = one_pass(x, B.butterworth(1, 60, high=3))
+    assert len(got) == 8 and all(abs(v - y[s]) < 1e-12 for (_, s), v in got.items())
+    assert np.allclose(system.end(x[:7]), system.end(np.r_[np.zeros(100), x[:7]]))

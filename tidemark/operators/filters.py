@@ -11,11 +11,11 @@ from __future__ import annotations
 import cmath
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import written
@@ -108,33 +108,107 @@ class Recursion:
         self.observe = np.array([c @ powers[k] for k in range(BLOCK)])
         self.reach = np.array([powers[BLOCK - 1 - k] @ b for k in range(BLOCK)]).T
         self.over = powers[BLOCK]
+        self.powers: dict[int, np.ndarray] = {}
 
-    def run(self, x: np.ndarray, state: np.ndarray, output: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
-        """(output, state after the last sample) from a state."""
-        whole = len(x) // BLOCK * BLOCK
-        blocks = x[:whole].reshape(-1, BLOCK)
+    def run(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Output from a state."""
+        blocks = np.pad(x, (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
         pushes = blocks @ self.reach.T
-        states = np.empty((len(blocks) + 1, len(state)))
-        states[0] = state
+        states = np.empty((len(blocks), len(state)))
         for k in range(len(blocks)):
-            states[k + 1] = self.over @ states[k] + pushes[k]
-        y = (blocks @ self.respond.T + states[:-1] @ self.observe.T).ravel() if output else None
-        state, tail = states[-1], []
-        for value in x[whole:].tolist():
-            tail.append(self.c @ state + self.d * value)
-            state = self.a @ state + self.b * value
-        return (np.concatenate([y, tail]) if output else None), state
+            states[k] = state
+            state = self.over @ state + pushes[k]
+        return (blocks @ self.respond.T + states @ self.observe.T).ravel()[: len(x)]
+
+    def end(self, x: np.ndarray) -> np.ndarray:
+        """The state after the last sample, from rest, in which samples of nothing before the first leave it."""
+        state = np.zeros(len(self.b))
+        for push in np.pad(x, (-len(x) % BLOCK, 0)).reshape(-1, BLOCK) @ self.reach.T:
+            state = self.over @ state + push
+        return state
+
+    def after(self, n: int, state: np.ndarray) -> np.ndarray:
+        """What n samples of nothing leave of a state."""
+        if n not in self.powers:
+            if len(self.powers) > 10_000:
+                self.powers.clear()
+            self.powers[n] = np.linalg.matrix_power(self.a, n)
+        return self.powers[n] @ state
+
+
+def _pack(sig: DataFrame, by: list[str], value: str, sample: str, chunk: int) -> DataFrame:
+    """(by, _chunk, _s, _v): a row a chunk of a recording, with its samples in order."""
+    rows = sig.select(*by, F.col(sample).cast("long").alias("_s"), F.col(value).cast("double").alias("_v"))
+    packed = rows.groupBy(*by, F.floor(F.col("_s") / chunk).alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct("_s", "_v"))).alias("_r"))
+    return packed.select(*by, "_chunk", F.col("_r._s").alias("_s"), F.col("_r._v").alias("_v"))
+
+
+def _unpack(packed: DataFrame, by: list[str], sample: str, kind: str, out: str) -> DataFrame:
+    x = packed.select(*by, F.explode(F.arrays_zip("_s", "_v")).alias("_x"))
+    return x.select(*by, F.col("_x._s").cast(kind).alias(sample), F.col("_x._v").alias(out))
+
+
+def _stretches(batch: pa.RecordBatch, at: int, backward: bool, chunk: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
+    """Of each row, in the filter's direction: where the samples lie in the values from the first to the last of them, how
+    many places the chunk has before these, the values, and how many it has after them."""
+    columns = [batch.column(at + k) for k in range(3)]
+    s, v = columns[1].values.to_numpy(zero_copy_only=False), columns[2].values.to_numpy(zero_copy_only=False)
+    offsets = columns[1].offsets.to_numpy(), columns[2].offsets.to_numpy()
+    for row, k in enumerate(columns[0].to_pylist()):
+        own, values = (x[o[row] : o[row + 1]] for x, o in zip((s, v), offsets))
+        first, last = int(own[0]), int(own[-1])
+        x = np.zeros(last - first + 1)
+        x[own - first] = np.nan_to_num(values, posinf=np.inf, neginf=-np.inf)
+        before, after = first - k * chunk, (k + 1) * chunk - 1 - last
+        yield (last - own, after, x[::-1], before) if backward else (own - first, before, x, after)
+
+
+def _pass(packed: DataFrame, by: list[str], system: Recursion, backward: bool, chunk: int) -> DataFrame:
+    """packed with the filter's output for its values. Work follows the samples, not the length of a chunk."""
+    packed = written(packed)
+    keys = packed.select(*by).schema.simpleString()[len("struct<") : -1]
+    n = len(by)
 
-    def rest(self, n: int) -> np.ndarray:
-        """What n samples of nothing do to a state."""
-        return np.linalg.matrix_power(self.a, n)
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = [system.after(after, system.end(x)).tolist() for _, _, x, after in _stretches(batch, n, backward, chunk)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n + 1)), pa.array(states, pa.list_(pa.float64()))], [*by, "_chunk", "_end"])
 
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The states that chunks other than a recording's first begin in; rows come in order of recording and chunk."""
+        state = np.zeros(len(system.b))
+        for batch in batches:
+            at, begins = [], []
+            for row, (k, end, last) in enumerate(zip(*(batch.column(n + i).to_pylist() for i in range(3)))):
+                if last is None:
+                    state = np.asarray(end)
+                    continue
+                state = system.after((abs(k - last) - 1) * chunk, state) if abs(k - last) > 1 else state
+                at.append(row)
+                begins.append(state.tolist())
+                state = system.after(chunk, state) + np.asarray(end)
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(n + 1)), pa.array(begins, pa.list_(pa.float64()))], [*by, "_chunk", "_begin"])
+
+    kind = f"{keys}, _chunk bigint"
+    along = Window.partitionBy(*by).orderBy(F.desc("_chunk") if backward else F.asc("_chunk"))
+    final = packed.mapInArrow(ends, f"{kind}, _end array<double>").withColumn("_last", F.lag("_chunk").over(along))
+    begins = final.mapInArrow(compose, f"{kind}, _begin array<double>")
+    named = begins.select(*[F.col(c).alias(f"_key_{k}") for k, c in enumerate((*by, "_chunk"))], "_begin")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_key_{k}")) for k, c in enumerate((*by, "_chunk"))))
+    both = packed.join(named, same, "left").select(*by, "_chunk", "_s", "_v", "_begin")
 
-def _dense(at: np.ndarray, values: np.ndarray, low: int, high: int) -> np.ndarray:
-    out = np.zeros(high - low + 1)
-    known = ~np.isnan(values)
-    out[at[known] - low] = values[known]
-    return out
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for (at, before, x, _), begin in zip(_stretches(batch, n, backward, chunk), batch.column(n + 3).to_pylist()):
+                state = np.zeros(len(system.b)) if begin is None else system.after(before, np.asarray(begin))
+                found.append(system.run(x, state)[at])
+            ends = np.cumsum([0, *map(len, found)])
+            values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0), *found])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n + 2)), values], [*by, "_chunk", "_s", "_v"])
+
+    return both.mapInArrow(filtered, f"{kind}, _s array<bigint>, _v array<double>")
 
 
 def recursive(sig: DataFrame, by: list[str], sections: list[Section], value: str = "value", sample: str = "sample", out: str = "filtered", backward: bool = False, chunk: int = 1 << 16) -> DataFrame:
@@ -144,70 +218,31 @@ def recursive(sig: DataFrame, by: list[str], sections: list[Section], value: str
     Samples are whole numbers, one row each; those that are missing, or have no value, count as zero. Recordings may be of
     any length: a task holds a chunk, and the composition one row a chunk.
     """
-    system = Recursion(sections)
-    sign = -1 if backward else 1
-    at = F.col(sample).cast("long") * sign
-    rows = sig.select(*by, at.alias("_s"), F.col(value).cast("double").alias("_v"))
-    home = F.floor(F.col("_s") / chunk)
-    packed = rows.groupBy(*by, home.alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct("_s", "_v"))).alias("_r"))
-    packed = written(packed.select(*by, "_chunk", F.col("_r._s").alias("_s"), F.col("_r._v").alias("_v")))
-    keys = packed.select(*by).schema.simpleString()[len("struct<") : -1]
-    n = len(by)
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            states = []
-            for row in range(len(batch)):
-                k, s, v = (batch.column(n + i)[row] for i in range(3))
-                s, v = s.values.to_numpy(), v.values.to_numpy(zero_copy_only=False)
-                low = k.as_py() * chunk
-                states.append(system.run(_dense(s, v, low, low + chunk - 1), np.zeros(len(system.b)), False)[1].tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n + 1)), pa.array(states, pa.list_(pa.float64()))], [*by, "_chunk", "_end"])
-
-    final = packed.mapInArrow(ends, f"{keys}, _chunk bigint, _end array<double>")
-    step = system.rest(chunk)
+    x = _pass(_pack(sig, by, value, sample, chunk), by, Recursion(sections), backward, chunk)
+    return _unpack(x, by, sample, sig.schema[sample].dataType.simpleString(), out)
 
-    def compose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_chunk", ignore_index=True)
-        state, last, begins = np.zeros(len(system.b)), None, []
-        for k, end in zip(rows["_chunk"], rows["_end"]):
-            if last is not None and k - last > 1:
-                state = np.linalg.matrix_power(step, int(k - last - 1)) @ state
-            begins.append(state.tolist())
-            state, last = step @ state + np.asarray(end), k
-        return rows.assign(_begin=begins)[[*by, "_chunk", "_begin"]]
 
-    begins = final.groupBy(*by).applyInPandas(compose, f"{keys}, _chunk bigint, _begin array<double>")
-    both = packed.join(begins, [*by, "_chunk"])
-
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                k, s, v, begin = (batch.column(n + i)[row] for i in range(4))
-                s, v = s.values.to_numpy(), v.values.to_numpy(zero_copy_only=False)
-                low = k.as_py() * chunk
-                y, _ = system.run(_dense(s, v, low, int(s[-1])), np.array(begin.as_py()))
-                same = pa.array(np.full(len(s), row))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(same) for i in range(n)), pa.array(s * sign), pa.array(y[s - low])], [*by, sample, out])
-
-    kind = sig.schema[sample].dataType.simpleString()
-    return both.mapInArrow(filtered, f"{keys}, {sample} bigint, {out} double").withColumn(sample, F.col(sample).cast(kind))
+def _twice(packed: DataFrame, by: list[str], sections: list[Section], chunk: int) -> DataFrame:
+    system = Recursion(sections)
+    return _pass(_pass(packed, by, system, False, chunk), by, system, True, chunk)
 
 
 def two_pass(sig: DataFrame, by: list[str], sections: list[Section], every: int = 1, value: str = "value", sample: str = "sample", chunk: int = 1 << 16) -> DataFrame:
     """(by, sample, filtered): forward, then backward over the output, so that nothing is delayed; every so many samples
     are kept. Both passes begin at rest, without padding."""
-    once = recursive(sig, by, sections, value, sample, "_once", chunk=chunk)
-    return recursive(once, by, sections, "_once", sample, "filtered", True, chunk).where(F.col(sample) % every == 0)
+    x = _twice(_pack(sig, by, value, sample, chunk), by, sections, chunk)
+    return _unpack(x, by, sample, sig.schema[sample].dataType.simpleString(), "filtered").where(F.col(sample) % every == 0)
 
 
 def field_potential(sig: DataFrame, by: list[str], fs: float, low: float, high: float, notch: tuple[float, float] | None = None, every: int = 1, order: int = 4, chunk: int = 1 << 16) -> DataFrame:
     """Band-passed from low to high, without the notch's band if given, thinned."""
-    x = two_pass(sig, by, butterworth(order, fs, low, high), 1 if notch else every, chunk=chunk)
-    return two_pass(x, by, butterworth(order, fs, *notch, stop=True), every, "filtered", chunk=chunk) if notch else x
+    x = _twice(_pack(sig, by, "value", "sample", chunk), by, butterworth(order, fs, low, high), chunk)
+    x = _twice(x, by, butterworth(order, fs, *notch, stop=True), chunk) if notch else x
+    return _unpack(x, by, "sample", sig.schema["sample"].dataType.simpleString(), "filtered").where(F.col("sample") % every == 0)
 
 
 def unit_activity(sig: DataFrame, by: list[str], fs: float, low: float, high: float, smooth: float, every: int = 1, order: int = 4, chunk: int = 1 << 16) -> DataFrame:
     """Band-passed, rectified, low-passed and thinned."""
-    x = two_pass(sig, by, butterworth(order, fs, low, high), chunk=chunk).withColumn("filtered", F.abs("filtered"))
-    return two_pass(x, by, butterworth(order, fs, high=smooth), every, "filtered", chunk=chunk)
+    x = _twice(_pack(sig, by, "value", "sample", chunk), by, butterworth(order, fs, low, high), chunk)
+    x = _twice(x.withColumn("_v", F.transform("_v", F.abs)), by, butterworth(order, fs, high=smooth), chunk)
+    return _unpack(x, by, "sample", sig.schema["sample"].dataType.simpleString(), "filtered").where(F.col("sample") % every == 0)
