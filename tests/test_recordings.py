@@ -74,3 +74,19 @@ def test_table_functions(spark):
     assert M.kgrams(df.limit(0), ["us", "seq"], 3).count() == 0
     with pytest.raises(Exception, match="at least 1"):
         M.kgrams(df, ["us", "seq"], 0).collect()
+
+
+def test_many_sessions_are_read_several_at_a_time(spark, tmp_path):
+    folder = f"file://{tmp_path}/many"
+    lines = spark.range(1200).select((F.col("id") % 600).alias("session"), "id", F.concat(F.col("id").cast("string"), F.lit(".5,[1],LogTypes::Guid,x")).alias("value"))
+    V.write_log(lines, folder, "session", ["id"], "value")
+    V.register(spark)
+    log = spark.read.format("trial_log").load(folder)
+    parts = V.LogReader({"path": folder}).partitions()
+    assert len(parts) <= V.PARTITIONS and sum(1 + len(p.more) for p in parts) == 600
+    got = sorted((int(r.session), r.line_no, r.ts) for r in log.collect())
+    assert got == [(s, n, s + 600 * (n - 1) + 0.5) for s in range(600) for n in (1, 2)]
+    odd = spark.createDataFrame([(None, 1), ("", 1), ("..", 1), ("a=b c", 2)], "session string, n int").withColumn("value", F.lit("1.0,[1],LogTypes::Guid,x"))
+    V.write_log(odd, f"file://{tmp_path}/odd", "session", ["n"], "value")
+    names = sorted(r.session for r in spark.read.format("trial_log").load(f"file://{tmp_path}/odd").collect())
+    assert names == ["..", "__HIVE_DEFAULT_PARTITION__", "__HIVE_DEFAULT_PARTITION__", "a=b c"]

@@ -3,7 +3,7 @@
     spark.read.format("trial_log").load(folder)        lines of folder/session=<s>/*.log
     spark.read.format("trial_signal").load(folder)     samples of folder/session=<s>/*.parquet, times by its meta.json
 
-A session's file is a partition. Filters on session (equal, in) and on the range of a time choose files and row groups
+A session's file is a partition; of many files, some that follow each other are. Filters on session (equal, in) and on the range of a time choose files and row groups
 before anything is read; Spark applies all the others. Folders are opened by pyarrow's file systems, so they must be of
 a kind that these reach; tables that only Spark reads are for ``spark.read``.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,14 +27,17 @@ from .eventlog import LINE
 
 #: Bytes of a log's lines, and rows of a signal, that are parsed at once.
 LINES_AT_ONCE, ROWS_AT_ONCE = 8 << 20, 1 << 16
+#: Partitions beyond which files are read several at a time, and the bytes of files that are still put together.
+PARTITIONS, TOGETHER = 256, 64 << 20
 META = "meta.json"
 LOG_SCHEMA = "session string, line_no bigint, ts double, object_id bigint, kind string, payload array<string>"
 SIGNAL_SCHEMA = "session string, trial bigint, channel bigint, sample bigint, t double, value double"
 
 
 class File(InputPartition):
-    def __init__(self, session: str, path: str):
-        self.session, self.path = session, path
+    def __init__(self, session: str, path: str, size: int = 0):
+        self.session, self.path, self.size = session, path, size
+        self.more: list[File] = []
 
 
 class _Reader(DataSourceReader):
@@ -68,17 +71,30 @@ class _Reader(DataSourceReader):
             name = re.fullmatch(r"session=(.*)", info.base_name)
             session = name and unquote(name[1])
             if name and (self.sessions is None or session in self.sessions):
-                found += [File(session, x.path) for x in system.get_file_info(fs.FileSelector(info.path)) if x.is_file and x.path.endswith(self.suffix)]
-        return sorted(found, key=lambda f: f.path)
-
-
-class LogReader(_Reader):
-    suffix, time = ".log", "ts"
+                found += [File(session, x.path, x.size) for x in system.get_file_info(fs.FileSelector(info.path)) if x.is_file and x.path.endswith(self.suffix)]
+        found.sort(key=lambda f: f.path)
+        together, each, size = [], -(-len(found) // PARTITIONS), 0
+        for f in found:
+            if together and len(together[-1].more) + 1 < each and size + f.size <= TOGETHER:
+                together[-1].more.append(f)
+                size += f.size
+            else:
+                together.append(f)
+                size = f.size
+        return together
 
     def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no file is wanted
             return
         system, _ = fs.FileSystem.from_uri(self.folder)
+        for file in (partition, *partition.more):
+            yield from self.read_file(system, file)
+
+
+class LogReader(_Reader):
+    suffix, time = ".log", "ts"
+
+    def read_file(self, system: fs.FileSystem, partition: File) -> Iterator[pa.RecordBatch]:
         line = re.compile(LINE)
         with system.open_input_stream(partition.path) as f:
             number, rest = 0, b""
@@ -106,10 +122,7 @@ class LogReader(_Reader):
 class SignalReader(_Reader):
     suffix, time = ".parquet", "t"
 
-    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no file is wanted
-            return
-        system, _ = fs.FileSystem.from_uri(self.folder)
+    def read_file(self, system: fs.FileSystem, partition: File) -> Iterator[pa.RecordBatch]:
         try:
             with system.open_input_stream(f"{partition.path.rsplit('/', 1)[0]}/{META}") as f:
                 meta = json.loads(f.read())
@@ -166,10 +179,41 @@ def register(spark: SparkSession) -> None:
 
 
 def write_log(lines: DataFrame, folder: str, session: str, order: list[str], text: str) -> None:
-    """A file a session of a log's lines, in order: folder/session=<s>/*.log."""
-    sorted_ = lines.repartition(session).sortWithinPartitions(session, *order)
-    sorted_.select(F.col(session).cast("string").alias("session"), F.col(text).alias("value")).write.partitionBy("session").text(folder)
-    _rename(folder, ".txt", ".log")
+    """A file a session of a log's lines, in order: folder/session=<s>/*.log. Tasks write the files of their sessions
+    themselves, one open at a time, so that nothing is moved or renamed after them; a task that is run again writes the
+    same ones. Sessions that are null or empty have files of their own below one name, as in Spark's partitions."""
+    own = lines.withColumns({"_session": F.col(session).cast("string"), "_line": F.col(text)})
+    sorted_ = own.repartition("_session").sortWithinPartitions("_session", *order).select("_session", "_line")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(folder)
+        held, out, files = None, None, 0
+        try:
+            for batch in batches:
+                names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                low = 0
+                for high in range(1, len(names) + 1):
+                    if high < len(names) and names[high] == names[low]:
+                        continue
+                    if out is None or names[low] != held:
+                        if out is not None:
+                            out.close()
+                        held, files = names[low], files + 1
+                        below = f"{top}/session={quote(held, safe='') if held else '__HIVE_DEFAULT_PARTITION__'}"
+                        system.create_dir(below)
+                        out = system.open_output_stream(f"{below}/{'log' if held else 'null' if held is None else 'empty'}.log")
+                    out.write("".join(f"{x or ''}\n" for x in texts[low:high]).encode())
+                    low = high
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+    system, top = fs.FileSystem.from_uri(folder)
+    if system.get_file_info(top).type != fs.FileType.NotFound:
+        raise FileExistsError(folder)
+    system.create_dir(top)
+    sorted_.mapInArrow(put, "files long").agg(F.sum("files")).collect()
 
 
 def write_signal(sig: DataFrame, folder: str, session: str, meta: DataFrame) -> None:
@@ -189,10 +233,3 @@ def write_signal(sig: DataFrame, folder: str, session: str, meta: DataFrame) ->
             yield batch.select(["session"])
 
     keys.mapInArrow(put, "session string").count()
-
-
-def _rename(folder: str, old: str, new: str) -> None:
-    system, top = fs.FileSystem.from_uri(folder)
-    for info in system.get_file_info(fs.FileSelector(top, recursive=True)):
-        if info.is_file and info.path.endswith(old):
-            system.move(info.path, info.path[: -len(old)] + new)
