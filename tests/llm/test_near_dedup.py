@@ -92,3 +92,49 @@ def test_stages_with_null_and_repeated_ids(spark):
     mixed = mixing.mix(more).groupBy("tag", "source").agg(F.sum("copies").alias("n")).where("n > 0")
     got = C.mixture(spark, more, "").groupBy(F.xxhash64("doc_id", "text").alias("tag"), "source").count()
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, mixed.collect())) and got.where("source IS NULL").count() > 0
+
+
+def many_near():
+    """A base and 150 copies with edits at random places, similar to 0.6 to 0.9 among themselves, of shuffled sizes; and
+    short texts that end in a common line."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    out = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.sample(range(150), k % 5 + 1):
+            words[at] = f"z{rng.randrange(10**6)}"
+        out.append(words + [f"t{k}"] * (k % 7))
+    out += [[f"s{k // 2}", f"u{k // 3}"] + [f"c{i}" for i in range(k % 9 + 3)] for k in range(120)]
+    return [" ".join(w) for w in out]
+
+
+def test_no_similar_pair_is_left_out(spark, monkeypatch):
+    texts = edited() + many_near()
+    want = roots(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "tag long, text string")
+
+    def hold_all(radius):
+        got = {r["tag"]: r["component"] for r in similar.similar_texts(rows, radius=radius).collect()}
+        got = [got[k] for k in range(len(texts))]
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+    hold_all(similar.RADIUS)
+    # radius 0: the trees find next to nothing, and the prefixes, with large buckets in several blocks, have to find it all
+    for name, value in (("BUCKET", 4), ("TASK_ROWS", 60), ("COMMON", 10**6)):
+        monkeypatch.setattr(similar, name, value)
+    hold_all(0)
+
+
+def test_prefixes_and_bitmaps_leave_no_similar_pair_out():
+    rng = np.random.default_rng(4)
+    known = np.unique(rng.integers(0, 400, 50).astype(np.uint64))
+    place = rng.permutation(len(known))
+    for _ in range(500):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 400, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], rng.integers(0, 400, n // 12).astype(np.uint64)]))
+        if len(y) and similar.alike(len(x), len(y), len(np.intersect1d(x, y))):
+            assert len(np.intersect1d(similar.prefix(x, known, place), similar.prefix(y, known, place)))
+            bits = np.frombuffer(similar.parities(x) + similar.parities(y), np.uint64).reshape(2, -1)
+            assert sum(len(i) for i, _, _ in similar.near_pairs(np.array([len(x), len(y)]), np.array([1, 2]), bits))

@@ -5,8 +5,12 @@ and a set has one shard a tree; a pair meets if it agrees in any band. Two sets
 bits, with a deviation of 2.9; of pairs that differ in 10, 99.9 % agree in a band, in 14 about 96 %. A second fingerprint,
 from the same shingles by other bits, makes distances within a shard surer. Every shard returns a shortest spanning
 forest, so that a large group of near copies stays linear, and each of its steps is verified on both texts' whole sets.
-So every link is exact, and few similar texts are missed: those that meet nowhere, and those of dense groups whose
-steps to each other are all less similar than they are.
+
+What the trees miss is found by prefixes: of two sets of similarity 4/5 or more, the first fifth of each, and one more,
+in any common order of shingles share a shingle. Rare shingles come first, as a sample has them; the order changes the
+work, not the result. Only pairs of different groups are looked at there, and in large buckets only those whose parity
+bitmaps differ in no more bits than such sets can. Each set's nearest is verified first, then all pairs of groups that
+are still apart. So every link is exact, and no two similar texts stay in different groups.
 """
 
 from __future__ import annotations
@@ -26,6 +30,13 @@ from .common import by_bytes, components, cut, join_counted, tidied
 #: Differing bits of both fingerprints, 128 in all, up to which neighbours are verified; trees a deal of the first.
 RADIUS, TREES = 31, 8
 
+#: Texts that the order of shingles is drawn from, about; how often a shingle comes there to be put last; how many are.
+SAMPLE_TEXTS, COMMON, MOST_COMMON = 10_000, 3, 100_000
+
+#: Sets that share a shingle of their prefixes up to which all pairs are joined; beyond it bitmaps of WORDS x 64 bits are
+#: compared, in pairs of blocks where there are more than TASK_ROWS.
+BUCKET, WORDS, TASK_ROWS = 16, 16, 20_000
+
 
 def alike(own: int | np.ndarray, other: int | np.ndarray, both: int | np.ndarray) -> bool | np.ndarray:
     """Whether both / (own + other - both) >= 4/5, in whole numbers."""
@@ -39,24 +50,82 @@ def _other_bits(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Hashes of the most common shingles of a sample of rows' texts (by hash of the text), the rarest first."""
+    every = max(1, rows.count() // SAMPLE_TEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in by_bytes(whole)):
+            found = [np.unique(simhash.shingle_hashes(t.as_py(), width)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], ["token"])
+
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+    counted = sample.mapInArrow(tidied(run), "token long").groupBy("token").count().where(F.col("count") >= COMMON)
+    top = counted.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()
+    return np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def prefix(u: np.ndarray, known: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted hashes, of which a set of similarity 4/5 or more shares one in its own prefix: in order
+    of hash, those of known (sorted) last and by their place."""
+    if not len(u):
+        return u
+    most = len(u) - (4 * len(u) + 4) // 5 + 1
+    late = np.zeros(len(u), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+        late = np.where(known[at] == u, place[at] + 1, 0)
+    return u[np.argsort(late, kind="stable")[:most]]
+
+
+def parities(u: np.ndarray) -> bytes:
+    """Whether an odd number of a set's hashes falls on each bit: two sets differ in no fewer hashes than bits."""
+    odd = np.bincount((u % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def near_pairs(size: np.ndarray, root: np.ndarray, bits: np.ndarray, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits that differ) of all pairs of sets of different roots that sizes and bitmaps leave possible, in blocks."""
+    groups, group, held = np.unique(root, return_inverse=True, return_counts=True)
+    todo = np.flatnonzero(group != held.argmax())  # pairs within the largest group need no comparison
+    block = max(1, cells // max(1, len(size)))
+    for at in range(0, len(todo), block):
+        own = todo[at : at + block]
+        d = np.zeros((len(own), len(size)), np.int32)
+        for w in range(bits.shape[1]):
+            d += np.bitwise_count(bits[own, w, None] ^ bits[None, :, w])
+        a, b = size[own, None], size[None, :]
+        i, j = np.nonzero((9 * d <= a + b) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (group[own, None] != group[None, :]))
+        yield own[i], j, d[i, j]
+
+
 def similar_texts(rows: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
     """(tag, component) of each tag of rows (tag long, text string), a tag being a hash that tells texts apart.
 
-    Tags of one component are connected by a chain of pairs of similarity 4/5 or more; texts without words, null among
-    them, count as equal, and so do texts of equal sets. component is a number without meaning.
+    Tags are of one component if and only if a chain of pairs of similarity 4/5 or more connects them; texts without
+    words, null among them, count as equal, and so do texts of equal sets. component is a number without meaning.
     """
+    last = common_shingles(rows, width)
+    place = np.argsort(last, kind="stable")
+    known = last[place]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in by_bytes(whole)):
-            found = []
+            found, first, bits = [], [np.empty(0, np.uint64)], []
             for text in batch.column(1):
                 h = simhash.shingle_hashes(text.as_py(), width)
                 u = np.unique(h)
                 found.append((xxhash.xxh64_intdigest(u.tobytes()), simhash.majority(u), simhash.majority(_other_bits(u)), len(u)))
+                first.append(prefix(u, known, place))
+                bits.append(parities(u))
             columns = np.array(found, np.uint64).reshape(-1, 4).view(np.int64).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["tag", "set", "fp", "fp2", "size"])
+            ends = pa.array(np.cumsum([len(x) for x in first]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first).view(np.int64)))
+            arrays = [batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), lists, pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["tag", "set", "fp", "fp2", "size", "prefix", "bits"])
 
-    read_ = cut(rows.select("tag", "text").mapInArrow(tidied(read), "tag long, set long, fp long, fp2 long, size long"))
+    schema = "tag long, set long, fp long, fp2 long, size long, prefix array<long>, bits binary"
+    read_ = cut(rows.select("tag", "text").mapInArrow(tidied(read), schema))
     # fingerprints are of the sets themselves, so that equal sets agree in all columns
     sets = cut(read_.groupBy("set", "fp", "fp2", "size").agg(F.min("tag").alias("tag")))
     if sets.isEmpty():
@@ -78,10 +147,6 @@ def similar_texts(rows: DataFrame, width: int = 5, radius: int = RADIUS) -> Data
     dealt = simhash.shards(sets.select("fp", "fp2", "set", "size"), 0, TREES, deals=2)
     pairs = cut(dealt.groupBy("shard", "p", "q").applyInPandas(neighbours, "a long, b long").distinct())
 
-    used = cut(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct())
-    named = cut(join_counted(sets, used, "set").select("set", "tag"))
-    texts = cut(join_counted(rows.select("tag", "text"), named, "tag").dropDuplicates(["set"]).select("set", "text"))
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[int, np.ndarray] = {}
@@ -98,8 +163,69 @@ def similar_texts(rows: DataFrame, width: int = 5, radius: int = RADIUS) -> Data
             at = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    one, two = texts.select(F.col("set").alias("a"), F.col("text").alias("x")), texts.select(F.col("set").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
-    linked = cut(both.mapInArrow(tidied(check), "a long, b long"))
-    roots = cut(components(linked).withColumnRenamed("node", "set"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) of sets that are similar."""
+        used = cut(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct())
+        named = cut(join_counted(sets, used, "set").select("set", "tag"))
+        texts = cut(join_counted(rows.select("tag", "text"), named, "tag").dropDuplicates(["set"]).select("set", "text"))
+        one, two = texts.select(F.col("set").alias("a"), F.col("text").alias("x")), texts.select(F.col("set").alias("b"), F.col("text").alias("y"))
+        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
+        return cut(both.mapInArrow(tidied(check), "a long, b long"))
+
+    roots = cut(components(verified(pairs)).withColumnRenamed("node", "set"))
+
+    # what the trees missed: sets of different groups that share a shingle of their prefixes
+    postings = read_.select("set", "size", F.explode("prefix").alias("token"))
+    shared = cut(postings.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("token"))
+    hits = cut(join_counted(postings, shared, "token").distinct())
+    tried = None
+    for step in (_nearest_pairs, _open_pairs):
+        named = join_counted(hits, roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        mixed = cut(named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token", "n"))
+        buckets = cut(join_counted(named, mixed, "token"))
+        found = cut(step(buckets, read_).distinct())
+        if tried is not None:
+            found = cut(found.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        if not found.isEmpty():
+            linked = verified(found)
+            roots = cut(components(roots.toDF("a", "b").unionByName(linked)).withColumnRenamed("node", "set"))
+        tried = found
     return join_counted(read_.select("tag", "set").distinct(), roots, "set", "left").select("tag", F.coalesce("root", "set").alias("component"))
+
+
+def _nearest_pairs(buckets: DataFrame, read_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups: all of small buckets, and each set's nearest of large ones."""
+    x = buckets.where(F.col("n") <= BUCKET).select("token", "set", "size", "root")
+    y = x.select("token", *(F.col(c).alias(f"{c}2") for c in ("set", "size", "root")))
+    fits = "set < set2 AND root != root2 AND 5 * least(size, size2) >= 4 * greatest(size, size2)"
+    small = x.join(y.hint("merge"), "token").where(fits).select(F.col("set").alias("a"), F.col("set2").alias("b"))
+    near = _compared(buckets, read_, True).groupBy("own").agg(F.min(F.struct("d", "other")).alias("x")).select("own", "x.other")
+    return small.unionByName(near.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")))
+
+
+def _open_pairs(buckets: DataFrame, read_: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different groups of large buckets; those of small ones have been verified."""
+    return _compared(buckets, read_, False).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+
+def _compared(buckets: DataFrame, read_: DataFrame, nearest: bool) -> DataFrame:
+    """(own, other, d) of the pairs that ``near_pairs`` leaves of large buckets, or of each own's nearest in a task; d is
+    the share of hashes that differ at least."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("set")
+        name, size = pdf["set"].to_numpy(), pdf["size"].to_numpy()
+        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(-1, WORDS)
+        out = []
+        for i, j, d in near_pairs(size, pdf["root"].to_numpy(), bits):
+            part = pd.DataFrame({"own": name[i], "other": name[j], "d": d / (size[i] + size[j])})
+            out.append(part.sort_values(["own", "d", "other"]).drop_duplicates("own") if nearest else part)
+        return pd.concat(out) if out else pd.DataFrame({"own": name[:0], "other": name[:0], "d": np.empty(0)})
+
+    large = cut(buckets.where(F.col("n") > BUCKET))
+    bits = join_counted(read_.select("set", "bits"), cut(large.select("set").distinct()), "set").dropDuplicates(["set"])
+    # a row of block b is in the pairs of b with every block
+    blocks = F.when(F.col("n") > TASK_ROWS, F.ceil(2 * F.col("n") / TASK_ROWS)).otherwise(1).cast("long")
+    dealt = large.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("set"), "blocks")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tasks = dealt.select("token", F.least("b", "k").alias("p"), F.greatest("b", "k").alias("q"), "set", "size", "root")
+    return tasks.join(bits.hint("merge"), "set").groupBy("token", "p", "q").applyInPandas(compare, "own long, other long, d double")
