@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import geometry as G
 from tidemark.operators import spatial as S
 
 SWEEPS = "direction int, bin int, az1 double, el1 double, az2 double, el2 double"
@@ -80,3 +81,23 @@ def test_overlap_votes_by_all_pairs(spark):
     for size in (3.0, 10.0, 100.0):
         got = {(r.id, r.area): (r.n_target, r.n_distractor, r.n_fields) for r in S.overlap_votes(p, f, ["id"], [0, 1, 2], size).collect()}
         assert {k: v for k, v in got.items() if k[0] != 99} == want and len([k for k in got if k[0] == 99]) == 3
+
+
+def test_shared_areas_equal_the_expressions(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(200):
+        n = int(rng.integers(3, 7))
+        at = np.sort(rng.random(n)) * 6.28
+        corners = [(float(a), float(b)) for a, b in zip(3 * np.cos(at), 2 * np.sin(at))]
+        rows.append((k, corners + corners[-1:] * (k % 2), float(rng.normal()), float(rng.normal()), float(rng.random() * 3 * (k % 9 > 0))))
+    df = spark.createDataFrame(rows, "id int, p array<struct<x:double,y:double>>, x double, y double, r double")
+    want = df.select(G.polygon_area(F.col("p")), G.circle_polygon_area(F.col("x"), F.col("y"), F.col("r"), F.col("p"))).orderBy("id").collect()
+    flat = np.array([c for row in rows for c in row[1]])
+    x, y, r = (np.array([row[k] for row in rows]) for k in (2, 3, 4))
+    area, shared = S.shared_areas(np.array([len(row[1]) for row in rows]), flat[:, 0], flat[:, 1], x, y, r)
+    assert np.allclose(area, [w[0] for w in want], atol=1e-12) and np.allclose(shared, [w[1] for w in want], atol=1e-12)
+    points = df.where("id < 20").selectExpr("id", "'A' AS target", "'A' AS reached", "p AS a", "p AS b").withColumn("a", F.transform("a", lambda c: F.struct(c["x"].alias("x"), (c["y"] * 9).alias("y")))).withColumn("b", F.col("a"))
+    fields = df.selectExpr("0 AS area", "x", "y", "r AS radius").limit(5)
+    plan = S.overlap_votes(points, fields, ["id"], [0], 5.0)._jdf.queryExecution().executedPlan().toString()
+    assert "atan2" not in plan.lower()  # no areas by lambdas

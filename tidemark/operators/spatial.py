@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,6 +187,34 @@ def _cells(x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> Colum
     return F.flatten(F.transform(F.sequence(at(x0), at(x1)), lambda i: F.transform(F.sequence(at(y0), at(y1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
+def shared_areas(corners: np.ndarray, px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(area, area common with its circle) of each simple polygon, as ``polygon_area`` and ``circle_polygon_area`` give them.
+
+    corners: how many corners, three at least, of px and py each polygon has in turn. A missing number makes its areas NaN.
+    """
+    of = np.repeat(np.arange(len(corners)), corners)
+    ends = np.cumsum(corners)
+    after = np.arange(1, len(px) + 1)
+    after[ends - 1] = ends - corners
+    area = np.abs(np.bincount(of, px * py[after] - px[after] * py, len(corners))) / 2
+    r2, ax, ay = (radius * radius)[of], px - x[of], py - y[of]
+    bx, by = ax[after], ay[after]
+    dx, dy = bx - ax, by - ay
+    aa, bb, cc = dx * dx + dy * dy, ax * dx + ay * dy, ax * ax + ay * ay - r2
+    disc = bb * bb - aa * cc
+
+    def sector(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return r2 * np.arctan2(ax * by - ay * bx, ax * bx + ay * by) / 2
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        root = np.sqrt(np.maximum(0.0, disc))
+        lo, hi = np.maximum(0.0, (-bb - root) / aa), np.minimum(1.0, (-bb + root) / aa)
+    qx, qy, wx, wy = ax + lo * dx, ay + lo * dy, ax + hi * dx, ay + hi * dy
+    inside = sector(ax, ay, qx, qy) + (qx * wy - qy * wx) / 2 + sector(wx, wy, bx, by)
+    part = np.where(aa == 0, 0.0, np.where((disc <= 0) | (lo >= hi), sector(ax, ay, bx, by), inside))
+    return area, np.abs(np.bincount(of, part, len(corners)))
+
+
 def overlap_votes(points: DataFrame, fields: DataFrame, key: list[str], areas: list, size: float, least: float = 0.01) -> DataFrame:
     """(key, area, n_target, n_distractor, n_fields): how many fields of each of the stated areas overlap the target or the distractor at
     each point, by ``overlap_role``.
@@ -207,9 +238,22 @@ def overlap_votes(points: DataFrame, fields: DataFrame, key: list[str], areas: l
     met = each.join(round_, "cell").where("px0 <= cx1 AND cx0 <= px1 AND py0 <= cy1 AND cy0 <= py1")
     corner = lambda c, p, f: F.floor(F.greatest(p, f) / size).cast("long") == F.col(f"cell.{c}")
     met = met.where(corner("i", F.col("px0"), F.col("cx0")) & corner("j", F.col("py0"), F.col("cy0")))
-    smaller = F.least(G.polygon_area(F.col("polygon")), F.lit(3.141592653589793) * r * r)
-    hit = F.coalesce(F.try_divide(G.circle_polygon_area(F.col("x"), F.col("y"), r, F.col("polygon")), smaller) >= least, F.lit(False))
-    hits = met.where(hit).groupBy(*key, "area", "field").agg(F.bool_or(F.col("name") == F.col("target")).alias("own"))
+    met = met.select(*key, "area", "field", (F.col("name") == F.col("target")).alias("own"), F.col("polygon.x").alias("_px"), F.col("polygon.y").alias("_py"), "x", "y", "radius")
+    kept = met.columns[:-5]
+
+    def overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px, py = batch.column(len(kept)), batch.column(len(kept) + 1)
+            numbers = [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (px.flatten(), py.flatten(), *batch.columns[len(kept) + 2 :])]
+            area, shared = shared_areas(px.value_lengths().to_numpy(zero_copy_only=False), *numbers)
+            smaller = np.minimum(area, math.pi * numbers[4] ** 2)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                hit = (smaller > 0) & (shared / smaller >= least)
+            yield batch.select(kept).filter(pa.array(hit))
+
+    # numpy over Arrow batches: as expressions, a pair's areas are lambdas outside generated code
+    schema = met.select(*kept).schema
+    hits = met.mapInArrow(overlapping, schema).groupBy(*key, "area", "field").agg(F.bool_or("own").alias("own"))
     votes = hits.groupBy(*key, "area").agg(F.count_if("own").alias("_t"), F.count_if(~F.col("own")).alias("_d"))
     grid = x.select(*key, "target", "reached", "collapsed", F.explode(F.array(*map(F.lit, areas))).alias("area"))
     got = grid.join(sizes, "area").join(votes, [*key, "area"], "left")
