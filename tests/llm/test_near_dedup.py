@@ -138,3 +138,35 @@ def test_prefixes_and_bitmaps_leave_no_similar_pair_out():
             assert len(np.intersect1d(similar.prefix(x, known, place), similar.prefix(y, known, place)))
             bits = np.frombuffer(similar.parities(x) + similar.parities(y), np.uint64).reshape(2, -1)
             assert sum(len(i) for i, _, _ in similar.near_pairs(np.array([len(x), len(y)]), np.array([1, 2]), bits))
+
+
+def test_texts_that_share_a_shingle_by_chance_share_no_step():
+    """Steps of pairs of similarity 4/5 or more are shared, those of texts with a line in common are not."""
+    rng = np.random.default_rng(6)
+    none = np.empty(0, np.uint64)
+    line = rng.integers(0, 2**64, 8, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([line, rng.integers(0, 2**64, 200, dtype=np.uint64)])) for _ in range(60)]
+    tokens = Counter(t for u in sets for t in similar.prefix(u, none, none).tolist())
+    assert sum(n * (n - 1) // 2 for n in tokens.values()) < 60
+    for n in (1, 2, 5, 9, 50, 400):
+        for _ in range(50):
+            x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            # as many changes as similarity 4/5 allows: of one kind, or of both
+            gone, new = int(rng.integers(0, len(x) // 9 + 1)), 0
+            while similar.alike(len(x), len(x) - gone + new + 1, len(x) - gone):
+                new += 1
+            y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)]))
+            known = np.sort(rng.choice(x, len(x) // 2, replace=False))
+            place = rng.permutation(len(known))
+            assert len(np.intersect1d(similar.prefix(x, known, place), similar.prefix(y, known, place)))
+
+
+def test_only_pairs_that_bitmaps_leave_possible_are_verified(spark):
+    rng = np.random.default_rng(7)
+    one = np.unique(rng.integers(0, 2**64, 100, dtype=np.uint64))
+    sets = [one, one[:90], one[:60], np.unique(rng.integers(0, 2**64, 100, dtype=np.uint64))]
+    rows = [(k, len(u), bytearray(similar.parities(u))) for k, u in enumerate(sets)]
+    read_ = spark.createDataFrame(rows + rows[:1], "set long, size long, bits binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in similar._possible(pairs, read_).collect()] == [(0, 1)]
+    assert similar._possible(pairs.limit(0), read_).count() == 0

@@ -6,11 +6,15 @@ bits, with a deviation of 2.9; of pairs that differ in 10, 99.9 % agree in a ban
 from the same shingles by other bits, makes distances within a shard surer. Every shard returns a shortest spanning
 forest, so that a large group of near copies stays linear, and each of its steps is verified on both texts' whole sets.
 
-What the trees miss is found by prefixes: of two sets of similarity 4/5 or more, the first fifth of each, and one more,
-in any common order of shingles share a shingle. Rare shingles come first, as a sample has them; the order changes the
-work, not the result. Only pairs of different groups are looked at there, and in large buckets only those whose parity
-bitmaps differ in no more bits than such sets can. Each set's nearest is verified first, then all pairs of groups that
-are still apart. So every link is exact, and no two similar texts stay in different groups.
+What the trees miss is found by steps: a step is a shingle and the next of its set in order of hash, the last followed
+by the first. What two sets a and b share, c shingles, makes a circle of c gaps, and each of the |a| + |b| - 2c others
+opens one gap at most, so that they share 3c - |a| - |b| steps: three fifths of either's, if their similarity is 4/5 or
+more. So the first two fifths of each set's steps, and one more, in any common order share a step. Texts that have a
+shingle in common by chance, or a line, hardly ever share a step, so that what is looked at follows the near copies and
+not the square of the texts. Steps with a rare shingle come first, as a sample has them; the order changes the work, not
+the result. Only pairs of different groups are looked at there, and of those only the ones whose parity bitmaps differ in
+no more bits than such sets can. Each set's nearest is verified first, then all pairs of groups that are still apart. So
+every link is exact, and no two similar texts stay in different groups.
 """
 
 from __future__ import annotations
@@ -33,7 +37,10 @@ RADIUS, TREES = 31, 8
 #: Texts that the order of shingles is drawn from, about; how often a shingle comes there to be put last; how many are.
 SAMPLE_TEXTS, COMMON, MOST_COMMON = 10_000, 3, 100_000
 
-#: Sets that share a shingle of their prefixes up to which all pairs are joined; beyond it bitmaps of WORDS x 64 bits are
+#: Steps are counted in so many rounds, by their remainder, so that tasks hold as small a part of them at a time.
+ROUNDS = 4
+
+#: Sets that share a step of their prefixes up to which all pairs are joined; beyond it bitmaps of WORDS x 64 bits are
 #: compared, in pairs of blocks where there are more than TASK_ROWS.
 BUCKET, WORDS, TASK_ROWS = 16, 16, 20_000
 
@@ -66,16 +73,17 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def prefix(u: np.ndarray, known: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The first of a set's sorted hashes, of which a set of similarity 4/5 or more shares one in its own prefix: in order
-    of hash, those of known (sorted) last and by their place."""
+    """Hashes of the first of a set's steps (u: its shingles' sorted hashes), of which a set of similarity 4/5 or more
+    shares one in its own prefix: in order of hash, those of two shingles of known (sorted) last and by the smaller place."""
     if not len(u):
         return u
-    most = len(u) - (4 * len(u) + 4) // 5 + 1
+    most = len(u) - (3 * len(u) + 4) // 5 + 1
     late = np.zeros(len(u), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, u), len(known) - 1)
         late = np.where(known[at] == u, place[at] + 1, 0)
-    return u[np.argsort(late, kind="stable")[:most]]
+    steps = _other_bits(_other_bits(u) ^ np.roll(u, -1))
+    return steps[np.lexsort((steps, np.minimum(late, np.roll(late, -1))))[:most]]
 
 
 def parities(u: np.ndarray) -> bytes:
@@ -174,11 +182,13 @@ def similar_texts(rows: DataFrame, width: int = 5, radius: int = RADIUS) -> Data
 
     roots = cut(components(verified(pairs)).withColumnRenamed("node", "set"))
 
-    # what the trees missed: sets of different groups that share a shingle of their prefixes
-    postings = read_.select("set", "size", F.explode("prefix").alias("token"))
-    shared = cut(postings.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("token"))
-    hits = cut(join_counted(postings, shared, "token").distinct())
-    tried = None
+    # what the trees missed: sets of different groups that share a step of their prefixes
+    hits = tried = None
+    for k in range(ROUNDS):
+        postings = join_counted(read_, roots, "set", "left").select("set", "size", F.coalesce("root", "set").alias("root"), F.explode("prefix").alias("token")).where(F.pmod("token", F.lit(ROUNDS)) == k)
+        shared = cut(postings.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token"))
+        part = cut(join_counted(postings.drop("root"), shared, "token").distinct())
+        hits = part if hits is None else hits.unionByName(part)
     for step in (_nearest_pairs, _open_pairs):
         named = join_counted(hits, roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
         mixed = cut(named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token", "n"))
@@ -187,12 +197,29 @@ def similar_texts(rows: DataFrame, width: int = 5, radius: int = RADIUS) -> Data
         if tried is not None:
             found = cut(found.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         if not found.isEmpty():
-            linked = verified(found)
+            linked = verified(_possible(found, read_))
             roots = cut(components(roots.toDF("a", "b").unionByName(linked)).withColumnRenamed("node", "set"))
         tried = found
     return join_counted(read_.select("tag", "set").distinct(), roots, "set", "left").select("tag", F.coalesce("root", "set").alias("component"))
 
 
+def _possible(pairs: DataFrame, read_: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of sets that sizes and bitmaps leave possible, so that no texts move for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (np.asarray(batch.column(c)) for c in ("m", "n"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("x", "y"))
+            d = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            at = pa.array(np.flatnonzero((9 * d <= m + n) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n))))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("a", "b")], ["a", "b"])
+
+    used = cut(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct())
+    bits = cut(join_counted(read_.select("set", "size", "bits"), used, "set").dropDuplicates(["set"]))
+    both = pairs.join(bits.toDF("a", "m", "x").hint("merge"), "a").join(bits.toDF("b", "n", "y").hint("merge"), "b")
+    return cut(both.mapInArrow(tidied(run), "a long, b long"))
+
+
 def _nearest_pairs(buckets: DataFrame, read_: DataFrame) -> DataFrame:
     """Pairs (a, b) of different groups: all of small buckets, and each set's nearest of large ones."""
     x = buckets.where(F.col("n") <= BUCKET).select("token", "set", "size", "root")
