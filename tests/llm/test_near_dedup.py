@@ -6,6 +6,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, queries, simhash, similar
@@ -170,3 +172,67 @@ def test_only_pairs_that_bitmaps_leave_possible_are_verified(spark):
     pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 3)], "a long, b long")
     assert [tuple(r) for r in similar._possible(pairs, read_).collect()] == [(0, 1)]
     assert similar._possible(pairs.limit(0), read_).count() == 0
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_shards_hold_as_many_sets_at_any_size(spark, n):
+    """Bands of eight bits left shards of n / 256 sets, whose compares grew with the square of the corpus."""
+    fps = spark.range(n).select(F.xxhash64("id").alias("fp"), "id")
+    held = np.array([r["count"] for r in similar.dealt_out(fps, n).groupBy("shard").count().collect()])
+    # of the shard that a row lies in
+    assert (held**2).sum() / held.sum() <= 2 * similar.SHARD_ROWS
+
+
+def test_wide_bands_and_many_rounds_leave_no_similar_pair_out(spark, monkeypatch):
+    texts = edited() + many_near()
+    for name, value in (("SHARD_ROWS", 1), ("ROUND_TEXTS", 40), ("BUCKET", 4), ("TASK_ROWS", 60)):
+        monkeypatch.setattr(similar, name, value)
+    want = roots(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "tag long, text string")
+    got = {r["tag"]: r["component"] for r in similar.similar_texts(rows).collect()}
+    got = [got[k] for k in range(len(texts))]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_shingle_sets_are_those_of_words():
+    rng = random.Random(3)
+    odd = [None, "", "  ", "a", "A", " a\tb\n", "a b c d e", "a b c d e f", "X" * 64 + " " + "x" * 65, "Y" * 300_000 + " b c", "é È", "a\xa0b", "\x0b\x0c\x1ca"]
+    odd += [" ".join(rng.choice(["a", "b", "A", "cc", "D"]) for _ in range(rng.randrange(30))) for _ in range(300)] + [None]
+    for width in (1, 4, 5):
+        for texts in (pa.array(odd), pa.array(["z", None, *odd], pa.large_string()).slice(2), pa.array([None, ""]), pa.array([], pa.string())):
+            u, ends = similar.shingle_sets(texts, width)
+            assert len(ends) == len(texts)
+            there, back = {}, {}
+            for text, a, b in zip(texts.to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                words = (text or "").encode().lower().split()
+                want = frozenset(tuple(words[k : k + width]) for k in range(len(words) - width + 1)) or frozenset([tuple(words)] * bool(words))
+                got = tuple(u[a:b].tolist())
+                assert len(got) == len(want) and list(got) == sorted(set(got))
+                assert there.setdefault(want, got) == got and back.setdefault(got, want) == want
+            for find, one in ((similar._majorities, simhash.majority), (lambda u, ends: [x.tobytes() for x in similar._parities(u, ends)], similar.parities)):
+                assert list(find(u, ends)) == [one(u[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+    many = np.random.default_rng(1).integers(0, 2**64, 200_000, dtype=np.uint64)
+    ends = np.array([0, 150_000, 150_000, 150_255, 150_511, 200_000])
+    assert similar._majorities(many, ends).tolist() == [simhash.majority(many[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
+def test_runs_go_on_over_batches():
+    key = np.repeat([5, 3, 9, 1], [4, 1, 6, 2])
+    whole = pa.record_batch([pa.array(key), pa.array(np.arange(13)), pa.array([bytes([k]) * 8 * similar.WORDS for k in range(13)])], ["key", "n", "bits"])
+    for step in (1, 2, 3, 5, 13):
+        found = list(similar.runs((whole.slice(at, step) for at in range(-step, 13, step) if at >= 0), 1))
+        assert [x[0].tolist() for x in found] == [[5] * 4, [3], [9] * 6, [1] * 2]
+        assert np.concatenate([x[1] for x in found]).tolist() == list(range(13))
+        assert [len(x[2]) for x in found] == [4, 1, 6, 2] and found[0][2].shape[1] == similar.WORDS
+    assert not list(similar.runs(iter([whole.slice(0, 0)]), 1))
+
+
+def test_nearest_edges_reach_a_group_that_did_not_look():
+    """Chains of 40 and 70 places, joined late by one longer step each: the largest group changes on the way."""
+    at = np.concatenate([start + step * np.arange(n) for start, step, n in ((0, 1, 40), (42, 1, 70), (115, 1, 36), (155, 2, 35), (400, 1, 50))])
+    d = np.minimum(np.abs(at[:, None] - at[None]), 255).astype(np.uint8)
+    for most in (1, 2, 3, 5, 6):
+        a, b = simhash.nearest_edges(lambda own: d[own].copy(), len(at), most, cells=2000)
+        close = np.argwhere(np.triu(d <= most, 1))
+        assert (d[a, b] <= most).all() and len(a) == len(at) - len(set(union_find(len(at), close)))
+        assert union_find(len(at), zip(a, b)) == union_find(len(at), close)

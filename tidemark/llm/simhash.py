@@ -84,9 +84,10 @@ class Forest:
     mu: np.ndarray
 
 
-def fit_forest(sample: np.ndarray, n: int, allowance: int, trees: int, shard_rows: int, deals: int = 1) -> Forest:
+def fit_forest(sample: np.ndarray, n: int, allowance: int, trees: int, shard_rows: int, deals: int = 1, even: bool = False) -> Forest:
     """Vantage points and median radii from a sample; as many levels as bring n fingerprints to shard_rows a leaf, or as
-    a band has bits, beyond which a tree parts little more. A second deal has bands of bits far apart."""
+    a band has bits, beyond which a tree parts little more. A second deal has bands of bits far apart. even: of all radii
+    the one that parts a node most evenly, as ties with the median may leave all on one side."""
     edges = np.linspace(0, 64, trees + 1).astype(int)
     bands = [range(a, b) for a, b in zip(edges, edges[1:])]
     bands += [range(t, 64, trees) for t in range(trees)] * (deals > 1)
@@ -97,10 +98,11 @@ def fit_forest(sample: np.ndarray, n: int, allowance: int, trees: int, shard_row
         members = {1: sample}
         for node in range(1, 1 << levels):
             own = members.pop(node, sample[:0])
-            basis = own if len(own) >= 16 else sample
+            basis = own if len(own) >= 16 else sample[:4096]
             v = basis[(node * 7919) % len(basis)]
             d = np.bitwise_count((basis ^ v) & masks[t])
-            vantage[t, node], mu[t, node] = v, int(np.median(d))
+            inner = np.cumsum(np.bincount(d)) if even else None
+            vantage[t, node], mu[t, node] = v, np.abs(2 * inner - len(d)).argmin() if even else int(np.median(d))
             if len(own):
                 inside = np.bitwise_count((own ^ v) & masks[t]) <= mu[t, node]
                 members[2 * node], members[2 * node + 1] = own[inside], own[~inside]
@@ -169,7 +171,7 @@ def nearest_edges(distance, n: int, most: int, cells: int = 1 << 22) -> tuple[np
 
     distance(rows) gives the distances of some rows to all items as unsigned bytes, 255 where no step is allowed.
     """
-    root, todo, ends = np.arange(n), np.arange(n), []
+    root, todo, ends, alone = np.arange(n), np.arange(n), [], np.zeros(n, bool)
     block = max(1, cells // max(1, n))
     while len(todo) and n > 1:
         far, other = np.full(n, 255, np.uint8), np.zeros(n, np.int64)
@@ -180,6 +182,7 @@ def nearest_edges(distance, n: int, most: int, cells: int = 1 << 22) -> tuple[np
             other[own] = d.argmin(1)
             far[own] = d[np.arange(len(own)), other[own]]
         near = todo[far[todo] <= most]
+        alone[todo] = ~np.isin(root[todo], root[near])
         # of each group the shortest step out, ties by place
         first = near[np.lexsort((near, far[near], root[near]))]
         first = first[np.unique(root[first], return_index=True)[1]]
@@ -188,12 +191,14 @@ def nearest_edges(distance, n: int, most: int, cells: int = 1 << 22) -> tuple[np
             if a != b:
                 ends.append((i, other[i]))
                 root[root == b] = a
-        todo = np.flatnonzero(np.isin(root, root[near]))
+        held = np.bincount(root, minlength=n)
+        # the largest group needs no look of its own: the others look for steps to it
+        todo = np.flatnonzero(~alone & ((root != held.argmax()) | (held.max() <= 32)))
     a, b = np.array(ends, np.int64).reshape(-1, 2).T
     return a, b
 
 
-def shards(fps: DataFrame, allowance: int, trees: int, deals: int = 1, shard_rows: int = 512, sample_rows: int = 4096, task_rows: int = 100_000) -> DataFrame:
+def shards(fps: DataFrame, allowance: int, trees: int, deals: int = 1, shard_rows: int = 512, sample_rows: int = 4096, task_rows: int = 100_000, even: bool = False) -> DataFrame:
     """Rows of fps (a long fingerprint first, then other long columns) with each shard that they live in or query:
     columns shard, p and q name a task, home tells whether the row lives there.
 
@@ -204,7 +209,7 @@ def shards(fps: DataFrame, allowance: int, trees: int, deals: int = 1, shard_row
     name, names = fps.columns[0], fps.columns
     n = fps.count()
     top = fps.select(name).orderBy(F.xxhash64(name), name).limit(sample_rows).collect()
-    forest = fit_forest(np.array([r[0] for r in top], np.int64).view(np.uint64), n, allowance, trees, shard_rows, deals)
+    forest = fit_forest(np.array([r[0] for r in top], np.int64).view(np.uint64), n, allowance, trees, shard_rows, deals, even)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
