@@ -86,11 +86,14 @@ class Forest:
 
 def fit_forest(sample: np.ndarray, n: int, allowance: int, trees: int, shard_rows: int, deals: int = 1, even: bool = False) -> Forest:
     """Vantage points and median radii from a sample; as many levels as bring n fingerprints to shard_rows a leaf, or as
-    a band has bits, beyond which a tree parts little more. A second deal has bands of bits far apart. even: of all radii
+    a band has bits, beyond which a tree parts little more. A second deal has bands of bits far apart, others
+    have bands of bits at random. even: of all radii
     the one that parts a node most evenly, as ties with the median may leave all on one side."""
     edges = np.linspace(0, 64, trees + 1).astype(int)
     bands = [range(a, b) for a, b in zip(edges, edges[1:])]
     bands += [range(t, 64, trees) for t in range(trees)] * (deals > 1)
+    for deal in range(2, deals):
+        bands += np.array_split(np.random.default_rng(deal).permutation(64), trees)
     masks, trees = np.array([sum(1 << int(k) for k in band) for band in bands], np.uint64), len(bands)
     levels = int(np.clip(np.ceil(np.log2(max(n, 1) / shard_rows)), 0, np.diff(edges).max()))
     vantage, mu = np.zeros((trees, 1 << levels), np.uint64), np.zeros((trees, 1 << levels), np.uint8)

@@ -1,9 +1,9 @@
 """Groups of texts whose sets of word shingles have an exact Jaccard similarity of 4/5 or more, found by SimHash.
 
-Vantage-point trees over fingerprints find neighbours. The bits are dealt to bands twice, in runs and in strides, and a
-set has one shard a tree; a pair meets if it agrees in any band. Bands get wider as sets get more, so that a shard holds
-about as many sets at any size; wider bands meet fewer pairs, the nearest most of all. A second fingerprint, from the same
-shingles by other bits, makes distances within a shard surer. Every shard returns a shortest spanning forest, so that a
+Vantage-point trees over fingerprints find neighbours. The bits are dealt to bands several times, in runs, in strides and
+at random, and a set has one shard a tree; a pair meets if it agrees in any band. Bands get wider as sets get more, so that
+a shard holds about as many sets at any size, and trees more, so that as many pairs meet. A second fingerprint, from the
+same shingles by other bits, makes distances within a shard surer. Every shard returns a shortest spanning forest, so that a
 large group of near copies stays linear, and each of its steps is verified on both texts' whole sets.
 
 What the trees miss is found by steps: a step is a shingle and the next of its set in order of hash, the last followed
@@ -34,7 +34,7 @@ from .common import by_bytes, components, cut, join_counted, tidied
 RADIUS, TREES = 31, 8
 
 #: Sets of a shard, about, that trees have as many levels and bands as many bits for; fingerprints they are fitted on, at most.
-SHARD_ROWS, FITTED_ROWS = 256, 32_768
+SHARD_ROWS, FITTED_ROWS = 1024, 32_768
 
 #: Texts that the order of shingles is drawn from, about; how often a shingle comes there to be put last; how many are.
 SAMPLE_TEXTS, COMMON, MOST_COMMON = 10_000, 3, 100_000
@@ -266,10 +266,12 @@ def by_run(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
 
 
 def dealt_out(fps: DataFrame, n: int) -> DataFrame:
-    """n rows in shards of about as many at any n: bands have a bit for each halving, and fewer trees where they are wide."""
-    levels = int(np.ceil(np.log2(max(1, n / SHARD_ROWS))))
-    trees = max(1, min(TREES, 64 // max(1, levels)))
-    return simhash.shards(fps, 0, trees, deals=2, shard_rows=SHARD_ROWS, sample_rows=FITTED_ROWS, even=True)
+    """n rows in shards of about as many at any n: bands have a bit for each halving, and the wider they are, the more
+    trees there are, so that of pairs that differ in 15 % of their bits (a similarity of 0.8) 99 % agree in a band."""
+    levels = max(8, int(np.ceil(np.log2(max(1, n / SHARD_ROWS)))))
+    trees = max(1, min(TREES, 64 // levels))
+    deals = int(np.ceil(np.log(0.01) / np.log(1 - 0.85**levels) / trees))
+    return simhash.shards(fps, 0, trees, deals=max(2, deals), shard_rows=SHARD_ROWS, sample_rows=FITTED_ROWS, even=True)
 
 
 def similar_texts(rows: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
